@@ -53,16 +53,11 @@ def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("texts"), F.max("rank").alias("rank"), F.sum("rows").alias("rows"))
         .select(
-            "digest",
+            F.lower(F.hex("digest")).alias("text_sha256"),
             _id_of(F.col("rank")).alias("keep_id"),
             F.when(F.col("texts") == 1, F.col("rows")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest"))).cast("long").alias("group_size"),
         )
     )
-    members = keyed.select("doc_id", "digest")
-    return members.join(winners, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-    )
+    # joined by another column than the winners are grouped by, so that both sides are dealt anew and Spark may split a hot group
+    members = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
+    return members.join(winners, "text_sha256").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
