@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ class WordEncoder:
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     OTHER = regex.compile(r"[^\x00-įı-ɏ]")
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    def __init__(self, path: str, most_words: int = 1_200_000):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,7 +52,7 @@ class WordEncoder:
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         found, known = self.WORDS.findall(text.lower()), self.words
         try:
-            return b"".join([known[w] for w in found])
+            return b"".join(map(known.__getitem__, found))
         except KeyError:
             pass
         fresh = list({w for w in found if w not in known})
@@ -61,8 +62,8 @@ class WordEncoder:
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
             for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join([known[w] for w in found])
+                known[w] = array("I", e.ids).tobytes()
+        return b"".join(map(known.__getitem__, found))
 
 
 def encoder(path: str) -> WordEncoder:
