@@ -121,8 +121,8 @@ def allocate(pairs: list[float], widths: list[int], n: float, radius: int) -> tu
     return best[radius - len(pairs) + 1]
 
 
-def plan_probes(fps: DataFrame, radius: int, choices=(3, 4, 5)) -> list[int]:
-    """The bit masks to probe with."""
+def plan_probes(fps: DataFrame, radius: int, choices: tuple[int, ...]) -> list[int]:
+    """The bit masks to probe with. choices: the numbers of partitions to choose from."""
     corr = _bit_correlation(fps)
     layouts = {m: group_bits(corr, m) for m in choices if m <= radius + 1}
     parts = [(m, k, sum(1 << b for b in bits)) for m, groups in layouts.items() for k, bits in enumerate(groups)]
@@ -159,9 +159,13 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
     return a, b
 
 
-def link_fingerprints(fps: DataFrame, radius: int) -> DataFrame:
-    """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep) within the radius."""
-    masks = plan_probes(fps, radius)
+def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3,)) -> DataFrame:
+    """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep) within the radius.
+
+    Probes a fingerprint sends: few with many partitions, but then candidates grow as rows^2 / 2^(64 / partitions). Three
+    partitions send some 45 probes at radius 4 and suit up to some 10^9 distinct fingerprints; beyond, take (2,).
+    """
+    masks = plan_probes(fps, radius, choices)
     probes = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
     rows = fps.select("fp", "rep", F.explode(probes).alias("p")).select("p.k", "p.v", "fp", "rep").repartition("k", "v").sortWithinPartitions("k", "v")
 
