@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, harmonic, simhash
+from . import bpe_table, exact_dedup, harmonic, prefix_doubling, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bpe_word_table(spark, sf_dir):
+    return bpe_table.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_harmonic_packing(spark, sf_dir):
     return harmonic.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,8 +28,12 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup.dedup_exact(table(spark, sf_dir, "documents"))
 
 
+def op10_prefix_doubling(spark, sf_dir):
+    return prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def queries():
-    found = [op7_harmonic_packing, op8_simhash_pigeonhole, op9_exact_dedup]
+    found = [op3_bpe_word_table, op7_harmonic_packing, op8_simhash_pigeonhole, op9_exact_dedup, op10_prefix_doubling]
     return {f.__name__: f for f in found}
 
 
