@@ -9,9 +9,10 @@ From ranks to bytes, exactly:
 * a prefix of 400 bytes or more that occurs twice marks all 400-byte windows inside it;
 * a window can only be repeated if the prefixes of all anchors well inside it are (their places depend on nothing
   outside the window), which clears nearly all other windows;
-* the windows between, at the borders of repeated passages, are compared whole, together with the windows elsewhere
-  that begin at an anchor of the same rank.
-Whole prefixes and windows are compared by 128-bit hashes; ranks of shorter prefixes only prune.
+* the windows between, at the borders of repeated passages, are compared whole, together with those already known to be
+  repeated whose first inner anchor has the same rank; of these the leading copy of a repeated prefix speaks for all.
+Documents that occur twice as a whole need no comparison at their borders. Whole prefixes and documents are compared by
+128-bit hashes, windows by 96 bits; ranks of shorter prefixes only prune.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import id_text, pack, shuffle_parts, small_batches, unpack, written
 GRAM, WINDOW, FIRST = 8, 64, 100
 
 _STATE = "block long, part int, payload binary"
+#: The bit of a rank that marks the copy that leads.
+_LEADS = np.uint64(1 << 63)
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -80,6 +83,7 @@ class Block:
         self.starts = self.ends - self.sizes
         self.at = np.cumsum(_array(at, "<i4"), dtype=np.int64)
         self.doc = np.searchsorted(self.ends, self.at, side="right")
+        self.large = np.flatnonzero(self.sizes >= length)
         n = len(self.at)
         self.edge = self.ends[self.doc] if n else self.at  # where a prefix that leaves its document counts as ending
         self.end1 = self._next(np.searchsorted(self.at, self.at + FIRST))
@@ -99,7 +103,7 @@ class Block:
         own = np.flatnonzero(self.end1 >= 0)
         h, raw = xxhash.xxh3_64_intdigest, self.raw
         hi = np.array([h(raw[a:b]) for a, b in zip(self.at[own].tolist(), self.pos1[own].tolist())], dtype=np.uint64)
-        return own, np.stack([hi, np.zeros_like(hi)])
+        return own, np.concatenate([np.stack([hi, np.zeros_like(hi)]), self.hashes(self.starts[self.large].tolist(), self.ends[self.large].tolist())], axis=1)
 
     def keys2(self, rank1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         own = np.flatnonzero(self.end2 >= 0)
@@ -119,19 +123,26 @@ class Block:
         own, ends = self.cover(rank2)
         return own, self.hashes(self.at[own].tolist(), ends.tolist())
 
-    def hashes(self, starts: list[int], ends: list[int]) -> np.ndarray:
+    def hashes(self, starts: list[int], ends: list[int], shift: int = 0) -> np.ndarray:
         h, raw = xxhash.xxh3_128_digest, self.raw
-        return np.frombuffer(b"".join([h(raw[a:b]) for a, b in zip(starts, ends)]), dtype="<u8").reshape(-1, 2).T
+        found = np.frombuffer(b"".join([h(raw[a:b]) for a, b in zip(starts, ends)]), dtype="<u8").reshape(-1, 2).T
+        return np.stack([found[0], found[1] >> np.uint64(shift)])
 
-    def windows(self, rank1, rank2, long) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts of windows known to be repeated, starts of those still open, and the first inner anchor by start."""
+    def windows(self, rank1, rank2, long, whole) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of windows known to be repeated; starts to compare, their first inner anchors, and which are open."""
         size, n = self.length, len(self.raw)
         own, ends = self.cover(rank2)
-        hit = long[own] > 0
-        steps = np.zeros(n + 1, dtype=np.int32)
-        np.add.at(steps, self.at[own[hit]], 1)
-        np.add.at(steps, ends[hit] - size + 1, -1)
-        sure = np.cumsum(steps[:-1]) > 0
+
+        def inside(anchor, doc):
+            steps = np.zeros(n + 1, dtype=np.int32)
+            np.add.at(steps, self.at[own[anchor]], 1)
+            np.add.at(steps, ends[anchor] - size + 1, -1)
+            np.add.at(steps, self.starts[self.large[doc]], 1)
+            np.add.at(steps, self.ends[self.large[doc]] - size + 1, -1)
+            return np.cumsum(steps[:-1]) > 0
+
+        sure = inside(long[own] > 0, whole > 0)
+        leads = inside(long[own] >= _LEADS, whole >= _LEADS)
         p = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(self.starts.tolist(), self.ends.tolist()) if b - a >= size] or [np.empty(0, dtype=np.int64)])
         first = np.searchsorted(self.at, p + WINDOW - 1)
         p = p[first < len(self.at)]
@@ -144,8 +155,8 @@ class Block:
             upto = np.maximum(np.searchsorted(place, last, side="right"), first)
             keep = gone[upto] == gone[first]
             p, first, last = p[keep], first[keep], last[keep]
-        known = sure[p]
-        return np.flatnonzero(sure), p[~known], np.stack([p, first])
+        mine = ~sure[p] | leads[p]
+        return np.flatnonzero(sure), p[mine], first[mine], ~sure[p[mine]]
 
     def results(self, starts: np.ndarray):
         steps = np.zeros(len(self.raw) + 1, dtype=np.int32)
@@ -172,6 +183,15 @@ def _batch(rows: list[tuple[int, int, bytes]], kind=pa.RecordBatch):
     return kind.from_arrays(arrays, names=["block", "part", "payload"])
 
 
+def _halves(values: np.ndarray) -> bytes:
+    """64-bit values as their low and high halves, so that empty halves vanish in compression."""
+    return pack(np.ascontiguousarray(values.view("<u4").reshape(-1, 2).T).tobytes())
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_array(data, "<u4").reshape(2, -1).T).view("<u8").ravel()
+
+
 def _sorted_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of 128-bit keys, and the group of each in that order."""
     order = np.lexsort((keys[1], keys[0]))
@@ -193,7 +213,7 @@ def _key_rows(block: int, keys: np.ndarray, parts: int, asks: np.ndarray | None
     by = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[by])) + 1
     for own in np.split(by, cuts):
-        yield block, int(bucket[own[0]]), _frames(pack(hi[own].tobytes()), pack(lo[own].tobytes()), pack(flags[own].tobytes()))
+        yield block, int(bucket[own[0]]), _frames(pack(hi[own].tobytes()), _halves(lo[own]), pack(flags[own].tobytes()))
 
 
 def _read_names(keys: np.ndarray, rows: dict[int, bytes], parts: int) -> np.ndarray:
@@ -219,7 +239,7 @@ def _rank_buckets(keys: DataFrame, parts: int, asked: bool = False) -> DataFrame
         lists = [_unframe(x, 3) for x in table.column("payload").to_pylist()]
         hi = [_array(x[0], "<u8") for x in lists]
         flags = np.concatenate([_array(x[2], "u1") for x in lists])
-        keys = np.stack([np.concatenate(hi), np.concatenate([_array(x[1], "<u8") for x in lists])])
+        keys = np.stack([np.concatenate(hi), np.concatenate([_whole(x[1]) for x in lists])])
         order, group = _sorted_groups(keys)
         lead = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         told = np.bitwise_or.reduceat(flags[order], lead)
@@ -227,6 +247,7 @@ def _rank_buckets(keys: DataFrame, parts: int, asked: bool = False) -> DataFrame
         rank = np.where(good, np.cumsum(good) * parts + part, 0).astype(np.uint64)
         out = np.zeros(len(group), dtype=np.uint64)
         out[order] = rank[group]
+        out[order[lead[good]]] |= _LEADS
         cuts = np.cumsum([len(x) for x in hi])[:-1]
         return pa.table({"block": table.column("block"), "part": table.column("part"), "payload": pa.array([pack(x.tobytes()) for x in np.split(out, cuts)], pa.binary())})
 
@@ -272,8 +293,10 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
         rows = dict(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
         block, whole = table.column("block")[0].as_py(), Block(rows.pop(-1), length)
         own, keys = whole.keys1()
-        rank = np.zeros(len(whole.at), dtype=np.uint64)
-        rank[own] = _read_names(keys, rows, parts)
+        names, rank = _read_names(keys, rows, parts), np.zeros(len(whole.at), dtype=np.uint64)
+        rank[own] = names[: len(own)] & ~_LEADS
+        twice = np.zeros(len(whole.sizes), dtype=np.uint64)
+        twice[whole.large] = names[len(own) :]
         stay = np.zeros(len(whole.sizes), dtype=bool)
         stay[whole.doc[rank > 0]] = True
         texts = [whole.raw[a:b] for a, b in zip(whole.starts.tolist(), whole.ends.tolist())]
@@ -283,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
         if stay.any():
             keep = np.flatnonzero(stay)
             out.append((block, -1, _state(whole.ids[keep], whole.null[keep], [texts[i] for i in keep])))
-            out.append((block, -3, pack(rank[stay[whole.doc]].tobytes())))
+            out.append((block, -3, _frames(pack(rank[stay[whole.doc]].tobytes()), pack(twice[keep].tobytes()))))
         return _batch(out, pa.Table)
 
     def round_of(step):
@@ -299,44 +322,45 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
 
     def ranks(levels, upto: int):
         block = Block(levels[0][-1], length)
-        rank1, rank2, long = _array(levels[0][-3], "<u8"), np.zeros(len(block.at), dtype=np.uint64), np.zeros(len(block.at), dtype=np.uint64)
+        rank1, twice = (_array(x, "<u8") for x in _unframe(levels[0][-3], 2))
+        rank2, long = np.zeros(len(block.at), dtype=np.uint64), np.zeros(len(block.at), dtype=np.uint64)
         if upto > 1:
             own, keys = block.keys2(rank1)
-            rank2[own] = _read_names(keys, levels.get(2, {}), parts)
+            rank2[own] = _read_names(keys, levels.get(2, {}), parts) & ~_LEADS
         if upto > 2:
             own, keys = block.keys3(rank2)
             long[own] = _read_names(keys, levels.get(3, {}), parts)
-        return block, rank1, rank2, long
+        return block, rank1, rank2, long, twice[block.large]
 
     def second(block_id, levels):
-        block, rank1, _, _ = ranks(levels, 1)
+        block, rank1, *_ = ranks(levels, 1)
         return _batch(list(_key_rows(block_id, block.keys2(rank1)[1], parts)), pa.Table)
 
     def third(block_id, levels):
-        block, _, rank2, _ = ranks(levels, 2)
+        block, _, rank2, *_ = ranks(levels, 2)
         return _batch(list(_key_rows(block_id, block.keys3(rank2)[1], parts)), pa.Table)
 
-    def asking(block, rank1, rank2, long):
-        sure, open_, (p, first) = block.windows(rank1, rank2, long)
+    def asking(block, rank1, *found):
+        sure, p, first, asks = block.windows(rank1, *found)
         names = rank1[first]
-        return sure, open_, p, np.stack([names, np.zeros_like(names)]), np.isin(p, open_, assume_unique=True)
+        return sure, p, np.stack([names, np.zeros_like(names)]), asks
 
     def ask(block_id, levels):
-        _, _, _, keys, asks = asking(*ranks(levels, 3))
+        _, _, keys, asks = asking(*ranks(levels, 3))
         return _batch(list(_key_rows(block_id, keys, parts, asks)), pa.Table)
 
-    def border(block, rank1, rank2, long, levels):
-        sure, open_, p, keys, _ = asking(block, rank1, rank2, long)
+    def border(levels):
+        block, *found = ranks(levels, 3)
+        sure, p, keys, _ = asking(block, *found)
         p = p[_read_names(keys, levels.get(4, {}), parts) > 0]
-        return sure, open_, p, block.hashes(p.tolist(), (p + length).tolist())
+        return block, sure, p, block.hashes(p.tolist(), (p + length).tolist(), shift=32)
 
     def whole_windows(block_id, levels):
-        _, _, _, keys = border(*ranks(levels, 3), levels)
+        keys = border(levels)[-1]
         return _batch(list(_key_rows(block_id, keys, parts)), pa.Table)
 
     def finish(block_id, levels):
-        block, *found = ranks(levels, 3)
-        sure, _, p, keys = border(block, *found, levels)
+        block, sure, p, keys = border(levels)
         starts = np.union1d(sure, p[_read_names(keys, levels.get(5, {}), parts) > 0])
         names = [x.split()[0] for x in _RESULT.split(", ")]
         return pa.table(dict(zip(names, zip(*block.results(starts)))))
