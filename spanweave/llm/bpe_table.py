@@ -15,12 +15,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pack, shuffle_parts, small_batches, unpack, written
+from .common import id_text, pack, shuffle_parts, small_batches, unpack
 
 #: The pattern of the byte-level pre-tokenizer, and the characters on which every Unicode version agrees with it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -175,10 +176,11 @@ def encode_buckets(words: DataFrame, tokenizer: str) -> DataFrame:
     return words.groupBy("part").applyInArrow(run, _STATE)
 
 
-def _join_block(table: pa.Table, tok: Bpe):
+def _join_block(block: pa.Table, answers: pa.Table, tok: Bpe):
     """(doc_id, ids) of each document of a block, from its positions and the ids of its words."""
-    rows = dict(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
-    ids, null, lengths, flat, bucket = _unframe(rows.pop(-1), 5)
+    own = block.column("payload")[block.column("part").to_pylist().index(-1)].as_py()
+    rows = dict(zip(answers.column("part").to_pylist(), answers.column("payload").to_pylist()))
+    ids, null, lengths, flat, bucket = _unframe(own, 5)
     flat, bucket = _from_planes(flat), _from_planes(bucket)
     counts, values = [], []
     for part in sorted(rows):
@@ -207,17 +209,24 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = 8_000_0
     """
     spark = docs.sparkSession
     small_batches(spark)
-    state = written(split_blocks(id_text(docs, id_col, text_col), tokenizer, shuffle_parts(spark), block_chars), "bpe-blocks")
-    ids = encode_buckets(state.where("part >= 0"), tokenizer)
+    parts = shuffle_parts(spark)
+    # dealt by block once: the words' branch reads this exchange, and the join takes place where it left the documents
+    state = split_blocks(id_text(docs, id_col, text_col), tokenizer, parts, block_chars).repartition(parts, "block")
+
+    def words_only(batches):  # in Python, as a filter would move below the exchange and make a second one
+        for b in batches:
+            yield b.filter(pa.compute.greater_equal(b.column(1), 0))
+
+    ids = encode_buckets(state.mapInArrow(words_only, _STATE), tokenizer)
     finish = finish or (lambda tok, doc_id, x: (doc_id, x.tolist()))
     names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         tok = bpe(tokenizer)
-        rows = [finish(tok, doc_id, x) for doc_id, x in _join_block(table, tok)]
+        rows = [finish(tok, doc_id, x) for doc_id, x in _join_block(block, answers, tok)]
         return pa.table(dict(zip(names, zip(*rows)))) if rows else pa.table({n: [] for n in names})
 
-    return state.where("part < 0").unionByName(ids).groupBy("block").applyInArrow(run, schema)
+    return state.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
 
 
 def decode_documents(rows: DataFrame, tokenizer: str) -> DataFrame:
