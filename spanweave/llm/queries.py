@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_table, exact_dedup, harmonic, prefix_doubling, simhash
+from . import bpe_table, cotraining, exact_dedup, harmonic, prefix_doubling, secret_forest, simhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,16 @@ def op3_bpe_word_table(spark, sf_dir):
     return bpe_table.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_cotraining_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.selectExpr("doc_id", "round(quality_score, 6) AS quality_score", "quality_score >= 0.5 AS accepted")
+
+
+def op6_secret_forest(spark, sf_dir):
+    return secret_forest.scan(table(spark, sf_dir, "documents"), secret_forest.train())
+
+
 def op7_harmonic_packing(spark, sf_dir):
     return harmonic.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -33,7 +43,7 @@ def op10_prefix_doubling(spark, sf_dir):
 
 
 def queries():
-    found = [op3_bpe_word_table, op7_harmonic_packing, op8_simhash_pigeonhole, op9_exact_dedup, op10_prefix_doubling]
+    found = [op3_bpe_word_table, op5_cotraining_quality, op6_secret_forest, op7_harmonic_packing, op8_simhash_pigeonhole, op9_exact_dedup, op10_prefix_doubling]
     return {f.__name__: f for f in found}
 
 
