@@ -30,8 +30,13 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, that of the smallest id, of each group of near copies by five-word shingles."""
-    groups = simhash.near_duplicates(docs, words=5, radius=4)
+    """Keep one document, that of the smallest id, of each group of near copies.
+
+    Copies that share 0.8 of their five-word shingles differ in some 10 +- 3 of 64 bits, where four bits would find
+    few of them. Three-word fingerprints differ less: they are probed at 8 bits, then the five-word ones must agree
+    to 14.
+    """
+    groups = simhash.near_duplicates(docs, words=3, radius=8, choices=(5,), also=(5, 14))
     return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
 
 

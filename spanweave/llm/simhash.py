@@ -46,16 +46,18 @@ def fingerprint(text: str, words: int) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
+def fingerprints(docs: DataFrame, words: int = 4, also: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp and also (fingerprints as signed longs; the second by shingles of ``also`` words, else 0)."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            texts = b.column(1).to_pylist()
+            fps = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
+            second = np.array([fingerprint(t, also) for t in texts], dtype=np.uint64) if also else np.zeros(len(texts), dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(second.view(np.int64))], names=["doc_id", "fp", "also"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, also long")
 
 
 def _signed(x: int) -> int:
@@ -142,14 +144,18 @@ def plan_probes(fps: DataFrame, radius: int, choices: tuple[int, ...]) -> list[i
     return masks
 
 
-def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
+def _near(fp: np.ndarray, also: np.ndarray, a, b, radius: int, also_radius: int) -> np.ndarray:
+    return (np.bitwise_count(fp[a] ^ fp[b]) <= radius) & (np.bitwise_count(also[a] ^ also[b]) <= also_radius)
+
+
+def _forest(fp: np.ndarray, also: np.ndarray, radius: int, also_radius: int) -> tuple[list, list]:
     """A spanning forest of the links within one group of candidates."""
     a, b, left = [], [], np.arange(len(fp))
     while left.size > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and left.size:
             at = queue.pop()
-            near = np.bitwise_count(fp[left] ^ fp[at]) <= radius
+            near = _near(fp, also, left, at, radius, also_radius)
             if near.any():
                 hit = left[near]
                 left = left[~near]
@@ -159,17 +165,17 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
     return a, b
 
 
-def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3,)) -> DataFrame:
-    """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep) within the radius.
+def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3,), also_radius: int = 64) -> DataFrame:
+    """Spanning links (a, b) between the representatives of distinct fingerprints (fp, also, rep) within both radii.
 
     Probes a fingerprint sends: few with many partitions, but then candidates grow as rows^2 / 2^(64 / partitions). Three
     partitions send some 45 probes at radius 4 and suit up to some 10^9 distinct fingerprints; beyond, take (2,).
     """
     masks = plan_probes(fps, radius, choices)
     probes = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", "rep", F.explode(probes).alias("p")).select("p.k", "p.v", "fp", "rep").repartition("k", "v").sortWithinPartitions("k", "v")
+    rows = fps.select("fp", "also", "rep", F.explode(probes).alias("p")).select("p.k", "p.v", "fp", "also", "rep").repartition("k", "v").sortWithinPartitions("k", "v")
 
-    def links(k, v, fp, rep):
+    def links(k, v, fp, also, rep):
         same = (k[1:] == k[:-1]) & (v[1:] == v[:-1])
         cuts = np.flatnonzero(~same) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(k)]))
@@ -180,11 +186,11 @@ def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3
             at = np.flatnonzero(own)
             if not at.size:
                 break
-            at = at[np.bitwise_count(fp[at] ^ fp[at + gap]) <= radius]
+            at = at[_near(fp, also, at, at + gap, radius, also_radius)]
             out_a.append(rep[at])
             out_b.append(rep[at + gap])
         for i in np.flatnonzero(size > 8):
-            a, b = _forest(fp[starts[i] : ends[i]], radius)
+            a, b = _forest(fp[starts[i] : ends[i]], also[starts[i] : ends[i]], radius, also_radius)
             out_a.append(rep[starts[i] + np.array(a, dtype=np.int64)])
             out_b.append(rep[starts[i] + np.array(b, dtype=np.int64)])
         pairs = np.stack([np.concatenate(out_a), np.concatenate(out_b)]) if out_a else np.empty((2, 0), dtype=np.int64)
@@ -195,8 +201,8 @@ def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            new[2] = new[2].view(np.uint64)
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+            new[2], new[3] = new[2].view(np.uint64), new[3].view(np.uint64)
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
             if last.size and len(held[0]) >= 20_000:
@@ -211,17 +217,18 @@ def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, choices: tuple[int, ...] = (3,), also: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Fingerprints link at ``radius`` or fewer differing bits. Null text counts as empty; texts without words have
-    fingerprint zero and link like any other. Repeated rows are each returned. A row with a null id gets its
-    component too but never names one unless all ids in it are null. An empty table gives an empty result.
+    Fingerprints link at ``radius`` or fewer differing bits; with ``also`` = (words, radius), those of a second shingle
+    length must be as near too. Null text counts as empty; texts without words have fingerprint zero and link like any
+    other. Repeated rows are each returned. A row with a null id gets its component too but never names one unless
+    all ids in it are null. An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
+    fps = written(fingerprints(docs, words, also and also[0], id_col, text_col), "fingerprints")
+    distinct = written(fps.groupBy("fp", "also").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
     small_batches(docs.sparkSession, 10_000)
-    found = connected_components(link_fingerprints(distinct, radius))
-    by_fp = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(by_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = connected_components(link_fingerprints(distinct, radius, choices, also[1] if also else 64))
+    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "also", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, ["fp", "also"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
