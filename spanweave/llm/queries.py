@@ -5,17 +5,29 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_table, cotraining, exact_dedup, harmonic, prefix_doubling, secret_forest, simhash
+from . import bpe_table, cotraining, epsilon_grid, exact_dedup, harmonic, pii_semicrf, prefix_doubling, secret_forest, simhash, site_style_tree
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_style_tree(spark, sf_dir):
+    return site_style_tree.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_semicrf_pii(spark, sf_dir):
+    return pii_semicrf.find_personal_data(table(spark, sf_dir, "documents"), pii_semicrf.model())
+
+
 def op3_bpe_word_table(spark, sf_dir):
     return bpe_table.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_epsilon_grid(spark, sf_dir):
+    return epsilon_grid.near_vectors(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op5_cotraining_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     scored = cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +55,7 @@ def op10_prefix_doubling(spark, sf_dir):
 
 
 def queries():
-    found = [op3_bpe_word_table, op5_cotraining_quality, op6_secret_forest, op7_harmonic_packing, op8_simhash_pigeonhole, op9_exact_dedup, op10_prefix_doubling]
+    found = [op1_site_style_tree, op2_semicrf_pii, op3_bpe_word_table, op4_epsilon_grid, op5_cotraining_quality, op6_secret_forest, op7_harmonic_packing, op8_simhash_pigeonhole, op9_exact_dedup, op10_prefix_doubling]
     return {f.__name__: f for f in found}
 
 
