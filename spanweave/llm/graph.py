@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 
+def _by_node(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Join on u, by a key that ``low`` is not grouped by: both sides are dealt anew, so that Spark may split a hub."""
+    key = F.bitwise_not("u")
+    return edges.withColumn("key", key).join(low.select(key.alias("key"), "m"), "key").drop("key")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (two long columns): the smallest node that is reachable.
 
@@ -24,9 +30,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         seen = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _by_node(both, low).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        small = _by_node(large, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
