@@ -1,9 +1,499 @@
-"""Queries over the driver's tables."""
+"""The driver's queries: every operator of the engine over its tables or the derived corpus, beside the same in DuckDB."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import patterns, text
+from ..operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans, vision
+from . import corpus, pipeline
+
+_COLUMNS = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
+_FEW = [("EMAIL", patterns.EMAIL), ("PHONE", patterns.PHONE), ("CREDIT_CARD", patterns.CREDIT_CARD)]
+_LETTERS = f"letters AS ({corpus.LETTERS})"
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query, and its SQL if there is one."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _out(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "type", F.col("text").alias("surface"), F.col("start").alias("char_start"), F.col("end").alias("char_end"))
+
+
+# --- SQL building blocks of the oracles ------------------------------------------------------------------------------
+def _scan_sql(source: str, kind: str, pattern: str, order: int = 0) -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{kind}' AS type, m[i] AS text,
+  CAST(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) AS BIGINT) AS s,
+  CAST(list_sum([length(x) for x in g[1:i]]) + list_sum([length(x) for x in m[1:i]]) AS BIGINT) AS e, 'regex' AS source, {order} AS ord
+FROM (SELECT doc_id, m, g, unnest(range(1, len(m) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS m, string_split_regex(text, '{p}') AS g FROM {source}) a) b"""
+
+
+def _raw_sql(source: str, scan) -> str:
+    return " UNION ALL ".join(_scan_sql(source, k, p, i) for i, (k, p) in enumerate(scan))
+
+
+def _found(source: str, scan) -> str:
+    """CTEs raw and found (without contained spans)."""
+    return f"""raw AS ({_raw_sql(source, scan)}),
+found AS (SELECT * FROM raw r WHERE NOT EXISTS (SELECT 1 FROM raw o WHERE o.doc_id = r.doc_id AND o.type = r.type AND o.s <= r.s AND o.e >= r.e AND o.e - o.s > r.e - r.s))"""
+
+
+_MODEL = "model AS (SELECT doc_id, 'PERSON' AS type, person AS text, CAST(strpos(text, person) - 1 AS BIGINT) AS s, CAST(strpos(text, person) - 1 + length(person) AS BIGINT) AS e, 'llm' AS source, 20 AS ord FROM letters UNION ALL SELECT doc_id, 'ORG', org, strpos(text, org) - 1, strpos(text, org) - 1 + length(org), 'llm', 21 FROM letters UNION ALL SELECT doc_id, 'OTHER', 'call 07', strpos(text, 'call 07') - 1, strpos(text, 'call 07') + 6, 'llm', 22 FROM letters)"
+_ALL = "every AS (SELECT * FROM found UNION ALL SELECT * FROM model)"
+
+
+def _greedy(source: str, order: str, name: str = "kept") -> str:
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {order}) AS rn FROM {source}),
+walk AS (SELECT doc_id, rn, e AS last_end, true AS keep FROM o WHERE rn = 1 UNION ALL
+  SELECT o.doc_id, o.rn, CASE WHEN o.s >= w.last_end THEN o.e ELSE w.last_end END, o.s >= w.last_end FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1),
+{name} AS (SELECT o.* FROM o JOIN walk w ON o.doc_id = w.doc_id AND o.rn = w.rn AND w.keep)"""
+
+
+_MERGE = "s, -e, CASE source WHEN 'regex' THEN 0 ELSE 1 END, ord"
+_REGION = "s, -(e - s), CASE source WHEN 'memory' THEN 0 WHEN 'regex' THEN 1 WHEN 'llm' THEN 2 ELSE 3 END, ord"
+_SHOW = "SELECT doc_id, type, text AS surface, s AS char_start, e AS char_end FROM {}"
+_KEY = r"""CASE WHEN type = 'PERSON' THEN lower(CASE WHEN contains(text, ',') THEN split_part(text, ',', 1) || '|' || left(trim(split_part(text, ',', 2)), 1) ELSE regexp_extract(text, '([A-Za-z]+)$', 1) || '|' || left(text, 1) END)
+  WHEN type = 'ORG' THEN lower(split_part(text, ' ', 1))
+  WHEN type IN ('ADDRESS', 'DOB', 'MEDICAL', 'OTHER') THEN regexp_replace(regexp_replace(lower(trim(text)), '\s+', ' ', 'g'), '[.,]+$', '')
+  WHEN type = 'EMAIL' THEN lower(trim(text)) ELSE regexp_replace(lower(trim(text)), '[\s\-.()]', '', 'g') END"""
+
+
+def _label(n: str) -> str:
+    return f"CASE WHEN {n} < 26 THEN chr(CAST(65 + {n} AS INT)) WHEN {n} < 702 THEN chr(CAST(65 + ({n} - 26) // 26 AS INT)) || chr(CAST(65 + ({n} - 26) % 26 AS INT)) ELSE chr(CAST(65 + ({n} - 702) // 676 AS INT)) || chr(CAST(65 + (({n} - 702) // 26) % 26 AS INT)) || chr(CAST(65 + ({n} - 702) % 26 AS INT)) END"
+
+
+def _pseudonym(n: str) -> str:
+    return f"CASE type WHEN 'PERSON' THEN 'Agent ' || ({_label(n)}) WHEN 'ORG' THEN 'Organization ' || CAST({n} + 1 AS STRING) ELSE '[' || CASE type WHEN 'NI_NUMBER' THEN 'NI' WHEN 'CREDIT_CARD' THEN 'CARD' WHEN 'OTHER' THEN 'REDACTED' ELSE type END || '-' || CAST({n} + 1 AS STRING) || ']' END"
+
+
+def _entities(source: str) -> str:
+    """CTEs keyed, ents (numbered, with canonical text), named and smap."""
+    return f"""keyed AS (SELECT *, {_KEY} AS k, doc_id * 1000000000 + ord * 10000000 + s AS pos FROM {source}),
+surf AS (SELECT type, k, text, min(pos) AS pos, count(*) AS n FROM keyed GROUP BY ALL),
+ents AS (SELECT type, k, row_number() OVER (PARTITION BY type ORDER BY min(pos)) - 1 AS number, arg_min(text, row(type = 'PERSON' AND contains(text, ','), -length(text), pos)) AS canonical_text,
+  array_to_string(list(text ORDER BY pos), '|') AS aliases, sum(n) AS n_spans FROM surf GROUP BY type, k),
+ids AS (SELECT *, type || '-' || CASE WHEN number < 10000 THEN lpad(CAST(number AS STRING), 4, '0') ELSE CAST(number AS STRING) END AS canonical_id FROM ents),
+named AS (SELECT *, {_pseudonym("(row_number() OVER (PARTITION BY type ORDER BY canonical_id) - 1)")} AS pseudonym FROM ids),
+smap AS (SELECT text AS surface, arg_max(pseudonym, canonical_id) AS pseudonym, max(canonical_id) AS canonical_id FROM surf JOIN named USING (type, k) GROUP BY text)"""
+
+
+def _redacted(docs: str, source: str) -> str:
+    return f"""marks AS (SELECT doc_id, s, e, pseudonym, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS from_, max(e) OVER (PARTITION BY doc_id) AS tail FROM {source} JOIN smap ON text = surface),
+redacted AS (SELECT d.doc_id, coalesce(string_agg(substr(d.text, CAST(from_ + 1 AS INT), CAST(s - from_ AS INT)) || pseudonym, '' ORDER BY s) || substr(any_value(d.text), CAST(max(tail) + 1 AS INT)), any_value(d.text)) AS redacted, count(s) AS replacements
+  FROM {docs} d LEFT JOIN marks m ON d.doc_id = m.doc_id GROUP BY d.doc_id)"""
+
+
+# --- inputs ----------------------------------------------------------------------------------------------------------
+def _model_spans(letters: DataFrame) -> DataFrame:
+    """What a model would find: persons, organisations, and a span that overlaps the phone number."""
+    part = lambda kind, literal, order: letters.select("doc_id", F.lit(kind).alias("type"), F.explode(text.literal_spans(F.col("text"), literal)).alias("m"), F.lit(order).cast("bigint").alias("ord"))
+    rows = part("PERSON", F.col("person"), 20).unionByName(part("ORG", F.col("org"), 21)).unionByName(part("OTHER", F.lit("call 07"), 22))
+    return rows.select("doc_id", "type", "m.text", "m.start", "m.end", F.lit("llm").alias("source"), F.lit(0.85).alias("confidence"), "ord")
+
+
+def _letter_spans(letters: DataFrame) -> DataFrame:
+    return detect.detect_patterns(letters).select(*_COLUMNS).unionByName(_model_spans(letters))
+
+
+def _letter_run(spark, sf_dir) -> tuple[DataFrame, pipeline.Run]:
+    letters = corpus.letters(spark, sf_dir)
+    return letters, pipeline.run(letters, _letter_spans(letters))
+
+
+def _memory(letters: DataFrame) -> DataFrame:
+    """Persons and addresses of the even letters, as a memory."""
+    even = _letter_spans(letters).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')")
+    named = pseudonyms.assign(resolve.entities(even))
+    return named.select(F.col("canonical_id").alias("key"), "canonical_id", "type", "canonical_text", "aliases", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "pseudonym")
+
+
+_MEMORY = "model_even AS (SELECT * FROM model WHERE doc_id % 2 = 0 AND type IN ('PERSON', 'ORG'))"
+_WITH = f"WITH RECURSIVE {_LETTERS}, {_found('letters', patterns.SCAN)}, {_MODEL}, {_ALL}"
+_RUN = f"{_WITH}, {_greedy('every', _REGION)}, {_entities('kept')}"
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pipeline.run(docs, detect.detect_patterns(docs, _FEW)).redacted.select("doc_id", "redacted", "replacements")
+
+
+# --- sources and pages -----------------------------------------------------------------------------------------------
+@query("SELECT doc_id, md5(text) AS digest, length(text) AS n FROM documents")
+def scan_documents_fulltext(spark, sf_dir):
+    pages = table(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("page_no"), "text")
+    return chunking.full_texts(pages).select("doc_id", F.md5("text").alias("digest"), F.length("text").cast("bigint").alias("n"))
+
+
+@query("SELECT conv_id AS doc_id, turn AS page_no, CAST(coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS page_start FROM conversations")
+def page_offsets(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")
+    return chunking.page_offsets(pages).select("doc_id", "page_no", "page_start")
+
+
+_WORDS = """words AS (SELECT doc_id, 1 AS page_no, CAST(floor((b - 1) / 2.0) AS BIGINT) AS block_no, b AS line_no, w AS word_no, word FROM (
+  SELECT doc_id, b, unnest(range(1, len(ws) + 1)) AS w, unnest(ws) AS word FROM (
+    SELECT doc_id, b, string_split(line, ' ') AS ws FROM (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS b, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM letters) a) c) d) e WHERE word <> '')"""
+
+
+def _words(letters: DataFrame) -> DataFrame:
+    """Letters as a page of words: a block for two lines, a box for each word."""
+    lines = letters.select("doc_id", F.posexplode(F.split("text", "\n")).alias("b", "line"))
+    words = lines.select("doc_id", "b", F.posexplode(F.split("line", " ")).alias("w", "word")).where("word <> ''")
+    rows = words.select("doc_id", F.lit(1).alias("page_no"), F.floor(F.col("b") / 2).cast("bigint").alias("block_no"), (F.col("b") + 1).cast("bigint").alias("line_no"), (F.col("w") + 1).cast("bigint").alias("word_no"), "word")
+    placed = chunking.page_words(rows)
+    x = (F.col("char_start") % 80).cast("double")
+    y = (F.col("line_no") * 12).cast("double")
+    return placed.withColumns({"x0": x, "y0": y, "x1": x + F.length("word"), "y1": y + F.lit(10.0)})
+
+
+_PLACED = """seps AS (SELECT *, CASE WHEN lag(word) OVER w IS NULL THEN '' WHEN lag(block_no) OVER w <> block_no THEN chr(10) || chr(10) WHEN lag(line_no) OVER w <> line_no THEN chr(10) ELSE ' ' END AS sep FROM words WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY block_no, line_no, word_no)),
+placed AS (SELECT *, ce - length(word) AS cs, CAST((ce - length(word)) % 80 AS DOUBLE) AS x0, CAST(line_no * 12 AS DOUBLE) AS y0, CAST((ce - length(word)) % 80 + length(word) AS DOUBLE) AS x1, CAST(line_no * 12 + 10 AS DOUBLE) AS y1
+  FROM (SELECT *, CAST(sum(length(sep) + length(word)) OVER (PARTITION BY doc_id, page_no ORDER BY block_no, line_no, word_no) AS BIGINT) AS ce FROM seps) z)"""
+
+
+@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED} SELECT doc_id, page_no, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id, page_no")
+def page_text_from_words(spark, sf_dir):
+    return chunking.page_texts(_words(corpus.letters(spark, sf_dir)).drop("char_start", "char_end", "sep"))
+
+
+@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_found('pages', patterns.SCAN)} SELECT f.doc_id, type, s AS char_start, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM found f JOIN placed p ON f.doc_id = p.doc_id AND p.cs < f.e AND f.s < p.ce GROUP BY f.doc_id, type, s, e")
+def span_page_rect(spark, sf_dir):
+    words = _words(corpus.letters(spark, sf_dir))
+    pages = chunking.page_texts(words.drop("char_start", "char_end", "sep"))
+    return redact.span_rectangles(detect.detect_patterns(pages), words).select("doc_id", "type", F.col("start").alias("char_start"), "x0", "y0", "x1", "y1")
+
+
+# --- detection -------------------------------------------------------------------------------------------------------
+def _one(name: str, kind: str, pattern: str, letters: bool):
+    source = "letters" if letters else "documents"
+    head = f"WITH {_LETTERS}, " if letters else "WITH "
+
+    def f(spark, sf_dir):
+        docs = corpus.letters(spark, sf_dir) if letters else table(spark, sf_dir, "documents")
+        return _out(detect.scan_pattern(docs, kind, pattern))
+
+    f.__name__ = name
+    query(f"{head}raw AS ({_scan_sql(source, kind, pattern)}) {_SHOW.format('raw')}")(f)
+
+
+for _name, _kind, _pattern, _own in (
+    ("detect_email", "EMAIL", patterns.EMAIL, False), ("detect_phone", "PHONE", patterns.PHONE, False), ("detect_card", "CREDIT_CARD", patterns.CREDIT_CARD, False), ("detect_ni", "NI_NUMBER", patterns.NI_NUMBER, True),
+    ("detect_iban", "IBAN", patterns.IBAN, True), ("detect_dob", "DOB", patterns.DOB, True), ("detect_postcode", "ADDRESS", patterns.POSTCODE, True), ("detect_street", "ADDRESS", patterns.STREET, True),
+):
+    _one(_name, _kind, _pattern, _own)
+
+
+@query(f"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} {_SHOW.format('found')}")
+def detect_regex_all(spark, sf_dir):
+    return _out(detect.detect_patterns(corpus.letters(spark, sf_dir)))
+
+
+@query(f"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} SELECT type, (SELECT count(*) FROM raw r WHERE r.type = f.type) AS before, count(*) AS after FROM found f GROUP BY type")
+def drop_contained(spark, sf_dir):
+    raw = detect.detect_patterns(corpus.letters(spark, sf_dir), contained=True)
+    after = spans.drop_contained(raw).groupBy("type").agg(F.count(F.lit(1)).alias("after"))
+    return raw.groupBy("type").agg(F.count(F.lit(1)).alias("before")).join(after, "type")
+
+
+@query(f"{_WITH}, {_greedy('every', _MERGE)} {_SHOW.format('kept')}")
+def merge_spans(spark, sf_dir):
+    return _out(spans.merge_spans(_letter_spans(corpus.letters(spark, sf_dir))))
+
+
+@query(f"{_WITH}, {_greedy('every', _REGION)} {_SHOW.format('kept')}")
+def dedup_by_region(spark, sf_dir):
+    return _out(spans.dedup_by_region(_letter_spans(corpus.letters(spark, sf_dir))))
+
+
+@query(f"""{_WITH}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, ord) AS rn FROM every),
+walk AS (SELECT doc_id, rn, rn AS pick, 1 AS slot, e AS last_end FROM o WHERE rn = 1 UNION ALL
+  SELECT o.doc_id, o.rn, CASE WHEN o.s >= w.last_end OR o.e > w.last_end THEN o.rn ELSE w.pick END, CASE WHEN o.s >= w.last_end THEN w.slot + 1 ELSE w.slot END, CASE WHEN o.s >= w.last_end OR o.e > w.last_end THEN o.e ELSE w.last_end END
+  FROM walk w JOIN o ON o.doc_id = w.doc_id AND o.rn = w.rn + 1),
+kept AS (SELECT o.* FROM o JOIN (SELECT doc_id, slot, arg_max(pick, rn) AS pick FROM walk GROUP BY doc_id, slot) p ON o.doc_id = p.doc_id AND o.rn = p.pick) {_SHOW.format('kept')}""")
+def memory_overlap_dedup(spark, sf_dir):
+    return _out(spans.memory_overlap_dedup(_letter_spans(corpus.letters(spark, sf_dir))))
+
+
+@query("SELECT span_id, arg_max(event_type, event_id) AS value, min(event_id) AS seq FROM (SELECT CAST(user_id AS STRING) AS span_id, event_id, event_type FROM events) e GROUP BY span_id")
+def dedup_by_id_last_wins(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("span_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("value"))
+    return spans.dedup_by_id(rows).select("span_id", "value", "seq")
+
+
+# --- memory ----------------------------------------------------------------------------------------------------------
+_ALIAS = "aliases AS (SELECT DISTINCT text AS alias FROM model_even)"
+
+
+@query(f"WITH {_LETTERS}, {_MODEL}, {_MEMORY}, {_ALIAS}, hits AS (SELECT doc_id, alias, string_split(text, alias) AS g FROM letters, aliases WHERE contains(text, alias)) SELECT doc_id, alias, len(g) - 1 AS n, CAST(length(g[1]) AS BIGINT) AS first_at FROM hits")
+def literal_alias_scan(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    return memory.scan(letters, _memory(letters), resolved=False).groupBy("doc_id", F.col("text").alias("alias")).agg(F.count(F.lit(1)).alias("n"), F.min("start").alias("first_at"))
+
+
+@query(f"WITH {_LETTERS}, {_MODEL}, {_MEMORY}, {_ALIAS} SELECT doc_id, type, text AS surface, s AS char_start, e AS char_end FROM model WHERE text IN (SELECT alias FROM aliases)")
+def known_spans(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    return _out(memory.known(_model_spans(letters), _memory(letters)))
+
+
+@query(f"WITH {_LETTERS}, {_MODEL}, {_MEMORY}, {_ALIAS} SELECT doc_id, type, text AS surface, s AS char_start, e AS char_end FROM model WHERE text NOT IN (SELECT alias FROM aliases)")
+def unknown_spans(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    return _out(memory.unknown(_model_spans(letters), _memory(letters)))
+
+
+@query(f"WITH {_LETTERS}, {_MODEL}, {_MEMORY}, {_entities('model_even')} SELECT type, count(*) AS n FROM named GROUP BY ROLLUP (type)")
+def memory_stats(spark, sf_dir):
+    return memory.stats(_memory(corpus.letters(spark, sf_dir)))
+
+
+@query(f"WITH {_LETTERS}, {_MODEL}, {_MEMORY}, {_entities('model_even')} SELECT type, count(*) AS next FROM named GROUP BY type")
+def next_counters(spark, sf_dir):
+    return pseudonyms.next_counters(_memory(corpus.letters(spark, sf_dir)))
+
+
+@query()
+def mapping_with_memory(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    return memory.mapping(_letter_spans(letters), _memory(letters))[1].select("surface", "pseudonym", "canonical_id")
+
+
+@query()
+def memory_upsert(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    known = _memory(letters)
+    named, _ = memory.mapping(_letter_spans(letters), known)
+    return memory.upsert(known, named).select("key", "type", "canonical_text", F.array_join("aliases", "|").alias("aliases"), F.size("doc_ids").alias("n_docs"), "pseudonym")
+
+
+# --- resolution and pseudonyms ---------------------------------------------------------------------------------------
+@query(rf"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN')")
+def normalize_structured(spark, sf_dir):
+    rows = detect.detect_patterns(corpus.letters(spark, sf_dir)).where("type IN ('EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN')")
+    return rows.select("type", F.col("text").alias("surface"), text.norm_structured(F.col("type"), F.col("text")).alias("norm")).distinct()
+
+
+@query(rf"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('ADDRESS', 'DOB')")
+def normalize_basic(spark, sf_dir):
+    rows = detect.detect_patterns(corpus.letters(spark, sf_dir)).where("type IN ('ADDRESS', 'DOB')")
+    return rows.select("type", F.col("text").alias("surface"), text.norm_basic(F.col("text")).alias("norm")).distinct()
+
+
+@query(f"WITH {_LETTERS} SELECT DISTINCT person, lower(last_name) AS last, lower(CASE WHEN person LIKE '%. %' THEN left(first_name, 1) ELSE first_name END) AS first FROM letters")
+def person_signature(spark, sf_dir):
+    p = F.col("person")
+    return corpus.letters(spark, sf_dir).select("person", text.person_last(p).alias("last"), text.person_first(p).alias("first")).distinct()
+
+
+@query(f"WITH {_LETTERS} SELECT DISTINCT org, lower(split_part(org, ' ', 1)) AS core FROM letters")
+def org_core(spark, sf_dir):
+    return corpus.letters(spark, sf_dir).select("org", text.org_core(F.col("org")).alias("core")).distinct()
+
+
+def _resolved(kinds: str):
+    sql = f"{_RUN} SELECT canonical_id, canonical_text, aliases, CAST(n_spans AS BIGINT) AS n_spans FROM named WHERE type IN ({kinds})"
+
+    def f(spark, sf_dir):
+        found = _letter_run(spark, sf_dir)[1].entities.where(f"type IN ({kinds})")
+        return found.select("canonical_id", "canonical_text", F.array_join("aliases", "|").alias("aliases"), "n_spans")
+
+    return sql, f
+
+
+for _name, _kinds in (("resolve_structured", "'EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN', 'DOB', 'ADDRESS', 'OTHER'"), ("resolve_org", "'ORG'"), ("resolve_person", "'PERSON'")):
+    _sql, _f = _resolved(_kinds)
+    _f.__name__ = _name
+    query(_sql)(_f)
+
+
+@query(f"{_RUN} SELECT canonical_id, pseudonym FROM named")
+def assign_pseudonyms(spark, sf_dir):
+    return _letter_run(spark, sf_dir)[1].entities.select("canonical_id", "pseudonym")
+
+
+@query(f"{_RUN} SELECT surface, pseudonym, canonical_id FROM smap")
+def surface_map(spark, sf_dir):
+    return _letter_run(spark, sf_dir)[1].surfaces.select("surface", "pseudonym", "canonical_id")
+
+
+@query(f"SELECT c_custkey AS n, {_label('c_custkey')} AS label FROM customer")
+def agent_labels(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), text.letters(F.col("c_custkey")).alias("label"))
+
+
+@query(f"{_RUN} SELECT k2.doc_id, n.canonical_id FROM (SELECT DISTINCT doc_id, type, k FROM keyed) k2 JOIN named n USING (type, k)")
+def entity_docs(spark, sf_dir):
+    return pseudonyms.edges(_letter_run(spark, sf_dir)[1].entities).select("doc_id", "canonical_id")
+
+
+@query(f"{_RUN} SELECT (SELECT count(*) FROM named) AS entities, (SELECT count(DISTINCT pseudonym) FROM named) AS pseudonyms, count(*) AS surfaces, count(*) FILTER (n > 1) AS shared FROM (SELECT text, count(DISTINCT type || k) AS n FROM surf GROUP BY text) x")
+def cross_doc_consistency(spark, sf_dir):
+    return quality.consistency(_letter_run(spark, sf_dir)[1].entities)
+
+
+@query(f"{_RUN}, docs AS (SELECT type, k, string_agg(CAST(doc_id AS STRING), ', ' ORDER BY p) AS d FROM (SELECT type, k, doc_id, min(pos) AS p FROM keyed GROUP BY ALL) z GROUP BY type, k) SELECT canonical_id, pseudonym, canonical_text || ' is a ' || type || ' known as ' || pseudonym || ' (aliases: ' || replace(aliases, '|', ', ') || '; documents: ' || d || ').' AS statement FROM named JOIN docs USING (type, k)")
+def entity_statements(spark, sf_dir):
+    return pseudonyms.statements(_letter_run(spark, sf_dir)[1].entities).select("canonical_id", "pseudonym", "statement")
+
+
+@query(f"{_WITH}, {_greedy('every', _REGION)} SELECT doc_id, 'Document ' || CAST(doc_id AS STRING) || chr(10) || string_agg('- ' || type || ': ' || text, chr(10) ORDER BY s, ord) AS payload, count(*) AS n_spans FROM kept GROUP BY doc_id")
+def graph_payloads(spark, sf_dir):
+    return pseudonyms.payloads(spans.dedup_by_region(_letter_spans(corpus.letters(spark, sf_dir))))
+
+
+@query(f"{_WITH}, {_greedy('every', _REGION)} SELECT doc_id, count(*) FILTER (source = 'regex') AS regex, count(*) FILTER (source = 'memory') AS memory, count(*) FILTER (source = 'llm') AS llm FROM kept GROUP BY doc_id")
+def source_counts(spark, sf_dir):
+    return quality.source_counts(spans.dedup_by_region(_letter_spans(corpus.letters(spark, sf_dir))))
+
+
+@query(f"WITH {_LETTERS}, {_MODEL}, {_MEMORY}, {_entities('model_even')} SELECT DISTINCT l.doc_id, n.canonical_id FROM letters l JOIN surf s ON contains(l.text, s.text) JOIN named n USING (type, k)")
+def entity_scope(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    known = _memory(letters)
+    return memory.scope(known, _model_spans(letters).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')"), letters)
+
+
+# --- rewriting -------------------------------------------------------------------------------------------------------
+@query(f"WITH RECURSIVE {_found('documents', _FEW)}, {_greedy('found', _REGION)}, {_entities('kept')}, {_redacted('documents', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
+def redact_text(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+@query(f"{_RUN}, {_redacted('letters', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
+def redact_letters(spark, sf_dir):
+    return _letter_run(spark, sf_dir)[1].redacted.select("doc_id", "redacted", "replacements")
+
+
+@query(f"{_RUN}, {_redacted('letters', 'kept')} SELECT CAST(sum(replacements) AS BIGINT) AS total FROM redacted")
+def replacement_counts(spark, sf_dir):
+    return _letter_run(spark, sf_dir)[1].redacted.agg(F.sum("replacements").alias("total"))
+
+
+@query(f"{_RUN}, {_redacted('letters', 'kept')} SELECT count(*) AS leaked FROM (SELECT DISTINCT k.doc_id, k.text FROM kept k JOIN redacted r ON k.doc_id = r.doc_id WHERE contains(r.redacted, k.text)) x")
+def leak_check(spark, sf_dir):
+    _, result = _letter_run(spark, sf_dir)
+    return redact.leaks(result.redacted, result.spans).agg(F.count(F.lit(1)).alias("leaked"))
+
+
+@query(f"{_WITH}, {_greedy('every', _REGION)}, gold AS (SELECT * FROM model UNION ALL SELECT * FROM found WHERE type IN ('EMAIL', 'PHONE')) SELECT coalesce(a.type, b.type) AS type, count(*) FILTER (a.type IS NOT NULL AND b.type IS NOT NULL) AS hits, count(a.type) AS found, count(b.type) AS gold FROM (SELECT DISTINCT doc_id, type, s, e FROM kept) a FULL JOIN (SELECT DISTINCT doc_id, type, s, e FROM gold) b ON a.doc_id = b.doc_id AND a.type = b.type AND a.s = b.s AND a.e = b.e GROUP BY ALL")
+def precision_recall(spark, sf_dir):
+    letters = corpus.letters(spark, sf_dir)
+    every = _letter_spans(letters)
+    gold = _model_spans(letters).unionByName(detect.detect_patterns(letters).select(*_COLUMNS).where("type IN ('EMAIL', 'PHONE')"))
+    return quality.precision_recall(spans.dedup_by_region(every), gold)
+
+
+# --- chunks ----------------------------------------------------------------------------------------------------------
+_PARAS = "paras AS (SELECT doc_id, idx, ps[idx + 1] AS text, CAST(coalesce(list_sum([length(x) + 2 for x in ps[1:idx]]), 0) AS BIGINT) AS s FROM (SELECT doc_id, ps, unnest(range(0, len(ps))) AS idx FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS ps FROM letters) a) b)"
+# overlap: every paragraph's last or first sentence is what a fifth of its words is led back (on) to, except where that fifth reaches over more
+_CHUNKS = f"""{_PARAS}, parts AS (SELECT doc_id, idx, text, s, s + length(text) AS e, string_split(regexp_replace(text, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)) AS ss, string_split(text, ' ') AS ws, greatest(1, CAST(ceil(len(string_split(text, ' ')) * 0.2::DOUBLE) AS BIGINT)) AS k FROM paras),
+edges AS (SELECT *, s + length(text) - list_sum([length(x) + 1 for x in ws[len(ws) - k + 1:]]) + 1 AS tail_at, s + list_sum([length(x) + 1 for x in ws[1:k]]) - 1 AS head_at,
+  list_transform(range(1, len(ss) + 1), lambda i: s + coalesce(list_sum([length(x) + 1 for x in ss[1:i - 1]]), 0)) AS sa, list_transform(range(1, len(ss) + 1), lambda i: s + list_sum([length(x) + 1 for x in ss[1:i]]) - 1) AS se FROM parts),
+snaps AS (SELECT *, list_max(list_filter(sa, lambda x: x <= tail_at)) AS tail, list_min(list_filter(se, lambda x: x >= head_at)) AS head FROM edges),
+chunks AS (SELECT doc_id, idx, CAST(coalesce(lag(tail) OVER w, s) AS BIGINT) AS a, CAST(coalesce(lead(head) OVER w, e) AS BIGINT) AS b FROM snaps WINDOW w AS (PARTITION BY doc_id ORDER BY idx))"""
+
+
+@query(f"WITH {_LETTERS}, {_PARAS} SELECT doc_id, idx, s AS char_start, s + length(text) AS char_end, text FROM paras")
+def chunk_paragraphs(spark, sf_dir):
+    rows = chunking.paragraphs(_pages(spark, sf_dir))
+    return rows.select("doc_id", F.col("idx").cast("bigint").alias("idx"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), "text")
+
+
+def _pages(spark, sf_dir):
+    return corpus.letters(spark, sf_dir).select("doc_id", F.lit(1).alias("page_no"), "text")
+
+
+@query(f"WITH {_LETTERS}, {_CHUNKS} SELECT doc_id, idx, a AS char_start, b AS char_end, substr(text, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS text FROM chunks JOIN letters USING (doc_id)")
+def chunk_overlap(spark, sf_dir):
+    return chunking.chunk(_pages(spark, sf_dir)).select("doc_id", F.col("idx").cast("bigint").alias("idx"), "char_start", "char_end", "text")
+
+
+@query(f"WITH {_LETTERS}, {_CHUNKS} SELECT doc_id, idx FROM (SELECT doc_id, idx, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS rn FROM chunks WHERE b - a > 30) x WHERE rn <= 3")
+def chunk_gate_top3(spark, sf_dir):
+    return chunking.gate(chunking.chunk(_pages(spark, sf_dir))).select("doc_id", F.col("idx").cast("bigint").alias("idx"))
+
+
+@query()
+def chunk_bbox(spark, sf_dir):
+    words = _words(corpus.letters(spark, sf_dir))
+    pages = chunking.page_texts(words.drop("char_start", "char_end", "sep"))
+    return chunking.chunk_boxes(chunking.chunk(pages), words)
+
+
+# --- models ----------------------------------------------------------------------------------------------------------
+def _answers(letters: DataFrame) -> DataFrame:
+    """A stand-in model: fenced, wrapped or bare JSON by document."""
+    item = F.format_string('[{"type": "person", "text": "%s", "char_start": "%s"}, {"type": "widget", "text": "%s"}]', "person", F.col("doc_id").cast("string"), "org")
+    k = F.col("doc_id") % 3
+    fence = F.lit("```")
+    answer = F.when(k == 0, F.concat(fence, F.lit("json\n"), item, F.lit("\n"), fence)).when(k == 1, F.concat(F.lit('{"results": '), item, F.lit("}"))).otherwise(F.concat(F.lit("Found: "), item, F.lit(" as asked")))
+    return letters.select(F.col("doc_id").cast("string").alias("chunk_id"), "doc_id", "text", F.lit(0).cast("bigint").alias("char_start"), answer.alias("answer"))
+
+
+@query(f"WITH {_LETTERS} SELECT doc_id, 'PERSON' AS type, person AS surface, doc_id AS char_start FROM letters UNION ALL SELECT doc_id, 'OTHER', org, 0 FROM letters")
+def llm_parse(spark, sf_dir):
+    rows = _answers(corpus.letters(spark, sf_dir)).select("doc_id", F.explode(detect.parse_answer(F.col("answer"))).alias("a"))
+    return rows.select("doc_id", "a.type", F.col("a.text").alias("surface"), "a.char_start")
+
+
+@query(f"WITH {_LETTERS} SELECT doc_id, 'PERSON' AS type, person AS surface, CAST(strpos(text, person) - 1 AS BIGINT) AS char_start, CAST(strpos(text, person) - 1 + length(person) AS BIGINT) AS char_end FROM letters UNION ALL SELECT doc_id, 'OTHER', org, strpos(text, org) - 1, strpos(text, org) - 1 + length(org) FROM letters")
+def llm_offset_repair(spark, sf_dir):
+    return _out(detect.spans_from_answers(_answers(corpus.letters(spark, sf_dir))))
+
+
+# --- images, vectors, streams ----------------------------------------------------------------------------------------
+@query("SELECT image_id, x AS x0, y AS y0, x + w AS x1, y + h AS y1, CASE WHEN w / greatest(h, 1) BETWEEN 1.5 AND 1.8 THEN 'ID' ELSE 'SIGNATURE' END AS label FROM (SELECT p_partkey AS image_id, CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_partkey % 40 AS DOUBLE) AS y, CAST(p_size * 4 AS DOUBLE) AS w, CAST(20 + p_partkey % 60 AS DOUBLE) AS h FROM part) c WHERE w * h >= 500 AND w >= 20 AND h >= 20 AND (w / greatest(h, 1) BETWEEN 1.5 AND 1.8 OR w / greatest(h, 1) BETWEEN 2.5 AND 3.5)")
+def region_filter(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    c = p.select(F.col("p_partkey").alias("image_id"), (F.col("p_partkey") % 50).cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"), (F.col("p_size") * 4).cast("double").alias("w"), (F.lit(20) + F.col("p_partkey") % 60).cast("double").alias("h"))
+    return vision.shape_regions(c.withColumn("area", F.col("w") * F.col("h"))).drop("confidence")
+
+
+_QUERY_VECTOR = [1.0 if i % 3 == 0 else -0.5 for i in range(64)]
+
+
+@query(f"SELECT vec_id, round(sim, 6) AS similarity FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_QUERY_VECTOR} AS DOUBLE[])) AS sim FROM embeddings) x ORDER BY sim DESC, vec_id LIMIT 10")
+def embedding_recall_topk(spark, sf_dir):
+    return vision.similar_vectors(table(spark, sf_dir, "embeddings"), _QUERY_VECTOR, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def streaming_memory(spark, sf_dir):
+    """Letters arrive as files; the rewritten texts of all batches."""
+    from ..streaming import memory_stream
+
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    root = os.path.join(base, "spanweave", f"stream-{uuid.uuid4().hex}")
+    corpus.letters(spark, sf_dir).select("doc_id", "text").write.parquet(f"{root}/in")
+    q = memory_stream.start(spark, memory_stream.documents(spark, f"{root}/in"), root)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/redacted").select("doc_id", "redacted", "replacements")
 
 
 def queries():
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(_SQL)
