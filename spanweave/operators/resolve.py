@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text
+from ..sources.shared import settle
 
 
 def resolution_key() -> Column:
@@ -55,7 +56,7 @@ def entities(spans: DataFrame, numbered_after: DataFrame | None = None) -> DataF
     Numbers count clusters of a type by first mention. Surfaces are combined before entities are: an entity's arrays
     hold its distinct surfaces and documents. numbered_after: (type, base) to start numbers at.
     """
-    clustered = cluster(spans)
+    clustered = cluster(settle(spans, "spans"))  # read for surfaces, documents and given names
     by = ["type", "key", "cluster"]
     surfaces = clustered.groupBy(*by, "text").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     docs = clustered.groupBy(*by, "doc_id").agg(F.min("pos").alias("pos")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text
 from ..operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans, vision
+from ..sources.shared import settle
 from . import corpus, pipeline
 
 _COLUMNS = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
@@ -87,15 +88,18 @@ def _pseudonym(n: str) -> str:
     return f"CASE type WHEN 'PERSON' THEN 'Agent ' || ({_label(n)}) WHEN 'ORG' THEN 'Organization ' || CAST({n} + 1 AS STRING) ELSE '[' || CASE type WHEN 'NI_NUMBER' THEN 'NI' WHEN 'CREDIT_CARD' THEN 'CARD' WHEN 'OTHER' THEN 'REDACTED' ELSE type END || '-' || CAST({n} + 1 AS STRING) || ']' END"
 
 
-def _entities(source: str) -> str:
-    """CTEs keyed, ents (numbered, with canonical text), named and smap."""
-    return f"""keyed AS (SELECT *, {_KEY} AS k, doc_id * 1000000000 + ord * 10000000 + s AS pos FROM {source}),
-surf AS (SELECT type, k, text, min(pos) AS pos, count(*) AS n FROM keyed GROUP BY ALL),
-ents AS (SELECT type, k, row_number() OVER (PARTITION BY type ORDER BY min(pos)) - 1 AS number, arg_min(text, row(type = 'PERSON' AND contains(text, ','), -length(text), pos)) AS canonical_text,
-  array_to_string(list(text ORDER BY pos), '|') AS aliases, sum(n) AS n_spans FROM surf GROUP BY type, k),
-ids AS (SELECT *, type || '-' || CASE WHEN number < 10000 THEN lpad(CAST(number AS STRING), 4, '0') ELSE CAST(number AS STRING) END AS canonical_id FROM ents),
-named AS (SELECT *, {_pseudonym("(row_number() OVER (PARTITION BY type ORDER BY canonical_id) - 1)")} AS pseudonym FROM ids),
-smap AS (SELECT text AS surface, arg_max(pseudonym, canonical_id) AS pseudonym, max(canonical_id) AS canonical_id FROM surf JOIN named USING (type, k) GROUP BY text)"""
+def _entities(source: str, x: str = "", base: str = "") -> str:
+    """CTEs keyed, ents (numbered, with canonical text), named and smap, with suffix x; numbers go on after those of ``base``."""
+    after = f" + (SELECT count(*) FROM {base} m WHERE m.type = t.type)" if base else ""
+    return f"""keyed{x} AS (SELECT *, {_KEY} AS k, doc_id * 1000000000 + ord * 10000000 + s AS pos FROM {source}),
+surf{x} AS (SELECT type, k, text, min(pos) AS pos, count(*) AS n FROM keyed{x} GROUP BY ALL),
+ents{x} AS (SELECT type, k, row_number() OVER (PARTITION BY type ORDER BY min(pos)) - 1 AS number, arg_min(text, row(type = 'PERSON' AND contains(text, ','), -length(text), pos)) AS canonical_text,
+  array_to_string(list(text ORDER BY pos), '|') AS aliases, sum(n) AS n_spans FROM surf{x} GROUP BY type, k),
+shifted{x} AS (SELECT * EXCLUDE (number), number{after} AS number FROM ents{x} t),
+ids{x} AS (SELECT *, type || '-' || CASE WHEN number < 10000 THEN lpad(CAST(number AS STRING), 4, '0') ELSE CAST(number AS STRING) END AS canonical_id FROM shifted{x}),
+ranked{x} AS (SELECT t.*, row_number() OVER (PARTITION BY type ORDER BY canonical_id) - 1{after} AS place FROM ids{x} t),
+named{x} AS (SELECT *, {_pseudonym("place")} AS pseudonym FROM ranked{x}),
+smap{x} AS (SELECT text AS surface, arg_max(pseudonym, canonical_id) AS pseudonym, max(canonical_id) AS canonical_id FROM surf{x} JOIN named{x} USING (type, k) GROUP BY text)"""
 
 
 def _redacted(docs: str, source: str) -> str:
@@ -125,7 +129,8 @@ def _memory(letters: DataFrame) -> DataFrame:
     """Persons and addresses of the even letters, as a memory."""
     even = _letter_spans(letters).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')")
     named = pseudonyms.assign(resolve.entities(even))
-    return named.select(F.col("canonical_id").alias("key"), "canonical_id", "type", "canonical_text", "aliases", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "pseudonym")
+    rows = named.select(F.col("canonical_id").alias("key"), "canonical_id", "type", "canonical_text", "aliases", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "pseudonym")
+    return settle(rows, "memory")
 
 
 _MEMORY = "model_even AS (SELECT * FROM model WHERE doc_id % 2 = 0 AND type IN ('PERSON', 'ORG'))"
@@ -273,7 +278,7 @@ def next_counters(spark, sf_dir):
     return pseudonyms.next_counters(_memory(corpus.letters(spark, sf_dir)))
 
 
-@query()
+@query(f"{_WITH}, {_MEMORY}, {_entities('model_even', '_m')}, fresh AS (SELECT * FROM every WHERE text NOT IN (SELECT text FROM model_even)), {_entities('fresh', '_n', 'named_m')} SELECT surface, pseudonym, canonical_id FROM smap_m UNION ALL SELECT surface, pseudonym, canonical_id FROM smap_n")
 def mapping_with_memory(spark, sf_dir):
     letters = corpus.letters(spark, sf_dir)
     return memory.mapping(_letter_spans(letters), _memory(letters))[1].select("surface", "pseudonym", "canonical_id")
@@ -434,7 +439,7 @@ def chunk_gate_top3(spark, sf_dir):
     return chunking.gate(chunking.chunk(_pages(spark, sf_dir))).select("doc_id", F.col("idx").cast("bigint").alias("idx"))
 
 
-@query()
+@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_CHUNKS.replace('FROM letters', 'FROM pages')} SELECT CAST(c.doc_id AS STRING) || '_p1_c' || CAST(idx AS STRING) AS chunk_id, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM chunks c LEFT JOIN placed p ON c.doc_id = p.doc_id AND cs >= a AND ce <= b GROUP BY c.doc_id, idx")
 def chunk_bbox(spark, sf_dir):
     words = _words(corpus.letters(spark, sf_dir))
     pages = chunking.page_texts(words.drop("char_start", "char_end", "sep"))

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking, detect, memory, pseudonyms, redact, resolve
 from ..operators.spans import dedup_by_region
+from ..sources.shared import settle
 
 
 @dataclass
 class Run:
-    """Lazy results of a run."""
+    """Results of a run: spans are settled, the rest is lazy."""
 
     spans: DataFrame
     entities: DataFrame
@@ -24,8 +25,8 @@ class Run:
 
 def run(docs: DataFrame, spans: DataFrame | None = None) -> Run:
     """Resolve spans (of the patterns, if none are given), name entities and rewrite every document."""
-    found = dedup_by_region(spans if spans is not None else detect.detect_patterns(docs))
-    named = pseudonyms.assign(resolve.entities(found))
+    found = settle(dedup_by_region(spans if spans is not None else detect.detect_patterns(docs)), "kept-spans")
+    named = settle(pseudonyms.assign(resolve.entities(found)), "entities")
     surfaces = pseudonyms.surface_map(named)
     return Run(found, named, surfaces, redact.redact(docs, found, surfaces))
 
@@ -38,7 +39,7 @@ def run_with_memory(docs: DataFrame, known: DataFrame, detector: Callable | None
         wanted = memory.unknown(spans, known).select("doc_id").distinct()
         chunks = chunking.gate(chunking.chunk(pages)).join(wanted, "doc_id", "left_semi")
         spans = spans.unionByName(detect.spans_from_answers(detect.detect_model(chunks, detector)).select(*columns))
-    found = dedup_by_region(spans)
+    found = settle(dedup_by_region(spans), "kept-spans")
     named, surfaces = memory.mapping(found, known)
     return Run(found, named, surfaces, redact.redact(docs, found, surfaces))
 
