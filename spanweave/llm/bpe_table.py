@@ -220,11 +220,12 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = 8_000_0
     ids = encode_buckets(state.mapInArrow(words_only, _STATE), tokenizer)
     finish = finish or (lambda tok, doc_id, x: (doc_id, x.tolist()))
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}[x.split()[1]] for x in schema.split(", ")]
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         tok = bpe(tokenizer)
         rows = [finish(tok, doc_id, x) for doc_id, x in _join_block(block, answers, tok)]
-        return pa.table(dict(zip(names, zip(*rows)))) if rows else pa.table({n: [] for n in names})
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     return state.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(run, schema)
 

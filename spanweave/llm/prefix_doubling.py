@@ -363,7 +363,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
         block, sure, p, keys = border(levels)
         starts = np.union1d(sure, p[_read_names(keys, levels.get(5, {}), parts) > 0])
         names = [x.split()[0] for x in _RESULT.split(", ")]
-        return pa.table(dict(zip(names, zip(*block.results(starts)))))
+        kinds = [*[pa.int64()] * 4, pa.string()]
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*block.results(starts)), kinds)], names=names)
 
     def finished(batches):
         for b in batches:

@@ -134,7 +134,7 @@ def plan_probes(fps: DataFrame, radius: int, choices: tuple[int, ...]) -> list[i
     plans = []
     for m, groups in layouts.items():
         own = [pairs.get(i, (0.0, 0))[0] for i, p in enumerate(parts) if p[0] == m]
-        n = max([v[1] for v in pairs.values()], default=0)
+        n = max([v[1] for v in pairs.values()], default=1)
         plans.append((*allocate(own, [len(g) for g in groups], n, radius), groups))
     _, thresholds, groups = min(plans, key=lambda x: x[0])
     masks = []
