@@ -144,7 +144,8 @@ class Block:
         sure = inside(long[own] > 0, whole > 0)
         leads = inside(long[own] >= _LEADS, whole >= _LEADS)
         p = np.concatenate([np.arange(a, b - size + 1) for a, b in zip(self.starts.tolist(), self.ends.tolist()) if b - a >= size] or [np.empty(0, dtype=np.int64)])
-        first = np.searchsorted(self.at, p + WINDOW - 1)
+        before = np.cumsum(np.bincount(self.at, minlength=n + 1), dtype=np.int64) if len(self.at) else np.zeros(n + 1, dtype=np.int64)
+        first = before[np.minimum(p + WINDOW - 2, n)]  # anchors below p + WINDOW - 1, as positions are sorted
         p = p[first < len(self.at)]
         first = first[first < len(self.at)]
         keep = rank1[first] > 0
@@ -152,7 +153,8 @@ class Block:
         last = p + size - WINDOW - GRAM + 1
         for rank, place, end in ((rank1, self.pos1, self.end1), (rank2, self.pos2, self.end2)):
             gone = np.concatenate(([0], np.cumsum((rank == 0) & (end >= 0))))
-            upto = np.maximum(np.searchsorted(place, last, side="right"), first)
+            reached = np.cumsum(np.bincount(place, minlength=n + 1), dtype=np.int64) if len(place) else np.zeros(n + 1, dtype=np.int64)
+            upto = np.maximum(reached[last], first)  # prefixes that end at ``last`` or before it
             keep = gone[upto] == gone[first]
             p, first, last = p[keep], first[keep], last[keep]
         mine = ~sure[p] | leads[p]
