@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import text
+from .ordering import numbered
 
 
 def assign(found: DataFrame, counters: DataFrame | None = None) -> DataFrame:
     """Entities with ``pseudonym``: numbered within a type by canonical_id as text, from the counter (type, next) on."""
-    index = (F.row_number().over(Window.partitionBy("type").orderBy("canonical_id")) - 1).cast("bigint")
-    out = found.withColumn("_i", index)
+    out = numbered(found, "type", ["canonical_id"], "_i")
     if counters is not None:
         out = out.join(F.broadcast(counters), "type", "left").withColumn("_i", F.col("_i") + F.coalesce("next", F.lit(0))).drop("next")
     return out.withColumn("pseudonym", text.pseudonym(F.col("type"), F.col("_i"))).drop("_i")

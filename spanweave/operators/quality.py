@@ -6,7 +6,7 @@ import difflib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,15 @@ def likeness(pairs: DataFrame) -> DataFrame:
 
     kind = pairs.schema["doc_id"].dataType.simpleString()
     return pairs.select("doc_id", "a", "b").mapInPandas(run, f"doc_id {kind}, len_a long, len_b long, delta long, ratio double")
+
+
+def stage_total(timings: Column) -> Column:
+    """Sum of a map of stage times without its own total."""
+    return F.aggregate(F.map_values(F.map_filter(timings, lambda k, v: k != "total")), F.lit(0.0), lambda s, x: s + x)
+
+
+def ingest_metrics(pages: DataFrame, chunks: DataFrame, images: DataFrame) -> DataFrame:
+    """Per document: pages, chunks, images, and whether its first page has a width."""
+    own = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), (F.min_by("width", "page_no") > 0).alias("has_geometry"))
+    counted = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
+    return own.join(counted(chunks, "chunks"), "doc_id", "left").join(counted(images, "images"), "doc_id", "left").fillna(0, ["chunks", "images"]).select("doc_id", "pages", "chunks", "images", "has_geometry")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from ..functions import text
 from ..sources.shared import settle
+from .ordering import numbered
 
 
 def resolution_key() -> Column:
@@ -67,8 +67,7 @@ def entities(spans: DataFrame, numbered_after: DataFrame | None = None) -> DataF
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("aliases"),
         F.sum("n").alias("n_spans"),
     )
-    number = (F.row_number().over(Window.partitionBy("type").orderBy("pos")) - 1).cast("bigint")
-    out = found.join(docs, by).withColumn("number", number)
+    out = numbered(found.join(docs, by), "type", ["pos"], "number")
     if numbered_after is not None:
         out = out.join(F.broadcast(numbered_after), "type", "left").withColumn("number", F.col("number") + F.coalesce("base", F.lit(0))).drop("base")
     return out.withColumn("canonical_id", F.format_string("%s-%04d", "type", "number")).drop("pos")

@@ -72,3 +72,11 @@ def similar_vectors(vectors: DataFrame, query: list[float], k: int = 10) -> Data
     norm = F.sqrt(dot(v, v)) * F.sqrt(dot(q, q))
     rows = vectors.where(v.isNotNull()).select("vec_id", F.when(norm > 0, dot(v, q) / norm).alias("similarity"))
     return rows.where("similarity IS NOT NULL").orderBy(F.desc("similarity"), "vec_id").limit(k)
+
+
+def composites(images: DataFrame, redacted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Where rewritten images go back: (doc_id, image_id, page_no, x0, y0, x1, y1, path) of images that have a box on a page
+    their document has. images: doc_id, image_id, page_no and a box; redacted: image_id, path; pages: doc_id, page_no."""
+    last = pages.groupBy("doc_id").agg(F.max("page_no").alias("n_pages"))
+    rows = images.join(redacted.select("image_id", "path"), "image_id").join(last, "doc_id")
+    return rows.where("x0 IS NOT NULL AND page_no BETWEEN 1 AND n_pages").select("doc_id", "image_id", "page_no", "x0", "y0", "x1", "y1", "path")

@@ -189,6 +189,13 @@ def span_page_rect(spark, sf_dir):
     return redact.span_rectangles(detect.detect_patterns(pages), words).select("doc_id", "type", F.col("start").alias("char_start"), "x0", "y0", "x1", "y1")
 
 
+@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_found('pages', patterns.SCAN)} SELECT f.doc_id, type, s AS char_start, cs AS word_start, word FROM found f JOIN placed p ON f.doc_id = p.doc_id AND p.cs < f.e AND f.s < p.ce")
+def span_word_overlap(spark, sf_dir):
+    words = _words(corpus.letters(spark, sf_dir))
+    pages = chunking.page_texts(words.drop("char_start", "char_end", "sep"))
+    return redact.span_words(detect.detect_patterns(pages), words).select("doc_id", "type", F.col("start").alias("char_start"), F.col("ws").alias("word_start"), "word")
+
+
 # --- detection -------------------------------------------------------------------------------------------------------
 def _one(name: str, kind: str, pattern: str, letters: bool):
     source = "letters" if letters else "documents"
@@ -337,6 +344,17 @@ def assign_pseudonyms(spark, sf_dir):
     return _letter_run(spark, sf_dir)[1].entities.select("canonical_id", "pseudonym")
 
 
+@query(f"{_RUN} SELECT canonical_id, canonical_text FROM named")
+def canonical_text(spark, sf_dir):
+    return _letter_run(spark, sf_dir)[1].entities.select("canonical_id", "canonical_text")
+
+
+@query(f"{_RUN} SELECT n.canonical_id, k2.doc_id, n.pseudonym FROM (SELECT DISTINCT doc_id, type, k FROM keyed) k2 JOIN named n USING (type, k)")
+def entity_doc_edges(spark, sf_dir):
+    named = _letter_run(spark, sf_dir)[1].entities
+    return pseudonyms.edges(named).join(named.select("canonical_id", "pseudonym"), "canonical_id")
+
+
 @query(f"{_RUN} SELECT surface, pseudonym, canonical_id FROM smap")
 def surface_map(spark, sf_dir):
     return _letter_run(spark, sf_dir)[1].surfaces.select("surface", "pseudonym", "canonical_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,24 @@ def write_memory(memory: DataFrame, root: str, version: int) -> str:
 def send(rows: DataFrame, writer: Callable) -> None:
     """Give partitions of rows to a writer (a graph store, a PDF library) on the executors."""
     rows.foreachPartition(writer)
+
+
+def write_personas(personas: DataFrame, path: str) -> None:
+    """Personas as JSON lines."""
+    personas.write.mode("overwrite").json(path)
+
+
+def write_memory_json(memory: DataFrame, path: str) -> None:
+    """One JSON line per entity with the format's version, for tools that don't read Parquet."""
+    memory.select(F.lit("1.0").alias("version"), "*").write.mode("overwrite").json(path)
+
+
+def export_spans(spans: DataFrame) -> DataFrame:
+    """Spans as they are shown: confidence to two places, halves to even."""
+    return spans.withColumn("confidence", F.bround("confidence", 2))
+
+
+def reset_memory(spark: SparkSession, root: str) -> bool:
+    """Remove all snapshots under ``root`` on whatever file system it lies; False if there were none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
