@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, exact copies, near copies, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
-columns of documents. Rows without a doc_id don't pass the stages that drop copies. ``run`` writes every stage's result to the shared folder and reads it again.
+columns of documents. Rows without a doc_id don't pass the stages that drop copies. ``run`` writes every stage's
+result to the shared folder and reads it again.
 """
 
 from __future__ import annotations
