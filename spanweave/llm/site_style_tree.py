@@ -2,8 +2,9 @@
 
 The pages of a host are merged into one tree whose nodes are element paths (tag and first class, digits dropped). A
 node's presentation importance is the entropy of its child sequences over the host's pages, its content importance one
-minus the mean entropy of its texts: a text on every page tells nothing, a text on one page much. Branches of low
-importance are cut from each page, beside those that markup itself names as furniture.
+minus the mean entropy of its texts: a text on every page tells nothing, a text on one page much. Pages of equal main
+text are one page to the tree, as copies are no evidence of a template. Branches of low importance are cut from each
+page, beside those that markup itself names as furniture; where only headings of an article would be left, they stay.
 """
 
 from __future__ import annotations
@@ -28,18 +29,19 @@ _FURNITURE_TAG = {"nav", "footer", "aside", "form", "dialog", "menu", "head"}
 _FURNITURE_WORD = set(
     "ad ads adv advert adverts advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar comment comments respond replies reply disqus share sharing social related recommended recommendations widget widgets login signin signup register toolbar pagination pager skip hidden copyright legal disclaimer tagcloud".split()
 )
+_HEADING = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
 _MAIN_WORD = {"main", "content", "article", "post", "entry", "story"}
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 _SPACE = re.compile(r"\s+")
 
 
 class Unit:
-    """A text block: its path's hash, whether it lies in an article region or in furniture, and its text."""
+    """A text block: its path's hash, whether it lies in an article region, in furniture or in a heading, and its text."""
 
-    __slots__ = ("furniture", "main", "node", "text")
+    __slots__ = ("furniture", "heading", "main", "node", "text")
 
-    def __init__(self, node: int, text: str, main: bool, furniture: bool):
-        self.node, self.text, self.main, self.furniture = node, text, main, furniture
+    def __init__(self, node: int, text: str, main: bool, furniture: bool, heading: bool = False):
+        self.node, self.text, self.main, self.furniture, self.heading = node, text, main, furniture, heading
 
 
 def _hash(text: str) -> int:
@@ -59,8 +61,8 @@ def parse(page: str, host: str) -> tuple[list[Unit], dict[int, list[str]]]:
         text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            _, _, node, main, furniture = stack[-1]
-            units.append(Unit(node, text, main, furniture))
+            tag, _, node, main, furniture = stack[-1]
+            units.append(Unit(node, text, main, furniture, tag in _HEADING))
 
     while at < end:
         lt = page.find("<", at)
@@ -116,13 +118,20 @@ def parse(page: str, host: str) -> tuple[list[Unit], dict[int, list[str]]]:
     return units, children
 
 
-def main_text(page: str, host: str, low: set[int]) -> str:
-    """Blocks that stay, joined by blank lines. Where cutting would leave nothing, the cut by importance is undone."""
-    units, _ = parse(page, host)
+def _named(units: list[Unit]) -> list[Unit]:
+    """Blocks outside of named furniture, only those of article regions where there are any."""
     kept = [u for u in units if not u.furniture]
-    if any(u.main for u in kept):
-        kept = [u for u in kept if u.main]
-    return "\n\n".join(u.text for u in [u for u in kept if u.node not in low] or kept)
+    return [u for u in kept if u.main] or kept
+
+
+def main_text(page: str, host: str, low: set[int]) -> str:
+    """Blocks that stay, joined by blank lines. The cut by importance is undone where it would leave nothing, or only
+    headings of an article region that has other text."""
+    kept = _named(parse(page, host)[0])
+    left = [u for u in kept if u.node not in low]
+    if all(u.heading for u in left) and (not left or (left[0].main and not all(u.heading for u in kept))):
+        left = kept
+    return "\n\n".join(u.text for u in left)
 
 
 def _pages(pages: DataFrame) -> DataFrame:
@@ -132,22 +141,31 @@ def _pages(pages: DataFrame) -> DataFrame:
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, node, pages, presentation, content): the merged trees with both importances, 0 to 1."""
+    """(host, node, pages, presentation, content): the merged trees with both importances, 0 to 1.
+
+    Of a host's pages whose blocks outside furniture are equal, one (that of the smallest hash) is merged.
+    """
     small_batches(pages.sparkSession, 500)
 
     def run(batches):
         for b in batches:
-            out = ([], [], [], [])
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            hosts = b.column(0).to_pylist()
+            keys, sums, packed = [], [], []
+            for host, page in zip(hosts, b.column(1).to_pylist()):
                 units, children = parse(page, host)
                 rows = {(u.node, 0, _hash(u.text)) for u in units}
                 rows |= {(n, 1, _hash(" ".join(children.get(n, ())))) for n in {u.node for u in units} | set(children)}
-                for node, kind, feature in rows:
-                    for column, value in zip(out, (host, node, kind, feature)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64())], names=["host", "node", "kind", "feature"])
-
-    rows = _pages(pages).where("host <> ''").select("host", "html").mapInArrow(run, "host string, node long, kind int, feature long")
+                packed.append([{"node": n, "kind": k, "feature": f} for n, k, f in sorted(rows)])
+                own = _hash(page)
+                named = "".join(f"{u.node} {u.text}\n" for u in _named(units))
+                keys.append(_hash(named) if named else own)
+                sums.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(sums, pa.int64()), pa.array(packed, pa.list_(kinds))], names=["host", "page", "own", "rows"])
+
+    kinds = pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("feature", pa.int64())])
+    found = _pages(pages).where("host <> ''").select("host", "html").mapInArrow(run, "host string, page long, own long, rows array<struct<node: long, kind: int, feature: long>>")
+    once = found.groupBy("host", "page").agg(F.min_by("rows", "own").alias("rows"))
+    rows = once.select("host", F.explode("rows").alias("r")).select("host", "r.node", "r.kind", "r.feature")
     counts = rows.groupBy("host", "node", "kind", "feature").agg(F.count(F.lit(1)).alias("k"))
     sums = counts.groupBy("host", "node").agg(
         F.sum(F.when(F.col("kind") == 1, F.col("k"))).alias("pages"),
@@ -169,7 +187,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, least_pages: int = 5, threshold: float = 0.5, gamma: float = 0.9) -> DataFrame:
     """One row per page: page_id, url, text, n_chars (code points), n_low (nodes of its host that are cut).
 
-    A node that ``least_pages`` pages of a host have is cut when (1 - gamma) presentation + gamma content importance is
+    A node that ``least_pages`` distinct pages of a host have is cut when (1 - gamma) presentation + gamma content importance is
     below ``threshold``. Null html is empty; a page without a host is only cleared of named furniture; repeated pages
     and null ids are kept; an empty table gives an empty result. Other columns are ignored.
     """

@@ -40,6 +40,23 @@ def test_style_tree_cuts_what_every_page_repeats(spark):
     assert math.isclose(sum(r.presentation for r in tree if r.presentation > 0.99), 0)
 
 
+@pytest.mark.parametrize("altered", [False, True])
+def test_style_tree_keeps_articles_that_a_host_repeats(spark, altered):
+    """Copies, whole or with one paragraph of their own, must not make article text look like a template."""
+
+    def page(title, paragraphs, n):
+        body = "".join(f"<p>{p}</p>" for p in paragraphs)
+        return f"<html><body><nav>Page {n}</nav><article><h1>{title}</h1>{body}</article></body></html>", "\n\n".join([title, *paragraphs])
+
+    made = [page("Twice told", [f"Told paragraph {k}." for k in range(15)] + [f"Note {i}."] * altered, i) for i in range(14)]
+    made += [page(f"Title {i}", [f"Own paragraph {i}.{k}." for k in range(5)], i) for i in range(20)]
+    df = spark.createDataFrame([(i, f"http://h.example/{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string").repartition(3)
+    rows = {r.page_id: r.text for r in site_style_tree.extract(df).collect()}
+    assert rows == {i: text for i, (_, text) in enumerate(made)}
+    if not altered:
+        assert {r.pages for r in site_style_tree.style_tree(df).collect()} == {21}
+
+
 def test_vectors(spark):
     r = np.random.default_rng(1)
     base = [r.normal(size=16) for _ in range(120)]
