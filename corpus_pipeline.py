@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanweave.llm import cotraining, exact_dedup, harmonic, secret_forest, simhash
+from spanweave.llm import cotraining, exact_dedup, harmonic, secret_forest, shingle_join
 from spanweave.llm.common import written
 
 #: SQL cannot express the trained stages; tests compare each stage with a plain version instead.
@@ -33,12 +33,9 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies.
 
-    Copies that share 0.8 of their five-word shingles differ in some 10 +- 3 of 64 bits, where four bits would find
-    few of them. Three-word fingerprints differ less: they are probed at 8 bits, then the five-word ones must agree
-    to 14.
+    Near copies share 0.8 or more of their distinct five-word shingles (Jaccard); every link is verified.
     """
-    groups = simhash.near_duplicates(docs, words=3, radius=8, choices=(5,), also=(5, 14))
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    return shingle_join.drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
