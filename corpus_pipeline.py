@@ -1,8 +1,8 @@
 """The corpus pipeline: quality, exact copies, near copies, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept; all but the last return the
-columns of documents. Rows without a doc_id don't pass the stages that drop copies. ``run`` writes every stage's
-result to the shared folder and reads it again.
+columns of documents. Stages that drop copies tell rows apart by more than doc_id, which may be null or repeated.
+``run`` writes every stage's result to the shared folder and reads it again.
 """
 
 from __future__ import annotations
@@ -25,9 +25,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the row of each group of equal texts that the operator keeps (of rows that repeat it with its id, one)."""
-    kept = exact_dedup.dedup_exact(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Keep one row of each group of equal texts: the longest original, then the smallest id; null ids come last."""
+    return exact_dedup.keep_one(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,33 +31,55 @@ def _id_of(rank: Column) -> Column:
     return F.when(place > 0, (F.expr(_TOP) - place + F.lit(1)).cast("long"))
 
 
-def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
-
-    Texts are equal when identical without ASCII white space; the longest original, then the smallest id, stays.
-    Null text counts as empty. A row repeated with its id counts each time and every repeat of the winner is kept.
-    A null id loses every tie; a group of null ids only has keep_id null and kept false. Other columns are ignored.
-    An empty table gives an empty result.
-    """
+def _normalised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("n"), F.translate(text, BLANKS, "").alias("norm"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.length(text).alias("n"), F.translate(text, BLANKS, "").alias("norm"))
+
+
+def _winners(base: DataFrame, salts: int) -> DataFrame:
+    """(text_sha256, rank, group_size) of every group of equal texts."""
     keyed = base.withColumn("digest", F.unhex(F.sha2("norm", 256)))
     salted = (
         keyed.withColumn("salt", F.spark_partition_id() % F.lit(salts))
         .groupBy("digest", "norm", "salt")
         .agg(F.max(_rank(F.col("n"), F.col("doc_id"))).alias("rank"), F.count(F.lit(1)).alias("rows"))
     )
-    winners = (
+    return (
         salted.groupBy("digest", "norm")
         .agg(F.max("rank").alias("rank"), F.sum("rows").alias("rows"))
         .groupBy("digest")
         .agg(F.count(F.lit(1)).alias("texts"), F.max("rank").alias("rank"), F.sum("rows").alias("rows"))
         .select(
             F.lower(F.hex("digest")).alias("text_sha256"),
-            _id_of(F.col("rank")).alias("keep_id"),
+            "rank",
             F.when(F.col("texts") == 1, F.col("rows")).otherwise(F.raise_error(F.lit("two texts share a SHA-256 digest"))).cast("long").alias("group_size"),
         )
     )
+
+
+def dedup_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Texts are equal when identical without ASCII white space; the longest original, then the smallest id, stays.
+    Null text counts as empty. A row repeated with its id counts each time and every repeat of the winner is kept.
+    A null id loses every tie; a group of null ids only has keep_id null and kept false. Other columns are ignored.
+    An empty table gives an empty result.
+    """
+    base = _normalised(docs, id_col, text_col)
+    winners = _winners(base, salts).select("text_sha256", _id_of(F.col("rank")).alias("keep_id"), "group_size")
     # joined by another column than the winners are grouped by, so that both sides are dealt anew and Spark may split a hot group
     members = base.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
     return members.join(winners, "text_sha256").select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 64) -> DataFrame:
+    """The rows of ``docs``, whole, that stay: exactly one of each group of equal texts, as ``dedup_exact`` ranks them.
+
+    Rows are told apart by text, length and id together, so neither null ids nor an id of several texts matter; a null
+    id loses every tie, but stands for a text that has no other. Of rows that tie in all three, one stays.
+    """
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    own = F.sha2(F.translate(text, BLANKS, ""), 256)
+    winners = _winners(_normalised(docs, id_col, text_col), salts).select(F.col("text_sha256").alias("_text"), F.col("rank").alias("_rank"))
+    keyed = docs.withColumn("_text", own).withColumn("_rank", _rank(F.length(text), F.col(id_col).cast("long")))
+    return keyed.join(winners, ["_text", "_rank"], "left_semi").dropDuplicates(["_text"]).select(*docs.columns)

@@ -1,4 +1,4 @@
-"""Near copies of the pipeline against exact similarity of all pairs."""
+"""Copies in the pipeline: near ones against exact similarity of all pairs, exact ones with odd ids."""
 
 import random
 
@@ -62,3 +62,19 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     want = _kept(rows)
     assert len(got) == len(want) and [i for i, _ in got] == [i for i, _ in want]
     assert corpus_pipeline.near(spark, df.where("false"), MID).count() == 0
+
+
+def test_exact_copies_with_null_and_repeated_ids(spark):
+    rows = [
+        (None, "unique without id"), (None, "twice without id"), (None, "twice  without id"), (None, "held by seven"), (7, "held by seven"),
+        (1, "one id"), (1, "another text of one"), (2, "another text of one"), (3, "same again"), (3, "same again"), (3, "same  again"),
+        (5, "lost here"), (4, "lost here"), (5, "kept here"), (None, None), (9, ""),
+    ]
+    want = [(None, "unique without id"), (None, "twice  without id"), (7, "held by seven"), (1, "one id"), (1, "another text of one"), (3, "same  again"), (4, "lost here"), (5, "kept here"), (9, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for parts in (1, 6):
+        got = corpus_pipeline.exact(spark, df.repartition(parts), MID)
+        assert got.columns == df.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    assert corpus_pipeline.exact(spark, df.where("false"), MID).count() == 0
+    far = spark.createDataFrame([(None, "alone and far from all"), (None, "another of its own kind"), (1, "with an id here")], "doc_id long, text string")
+    assert corpus_pipeline.near(spark, far, MID).count() == 3
