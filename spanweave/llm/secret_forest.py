@@ -1,6 +1,7 @@
 """Secret scans with a random forest against false positives.
 
-Patterns propose candidates: assigned values and long tokens that mix letters and digits. A forest trained on labelled
+Patterns propose candidates: assigned values, credentials and path segments of URLs, and long tokens that mix letters
+and digits, dotted ones too. A forest trained on labelled
 findings then judges each by its length, its character transitions, how much of it a dictionary covers, whether it is
 part of a path, and the words next to it.
 """
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame
 
 from .common import id_text, small_batches
 
-#: What counts as a candidate: the value of an assignment, or a run of token characters with a letter and a digit.
+#: What counts as a candidate: the value of an assignment, a part of a URL, or a run of token characters (dots only
+#: between them) with a letter and a digit.
 ASSIGNED = regex.compile(r"""(?i)\b[a-z_-]*(?:token|secret|passw(?:or)?d|pwd|api_?key|key|auth|credential)s?\b["']?\s{0,3}(?:=>|[:=])\s{0,3}["']?([^\s"'<>,;]{8,})""")
-TOKEN = regex.compile(r"(?<![A-Za-z0-9+/_=.@-])(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])[A-Za-z0-9+/_=-]{16,}+(?![@])")
+TOKEN = regex.compile(r"(?<![A-Za-z0-9+/_=@-])(?<![A-Za-z0-9+/_=@-]\.)(?=[A-Za-z+/_=.-]*+[0-9])(?=[0-9+/_=.-]*+[A-Za-z])(?=[A-Za-z0-9+/_=.-]{16})[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+(?![@])")
+URL = regex.compile(r"""(?i)(?<![a-z0-9+.-])[a-z][a-z0-9+.-]*+://([^\s"'<>]++)""")
+_SEGMENT = regex.compile(r"[A-Za-z0-9+_=.~%-]*[A-Za-z0-9+_=-]")
 _KEYS = regex.compile(r"(?i)token|secret|passw|pwd|key|auth|credential|bearer")
 _BENIGN = regex.compile(r"(?i)sha|commit|digest|checksum|uuid|guid|version|etag|revision|image|example|href|src|url|path|file")
 _WORDS = regex.compile(r"[a-z]{4,}")
@@ -39,18 +43,53 @@ def _transitions() -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True) * 26)
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """(start, end) of candidates, without overlaps; an assigned value comes before a token inside it."""
-    found = [m.span(1) for m in ASSIGNED.finditer(text)]
-    found += [m.span() for m in TOKEN.finditer(text)]
-    found.sort(key=lambda s: (s[0], -s[1]))
+def _url_parts(text: str) -> list[tuple[int, int]]:
+    """Spans in URLs: the password, or a long user name, before the host; long path and query segments after it."""
+    out = []
+    for m in URL.finditer(text) if "://" in text else ():
+        start, end = m.span(1)
+        host = next((k for k in range(start, end) if text[k] in "/?#"), end)
+        at = text.rfind("@", start, host)
+        if at >= 0:
+            colon = text.find(":", start, at)
+            user = at if colon < 0 else colon
+            if user - start >= 16:
+                out.append((start, user))
+            if colon >= 0 and at - colon > 6:
+                out.append((colon + 1, at))
+        for part in _SEGMENT.finditer(text, host, end):
+            a = max(part.start(), text.rfind("=", part.start(), part.end() - 3) + 1)  # the value of name=value
+            value = text[a : part.end()]
+            if len(value) >= 16 and any(c in string.digits for c in value) and any(c in string.ascii_letters for c in value):
+                out.append((a, part.end()))
+    return out
+
+
+def _apart(spans, taken=()) -> list[tuple[int, int]]:
+    """The spans, earlier and longer ones first, that overlap neither each other nor ``taken`` (both sorted)."""
     out: list[tuple[int, int]] = []
-    for a, b in found:
-        if not out or a >= out[-1][1]:
+    k = 0
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if (not out or a >= out[-1][1]) and (k == len(taken) or b <= taken[k][0]):
             out.append((a, b))
     return out
 
 
+def _proposals(text: str) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Assigned values; and tokens and parts of URLs, without overlaps among themselves."""
+    parts = _apart(_url_parts(text))
+    tokens = _apart((m.span() for m in TOKEN.finditer(text)), parts)
+    return [m.span(1) for m in ASSIGNED.finditer(text)], sorted(parts + tokens)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of candidates, without overlaps; an assigned value wins over all that overlaps it."""
+    assigned, others = _proposals(text)
+    return sorted(assigned + _apart(others, assigned))
+
+
 def _kind(c: str) -> int:
     return 0 if c in string.ascii_lowercase else 1 if c in string.ascii_uppercase else 2 if c in string.digits else 3
 
@@ -97,10 +136,12 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
     true = [
         lambda: run(40, hexa), lambda: run(32, hexa), lambda: run(64, hexa), lambda: "AKIA" + run(16, string.ascii_uppercase + string.digits), lambda: "ghp_" + run(36, alnum),
         lambda: "sk_live_" + run(24, alnum), lambda: run(r.randint(20, 60), alnum + "+/") + "=" * r.randint(0, 2), lambda: run(r.randint(16, 40), alnum), lambda: "xoxb-" + run(12, string.digits) + "-" + run(24, alnum), lambda: run(r.randint(8, 16), alnum + "!@#%^*"),
+        lambda: "eyJ" + run(r.randint(17, 33), alnum) + ".eyJ" + run(r.randint(20, 80), alnum + "-_") + "." + run(43, alnum + "-_"), lambda: "SG." + run(22, alnum + "-_") + "." + run(43, alnum + "-_"), lambda: run(r.randint(8, 16), alnum) + r.choice("!@#%^*") + run(r.randint(2, 6), alnum) + r.choice(["", "-" + r.choice(words), "@" + "-".join(r.sample(words, 2))]),
     ]
     false = [
         lambda: "-".join(run(k, hexa) for k in (8, 4, 4, 4, 12)), lambda: "_".join(r.sample(words, 3)) + str(r.randint(1, 99)), lambda: "/".join(r.sample(words, 3)) + "/v" + str(r.randint(1, 9)), lambda: r.choice(["your_token_here", "changeme123", "xxxxxxxxxxxxxxxx1", "0000000000000000a", "example_password1", "placeholder_value_1"]),
         lambda: "-".join(r.sample(words, 4)) + "-20" + run(2, string.digits), lambda: "".join(w.capitalize() for w in r.sample(words, 4)) + str(r.randint(1, 99)), lambda: r.choice(words) + run(14, "0") + "1", lambda: run(40, hexa), lambda: run(64, hexa), lambda: "-".join(r.sample(words, 3)) + "-" + run(6, string.digits) + "-" + run(4, string.digits),
+        lambda: ".".join([r.choice(words) + str(r.randint(1, 20)), *r.sample(words, 2), r.choice(["com", "org", "net"])]), lambda: "_".join(r.sample(words, 2)) + "_v" + str(r.randint(1, 9)) + r.choice([".tar.gz", ".min.js", ".parquet", ".html"]), lambda: ".".join(r.sample(words, 3)) + "." + r.choice(words).capitalize() + str(r.randint(1, 9)), lambda: "-".join(r.sample(words, 2)) + "-" + ".".join(str(r.randint(0, 30)) for _ in range(3)),
     ]
     out = []
     for i in range(n):
@@ -108,7 +149,14 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
         tail = " " + " ".join(r.sample(words, 2))
         if i % 2:
             k = r.randrange(len(true))
-            bare = k not in (2, 9) and r.random() < (0.25 if k < 2 else 0.5)
+            host = ".".join(r.sample(words, 2)) + r.choice([".com", ".net", ".io"])
+            if k in (3, 4, 5, 7, 8) and r.random() < 0.3:  # a path segment or a query value of a URL
+                out.append((f"{lead} https://{host}/" + r.choice(["services/", "hooks/", "bot/", f"v{r.randint(1, 4)}/", "?token=", "?key="]), true[k](), tail, 1))
+                continue
+            if k in (7, 9, 12) and r.random() < 0.3:  # a connection URL
+                out.append((f"{lead} " + r.choice(["postgres", "mysql", "redis", "amqp", "https"]) + f"://{r.choice(words)}:", true[k]().replace("#", "%"), f"@{host}:5432/{r.choice(words)}" + tail, 1))
+                continue
+            bare = k not in (2, 9, 12) and r.random() < (0.25 if k < 2 else 0.5)
             key = r.choice(["token", "secret", "api_key", "password", "auth_token", "access_key", "SECRET_KEY"])
             how = r.choice([' = "', ": ", "=", " := '", '": "'])
             quote = how[-1] if how[-1] in "\"'" else ""
@@ -118,7 +166,7 @@ def labelled_findings(n: int = 1600, seed: int = 7) -> list[tuple[str, str, str,
             if k in (7, 8):
                 before = f"{lead} " + r.choice(["commit ", "sha256:", "checksum = \"", "digest: ", "revision ", "etag=\"", "href=\"/files/"])
             else:
-                before = f"{lead} " + r.choice(["", "", "file ", "path = ", "url: ", "key: ", "token = \"", "https://host/"])
+                before = f"{lead} " + r.choice(["", "", "file ", "path = ", "url: ", "key: ", "token = \"", "https://host/", f"https://www.{r.choice(words)}.com/{r.choice(words)}/"])
             out.append((before, false[k](), tail, 0))
     return out
 
@@ -185,12 +233,20 @@ def train(findings: list[tuple[str, str, str, int]] | None = None) -> Forest:
 
 
 def find(text: str, forest: Forest, threshold: float = 0.5) -> tuple[list[tuple[int, int]], int]:
-    """Spans of the secrets of a text, and the number of candidates."""
-    spots = candidates(text)
+    """Spans of the secrets of a text, and the number of candidates. What lies in a rejected assigned value is judged too."""
+    assigned, others = _proposals(text)
+    spots = sorted(assigned + _apart(others, assigned))
     if not spots:
         return [], 0
-    scores = forest.score(np.array([features(text[max(0, a - 60) : a], text[a:b], text[b : b + 60]) for a, b in spots]))
-    return [s for s, p in zip(spots, scores) if p >= threshold], len(spots)
+
+    def judged(spans):
+        scores = forest.score(np.array([features(text[max(0, a - 60) : a], text[a:b], text[b : b + 60]) for a, b in spans]))
+        return [s for s, p in zip(spans, scores) if p >= threshold]
+
+    found = judged(spots)
+    rejected = [s for s in assigned if s not in set(found)]
+    inner = [s for s in others if s not in set(spots) and any(a <= s[0] and s[1] <= b for a, b in rejected)] if rejected else []
+    return sorted(found + judged(inner)) if inner else found, len(spots) + len(inner)
 
 
 def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
