@@ -3,7 +3,8 @@
 Every text's distinct shingle hashes are put into one order for all texts. Of n shingles, the first
 n - ceil(0.8 n) + 1 are its prefix: two texts as similar as that share a shingle of both prefixes, so none is missed.
 Shingles that are frequent in a sample come last in the order; the sample decides what candidates cost, not which pairs
-are found. Candidates are compared by all their shingles.
+are found. Candidates first meet by parity bits, whose differing bits never outnumber the shingles that only one of the
+two has, so that no similar pair falls there; those left are compared by all their shingles.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from .common import small_batches, written
 from .graph import connected_components
 
 _SAMPLE, _FREQUENT, _LISTED = 20_000, 4, 200_000
+_BITS = 1024
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -35,6 +37,12 @@ def _similar(common, a, b):
     return 9 * common >= 4 * (a + b)
 
 
+def parity(own: np.ndarray) -> bytes:
+    """_BITS bits: for each bit, whether an odd number of the shingles falls on it."""
+    counts = np.bincount((own.view(np.uint64) % _BITS).astype(np.int64), minlength=_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that several texts of a sample have, ascending, and in how many of them."""
 
@@ -118,6 +126,20 @@ def similar_pairs(rows: DataFrame, words: int = 5) -> DataFrame:
             packed = [shingles(t, words).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["row", "hashes"])
 
+    def signs(batches):
+        for b in batches:
+            own = [shingles(t, words) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int32()), pa.array([parity(x) for x in own], pa.binary())], names=["row", "n", "bits"])
+
+    def possible(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_similar((n + m - apart) // 2, n, m)))
+
     def verified(batches):
         for b in batches:
             keep = []
@@ -127,7 +149,11 @@ def similar_pairs(rows: DataFrame, words: int = 5) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     dealt = rows.select("row", "text").mapInArrow(prefixes, "h long, row long, n int, place int").repartition("h").sortWithinPartitions("h")
-    pairs = written(dealt.mapInArrow(candidates, "a long, b long").distinct(), "candidates")
+    near = dealt.mapInArrow(candidates, "a long, b long").distinct()
+    sign = written(rows.select("row", "text").mapInArrow(signs, "row long, n int, bits binary"), "parity")
+    left, right = (sign.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    signed = near.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = written(signed.mapInArrow(possible, "a long, b long"), "candidates")
     named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     own = written(rows.select("row", "text").join(named, "row", "left_semi").mapInArrow(sets, "row long, hashes binary"), "shingles")
     both = pairs.join(own.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(own.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
