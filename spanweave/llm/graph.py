@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """(node, component) for every node of ``edges`` (two long columns): the smallest node that is reachable.
 
     Loops and repeated edges are allowed. Each round is written to the shared folder, so nothing gathers on the
-    driver but a count and a checksum; a hub's rows meet in joins that adaptive execution may split.
+    driver but a count and a checksum; a hub's rows meet in joins that adaptive execution may split. Fails where
+    ``max_rounds`` rounds don't settle the labels.
     """
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     now = written(pairs, "edges")
@@ -34,5 +35,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = _by_node(large, least).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         now = written(small.where(F.col("u") != F.col("v")).distinct(), "edges")
+    else:
+        raise RuntimeError(f"components are not final after {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

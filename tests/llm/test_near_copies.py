@@ -2,7 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
+from spanweave.llm import graph
 
 MID = "/root/testdata/sf0.01"
 
@@ -78,3 +81,10 @@ def test_exact_copies_with_null_and_repeated_ids(spark):
     assert corpus_pipeline.exact(spark, df.where("false"), MID).count() == 0
     far = spark.createDataFrame([(None, "alone and far from all"), (None, "another of its own kind"), (1, "with an id here")], "doc_id long, text string")
     assert corpus_pipeline.near(spark, far, MID).count() == 3
+
+
+def test_components_that_are_not_final_fail(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        graph.connected_components(chain, max_rounds=2)
+    assert {r.component for r in graph.connected_components(chain).collect()} == {0}
