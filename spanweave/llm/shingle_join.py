@@ -51,7 +51,8 @@ def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
             parts = [shingles(t, words) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64))], names=["h"])
 
-    sample = rows.select("row", "text").orderBy(F.xxhash64("row")).limit(_SAMPLE).select("text")
+    chosen = rows.select("row").orderBy(F.xxhash64("row"), "row").limit(_SAMPLE)
+    sample = rows.join(F.broadcast(chosen), "row", "left_semi").select("text")
     top = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= _FREQUENT).orderBy(F.desc("count"), "h").limit(_LISTED).collect()
     found = np.array(sorted((r[0], r[1]) for r in top), dtype=np.int64).reshape(-1, 2)
     return found[:, 0].copy(), found[:, 1].copy()
