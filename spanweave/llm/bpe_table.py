@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pack, shuffle_parts, small_batches, unpack
+from .common import id_text, pack, shuffle_parts, small, unpack
 
 #: The pattern of the byte-level pre-tokenizer, and the characters on which every Unicode version agrees with it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -138,7 +138,7 @@ def split_blocks(docs: DataFrame, tokenizer: str, parts: int, block_chars: int)
             rows = list(_block_rows(task << 32 | seq, ids, words, parts))
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["block", "part", "payload"])
 
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(doc_id)
                 words.append(tok.split(text))
@@ -208,7 +208,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = 8_000_0
     Null or empty text has no ids. Repeated rows and null ids are kept. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     parts = shuffle_parts(spark)
     # dealt by block once: the words' branch reads this exchange, and the join takes place where it left the documents
     state = split_blocks(id_text(docs, id_col, text_col), tokenizer, parts, block_chars).repartition(parts, "block")
@@ -234,11 +233,10 @@ def decode_documents(rows: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text) of (doc_id, ids array<int>): every id is joined to its piece; null ids give a null text."""
     def run(batches):
         tok = bpe(tokenizer)
-        for b in batches:
+        for b in small(batches):
             texts = [None if x is None else tok.decode(np.array(x, dtype=np.int64)).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    small_batches(rows.sparkSession)
     return rows.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 

@@ -10,10 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return conf or f"{tempfile.gettempdir()}/spanweave-shared"
+    """Folder that driver and executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir")
+    if not found and not conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/spanweave-shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -24,9 +28,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches sent to Python by rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small(batches, rows: int = 1000):
+    """Arrow batches in slices of at most ``rows`` rows, so that few texts are Python objects at once (Spark itself
+    bounds a batch by bytes). Empty batches go."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -43,4 +50,5 @@ def pack(data: bytes) -> bytes:
 
 
 def unpack(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data, max_output_size=1 << 31)
+    """The inverse of ``pack``, whatever the size: the frame carries it."""
+    return zstandard.ZstdDecompressor().decompress(data)

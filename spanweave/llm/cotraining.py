@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small
 
 _WORD = regex.compile(r"\w+")
 _SOURCES = 32
@@ -158,11 +158,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_free
     free = ids.where("quality IS NULL").orderBy(*order).limit(most_free)
     chosen = {r[0]: r[1] for r in labelled.unionByName(free).collect()}
     spark = docs.sparkSession
-    small_batches(spark)
     sample = spark.createDataFrame(pa.table({"doc_id": pa.array(list(chosen), pa.int64())}))  # bounded by the two parameters
 
     def features(batches):
-        for b in batches:
+        for b in small(batches):
             rows = b.to_pylist()
             content = [list(map(float, content_features(r["text"]))) for r in rows]
             meta = [metadata_features(r["lang"], r["source"], r["n_chars"]) for r in rows]
@@ -181,13 +180,12 @@ def score(docs: DataFrame, model: CoTrained) -> DataFrame:
 
     Null text is empty, null or missing metadata has features of its own; empty tables give empty results.
     """
-    small_batches(docs.sparkSession)
     base = docs.drop("quality_score")
     schema = T.StructType([*base.schema.fields, T.StructField("quality_score", T.DoubleType())])
     have = set(base.columns)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             column = lambda name: b.column(b.schema.get_field_index(name)).to_pylist() if name in have else [None] * b.num_rows  # noqa: B023, E731
             content = np.array([content_features(t or "") for t in column("text")], dtype=float).reshape(b.num_rows, -1)
             meta = np.array([metadata_features(*m) for m in zip(column("lang"), column("source"), column("n_chars"))], dtype=float).reshape(b.num_rows, -1)

@@ -1,9 +1,10 @@
 """Embedding near-dedup by an epsilon grid order join.
 
 Equal vectors are collapsed first. The others are turned into principal axes, given grid cells of side epsilon on the
-leading ones and sorted by cell; the order is cut into intervals, whose bounding boxes form a tree. Pairs of intervals
-are joined recursively: a pair whose boxes are further apart than epsilon on the leading axes is skipped, any other is
-opened into its children's pairs, down to leaves, where cosines are computed in blocks.
+leading ones and sorted by cell; the order is cut into intervals, whose bounding boxes form a tree. A box has the leading
+axes and one more, the length of the rest of a vector. Pairs of intervals are joined recursively: a pair whose boxes are
+further apart than epsilon is skipped, any other is opened into its children's pairs, down to leaves, which are sent to
+one task, and to blocks within leaves, where cosines are computed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small, written
 from .graph import connected_components
 
 _LINK = "kind int, a long, b long"
@@ -30,7 +31,7 @@ def _axes(classes: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         n, s, q = 0, np.zeros(width), np.zeros((width, width))
-        for b in batches:
+        for b in small(batches, 4000):
             x = _unit(b.column(0))
             n, s, q = n + len(x), s + x.sum(axis=0), q + x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width + width + 1)), pa.array(np.concatenate([q.ravel(), s, [n]]))], names=["k", "v"])
@@ -50,7 +51,7 @@ def _unit(column) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.9, leaf: int = 2000, fan: int = 4, leading: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.9, leaf: int = 4000, fan: int = 4, leading: int = 16, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per input row: vec_id, n_links, component_id, kept.
 
     Vectors link at cosine ``least`` or more, in double precision. Null, empty or zero vectors and those with null or
@@ -61,49 +62,53 @@ def near_vectors(vectors: DataFrame, least: float = 0.9, leaf: int = 2000, fan:
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    sound = rows.where(_sound(F.col("v")))
-    grouped = sound.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = written(grouped.withColumn("cls", F.xxhash64("v")).withColumn("width", F.size("v")), "vector-classes")
-    widths = [r[0] for r in classes.select("width").distinct().collect()]
-    parts = []
-    for width in sorted(widths):
-        parts.append(_links(classes.where(F.col("width") == width), width, least, leaf, fan, leading))
-    if parts:
-        links = parts[0]
-        for more in parts[1:]:
-            links = links.unionByName(more)
-        links = written(links, "vector-links")
-    else:
-        links = spark.createDataFrame([], _LINK)
-    counts = links.where("kind = 0").groupBy("a").agg(F.sum("b").alias("others")).withColumnRenamed("a", "rep")
-    found = connected_components(links.where("kind = 1").select("a", "b")).withColumnRenamed("node", "rep")
-    named = classes.join(counts, "rep", "left").join(found, "rep", "left").select(
-        "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
+    grouped = rows.where(_sound(F.col("v"))).groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
+    # a class of equal vectors has a number of its own, as it may have no id
+    classes = written(grouped.withColumn("cls", F.monotonically_increasing_id()).withColumn("width", F.size("v")), "vector-classes")
+    links = spark.createDataFrame([], _LINK)
+    for width in sorted(r[0] for r in classes.select("width").distinct().collect()):  # as many as there are models
+        links = links.unionByName(_links(classes.where(F.col("width") == width), width, least, leaf, fan, leading))
+    links = written(links, "vector-links")
+    counts = links.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
+    found = connected_components(links.where("kind = 1").select("a", "b")).withColumnRenamed("node", "cls")
+    ids = found.join(classes.select("cls", "rep"), "cls")
+    least_ids = ids.groupBy("component").agg(F.min("rep").alias("least_id"))
+    own = found.join(least_ids, "component").select("cls", "least_id")
+    named = classes.join(counts, "cls", "left").join(own, "cls", "left").select(
+        "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("least_id", "rep").alias("component_id")
     )
     out = rows.join(named, "v", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+def _place(x: np.ndarray, mean: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Places on the leading axes, and the length of what is left of a vector beyond them. Two vectors are at least as
+    far apart as these are."""
+    y = x - mean
+    lead = y @ axes
+    rest = np.sqrt(np.maximum((y * y).sum(axis=1) - (lead * lead).sum(axis=1), 0))
+    return np.column_stack([lead, rest])
+
+
 def _links(classes: DataFrame, width: int, least: float, leaf: int, fan: int, leading: int) -> DataFrame:
     """kind 0: class a is linked to b rows of other classes; kind 1: a and b are linked (a spanning forest of each leaf pair)."""
     spark = classes.sparkSession
-    small_batches(spark, 4000)
     eps = float(np.sqrt(max(2 - 2 * least, 0)))
     lead = min(leading, width)
     mean, axes = _axes(classes, width)
     axes = axes[:, :lead]
+    kind = np.dtype("<f4") if classes.schema["v"].dataType.elementType.typeName() == "float" else np.dtype("<f8")
 
     def place(batches):
-        for b in batches:
-            x = (_unit(b.column(0)) - mean) @ axes
-            cells = np.floor(x / max(eps, 1e-9)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["v", "rep", "copies", "cell", "x"])
+        for b in small(batches, 4000):
+            x = _place(_unit(b.column(0)), mean, axes)
+            cells = np.floor(x[:, :lead] / max(eps, 1e-9)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells.tolist(), pa.list_(pa.int32())), pa.array(x.tolist(), pa.list_(pa.float64()))], names=["v", "cls", "copies", "cell", "x"])
 
-    placed = classes.select("v", "rep", "copies").mapInArrow(place, f"v {classes.schema['v'].dataType.simpleString()}, rep long, copies long, cell array<int>, x array<double>")
-    n = classes.count()
-    tasks = max(1, -(-n // (8 * leaf)))
-    ordered = placed.repartitionByRange(tasks, "cell", "rep").sortWithinPartitions("cell", "rep")
+    placed = classes.select("v", "cls", "copies").mapInArrow(place, f"v {classes.schema['v'].dataType.simpleString()}, cls long, copies long, cell array<int>, x array<double>")
+    tasks = max(1, -(-classes.count() // (8 * leaf)))
+    ordered = placed.repartitionByRange(tasks, "cell", "cls").sortWithinPartitions("cell", "cls")
 
     def cut(batches):
         """Leaves of a task: rows as they come in grid order, at most ``leaf`` together."""
@@ -113,10 +118,10 @@ def _links(classes: DataFrame, width: int, least: float, leaf: int, fan: int, le
 
         def out(table):
             x = np.array(table.column("x").to_pylist())
-            one = lambda a, kind: pa.array([a], kind)
+            one = lambda a, t: pa.array([a], t)
             doubles = pa.list_(pa.float64())
-            raw = np.array(table.column("v").to_pylist(), dtype=np.float64).tobytes()
-            ids = np.array([table.column("rep").to_pylist(), table.column("copies").to_pylist()], dtype="<i8").tobytes()
+            raw = np.array(table.column("v").to_pylist(), dtype=kind).tobytes()
+            ids = np.array([table.column("cls").to_pylist(), table.column("copies").to_pylist()], dtype="<i8").tobytes()
             return pa.RecordBatch.from_arrays([one(task << 32 | seq, pa.int64()), one(x.min(axis=0).tolist(), doubles), one(x.max(axis=0).tolist(), doubles), one(raw, pa.binary()), one(ids, pa.binary())], names=["place", "low", "high", "raw", "ids"])
 
         for b in batches:
@@ -131,17 +136,17 @@ def _links(classes: DataFrame, width: int, least: float, leaf: int, fan: int, le
 
     cut_rows = written(ordered.mapInArrow(cut, "place long, low array<double>, high array<double>, raw binary, ids binary"), "vector-leaves")
     # number leaves in order without gathering them: counts of tasks first, then positions inside a task
-    starts = cut_rows.groupBy((F.col("place") / (1 << 32)).cast("long").alias("task")).count()
-    base = spark.createDataFrame(_running(starts.collect()), "task long, base long")  # one row for each task of the sort
+    starts = cut_rows.groupBy((F.col("place") / (1 << 32)).cast("long").alias("task")).count().collect()  # one row for each task of the sort
+    base = spark.createDataFrame(_running(starts), "task long, base long")
     leaves = cut_rows.join(F.broadcast(base), (F.col("place") / (1 << 32)).cast("long") == F.col("task")).select((F.col("base") + F.col("place").bitwiseAND(0xFFFFFFFF)).alias("id"), "low", "high", "raw", "ids")
-    total = sum(r["count"] for r in starts.collect())
+    total = sum(r["count"] for r in starts)
     boxes = [leaves.select("id", "low", "high")]
     reach = 1
     while reach < total:
         reach *= fan
         up = boxes[-1].withColumn("up", (F.col("id") / fan).cast("long"))
-        merged = up.groupBy("up").agg(*[F.min(F.col("low")[k]).alias(f"l{k}") for k in range(lead)], *[F.max(F.col("high")[k]).alias(f"h{k}") for k in range(lead)])
-        boxes.append(written(merged.select(F.col("up").alias("id"), F.array(*[f"l{k}" for k in range(lead)]).alias("low"), F.array(*[f"h{k}" for k in range(lead)]).alias("high")), "vector-boxes"))
+        merged = up.groupBy("up").agg(*[F.min(F.col("low")[k]).alias(f"l{k}") for k in range(lead + 1)], *[F.max(F.col("high")[k]).alias(f"h{k}") for k in range(lead + 1)])
+        boxes.append(written(merged.select(F.col("up").alias("id"), F.array(*[f"l{k}" for k in range(lead + 1)]).alias("low"), F.array(*[f"h{k}" for k in range(lead + 1)]).alias("high")), "vector-boxes"))
     pairs = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
     steps = F.sequence(F.lit(0), F.lit(fan - 1))
     for level in reversed(boxes[:-1]):
@@ -154,18 +159,15 @@ def _links(classes: DataFrame, width: int, least: float, leaf: int, fan: int, le
         pairs = written(opened.join(left, "a").join(right, "b").where(apart <= (eps + 1e-9) ** 2).select("a", "b"), "vector-pairs")
 
     def join(batches):
-        for b in batches:
+        for b in small(batches, 4):
             raw_a, ids_a, raw_b, ids_b, same = (b.column(i).to_pylist() for i in range(5))
             for ra, ia, rb, ib, one in zip(raw_a, ids_a, raw_b, ids_b, same):
-                yield from _leaf_pair(ra, ia, rb, ib, one, width, least)
+                yield from _leaf_pair(_leaf(ra, ia, kind, width, mean, axes), _leaf(rb, ib, kind, width, mean, axes), one, least, eps)
 
-    small_batches(spark, 4)
     left = leaves.select(F.col("id").alias("a"), F.col("raw").alias("ra"), F.col("ids").alias("ia"))
     right = leaves.select(F.col("id").alias("b"), F.col("raw").alias("rb"), F.col("ids").alias("ib"))
     both = pairs.join(left, "a").join(right, "b").select("ra", "ia", "rb", "ib", (F.col("a") == F.col("b")).alias("same"))
-    out = written(both.mapInArrow(join, _LINK), "vector-leaf-links")
-    small_batches(spark, 10_000)
-    return out
+    return written(both.mapInArrow(join, _LINK), "vector-leaf-links")
 
 
 def _running(rows) -> list[tuple[int, int]]:
@@ -176,13 +178,28 @@ def _running(rows) -> list[tuple[int, int]]:
     return out or [(0, 0)]
 
 
-def _leaf_pair(raw_a: bytes, ids_a: bytes, raw_b: bytes, ids_b: bytes, same: bool, width: int, least: float):
-    def read(raw, ids):
-        x = np.frombuffer(raw, dtype=np.float64).reshape(-1, width)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return x / np.linalg.norm(x, axis=1, keepdims=True), *np.frombuffer(ids, dtype="<i8").reshape(2, -1)
+#: Rows of a block, the last interval that the recursion opens.
+BLOCK = 128
+
+
+def _leaf(raw: bytes, ids: bytes, kind, width: int, mean, axes):
+    """Unit vectors of a leaf, its class numbers and copies, and the boxes of its blocks."""
+    x = np.frombuffer(raw, dtype=kind).astype(np.float64).reshape(-1, width)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    at = _place(x, mean, axes)
+    starts = np.arange(0, len(x), BLOCK)
+    return x, *np.frombuffer(ids, dtype="<i8").reshape(2, -1), np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+
+
+def near_blocks(low_a, high_a, low_b, high_b, eps: float) -> np.ndarray:
+    """Which pairs of boxes are not provably further apart than eps."""
+    gap = np.maximum(np.maximum(low_a[:, None] - high_b[None], low_b[None] - high_a[:, None]), 0)
+    return (gap * gap).sum(axis=2) <= (eps + 1e-9) ** 2
+
 
-    (x, rep_x, copies_x), (y, rep_y, copies_y) = read(raw_a, ids_a), read(raw_b, ids_b)
+def _leaf_pair(a, b, same: bool, least: float, eps: float):
+    (x, cls_x, copies_x, low_x, high_x), (y, cls_y, copies_y, low_y, high_y) = a, b
     from_x, from_y, edges = np.zeros(len(x), dtype=np.int64), np.zeros(len(y), dtype=np.int64), []
     parent: dict[int, int] = {}
 
@@ -191,20 +208,26 @@ def _leaf_pair(raw_a: bytes, ids_a: bytes, raw_b: bytes, ids_b: bytes, same: boo
             parent[v] = v = parent.get(p, p)
         return v
 
-    for at in range(0, len(x), 256):
-        i, j = np.nonzero(x[at : at + 256] @ y.T >= least)
-        i = i + at
+    for k, near in enumerate(near_blocks(low_x, high_x, low_y, high_y, eps)):
+        blocks = np.flatnonzero(near)
+        blocks = blocks[blocks >= k] if same else blocks
+        if not blocks.size:
+            continue
+        at = k * BLOCK
+        own = np.concatenate([np.arange(j * BLOCK, min(j * BLOCK + BLOCK, len(y))) for j in blocks])
+        i, j = np.nonzero(x[at : at + BLOCK] @ y[own].T >= least)
+        i, j = i + at, own[j]
         if same:
             i, j = i[i < j], j[i < j]
         np.add.at(from_x, i, copies_y[j])
         np.add.at(from_y, j, copies_x[i])
-        for a, b in zip(rep_x[i].tolist(), rep_y[j].tolist()):
-            p, q = root(a), root(b)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                edges.append((a, b))
-    a = np.concatenate([rep_x[from_x > 0], rep_y[from_y > 0], np.array([e[0] for e in edges], dtype=np.int64)])
-    b = np.concatenate([from_x[from_x > 0], from_y[from_y > 0], np.array([e[1] for e in edges], dtype=np.int64)])
-    kind = np.concatenate([np.zeros(len(a) - len(edges), dtype=np.int32), np.ones(len(edges), dtype=np.int32)])
-    if len(a):
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a), pa.array(b)], names=["kind", "a", "b"])
+        for p, q in zip(cls_x[i].tolist(), cls_y[j].tolist()):
+            u, v = root(p), root(q)
+            if u != v:
+                parent[max(u, v)] = min(u, v)
+                edges.append((p, q))
+    first = np.concatenate([cls_x[from_x > 0], cls_y[from_y > 0], np.array([e[0] for e in edges], dtype=np.int64)])
+    second = np.concatenate([from_x[from_x > 0], from_y[from_y > 0], np.array([e[1] for e in edges], dtype=np.int64)])
+    kinds = np.concatenate([np.zeros(len(first) - len(edges), dtype=np.int32), np.ones(len(edges), dtype=np.int32)])
+    if len(first):
+        yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(first), pa.array(second)], names=["kind", "a", "b"])

@@ -19,7 +19,7 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, small_batches
+from .common import id_text, small
 
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ENCODERS: dict = {}
@@ -129,11 +129,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
     Null or empty text is the end id alone. Repeated rows are packed each; a null id stays null. Sequence ids are
     unique (task number and a count). An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
         enc, packer, end = encoder(tokenizer), Packer(TaskContext.get().partitionId(), capacity), np.array([end_id], dtype="<u4").tobytes()
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = enc.encode(text) + end
                 total = len(ids) // 4

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, small_batches
+from .common import id_text, small
 
 #: Kinds in their order, and the base patterns, possessive where giving back characters cannot help.
 KINDS = ("email", "ip", "card", "phone")
@@ -268,11 +268,10 @@ def find_personal_data(docs: DataFrame, crf: SemiCrf, id_col: str = "doc_id", te
     Offsets are code points, ends exclusive. Null text counts as empty; repeated rows and null ids are kept; an empty
     table gives an empty result. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 base, every = all_spans(text, crf)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, pack, shuffle_parts, small_batches, unpack, written
+from .common import id_text, pack, shuffle_parts, small, unpack, written
 
 #: Bytes of a hashed window, windows among which one is an anchor, and the first prefix.
 GRAM, WINDOW, FIRST = 8, 64, 100
@@ -266,12 +266,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
     if length < 400:
         raise ValueError("inner anchors are only guaranteed for strings of 400 bytes or more")
     spark = docs.sparkSession
-    small_batches(spark)
     parts = shuffle_parts(spark)
 
     def blocks(batches):
         task, seq, ids, null, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0
-        for b in batches:
+        for b in small(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(doc_id or 0)
                 null.append(doc_id is None)

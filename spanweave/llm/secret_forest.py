@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text, small_batches
+from .common import id_text, small
 
 #: What counts as a candidate: the value of an assignment, a part of a URL, or a run of token characters (dots only
 #: between them) with a letter and a digit.
@@ -255,10 +255,9 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
     Whole texts are searched; null text counts as empty; null ids and repeated rows are kept; an empty table gives
     an empty result.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             found = [find(t, forest, threshold) for t in b.column(1).to_pylist()]
             columns = [pa.array([n for _, n in found], pa.int64()), pa.array([len(s) for s, _ in found], pa.int64()), pa.array([",".join(f"{x}:{y}" for x, y in s) for s, _ in found], pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["doc_id", "n_candidates", "n_secrets", "spans"])
@@ -268,7 +267,6 @@ def scan(docs: DataFrame, forest: Forest, threshold: float = 0.5, id_col: str =
 
 def mask(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str = "text", filler: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``, secrets in the text replaced by ``filler``; null texts stay null."""
-    small_batches(docs.sparkSession)
 
     def clean(text):
         spots = find(text, forest, threshold)[0] if text else []
@@ -277,7 +275,7 @@ def mask(docs: DataFrame, forest: Forest, threshold: float = 0.5, text_col: str
         return text
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             at = b.schema.get_field_index(text_col)
             yield b.set_column(at, b.schema.field(at), pa.array([clean(t) for t in b.column(at).to_pylist()], b.schema.field(at).type))
 

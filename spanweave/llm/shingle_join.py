@@ -1,35 +1,39 @@
-"""Near copies by exact Jaccard similarity of word shingles, 0.8 or more, with prefix filtering.
-
-Every text's distinct shingle hashes are put into one order for all texts. Of n shingles, the first
-n - ceil(0.8 n) + 1 are its prefix: two texts as similar as that share a shingle of both prefixes, so none is missed.
-Shingles that are frequent in a sample come last in the order; the sample decides what candidates cost, not which pairs
-are found. Candidates first meet by parity bits, whose differing bits never outnumber the shingles that only one of the
-two has, so that no similar pair falls there; those left are compared by all their shingles.
+"""Near copies: SimHash links first, then an exact join of word shingles for what fingerprints may miss.
+
+1. One pass over the texts gives every row's SimHash, its prefix and its parity bits.
+2. Fingerprints are linked by the generalised pigeonhole (``simhash``), and each link is verified by the Jaccard
+   similarity of its texts' distinct shingles. Verified links make first groups, so that most pairs within a large
+   group of copies are never looked at again.
+3. A fingerprint can miss a pair at the threshold. Shingles are put into one order for all texts; of n shingles, the
+   first n - ceil(0.8 n) + 1 are a text's prefix, and two texts of similarity 0.8 share a shingle of both prefixes.
+   Pairs of different groups that meet there are held against parity bits, whose differing bits never outnumber the
+   shingles that only one of the two has, and then verified. So no similar pair is missed.
+Shingles that are frequent in a sample come last in the order: the sample decides what candidates cost, not which pairs
+are found.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from . import simhash
+from .common import small, written
 from .graph import connected_components
 
-_SAMPLE, _FREQUENT, _LISTED = 20_000, 4, 200_000
+_SAMPLE, _FREQUENT, _LISTED = 20_000, 3, 200_000
 _BITS = 1024
+#: Keys that may be broadcast: some 10 MB.
+_FEW = 200_000
+_SIGN = "row long, doc_id long, h1 long, h2 long, n int, fp long, bits binary, prefix array<long>"
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
     """Distinct XXH64 hashes of word shingles, ascending; a shorter text is one shingle, one without words none."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.empty(0, dtype=np.int64)
-    h = xxhash.xxh64_intdigest
-    found = {h(b" ".join(tokens[i : i + words]), 42) for i in range(max(1, len(tokens) - words + 1))}
-    return np.sort(np.fromiter(found, np.uint64, len(found)).view(np.int64))
+    return np.unique(simhash.shingle_hashes(text or "", words).view(np.int64))
 
 
 def _similar(common, a, b):
@@ -43,17 +47,16 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _frequent(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, ascending, and in how many of them."""
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, ascending, and in how many of them; at most _LISTED."""
 
     def run(batches):
-        for b in batches:
-            parts = [shingles(t, words) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts) if parts else np.empty(0, dtype=np.int64))], names=["h"])
+        for b in small(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, words) for t in b.column(0).to_pylist()]))], names=["h"])
 
-    chosen = rows.select("row").orderBy(F.xxhash64("row"), "row").limit(_SAMPLE)
-    sample = rows.join(F.broadcast(chosen), "row", "left_semi").select("text")
-    top = sample.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= _FREQUENT).orderBy(F.desc("count"), "h").limit(_LISTED).collect()
+    share = min(1.0, _SAMPLE / max(1, docs.count()))
+    counts = docs.select("text").sample(share, seed=5).mapInArrow(run, "h long").groupBy("h").count()
+    top = counts.where(F.col("count") >= _FREQUENT).orderBy(F.desc("count"), "h").limit(_LISTED).collect()
     found = np.array(sorted((r[0], r[1]) for r in top), dtype=np.int64).reshape(-1, 2)
     return found[:, 0].copy(), found[:, 1].copy()
 
@@ -67,8 +70,35 @@ def _prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarra
     return own[: n - (4 * n + 4) // 5 + 1] if n else own
 
 
-def _pairs(h, row, n, place):
-    """Pairs of rows that share a shingle (h is sorted) and may still be similar by sizes and places; in pieces."""
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """Every row of ``docs`` (doc_id, text) with words: a number, its text's hashes, and what links are looked for by."""
+    known, counts = _frequent(docs, words)
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 33
+        for b in small(batches):
+            all_ = [simhash.shingle_hashes(t or "", words) for t in b.column(1).to_pylist()]
+            own = [np.unique(h.view(np.int64)) for h in all_]
+            fps = np.array([simhash.majority(h) for h in all_], dtype=np.uint64).view(np.int64)
+            columns = [
+                pa.array(np.arange(at, at + b.num_rows)), *(b.column(i) for i in (0, 2, 3)), pa.array([len(x) for x in own], pa.int32()), pa.array(fps),
+                pa.array([parity(x) for x in own], pa.binary()), pa.array([_prefix(x, known, counts) for x in own], pa.list_(pa.int64())),
+            ]
+            at += b.num_rows
+            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SIGN.split(", ")])
+
+    return written(docs.select("doc_id", "text", *_text_hashes()).mapInArrow(run, _SIGN), "signatures").where("n > 0")
+
+
+def _text_hashes():
+    """Two 64-bit hashes by which a row's text is known again."""
+    return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")
+
+
+def _pairs(h, row, size_place, group):
+    """Pairs of rows of different groups that share a shingle (h is sorted) and may still be similar by sizes and
+    places; in pieces."""
+    n, place = size_place >> 32, size_place & 0xFFFFFFFF
     at, gap, out, held = np.arange(len(h)), 0, [], 0
     while True:
         gap += 1
@@ -77,7 +107,8 @@ def _pairs(h, row, n, place):
         if not at.size:
             break
         a, b = at, at + gap
-        a, b = (x[_similar(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b])] for x in (a, b))
+        fit = (group[a] != group[b]) & _similar(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b])
+        a, b = a[fit], b[fit]
         out.append(np.stack([np.minimum(row[a], row[b]), np.maximum(row[a], row[b])]))
         held += len(a)
         if held >= 1 << 18:
@@ -87,89 +118,108 @@ def _pairs(h, row, n, place):
         yield np.unique(np.concatenate(out, axis=1), axis=1)
 
 
-def similar_pairs(rows: DataFrame, words: int = 5) -> DataFrame:
-    """(a, b), a < b: all pairs of rows (row: a distinct long, text) with a Jaccard similarity of 0.8 or more."""
-    small_batches(rows.sparkSession)
-    known, counts = _frequent(rows, words)
-
-    def prefixes(batches):
-        for b in batches:
-            hs, rs, ns, ps = [], [], [], []
-            for row, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                own = shingles(text, words)
-                first = _prefix(own, known, counts)
-                hs.append(first)
-                rs.append(np.full(len(first), row, dtype=np.int64))
-                ns.append(np.full(len(first), len(own), dtype=np.int32))
-                ps.append(np.arange(len(first), dtype=np.int32))
-            if hs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, rs, ns, ps)], names=["h", "row", "n", "place"])
-
-    def candidates(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            held = [np.concatenate(x) for x in zip(held, new)] if held else new
-            last = np.flatnonzero(held[0] != held[0][-1])
-            if last.size and len(held[0]) >= 100_000:
-                done = last[-1] + 1
-                for p in _pairs(*(x[:done] for x in held)):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
-                held = [x[done:] for x in held]
-        if held:
-            for p in _pairs(*held):
+def _candidates(batches):
+    """Candidate pairs of rows (h, row, size_place, group) that come sorted by h; a shingle's rows are held together."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        held = [np.concatenate(x) for x in zip(held, new)] if held else new
+        last = np.flatnonzero(held[0] != held[0][-1])
+        if last.size and len(held[0]) >= 100_000:
+            done = last[-1] + 1
+            for p in _pairs(*(x[:done] for x in held)):
                 yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+            held = [x[done:] for x in held]
+    if held:
+        for p in _pairs(*held):
+            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+
+
+def _possible(batches):
+    """Pairs (a, b, n, n, bits, bits) whose parity bits leave room for the similarity."""
+    for b in small(batches, 10_000):
+        n, m = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
+        x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
+        apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_similar((n + m - apart) // 2, n, m)))
+
+
+def _verified(batches):
+    for b in small(batches):
+        keep = []
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+            keep.append(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _sides(pairs: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
+    """Pairs (a, b) with the columns of both rows: x_a, y_a .. after x_b, y_b .., dealt anew so that Spark may split a hub."""
+    out = pairs
+    for k in "ab":
+        out = out.join(side.select(F.col("row").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in names]), k)
+    return out.select("a", "b", *[f"{c}_{k}" for c in names for k in "ab"])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, sign: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b: rows of ``sign``) whose similarity is 0.8 or more; first by parity bits, then by all shingles."""
 
     def sets(batches):
-        for b in batches:
-            packed = [shingles(t, words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], names=["row", "hashes"])
-
-    def signs(batches):
-        for b in batches:
-            own = [shingles(t, words) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in own], pa.int32()), pa.array([parity(x) for x in own], pa.binary())], names=["row", "n", "bits"])
-
-    def possible(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            n, m = (b.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint64).reshape(b.num_rows, -1) for i in (4, 5))
-            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(_similar((n + m - apart) // 2, n, m)))
-
-    def verified(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                keep.append(_similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    dealt = rows.select("row", "text").mapInArrow(prefixes, "h long, row long, n int, place int").repartition("h").sortWithinPartitions("h")
-    near = dealt.mapInArrow(candidates, "a long, b long").distinct()
-    sign = written(rows.select("row", "text").mapInArrow(signs, "row long, n int, bits binary"), "parity")
-    left, right = (sign.select(F.col("row").alias(k), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    signed = near.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    pairs = written(signed.mapInArrow(possible, "a long, b long"), "candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    own = written(rows.select("row", "text").join(named, "row", "left_semi").mapInArrow(sets, "row long, hashes binary"), "shingles")
-    both = pairs.join(own.select(F.col("row").alias("a"), F.col("hashes").alias("x")), "a").join(own.select(F.col("row").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(verified, "a long, b long")
+        for b in small(batches):
+            packed = [shingles(t, words).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["h1", "h2", "hashes"])
+
+    left = written(_sides(pairs, sign, ["n", "bits"]).mapInArrow(_possible, "a long, b long"), "candidates")
+    rows = left.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    named = written(sign.join(rows, "row", "left_semi").select("row", "h1", "h2"), "named")
+    wanted = _light(named.select("h1", "h2").distinct())
+    texts = docs.select(*_text_hashes(), "text").join(wanted, ["h1", "h2"], "left_semi")
+    own = texts.mapInArrow(sets, "h1 long, h2 long, hashes binary").dropDuplicates(["h1", "h2"])
+    own = written(named.join(own, ["h1", "h2"]).select("row", "hashes"), "shingles")
+    return _sides(left, own, ["hashes"]).mapInArrow(_verified, "a long, b long")
+
+
+def _light(keys: DataFrame) -> DataFrame:
+    """Keys to hold texts against: broadcast where they are few, as counted; else Spark deals out both sides."""
+    return F.broadcast(keys) if keys.count() <= _FEW else keys
+
+
+def similar_links(docs: DataFrame, words: int = 5, radius: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(signatures, links): links (a, b) between rows of the signatures join all that a chain of pairs with a Jaccard
+    similarity of 0.8 or more joins, and no others. Every link is such a pair."""
+    sign = signatures(docs, words)
+    distinct = written(sign.groupBy("fp").agg(F.min("row").alias("rep")), "distinct")
+    same = sign.join(distinct, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    near = simhash.link_fingerprints(distinct, radius)
+    close = written(_verify(near.unionByName(same).distinct(), docs, sign, words), "close-links")
+    group = written(connected_components(close), "first-groups").withColumnRenamed("node", "row")
+    rows = sign.join(group, "row", "left").select("row", F.coalesce("component", "row").alias("group"), (F.col("n").cast("long") * (1 << 32)).alias("size"), F.posexplode("prefix").alias("place", "h"))
+    dealt = rows.select("h", "row", (F.col("size") + F.col("place")).alias("size_place"), "group").repartition("h").sortWithinPartitions("h")
+    rest = _verify(dealt.mapInArrow(_candidates, "a long, b long").distinct(), docs, sign, words)
+    return sign, close.unionByName(written(rest, "other-links"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and others) but for those that another row of their group stands for.
 
-    Rows group by chains of similar pairs; of a group the row of the smallest id stays, one with a null id only where
-    all are null. Rows without words are no copies of anything; an empty table gives an empty result.
+    Rows group by chains of pairs that share 0.8 or more of their distinct ``words``-word shingles (Jaccard). Of a group
+    the row of the smallest id stays, one with a null id only where all are null. Rows without words are no copies of
+    anything; of rows equal in id and text one stays; an empty table gives an empty result.
     """
-    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "near-rows")  # numbered once: the numbers must not change between reads
-    found = written(connected_components(similar_pairs(rows, words)), "components")
-    named = found.join(rows.select("row", "doc_id"), found.node == rows.row)
-    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).getField("row").alias("row"))
-    gone = found.select(F.col("node").alias("row")).join(best.select("row"), "row", "left_anti")
-    return rows.join(gone, "row", "left_anti").select(*docs.columns)
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    sign, links = similar_links(base, words)
+    found = written(connected_components(links), "components")
+    named = found.join(sign.select("row", "doc_id", "h1", "h2"), found.node == F.col("row")).select("component", "row", "doc_id", "h1", "h2")
+    best = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2")).alias("best"))
+    ranked = named.join(best, "component").withColumn("own", F.struct(F.col("doc_id").isNull(), "doc_id", "h1", "h2"))
+    # a key of a group goes, unless it is the one that stays; a key that several rows have stays once
+    judged = ranked.groupBy(F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_null"), F.col("h1").alias("_h1"), F.col("h2").alias("_h2"))
+    judged = written(judged.agg(F.max(F.col("own").eqNullSafe(F.col("best"))).alias("_stays"), F.count(F.lit(1)).alias("_rows")), "judged")
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "_null": F.col("doc_id").isNull(), "_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit("second"), text)})
+    keys = ["_id", "_null", "_h1", "_h2"]
+    once = keyed.join(_light(judged.where("NOT _stays OR _rows > 1").select(*keys)), keys, "left_anti")
+    again = keyed.join(_light(judged.where("_stays AND _rows > 1").select(*keys)), keys, "left_semi").dropDuplicates(keys)
+    return once.unionByName(again).select(*docs.columns)

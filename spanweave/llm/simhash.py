@@ -18,26 +18,29 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, small_batches, written
+from .common import id_text, small, written
 from .graph import connected_components
 
-_FULL = (1 << 64) - 1
+#: Cost of looking at a candidate pair, in probes: a probe is shuffled and sorted, a pair is one XOR in an array.
+CANDIDATE = 0.1
 
 
-def fingerprint(text: str, words: int) -> int:
-    """64 majority bits of XXH64 (seed 42) over word shingles; 0 for a text without words."""
+def shingle_hashes(text: str, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of a text's word shingles in order, repeats included; a shorter text is one shingle, one without words none."""
     tokens = text.encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return 0
     h = xxhash.xxh64_intdigest
+    if not tokens:
+        return np.empty(0, dtype=np.uint64)
+    line = b" ".join(tokens)
     if len(tokens) <= words:
-        hashes = [h(b" ".join(tokens), 42)]
-    else:
-        ends = np.cumsum([len(t) + 1 for t in tokens])
-        starts = [0, *ends[:-1].tolist()]
-        line = b" ".join(tokens)
-        hashes = [h(line[i:j], 42) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist())]
-    values = np.array(hashes, dtype=np.uint64)
+        return np.array([h(line, 42)], dtype=np.uint64)
+    ends = np.cumsum([len(t) + 1 for t in tokens])
+    starts = [0, *ends[: len(tokens) - words].tolist()]
+    return np.array([h(line[i:j], 42) for i, j in zip(starts, (ends[words - 1 :] - 1).tolist())], dtype=np.uint64)
+
+
+def majority(values: np.ndarray) -> int:
+    """64 bits, each set where over half of the hashes have it; 0 for none."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(values), 1 << 14):
         part = values[at : at + (1 << 14)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -46,18 +49,20 @@ def fingerprint(text: str, words: int) -> int:
     return int(bits.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words: int = 4, also: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and also (fingerprints as signed longs; the second by shingles of ``also`` words, else 0)."""
-    small_batches(docs.sparkSession)
+def fingerprint(text: str, words: int) -> int:
+    """64 majority bits over word shingles; 0 for a text without words."""
+    return majority(shingle_hashes(text, words))
+
+
+def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
-            texts = b.column(1).to_pylist()
-            fps = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64)
-            second = np.array([fingerprint(t, also) for t in texts], dtype=np.uint64) if also else np.zeros(len(texts), dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), pa.array(second.view(np.int64))], names=["doc_id", "fp", "also"])
+        for b in small(batches):
+            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long, also long")
+    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -109,7 +114,7 @@ def allocate(pairs: list[float], widths: list[int], n: float, radius: int) -> tu
     """Thresholds of least estimated cost. pairs: candidate pairs of each partition at threshold 0."""
 
     def cost(i: int, t: int) -> float:
-        return 0.0 if t < 0 else comb(widths[i], t) * (n + pairs[i] * 2.0**t)
+        return 0.0 if t < 0 else comb(widths[i], t) * (n + CANDIDATE * pairs[i] * 2.0**t)
 
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
     for i in range(len(pairs)):
@@ -144,18 +149,14 @@ def plan_probes(fps: DataFrame, radius: int, choices: tuple[int, ...]) -> list[i
     return masks
 
 
-def _near(fp: np.ndarray, also: np.ndarray, a, b, radius: int, also_radius: int) -> np.ndarray:
-    return (np.bitwise_count(fp[a] ^ fp[b]) <= radius) & (np.bitwise_count(also[a] ^ also[b]) <= also_radius)
-
-
-def _forest(fp: np.ndarray, also: np.ndarray, radius: int, also_radius: int) -> tuple[list, list]:
+def _forest(fp: np.ndarray, radius: int) -> tuple[list, list]:
     """A spanning forest of the links within one group of candidates."""
     a, b, left = [], [], np.arange(len(fp))
     while left.size > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and left.size:
             at = queue.pop()
-            near = _near(fp, also, left, at, radius, also_radius)
+            near = np.bitwise_count(fp[left] ^ fp[at]) <= radius
             if near.any():
                 hit = left[near]
                 left = left[~near]
@@ -165,32 +166,33 @@ def _forest(fp: np.ndarray, also: np.ndarray, radius: int, also_radius: int) ->
     return a, b
 
 
-def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3,), also_radius: int = 64) -> DataFrame:
-    """Spanning links (a, b) between the representatives of distinct fingerprints (fp, also, rep) within both radii.
+def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (2, 3, 4, 5)) -> DataFrame:
+    """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep) within the radius.
 
-    Probes a fingerprint sends: few with many partitions, but then candidates grow as rows^2 / 2^(64 / partitions). Three
-    partitions send some 45 probes at radius 4 and suit up to some 10^9 distinct fingerprints; beyond, take (2,).
+    choices: numbers of partitions among which the estimates choose. Many partitions send few probes but let candidates
+    grow as rows^2 / 2^(64 / partitions); the more rows there are, the fewer partitions cost least.
     """
     masks = plan_probes(fps, radius, choices)
     probes = F.array(*[F.struct(F.lit(i).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in enumerate(masks)])
-    rows = fps.select("fp", "also", "rep", F.explode(probes).alias("p")).select("p.k", "p.v", "fp", "also", "rep").repartition("k", "v").sortWithinPartitions("k", "v")
+    rows = fps.select("fp", "rep", F.explode(probes).alias("p")).select("p.k", "p.v", "fp", "rep").repartition("k", "v").sortWithinPartitions("k", "v")
 
-    def links(k, v, fp, also, rep):
+    def links(k, v, fp, rep):
         same = (k[1:] == k[:-1]) & (v[1:] == v[:-1])
         cuts = np.flatnonzero(~same) + 1
         starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(k)]))
         size = ends - starts
+        group = np.repeat(np.arange(len(size)), size)
+        short = np.repeat(size <= 8, size)
         out_a, out_b = [], []
         for gap in range(1, 8):  # short groups: compare neighbours at each distance for all groups at once
-            own = np.repeat((size > gap) & (size <= 8), size)[: len(k) - gap] & (np.repeat(np.arange(len(size)), size)[gap:] == np.repeat(np.arange(len(size)), size)[: len(k) - gap])
-            at = np.flatnonzero(own)
+            at = np.flatnonzero(short[: len(k) - gap] & (group[gap:] == group[: len(k) - gap]))
             if not at.size:
                 break
-            at = at[_near(fp, also, at, at + gap, radius, also_radius)]
+            at = at[np.bitwise_count(fp[at] ^ fp[at + gap]) <= radius]
             out_a.append(rep[at])
             out_b.append(rep[at + gap])
         for i in np.flatnonzero(size > 8):
-            a, b = _forest(fp[starts[i] : ends[i]], also[starts[i] : ends[i]], radius, also_radius)
+            a, b = _forest(fp[starts[i] : ends[i]], radius)
             out_a.append(rep[starts[i] + np.array(a, dtype=np.int64)])
             out_b.append(rep[starts[i] + np.array(b, dtype=np.int64)])
         pairs = np.stack([np.concatenate(out_a), np.concatenate(out_b)]) if out_a else np.empty((2, 0), dtype=np.int64)
@@ -201,8 +203,8 @@ def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            new[2], new[3] = new[2].view(np.uint64), new[3].view(np.uint64)
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            new[2] = new[2].view(np.uint64)
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
             if last.size and len(held[0]) >= 20_000:
@@ -217,18 +219,15 @@ def link_fingerprints(fps: DataFrame, radius: int, choices: tuple[int, ...] = (3
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, choices: tuple[int, ...] = (3,), also: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, choices: tuple[int, ...] = (2, 3, 4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
-    Fingerprints link at ``radius`` or fewer differing bits; with ``also`` = (words, radius), those of a second shingle
-    length must be as near too. Null text counts as empty; texts without words have fingerprint zero and link like any
-    other. Repeated rows are each returned. A row with a null id gets its component too but never names one unless
-    all ids in it are null. An empty table gives an empty result.
+    Fingerprints link at ``radius`` or fewer differing bits. Null text counts as empty; texts without words have
+    fingerprint zero and link like any other. Repeated rows are each returned. A row with a null id gets its component
+    too but never names one unless all ids in it are null. An empty table gives an empty result.
     """
-    small_batches(docs.sparkSession)
-    fps = written(fingerprints(docs, words, also and also[0], id_col, text_col), "fingerprints")
-    distinct = written(fps.groupBy("fp", "also").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
-    small_batches(docs.sparkSession, 10_000)
-    found = connected_components(link_fingerprints(distinct, radius, choices, also[1] if also else 64))
-    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", "also", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, ["fp", "also"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = written(fingerprints(docs, words, id_col, text_col), "fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "distinct")
+    found = connected_components(link_fingerprints(distinct, radius, choices))
+    named = distinct.join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small, written
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
@@ -145,10 +145,9 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
     Of a host's pages whose blocks outside furniture are equal, one (that of the smallest hash) is merged.
     """
-    small_batches(pages.sparkSession, 500)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 500):
             hosts = b.column(0).to_pylist()
             keys, sums, packed = [], [], []
             for host, page in zip(hosts, b.column(1).to_pylist()):
@@ -194,10 +193,9 @@ def extract(pages: DataFrame, least_pages: int = 5, threshold: float = 0.5, gamm
     tree = style_tree(pages)
     weak = tree.where(F.col("pages") >= least_pages).where((1 - gamma) * F.col("presentation") + gamma * F.col("content") < threshold)
     low = written(weak.groupBy("host").agg(F.collect_set("node").alias("low")), "style-tree")  # template paths of a host; Spark broadcasts it while its files are small
-    small_batches(pages.sparkSession, 500)
 
     def run(batches):
-        for b in batches:
+        for b in small(batches, 500):
             texts, seen = [], {}
             for host, page, nodes in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()):
                 if host not in seen:

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from plain import near_kept
 
 import corpus_pipeline
 from spanweave.llm import graph
@@ -10,39 +11,12 @@ from spanweave.llm import graph
 MID = "/root/testdata/sf0.01"
 
 
-def _kept(rows):
-    """(doc_id, text) rows that stay by brute force: five-word shingles, Jaccard 0.8, smallest id of each component."""
-    sets = []
-    for _, text in rows:
-        w = (text or "").lower().split()
-        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
-    parent = list(range(len(rows)))
-
-    def root(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
-
-    for a in range(len(rows)):
-        for b in range(a):
-            small, large = sorted((len(sets[a]), len(sets[b])))
-            if small and 5 * small >= 4 * large:
-                common = len(sets[a] & sets[b])
-                if 5 * common >= 4 * (small + large - common):
-                    parent[root(a)] = root(b)
-    best = {}
-    for k, (i, text) in enumerate(rows):
-        rank = (i is None, i or 0)
-        best[root(k)] = min(best.get(root(k), (rank, i, text)), (rank, i, text), key=lambda x: x[0])
-    return sorted((str(i), text or "") for _, i, text in best.values())
-
-
 def test_near_copies_share_four_fifths(spark):
     docs = spark.read.parquet(f"{MID}/documents.parquet").where("n_chars < 6000").limit(600)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted((str(r.doc_id), r.text or "") for r in corpus_pipeline.near(spark, df, MID).collect())
-    assert got == _kept(rows)
+    assert got == near_kept(rows)
 
 
 def test_near_copies_on_both_sides_of_the_threshold(spark):
@@ -62,11 +36,23 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     rows += [(900, ""), (901, None), (902, "one two"), (903, "One  two"), (904, "one three"), (None, "all alone here")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((str(x.doc_id), x.text or "") for x in corpus_pipeline.near(spark, df, MID).collect())
-    want = _kept(rows)
+    want = near_kept(rows)
     assert len(got) == len(want) and [i for i, _ in got] == [i for i, _ in want]
     assert corpus_pipeline.near(spark, df.where("false"), MID).count() == 0
 
 
+def test_near_copies_of_hard_rows(spark):
+    """Repeated rows, ids of several texts, null ids among copies, a very long text and columns of clashing names."""
+    long = " ".join(f"x{k}" for k in range(30_000))
+    rows = [(1, long), (2, long + " more"), (3, None), (3, None), (4, ""), (5, "a b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (5, "quite another text here"), (None, "q r s"), (None, "q r s")]
+    names = "doc_id long, text string, row long, n int, fp long, h1 long, _id long, _null boolean, component long, prefix string"
+    df = spark.createDataFrame([(*r, 7, 7, 7, 7, 7, True, 7, "p") for r in rows], names).repartition(3)
+    out = corpus_pipeline.near(spark, df, MID)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, long), (3, None), (3, None), (4, ""), (5, "a b c d e f"), (5, "quite another text here"), (None, "q r s")], key=str)
+
+
 def test_exact_copies_with_null_and_repeated_ids(spark):
     rows = [
         (None, "unique without id"), (None, "twice without id"), (None, "twice  without id"), (None, "held by seven"), (7, "held by seven"),

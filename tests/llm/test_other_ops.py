@@ -9,10 +9,11 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+from plain import near_kept
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from spanweave.llm import cotraining, epsilon_grid, graph, harmonic, secret_forest, simhash, site_style_tree
+from spanweave.llm import cotraining, epsilon_grid, graph, harmonic, secret_forest, site_style_tree
 
 SMALL = "/root/testdata/sf0.001"
 MID = "/root/testdata/sf0.01"
@@ -87,6 +88,34 @@ def test_vectors(spark):
     assert epsilon_grid.near_vectors(df.where("false")).count() == 0
 
 
+def test_vectors_without_ids(spark):
+    """A null id alone, two that are equal, one equal to a vector with an id, one near it, and two near each other."""
+    near = [1.0, 0.1, 0.0, 0.0]
+    rows = [(None, [0.0, 0.0, 1.0, 0.0]), (None, [0.0, 1.0, 0.0, 0.0]), (None, [0.0, 1.0, 0.0, 0.0]), (5, [1.0, 0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0]), (None, near), (None, [0.0, 0.0, 0.0, 1.0]), (None, [0.0, 0.0, 0.1, 1.0]), (None, None)]
+    for parts in (1, 3):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(parts)
+        got = Counter(tuple(r) for r in epsilon_grid.near_vectors(df).collect())
+        assert got == Counter([(None, 0, None, False), (None, 1, None, False), (None, 1, None, False), (5, 2, 5, True), (None, 2, 5, False), (None, 2, 5, False), (None, 1, None, False), (None, 1, None, False), (None, 0, None, False)])
+    assert epsilon_grid.near_vectors(spark.createDataFrame([(None, [1.0, 0.0])], "vec_id long, embedding array<float>")).collect() == [(None, 0, None, False)]
+
+
+def test_distant_blocks_are_skipped():
+    """Boxes skip pairs of blocks, and never one that holds a near pair."""
+    r = np.random.default_rng(4)
+    centres = r.normal(size=(12, 16))
+    x = np.concatenate([c + r.normal(0, 0.15, size=(300, 16)) for c in centres])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    mean = x.mean(axis=0)
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :6]
+    at = epsilon_grid._place(x, mean, axes)
+    starts = np.arange(0, len(x), 100)
+    low, high = np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+    eps = float(np.sqrt(0.2))
+    open_ = epsilon_grid.near_blocks(low, high, low, high, eps)
+    i, j = np.nonzero(x @ x.T >= 0.9)
+    assert open_[i // 100, j // 100].all() and open_.mean() < 0.5
+
+
 def test_components(spark):
     r = np.random.default_rng(5)
     edges = [(int(a), int(b)) for a, b in r.integers(0, 300, (220, 2))] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 2000 + i) for i in range(50)]
@@ -136,20 +165,8 @@ def test_pipeline_stages(spark):
     assert set(two) == {i for _, i in best.values()}
     df2 = spark.createDataFrame(list(two.values()), docs.schema)
     three = {r.doc_id for r in near(spark, df2, MID).collect()}
-    fps = {i: (simhash.fingerprint(r.text, 3), simhash.fingerprint(r.text, 5)) for i, r in two.items()}
-    parent = {i: i for i in fps}
-
-    def root(v):
-        while parent[v] != v:
-            v = parent[v]
-        return v
-
-    for a in fps:
-        for b in fps:
-            if a < b and (fps[a][0] ^ fps[b][0]).bit_count() <= 8 and (fps[a][1] ^ fps[b][1]).bit_count() <= 14:
-                p, q = root(a), root(b)
-                parent[max(p, q)] = min(p, q)
-    assert three == {i for i in fps if root(i) == i} and len(three) < len(two)
+    # the rule of the stage is a similarity of 0.8 of five-word shingles; it was two fingerprint radii before
+    assert three == {int(i) for i, _ in near_kept([(i, r.text) for i, r in two.items()])} and len(three) < len(two)
     forest = secret_forest.train()
     df3 = spark.createDataFrame([two[i] for i in three], docs.schema)
     four = secrets(spark, df3, MID).collect()
