@@ -1,8 +1,11 @@
 """Quality by co-training of two classifiers.
 
-One sees the text's content, the other the page's metadata (language, source, stated length). Both start from the
-labelled sample; over rounds each hands the rows it is surest about, in both classes, to the other's training set.
-Each is calibrated on labelled rows it never trained on, and the calibrated log-odds are combined to score all rows.
+One sees the text's content, the other the page's metadata (language, source, stated length). Both start from a bounded
+sample of labelled rows. In every round each is asked about all unlabelled rows, and those it is sure about, in both
+classes, become pseudo-labels for the other: every such row takes part, through sums of gradients and curvatures that
+Spark adds up, so that what reaches the driver is the same at every size. Pseudo-labels of a class weigh at most
+``trust`` of its labelled rows, more from round to round. Each classifier is calibrated on labelled rows it never
+trained on, and the calibrated log-odds are combined to score all rows.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small
+from .common import small, written
 
 _WORD = regex.compile(r"\w+")
 _SOURCES = 32
@@ -72,21 +75,35 @@ class Logistic:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
+    ridge: float = 3.0
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 3.0) -> Logistic:
-        mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
-        z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-        w, penalty = np.zeros(z.shape[1]), np.full(z.shape[1], ridge)
-        penalty[-1] = 1e-6
+        model = cls(x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6), np.zeros(x.shape[1] + 1), ridge)
         for _ in range(15):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            grad = z.T @ (p - y) + penalty * w
-            w = w - np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(penalty), grad)
-        return cls(mean, scale, w)
+            model = model.step(x, y)
+        return model
+
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
+
+    def sums(self, x: np.ndarray, y) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss over rows, at these weights."""
+        z = self.columns(x)
+        p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
+        return z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+
+    def step(self, x: np.ndarray, y: np.ndarray, more: list[tuple[float, np.ndarray, np.ndarray]] | None = None) -> Logistic:
+        """One Newton step over rows, and over others of which (weight, gradient, curvature) are given."""
+        gradient, curve = self.sums(x, y)
+        penalty = np.append(np.full(len(self.weights) - 1, self.ridge), 1e-6)
+        for weight, g, h in more or ():
+            gradient, curve = gradient + weight * g, curve + weight * h
+        # rounded, as the order in which Spark adds up sums is not fixed
+        return Logistic(self.mean, self.scale, np.round(self.weights - np.linalg.solve(curve + np.diag(penalty), gradient + penalty * self.weights), 7), self.ridge)
 
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((np.clip((x - self.mean) / self.scale, -8, 8)) @ self.weights[:-1] + self.weights[-1], -30, 30)
+        return np.clip(self.columns(x) @ self.weights, -30, 30)
 
 
 @dataclass
@@ -111,85 +128,126 @@ def _calibrate(odds: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return slope, float(model.weights[1] - slope * model.mean[0])
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, free: tuple[np.ndarray, np.ndarray], rounds: int = 5, share: float = 0.05, sure: float = 0.95) -> CoTrained:
-    """Co-train on labelled rows (views, y) and unlabelled ones. A third of the labelled rows is kept for calibration."""
+def _chance(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-odds))
+
+
+def pseudo_sums(models, free: tuple[np.ndarray, np.ndarray], sure: float) -> np.ndarray:
+    """For each learner and class: how many rows the other view is sure of, and their gradient and curvature; flat."""
+    out = []
+    for learner in (0, 1):
+        chance = _chance(models[1 - learner].odds(free[1 - learner]))
+        for label, rows in ((0, chance <= 1 - sure), (1, chance >= sure)):
+            g, h = models[learner].sums(free[learner][rows], float(label))
+            out += [[float(rows.sum())], g, h.ravel()]
+    return np.concatenate(out)
+
+
+def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, sums_of, rounds: int, trust: float) -> CoTrained:
+    """Co-train on labelled rows (views, y) and on ``sums_of(models)``, the ``pseudo_sums`` over all unlabelled rows.
+
+    A third of the labelled rows is kept for calibration, or none where that third lacks a class. Without labelled rows
+    of both classes the model is the prior: the same for all documents, an even chance where there is no label at all.
+    """
     held = np.arange(len(y)) % 3 == 2
-    if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
-        raise ValueError("labelled rows of both classes are needed")
-    prior = float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    xs, ys = [v[~held] for v in views], [y[~held], y[~held]]
-    open_ = [np.ones(len(free[0]), dtype=bool) for _ in views]
-    models = [Logistic.fit(x, t) for x, t in zip(xs, ys)]
-    for _ in range(rounds):
-        gifts = []
-        for teacher in (0, 1):
-            learner, p = 1 - teacher, 1 / (1 + np.exp(-models[teacher].odds(free[teacher])))
-            most, picked = int(share * len(p)), []
-            for label, chance, part in ((1, p, y.mean()), (0, 1 - p, 1 - y.mean())):
-                ready = np.flatnonzero(open_[learner] & (chance >= sure))
-                best = ready[np.argsort(-chance[ready], kind="stable")][: max(1, round(most * part))]
-                picked.append((best, label))
-            gifts.append((learner, picked))
-        for learner, picked in gifts:
-            for rows, label in picked:
-                open_[learner][rows] = False
-                xs[learner] = np.concatenate([xs[learner], free[learner][rows]])
-                ys[learner] = np.append(ys[learner], np.full(len(rows), label))
-        models = [Logistic.fit(x, t) for x, t in zip(xs, ys)]
-    calibration = tuple(_calibrate(m.odds(v[held]), y[held]) for m, v in zip(models, views))
+    if len(set(y[held])) < 2:
+        held[:] = False
+    rest = held if held.any() else ~held
+    prior = float(np.log((y.sum() + 0.5) / ((1 - y).sum() + 0.5)))
+    if len(set(y[~held])) < 2:
+        none = tuple(Logistic(np.zeros(v.shape[1]), np.ones(v.shape[1]), np.zeros(v.shape[1] + 1)) for v in views)
+        return CoTrained(none, ((0.0, prior), (0.0, prior)), prior)
+    xs, own = [v[~held] for v in views], y[~held]
+    models = [Logistic.fit(x, own) for x in xs]
+    for k in range(1, rounds + 1):
+        flat, at, steps = sums_of(models), 0, []
+        for learner in (0, 1):
+            width, more = len(models[learner].weights), []
+            for labelled in ((1 - own).sum(), own.sum()):
+                n, g, h = flat[at], flat[at + 1 : at + 1 + width], flat[at + 1 + width : at + 1 + width + width * width]
+                at += 1 + width + width * width
+                if n:
+                    more.append((min(1.0, trust * k / rounds * labelled / n), g, h.reshape(width, width)))
+            steps.append(more)
+        models = [m.step(x, own, more) for m, x, more in zip(models, xs, steps)]
+    calibration = tuple(_calibrate(m.odds(v[rest]), y[rest]) for m, v in zip(models, views))
     return CoTrained(tuple(models), calibration, prior)
 
 
-def _columns(docs: DataFrame) -> DataFrame:
-    have = set(docs.columns)
-    pick = lambda name, kind: (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name)
-    return docs.select(pick("doc_id", "long"), F.coalesce(pick("text", "string"), F.lit("")).alias("text"), pick("lang", "string"), pick("source", "string"), pick("n_chars", "long"))
+#: Columns of ``featured``.
+CONTENT, META = "__content", "__metadata"
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_free: int = 4000) -> CoTrained:
-    """Co-train on at most ``most_labelled`` labelled and ``most_free`` unlabelled documents, first by hashed id.
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist() if name in batch.schema.names else [None] * batch.num_rows
+    if CONTENT in batch.schema.names:
+        return tuple(np.array(column(c), dtype=float).reshape(batch.num_rows, -1) for c in (CONTENT, META))
+    content = [content_features(t or "") for t in column("text")]
+    meta = [metadata_features(*m) for m in zip(column("lang"), column("source"), column("n_chars"))]
+    return np.array(content, dtype=float).reshape(batch.num_rows, -1), np.array(meta, dtype=float).reshape(batch.num_rows, -1)
 
-    labels: doc_id, quality (1 good, 0 bad; null rows don't count, of several labels of an id the lowest counts).
-    """
-    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct().join(known, "doc_id", "left")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    labelled = ids.where("quality IS NOT NULL").orderBy(*order).limit(most_labelled)
-    free = ids.where("quality IS NULL").orderBy(*order).limit(most_free)
-    chosen = {r[0]: r[1] for r in labelled.unionByName(free).collect()}
-    spark = docs.sparkSession
-    sample = spark.createDataFrame(pa.table({"doc_id": pa.array(list(chosen), pa.int64())}))  # bounded by the two parameters
-
-    def features(batches):
+
+def featured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` (all, if None) of ``docs`` with the features of both views, as a table: texts are read once."""
+    keep = docs.columns if keep is None else keep
+    fields = [f for f in docs.schema.fields if f.name in keep]
+    arrays = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*fields, T.StructField(CONTENT, arrays), T.StructField(META, arrays)])
+    used = [c for c in docs.columns if c in keep or c in ("text", "lang", "source", "n_chars")]
+
+    def run(batches):
         for b in small(batches):
-            rows = b.to_pylist()
-            content = [list(map(float, content_features(r["text"]))) for r in rows]
-            meta = [metadata_features(r["lang"], r["source"], r["n_chars"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(content, pa.list_(pa.float64())), pa.array(meta, pa.list_(pa.float64()))], names=["doc_id", "content", "meta"])
-
-    rows = _columns(docs).join(F.broadcast(sample), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(features, "doc_id long, content array<double>, meta array<double>").collect()
-    rows.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))
-    own, rest = [r for r in rows if chosen[r[0]] is not None], [r for r in rows if chosen[r[0]] is None]
+            own = [b.column(b.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*own, *(pa.array(list(v), pa.list_(pa.float64())) for v in _views(b))], names=schema.names)
+
+    return written(docs.select(*used).mapInArrow(run, schema), "features")
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, rounds: int = 5, trust: float = 0.5, sure: float = 0.95) -> CoTrained:
+    """Co-train on ``most_labelled`` labelled rows at most, first by hashed id, and on all unlabelled rows.
+
+    docs: documents, or what ``featured`` made of them. labels: doc_id, quality (1 good, 0 bad; null rows don't count, of
+    several labels of an id the lowest counts). A row without an id is unlabelled. For empty tables and for labels of
+    one class see ``co_train``.
+    """
+    rows = docs if CONTENT in docs.columns else featured(docs, ["doc_id"])
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), CONTENT, META)
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64(CONTENT)]
+    own = rows.join(known, "doc_id").orderBy(*order).limit(most_labelled).collect()
+    own.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
     width = len(content_features("")), len(metadata_features(None, None, None))
-    views = lambda part: tuple(np.array([r[k + 1] for r in part], dtype=float).reshape(-1, width[k]) for k in (0, 1))
-    return co_train(views(own), np.array([float(chosen[r[0]]) for r in own]), views(rest))
+    views = tuple(np.array([r[k + 1] for r in own], dtype=float).reshape(-1, width[k]) for k in (0, 1))
+    y = np.array([float(r.quality) for r in own])
+    free = written(rows.join(known, "doc_id", "left_anti").select(CONTENT, META), "unlabelled") if len(set(y)) == 2 else None
+
+    def sums_of(models) -> np.ndarray:
+        def run(batches):
+            total = pseudo_sums(models, tuple(np.empty((0, w)) for w in width), sure)
+            for b in small(batches, 4000):
+                total = total + pseudo_sums(models, _views(b), sure)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["k", "v"])
+
+        got = dict(free.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v")).collect())
+        size = sum(2 * (1 + (w + 1) + (w + 1) ** 2) for w in width)
+        return np.array([got.get(k, 0.0) for k in range(size)])
+
+    return co_train(views, y, sums_of, rounds, trust)
 
 
 def score(docs: DataFrame, model: CoTrained) -> DataFrame:
-    """All rows and columns of ``docs`` with quality_score (probability); a column of that name is replaced.
+    """All rows and columns of ``docs`` (or of what ``featured`` made of it, without the features) with quality_score
+    (probability); a column of that name is replaced.
 
     Null text is empty, null or missing metadata has features of its own; empty tables give empty results.
     """
     base = docs.drop("quality_score")
-    schema = T.StructType([*base.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    have = set(base.columns)
+    fields = [f for f in base.schema.fields if f.name not in (CONTENT, META)]
+    schema = T.StructType([*fields, T.StructField("quality_score", T.DoubleType())])
 
     def run(batches):
         for b in small(batches):
-            column = lambda name: b.column(b.schema.get_field_index(name)).to_pylist() if name in have else [None] * b.num_rows  # noqa: B023, E731
-            content = np.array([content_features(t or "") for t in column("text")], dtype=float).reshape(b.num_rows, -1)
-            meta = np.array([metadata_features(*m) for m in zip(column("lang"), column("source"), column("n_chars"))], dtype=float).reshape(b.num_rows, -1)
-            scores = model.score(content, meta) if b.num_rows else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*b.schema.names, "quality_score"])
+            own = [b.column(b.schema.get_field_index(f.name)) for f in fields]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(model.score(*_views(b)), pa.float64())], names=schema.names)
 
     return base.mapInArrow(run, schema)

@@ -29,8 +29,8 @@ def op4_epsilon_grid(spark, sf_dir):
 
 
 def op5_cotraining_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scored = cotraining.score(docs, cotraining.fit(docs, table(spark, sf_dir, "labels")))
+    rows = cotraining.featured(table(spark, sf_dir, "documents"), ["doc_id"])
+    scored = cotraining.score(rows, cotraining.fit(rows, table(spark, sf_dir, "labels")))
     return scored.selectExpr("doc_id", "round(quality_score, 6) AS quality_score", "quality_score >= 0.5 AS accepted")
 
 

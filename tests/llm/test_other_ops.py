@@ -3,6 +3,7 @@
 import html
 import math
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -191,8 +192,61 @@ def test_quality(spark):
     odd = spark.createDataFrame([(None, None, None, None, None, 2.0), (1, "", "xx", "s", 0, 2.0), (2, "word " * 20_000, None, None, -5, 2.0)], "doc_id long, text string, lang string, source string, n_chars long, quality_score double")
     assert all(0 <= r.quality_score <= 1 for r in cotraining.score(odd, model).collect())
     assert cotraining.score(odd.where("false"), model).count() == 0
-    with pytest.raises(ValueError):
-        cotraining.fit(docs, train.where("quality = 1"))
+
+
+def test_quality_without_two_classes(spark):
+    """Labels of one class, or none, give the prior to all; so do empty tables."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    for part, least, most in (("quality = 1", 0.9, 1), ("quality = 0", 0, 0.1), ("false", 0.5, 0.5)):
+        scores = {r.quality_score for r in cotraining.score(docs, cotraining.fit(docs, labels.where(part))).collect()}
+        assert len(scores) == 1 and least <= scores.pop() <= most
+    assert cotraining.score(docs, cotraining.fit(docs.where("false"), labels)).where("quality_score = 0.5").count() == docs.count()
+    assert corpus_pipeline.quality(spark, docs.where("false"), SMALL).count() == 0
+
+
+def test_co_training_rounds(spark):
+    """The rounds in Spark, over all unlabelled rows, against the same sums taken row by row in one place."""
+    docs, labels = spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/labels.parquet")
+    rows = cotraining.featured(docs, ["doc_id"])
+    known = {r.doc_id: float(r.quality) for r in labels.collect() if r.quality is not None}
+    every = [(r.doc_id, np.array(r[1]), np.array(r[2])) for r in rows.collect()]
+    own = sorted((r for r in every if r[0] in known), key=lambda r: zlib.crc32(str(r[0]).encode()))
+    free = [r for r in every if r[0] not in known]
+    y = np.array([known[r[0]] for r in own])
+    train = np.arange(len(y)) % 3 != 2
+    xs = [np.array([r[k] for r in own])[train] for k in (1, 2)]
+    ys = y[train]
+
+    def slope(m, x, target):
+        z = np.append(np.clip((x - m.mean) / m.scale, -8, 8), 1)
+        p = 1 / (1 + math.exp(-max(-30, min(30, float(z @ m.weights)))))
+        return (p - target) * z, (p * (1 - p) + 1e-9) * np.outer(z, z)
+
+    models = [cotraining.Logistic.fit(x, ys) for x in xs]
+    for k in range(1, 6):
+        new = []
+        for learner in (0, 1):
+            m, teacher = models[learner], models[1 - learner]
+            g, h = np.zeros(len(m.weights)), np.zeros((len(m.weights),) * 2)
+            for x, t in zip(xs[learner], ys):
+                a, b = slope(m, x, t)
+                g, h = g + a, h + b
+            for label in (0, 1):
+                picked = []
+                for r in free:
+                    p = 1 / (1 + math.exp(-float(teacher.odds(r[2 - learner][None])[0])))
+                    if (p >= 0.95) if label else (p <= 1 - 0.95):
+                        picked.append(slope(m, r[1 + learner], label))
+                if picked:
+                    weight = min(1, 0.5 * k / 5 * (ys == label).sum() / len(picked))
+                    g, h = g + weight * sum(a for a, _ in picked), h + weight * sum(b for _, b in picked)
+            penalty = np.array([3.0] * (len(m.weights) - 1) + [1e-6])
+            new.append(cotraining.Logistic(m.mean, m.scale, m.weights - np.linalg.solve(h + np.diag(penalty), g + penalty * m.weights)))
+        models = new
+    got = cotraining.fit(rows, labels)
+    for a, b in zip(got.views, models):
+        assert np.allclose(a.weights, b.weights, atol=1e-5)
 
 
 def test_pipeline_stages(spark):
