@@ -20,8 +20,9 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents to which the co-trained classifier gives less than an even chance of good quality."""
-    model = cotraining.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return cotraining.score(docs, model).where(F.col("quality_score") >= 0.5).select(*docs.columns)
+    rows = cotraining.featured(docs)
+    model = cotraining.fit(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return cotraining.score(rows, model).where(F.col("quality_score") >= 0.5).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the smallest id, of each group of near copies.
 
-    Near copies share 0.8 or more of their distinct five-word shingles (Jaccard); every link is verified.
+    Near copies share 0.8 or more of their distinct five-word shingles (Jaccard). SimHash links come first; an exact
+    join finds the pairs that fingerprints miss; every link is verified.
     """
     return shingle_join.drop_near_copies(docs)
 
