@@ -1,15 +1,15 @@
 """Near copies: SimHash links first, then an exact join of word shingles for what fingerprints may miss.
 
-1. One pass over the texts gives every row's SimHash, its prefix and its parity bits.
-2. Fingerprints are linked by the generalised pigeonhole (``simhash``), and each link is verified by the Jaccard
-   similarity of its texts' distinct shingles. Verified links make first groups, so that most pairs within a large
-   group of copies are never looked at again.
-3. A fingerprint can miss a pair at the threshold. Shingles are put into one order for all texts; of n shingles, the
-   first n - ceil(0.8 n) + 1 are a text's prefix, and two texts of similarity 0.8 share a shingle of both prefixes.
-   Pairs of different groups that meet there are held against parity bits, whose differing bits never outnumber the
-   shingles that only one of the two has, and then verified. So no similar pair is missed.
-Shingles that are frequent in a sample come last in the order: the sample decides what candidates cost, not which pairs
-are found.
+1. One pass over the texts gives every row's SimHash and parity bits, and its distinct shingles to the buckets that
+   count them, as sorted 32-bit numbers; the buckets answer in how many rows each occurs.
+2. Of a row's n shingles in the order (rows that have it, hash), the first n - ceil(0.8 n) + 1 are its prefix, and two
+   rows of similarity 0.8 share a shingle of both prefixes. Shingles that no other row has come first and link nothing,
+   so a text of which a fifth is its own takes no part, however common the rest.
+3. Links of fingerprints by the generalised pigeonhole (``simhash``), and chains through the rows of each shared shingle,
+   are verified by the Jaccard similarity of the texts' distinct shingles. They make first groups, so that the pairs
+   within a large group of copies are never all looked at.
+4. Pairs of different groups that share a shingle of both prefixes are held against parity bits, whose differing bits
+   never outnumber the shingles that only one of the two has, and then verified. So no similar pair is missed.
 """
 
 from __future__ import annotations
@@ -21,14 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import small, written
+from .common import pack, shuffle_parts, small, unpack, written
 from .graph import connected_components
 
-_SAMPLE, _FREQUENT, _LISTED = 20_000, 3, 200_000
 _BITS = 1024
+#: Shingles of a block, and rows of one at most.
+_BLOCK, _ROWS = 1 << 20, 1 << 16
 #: Keys that may be broadcast: some 10 MB.
 _FEW = 200_000
-_SIGN = "row long, doc_id long, h1 long, h2 long, n int, fp long, bits binary, prefix array<long>"
+_SIGN = "row long, doc_id long, h1 long, h2 long, n int, fp long, bits binary"
+_STATE = "block long, part int, payload binary"
+_PREFIX = "h long, row long, size_place long"
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -47,47 +50,112 @@ def parity(own: np.ndarray) -> bytes:
     return np.packbits((counts & 1).astype(np.uint8)).tobytes()
 
 
-def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of a sample have, ascending, and in how many of them; at most _LISTED."""
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers of 4 bytes by their first, second .. bytes, packed."""
+    return pack(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _whole(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-    def run(batches):
-        for b in small(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingles(t, words) for t in b.column(0).to_pylist()]))], names=["h"])
 
-    share = min(1.0, _SAMPLE / max(1, docs.count()))
-    counts = docs.select("text").sample(share, seed=5).mapInArrow(run, "h long").groupBy("h").count()
-    top = counts.where(F.col("count") >= _FREQUENT).orderBy(F.desc("count"), "h").limit(_LISTED).collect()
-    found = np.array(sorted((r[0], r[1]) for r in top), dtype=np.int64).reshape(-1, 2)
-    return found[:, 0].copy(), found[:, 1].copy()
+def _block_rows(block: int, first: int, own: list[np.ndarray], parts: int):
+    """A block as rows: part -1 tells which of its rows each shingle is of, part p has the sorted shingles of bucket p."""
+    h = np.concatenate(own).view(np.uint64) if own else np.empty(0, dtype=np.uint64)
+    n = np.array([len(x) for x in own], dtype=np.int64)
+    doc = np.repeat(np.arange(len(own)), n)
+    part, slot = ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.lexsort((slot, part))
+    part, slot, doc = part[order], slot[order], doc[order]
+    yield block, -1, b"".join(len(x).to_bytes(8, "little") + x for x in (first.to_bytes(8, "little", signed=True), _planes(n), _planes(doc)))
+    cuts = np.flatnonzero(np.diff(part)) + 1
+    for own_part, own_slot in zip(np.split(part, cuts), np.split(slot, cuts)):
+        if len(own_part):
+            yield block, int(own_part[0]), _planes(np.diff(own_slot, prepend=0))
 
 
-def _prefix(own: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first shingles of a text in the order of (frequency in the sample, hash)."""
-    n = len(own)
-    if n and len(known):
-        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-        own = own[np.lexsort((own, np.where(known[at] == own, counts[at], 0)))]
-    return own[: n - (4 * n + 4) // 5 + 1] if n else own
+def _unframe(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        size = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + size])
+        at += 8 + size
+    return out
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """Every row of ``docs`` (doc_id, text) with words: a number, its text's hashes, and what links are looked for by."""
-    known, counts = _frequent(docs, words)
+def signatures(docs: DataFrame, words: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(signs, blocks): of every row of ``docs`` (doc_id, text) with words a number, its text's hashes, fingerprint and
+    parity bits; and the blocks of rows as ``_block_rows`` has them."""
+    schema = f"{_STATE}, {_SIGN}"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     def run(batches):
-        at = TaskContext.get().partitionId() << 33
+        task = TaskContext.get().partitionId()
+        at, seq, first, own, size = task << 33, 0, task << 33, [], 0
         for b in small(batches):
-            all_ = [simhash.shingle_hashes(t or "", words) for t in b.column(1).to_pylist()]
-            own = [np.unique(h.view(np.int64)) for h in all_]
-            fps = np.array([simhash.majority(h) for h in all_], dtype=np.uint64).view(np.int64)
-            columns = [
-                pa.array(np.arange(at, at + b.num_rows)), *(b.column(i) for i in (0, 2, 3)), pa.array([len(x) for x in own], pa.int32()), pa.array(fps),
-                pa.array([parity(x) for x in own], pa.binary()), pa.array([_prefix(x, known, counts) for x in own], pa.list_(pa.int64())),
-            ]
-            at += b.num_rows
-            yield pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in _SIGN.split(", ")])
-
-    return written(docs.select("doc_id", "text", *_text_hashes()).mapInArrow(run, _SIGN), "signatures").where("n > 0")
+            rows = []
+            for doc_id, text, h1, h2 in zip(*(c.to_pylist() for c in b.columns)):
+                values = simhash.shingle_hashes(text or "", words)
+                if not len(values):
+                    continue
+                own.append(np.unique(values.view(np.int64)))
+                size += len(own[-1])
+                rows.append((None, None, None, at, doc_id, h1, h2, len(own[-1]), simhash._signed(simhash.majority(values)), parity(own[-1])))
+                at += 1
+                if size >= _BLOCK or len(own) >= _ROWS:
+                    yield batch([(*x, *[None] * 7) for x in _block_rows(task << 32 | seq, first, own, parts)])
+                    seq, first, own, size = seq + 1, at, [], 0
+            if rows:
+                yield batch(rows)
+        if own:
+            yield batch([(*x, *[None] * 7) for x in _block_rows(task << 32 | seq, first, own, parts)])
+
+    every = written(docs.select("doc_id", "text", *_text_hashes()).mapInArrow(run, schema), "signatures")
+    return every.where("row IS NOT NULL").select(*names[3:]), every.where("row IS NULL").select(*names[:3])
+
+
+def prefixes(blocks: DataFrame) -> DataFrame:
+    """(h, row, size_place): the shingles of every row's prefix that other rows have too; size * 2^32 + place in the order."""
+
+    def count(table: pa.Table) -> pa.Table:
+        lists = [np.cumsum(_whole(x), dtype=np.int64) for x in table.column("payload").to_pylist()]
+        _, where, rows = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+        rows = np.minimum(rows, 255).astype(np.uint8)[where]
+        out, at = [], 0
+        for own in lists:
+            n = rows[at : at + len(own)]
+            at += len(own)
+            shared = own[n > 1]
+            out.append(b"".join(len(x).to_bytes(8, "little") + x for x in (pack(n.tobytes()), _planes(np.diff(shared, prepend=0)))))
+        return pa.table({"block": table.column("block"), "part": table.column("part"), "payload": pa.array(out, pa.binary())})
+
+    def order(table: pa.Table) -> pa.Table:
+        answers = dict(zip(table.column("part").to_pylist(), table.column("payload").to_pylist()))
+        first, n, doc = _unframe(answers.pop(-1))
+        n, doc = _whole(n).astype(np.int64), _whole(doc).astype(np.int64)
+        counts, hashes = [], []
+        for part in sorted(answers):
+            c, shared = _unframe(answers[part])
+            c = np.frombuffer(unpack(c), np.uint8)
+            h = np.zeros(len(c), dtype=np.int64)
+            h[c > 1] = part << 32 | np.cumsum(_whole(shared), dtype=np.int64)
+            counts.append(c)
+            hashes.append(h)
+        counts, hashes = np.concatenate(counts), np.concatenate(hashes)
+        by = np.lexsort((hashes, counts, doc))
+        doc, counts, hashes = doc[by], counts[by], hashes[by]
+        place = np.arange(len(doc)) - (np.cumsum(n) - n)[doc]
+        keep = (counts > 1) & (place < n[doc] - (4 * n[doc] + 4) // 5 + 1)
+        rows = int.from_bytes(first, "little", signed=True) + doc[keep]
+        return pa.table({"h": pa.array(hashes[keep], pa.int64()), "row": pa.array(rows, pa.int64()), "size_place": pa.array((n[doc[keep]] << 32) + place[keep], pa.int64())})
+
+    answers = blocks.where("part >= 0").groupBy("part").applyInArrow(count, _STATE)
+    both = blocks.where("part < 0").unionByName(answers)
+    return written(both.groupBy("block").applyInArrow(order, _PREFIX), "prefixes")
 
 
 def _text_hashes():
@@ -118,23 +186,39 @@ def _pairs(h, row, size_place, group):
         yield np.unique(np.concatenate(out, axis=1), axis=1)
 
 
-def _candidates(batches):
-    """Candidate pairs of rows (h, row, size_place, group) that come sorted by h; a shingle's rows are held together."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-        held = [np.concatenate(x) for x in zip(held, new)] if held else new
-        last = np.flatnonzero(held[0] != held[0][-1])
-        if last.size and len(held[0]) >= 100_000:
-            done = last[-1] + 1
-            for p in _pairs(*(x[:done] for x in held)):
+def _chains(h, row, size_place):
+    """For every shingle (h is sorted, row within it) its rows in a chain, and all beside the first of them: links enough
+    to group copies of one text, and no more than twice the rows."""
+    n, place = size_place >> 32, size_place & 0xFFFFFFFF
+    at = np.flatnonzero(h[1:] == h[:-1]) + 1
+    heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    first = np.repeat(heads, np.diff(np.append(heads, len(h))))
+    a, b = np.concatenate([at - 1, first[at]]), np.concatenate([at, at])
+    fit = _similar(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b]) & (row[a] != row[b])
+    return np.unique(np.stack([np.minimum(row[a], row[b])[fit], np.maximum(row[a], row[b])[fit]]), axis=1)
+
+
+def _by_shingle(pairs_of, columns: int):
+    """A function over batches sorted by their first column, h, that hands on whole shingles: no shingle is cut in two."""
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+            held = [np.concatenate(x) for x in zip(held, new)] if held else new
+            last = np.flatnonzero(held[0] != held[0][-1])
+            if last.size and len(held[0]) >= 100_000:
+                done = last[-1] + 1
+                for p in pairs_of(*(x[:done] for x in held)):
+                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                held = [x[done:] for x in held]
+        if held:
+            for p in pairs_of(*held):
                 yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
-            held = [x[done:] for x in held]
-    if held:
-        for p in _pairs(*held):
-            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+
+    return run
 
 
 def _possible(batches):
@@ -189,15 +273,17 @@ def _light(keys: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, words: int = 5, radius: int = 4) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): links (a, b) between rows of the signatures join all that a chain of pairs with a Jaccard
     similarity of 0.8 or more joins, and no others. Every link is such a pair."""
-    sign = signatures(docs, words)
+    sign, blocks = signatures(docs, words, shuffle_parts(docs.sparkSession))
+    prefix = prefixes(blocks)
     distinct = written(sign.groupBy("fp").agg(F.min("row").alias("rep")), "distinct")
     same = sign.join(distinct, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
     near = simhash.link_fingerprints(distinct, radius)
-    close = written(_verify(near.unionByName(same).distinct(), docs, sign, words), "close-links")
+    chains = prefix.repartition("h").sortWithinPartitions("h", "row").mapInArrow(_by_shingle(lambda *x: [_chains(*x)], 3), "a long, b long")
+    close = written(_verify(near.unionByName(same).unionByName(chains).distinct(), docs, sign, words), "close-links")
     group = written(connected_components(close), "first-groups").withColumnRenamed("node", "row")
-    rows = sign.join(group, "row", "left").select("row", F.coalesce("component", "row").alias("group"), (F.col("n").cast("long") * (1 << 32)).alias("size"), F.posexplode("prefix").alias("place", "h"))
-    dealt = rows.select("h", "row", (F.col("size") + F.col("place")).alias("size_place"), "group").repartition("h").sortWithinPartitions("h")
-    rest = _verify(dealt.mapInArrow(_candidates, "a long, b long").distinct(), docs, sign, words)
+    rows = prefix.join(group, "row", "left").select("h", "row", "size_place", F.coalesce("component", "row").alias("group"))
+    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_by_shingle(_pairs, 4), "a long, b long")
+    rest = _verify(pairs.distinct(), docs, sign, words)
     return sign, close.unionByName(written(rest, "other-links"))
 
 
