@@ -4,7 +4,8 @@ The base patterns give exact spans of four kinds. The field then reads the passa
 patterns left over: every segment of a passage, up to a length, is scored as a whole by features of its text (digit
 groups, checksums, separators, address shape) and of the words beside it, and dynamic programming with a bounded
 number of entities chooses boundaries and kinds together. It is trained here, by gradient steps on the exact
-likelihood, from made passages; its spans are added where no base span lies.
+likelihood, from made passages; its spans are added where no base span lies. A passage is cut at base spans and what is
+left of it is read; a long one is read in windows that overlap by the longest segment, so only segments are bounded.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -29,19 +31,22 @@ _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
-#: Passages that the field reads: runs of digits and their separators, and spelt-out mail addresses.
-_NUMBERS = re.compile(r"(?<![\w.@/-])[(+]?[0-9](?:[0-9]|[\x20().\-/](?=[\x20().\-/]?[\x20().\-/]?[0-9])){7,60}(?![\w@])")
+#: Passages that the field reads: runs of digits and their separators, and spelt-out mail addresses. The parts of an address
+#: have the lengths that mail itself allows: 64 before the sign, 63 in a label.
+_NUMBERS = re.compile(r"(?<![\w.@/-])[(+]?[0-9](?:[0-9]|[\x20().\-/](?=[\x20().\-/]{0,2}[0-9])){7,}+")
 _SPELT = re.compile(
-    r"(?i)(?<![\w.+-])[\w.+-]{2,40}(?:(?:\s?(?:\(at\)|\[at\])\s?|\s@\s)[\w-]{2,40}(?:(?:\s?(?:\(dot\)|\[dot\])\s?|\sdot\s|\.)[\w-]{2,20}){1,4}|\sat\s[\w-]{2,40}(?:\sdot\s[\w-]{2,20}){1,4})"
+    r"(?i)(?<![\w.+-])[\w.+-]{1,64}(?:(?:\s?(?:\(at\)|\[at\])\s?|\s@\s)[\w-]{1,63}(?:(?:\s?(?:\(dot\)|\[dot\])\s?|\sdot\s|\.)[\w-]{2,63}){1,8}|\sat\s[\w-]{1,63}(?:\sdot\s[\w-]{2,63}){1,8})"
 )
 _PIECE = re.compile(r"[0-9]+|[^\W\d_]+|[^\s\w]|_")
+_EDGE = " .-/)"
 _CUES = {
     "email": re.compile(r"(?i)e?-?mail|contact|write|reach|address"),
     "ip": re.compile(r"(?i)\bip\b|host|server|address|ping"),
     "card": re.compile(r"(?i)card|visa|amex|payment|credit|debit"),
     "phone": re.compile(r"(?i)phone|tel|call|mobile|cell|fax|dial|whatsapp"),
 }
-_SEGMENT, _ENTITIES = 14, 4
+#: Pieces of the longest segment and of a window; entities of a made passage and of a window.
+_SEGMENT, _WINDOW, _ENTITIES, _MOST = 14, 56, 4, 20
 
 
 def luhn(digits: str) -> bool:
@@ -137,13 +142,13 @@ class SemiCrf:
     def scores(self, found, x) -> np.ndarray:
         return (x * self.w[[f[2] for f in found]]).sum(axis=1) if found else np.zeros(0)
 
-    def _lattice(self, n, found, scores, combine):
-        """Forward values [position][entities][last was an entity]."""
+    def _lattice(self, n, found, scores, combine, most=_ENTITIES):
+        """Forward values [position][entities][last was an entity], for at most ``most`` entities."""
         ends: dict[int, list[int]] = {}
         for k, (_, j, _) in enumerate(found):
             ends.setdefault(j, []).append(k)
         low = -1e30
-        value = np.full((n + 1, _ENTITIES + 1, 2), low)
+        value = np.full((n + 1, most + 1, 2), low)
         value[0, 0, 0] = 0.0
         for p in range(1, n + 1):
             value[p, :, 0] = combine(value[p - 1, :, 0], value[p - 1, :, 1])
@@ -153,13 +158,29 @@ class SemiCrf:
                 value[p, 1:, 1] = combine(value[p, 1:, 1], step)
         return value, ends
 
-    def decode(self, text: str, before: str, after: str) -> list[tuple[int, int, int]]:
-        """Best segmentation with at most _ENTITIES entities, as (start, end, kind) in the passage."""
+    def read(self, text: str, before: str, after: str) -> list[tuple[int, int, int]]:
+        """Entities of a passage of any length: a window's that may reach beyond it are left to the next window."""
+        pieces = [m.span() for m in _PIECE.finditer(text)]
+        out, at = [], 0
+        while True:
+            last = at + _WINDOW >= len(pieces)
+            a, b = (pieces[at][0] if at else 0), len(text) if last else pieces[at + _WINDOW - 1][1]
+            found = [(a + s, a + e, k) for s, e, k in self.decode(text[a:b], (before + text[:a])[-30:], (text[b : b + 10] + after)[:10])]
+            if last:
+                return out + found
+            sure = pieces[at + _WINDOW - _SEGMENT][0]
+            out += [f for f in found if f[1] <= sure]
+            start = min([sure, *(s for s, e, _ in found if e > sure)])
+            at = next(i for i in range(at + 1, len(pieces)) if pieces[i][0] >= start)
+
+    def decode(self, text: str, before: str, after: str, most: int = _MOST) -> list[tuple[int, int, int]]:
+        """Best segmentation with at most ``most`` entities, as (start, end, kind) in the passage."""
         pieces, found, x = self.segments(text, before, after)
         if not found:
             return []
         scores = self.scores(found, x)
-        value, ends = self._lattice(len(pieces), found, scores, np.maximum)
+        most = min(most, len(pieces))
+        value, ends = self._lattice(len(pieces), found, scores, np.maximum, most)
         flat = int(value[-1].argmax())
         e, last, p, out = flat // 2, flat % 2, len(pieces), []
         while p > 0:
@@ -244,17 +265,46 @@ def model(seed: int = 5) -> SemiCrf:
     return SemiCrf().train(made_passages(seed=seed))
 
 
+def passages(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """What the field reads: runs of numbers and spelt-out addresses, without the base spans in them."""
+    runs = []
+    for m in _NUMBERS.finditer(text):
+        a, b = m.span()
+        if text[b : b + 1] == "@" or text[b : b + 1].isalnum() or text[b : b + 1] == "_":  # the last group belongs to a word
+            while b > a and text[b - 1].isdigit():
+                b -= 1
+        runs.append((a, b))
+    if "@" in text or "(at)" in text or "[at]" in text or " at " in text:
+        runs += [m.span() for m in _SPELT.finditer(text)]
+    taken = sorted((s, e) for s, e, _ in base)
+    ends = np.maximum.accumulate([e for _, e in taken]).tolist() if taken else []
+    out = []
+    for a, b in sorted(runs):
+        i = bisect_right(ends, a)
+        while i < len(taken) and taken[i][0] < b and a < b:
+            out.append((a, taken[i][0]))
+            a, i = max(a, ends[i]), i + 1
+        out.append((a, b))
+    cut = []
+    for a, b in out:
+        while a < b and text[a] in _EDGE:
+            a += 1
+        while a < b and text[b - 1] in _EDGE:
+            b -= 1
+        if b - a >= 7:
+            cut.append((a, b))
+    return cut
+
+
 def all_spans(text: str, crf: SemiCrf) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and these with the field's."""
     base = base_spans(text)
-    passages = [m.span() for m in _NUMBERS.finditer(text)]
-    if "@" in text or "(at)" in text or "[at]" in text or " at " in text:
-        passages += [m.span() for m in _SPELT.finditer(text)]
     added: list[tuple[int, int, int]] = []
-    for a, b in passages:
-        if any(a < e and s < b for s, e, _ in (*base, *added)):
-            continue
-        added += [(a + s, a + e, k) for s, e, k in crf.decode(text[a:b], text[max(0, a - 30) : a], text[b : b + 10])]
+    for a, b in passages(text, base):
+        if added and a < added[-1][1]:  # an address and a number may share a passage
+            a = added[-1][1]
+        if b - a >= 7:
+            added += [(a + s, a + e, k) for s, e, k in crf.read(text[a:b], text[max(0, a - 30) : a], text[b : b + 10])]
     return base, sorted([*base, *added], key=lambda s: (s[0], s[2]))
 
 

@@ -208,6 +208,34 @@ def test_semicrf(hard, empty):
     assert pii_semicrf.find_personal_data(empty, crf).count() == 0
 
 
+def test_semicrf_reads_long_runs_and_beside_base_spans():
+    """Every number of a long list is offered whole, and what stands beside a base span is still read."""
+    crf = pii_semicrf.SemiCrf()  # likes what looks like a phone number, whatever stands before it
+    crf.w[3] = [-1, 0, 0, -5, 0, 0, 3, -5, -3, -3]
+    r = random.Random(8)
+    numbers = [f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}" for _ in range(60)]
+    text = "please call " + ", ".join(numbers) + " or phone " + " ".join(numbers[:30])
+    base, every = pii_semicrf.all_spans(text, crf)
+    found = [text[a:b] for a, b, k in every if k == 3]
+    assert found == numbers + numbers[:30] and all(a < b <= c for (a, b, _), (c, *_) in zip(every, every[1:]))
+    host = "host 10.0.0.1 call 555-123-4567 now"
+    base, every = pii_semicrf.all_spans(host, crf)
+    assert [host[a:b] for a, b, _ in base] == ["10.0.0.1"] and "555-123-4567" in [host[a:b] for a, b, _ in every]
+    packed = "phone 10.0.0.1 555-123-4567"
+    assert (6, 27) not in pii_semicrf.passages(packed, pii_semicrf.base_spans(packed)) and (15, 27) in pii_semicrf.passages(packed, pii_semicrf.base_spans(packed))
+    glued = "call 555-123-4567x"
+    assert pii_semicrf.passages(glued, []) == [(5, 12)]
+
+
+def test_semicrf_windows_agree_with_one_reading():
+    """Windows over a long passage give what one reading of all of it gives."""
+    crf = pii_semicrf.model()
+    r = random.Random(2)
+    for _ in range(5):
+        text = " ".join(r.choice([f"({r.randint(200, 999)}) {r.randint(200, 999)}-{r.randint(1000, 9999)}", str(r.randint(10, 99999)), f"{r.randint(200, 999)}-{r.randint(200, 999)}-{r.randint(1000, 9999)}"]) for _ in range(30))
+        assert crf.read(text, "call ", " end") == crf.decode(text, "call ", " end", most=60)
+
+
 def test_semicrf_best_segmentation():
     """The dynamic programme against all segmentations of short passages."""
     crf = pii_semicrf.model()
