@@ -16,18 +16,28 @@ def strip(c) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
+#: Matches of a text are added up by runs of this many, as an array grows by being copied.
+_RUN = 256
+
+
 def _offsets(pieces: Column, gaps: Column) -> Column:
     """Spans of pieces that stand between gaps, in code points."""
     long = lambda x: F.length(x).cast("bigint")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as {SPAN})").alias("spans"))
+    none = F.expr(f"cast(array() as {SPAN})")
 
     def step(acc, pair):
         a = acc["at"] + long(pair["gap"])
         b = a + long(pair["piece"])
         return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end"), pair["piece"].alias("text")))).alias("spans"))
 
+    def run(acc, part):
+        own = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+        return F.aggregate(F.array(own), acc, lambda a, x: F.struct(x["at"].alias("at"), F.concat(a["runs"], F.array(x["spans"])).alias("runs")))
+
     pairs = F.zip_with(pieces, F.slice(gaps, F.lit(1), F.size(pieces)), lambda p, g: F.struct(p.alias("piece"), g.alias("gap")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _RUN).cast("int")), lambda k: F.slice(pairs, k * _RUN + 1, F.lit(_RUN)))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("runs"))
+    return F.when(F.size(pairs) == 0, none).otherwise(F.aggregate(runs, start, run, lambda acc: F.flatten(acc["runs"])))
 
 
 def match_spans(text, pattern: str) -> Column:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+from bisect import bisect_left, bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,44 +31,58 @@ def paragraphs(pages: DataFrame, separator: str = r"\n[^\S\n]*\n") -> DataFrame:
     return rows.select("doc_id", "page_no", "idx", "p.start", "p.end", "p.text")
 
 
-def _word_start(par, k):
-    """Offset in a paragraph of its k-th word from the end (k >= 1)."""
-    words = text.match_spans(par, r"\S+")
-    return F.element_at(words, -F.least(k, F.size(words)))["start"]
+_WORD, _STOP = re.compile(r"\S+"), re.compile(r"[.!?](?=\s|$)")
 
 
-def _word_end(par, k):
-    words = text.match_spans(par, r"\S+")
-    return F.element_at(words, F.least(k, F.size(words)))["end"]
+def _borrowed(page: str, start: int, end: int, ratio: float) -> tuple[int, int, int, int] | None:
+    """(start, end, lead, trail) of the paragraph between two places: its first and last word, how far a chunk before it
+    reaches into it, and from where on a chunk after it takes it along. None where there is no word."""
+    words = [m.span() for m in _WORD.finditer(page, start, end)]
+    if not words:
+        return None
+    first, last = words[0][0], words[-1][1]
+    if ratio <= 0:
+        return first, last, first, last
+    k = max(1, math.ceil(len(words) * ratio))
+    stops = [m.end() for m in _STOP.finditer(page, first, last)]
+    if not stops or stops[-1] < last:
+        stops.append(last)
+    lead = stops[bisect_left(stops, words[k - 1][1])]
+    tail = words[-k][0]
+    i = bisect_right(stops, tail)
+    trail = words[bisect_left(words, (stops[i - 1], 0))][0] if i else first
+    return first, last, lead, trail
 
 
 def chunk(pages: DataFrame, overlap: float = 0.2, separator: str = r"\n[^\S\n]*\n") -> DataFrame:
     """chunk_id, doc_id, page_no, idx, text, char_start, char_end.
 
     A chunk is a paragraph with at least ``overlap`` of its neighbours' words, led back (or on) to a sentence's edge.
+    A page is read once: its paragraphs, words and sentences are offsets into it, and only chunks are cut out.
     """
     if not 0 <= overlap < 1:
         raise ValueError("overlap must lie in [0, 1)")
-    placed = page_offsets(pages)
-    w = Window.partitionBy("doc_id", "page_no").orderBy("idx")
-    rows = paragraphs(pages, separator)
-    for side, move in (("prev", F.lag), ("next", F.lead)):
-        rows = rows.withColumn(f"{side}_text", move("text").over(w)).withColumn(f"{side}_start", move("start").over(w))
-    size = lambda c: F.size(text.match_spans(c, r"\S+"))
-    before, after = F.col("prev_text"), F.col("next_text")
-    target = _word_start(before, text.overlap_words(size(before), overlap))
-    sentence = F.get(F.filter(text.sentences(before), lambda s: (s["start"] <= target) & (target < s["end"])), F.lit(0))
-    left = F.when(before.isNotNull() & (F.lit(overlap) > 0), F.col("prev_start") + F.coalesce(sentence["start"], target)).otherwise(F.col("start"))
-    target = _word_end(after, text.overlap_words(size(after), overlap))
-    sentence = F.get(F.filter(text.sentences(after), lambda s: (s["start"] < target) & (target <= s["end"])), F.lit(0))
-    right = F.when(after.isNotNull() & (F.lit(overlap) > 0), F.col("next_start") + F.coalesce(sentence["end"], target)).otherwise(F.col("end"))
-    bounds = rows.select("doc_id", "page_no", "idx", left.alias("a"), right.alias("b"))
-    joined = bounds.join(placed, ["doc_id", "page_no"])
-    return joined.select(
-        F.concat_ws("_", F.col("doc_id").cast("string"), F.concat(F.lit("p"), F.col("page_no").cast("string")), F.concat(F.lit("c"), F.col("idx").cast("string"))).alias("chunk_id"),
-        "doc_id", "page_no", "idx", F.substring(F.col("text"), (F.col("a") + 1).cast("int"), (F.col("b") - F.col("a")).cast("int")).alias("text"),
-        (F.col("page_start") + F.col("a")).alias("char_start"), (F.col("page_start") + F.col("b")).alias("char_end"),
-    )
+    between = re.compile(separator)
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for doc_id, page_no, page, offset in zip(*(c.to_pylist() for c in b.columns)):
+                page = page or ""
+                gaps = [m.span() for m in between.finditer(page)]
+                bounds = zip([0, *(g[1] for g in gaps)], [*(g[0] for g in gaps), len(page)])
+                found = [p for a, e in bounds if (p := _borrowed(page, a, e, overlap))]
+                for i, (first, last, _, _) in enumerate(found):
+                    a = found[i - 1][3] if i and overlap else first
+                    e = found[i + 1][2] if i + 1 < len(found) and overlap else last
+                    out.append((f"{doc_id}_p{page_no}_c{i}", doc_id, page_no, i, page[a:e], offset + a, offset + e))
+            columns = zip(*out) if out else [[]] * 7
+            kinds = [pa.string(), b.schema.field(0).type, b.schema.field(1).type, pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["chunk_id", "doc_id", "page_no", "idx", "text", "char_start", "char_end"])
+
+    placed = page_offsets(pages).select("doc_id", "page_no", "text", "page_start")
+    kind = {f.name: f.dataType.simpleString() for f in placed.schema}
+    return placed.mapInArrow(run, f"chunk_id string, doc_id {kind['doc_id']}, page_no {kind['page_no']}, idx int, text string, char_start long, char_end long")
 
 
 def gate(chunks: DataFrame, least: int = 30, most: int = 3) -> DataFrame:

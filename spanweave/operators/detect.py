@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from .spans import drop_contained
+from .spans import outside
 
 
 def _span_id(prefix: str, *columns) -> Column:
@@ -25,16 +25,26 @@ def scan_pattern(docs: DataFrame, kind: str, pattern: str, order: int = 0) -> Da
 
 
 def detect_patterns(docs: DataFrame, scan=None, contained: bool = False) -> DataFrame:
-    """Union of all patterns over (doc_id, text), read in one pass; contained spans of the same type go unless asked for."""
+    """Union of all patterns over (doc_id, text), read in one pass; contained spans of the same type go unless asked for.
+
+    Matches of one pattern never overlap, so only types that several patterns look for are searched for containment,
+    and that within a document's own arrays: nothing is shuffled.
+    """
     scan = scan or patterns.SCAN
-    def hits_of(i: int, kind: str, pattern: str) -> Column:
-        tag = lambda m: F.struct(F.lit(kind).alias("type"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(i).cast("bigint").alias("ord"))
-        return F.transform(text.match_spans(F.col("text"), pattern), tag)
+    kinds: dict[str, list[int]] = {}
+    for i, (kind, _) in enumerate(scan):
+        kinds.setdefault(kind, []).append(i)
+    found = docs.where(F.col("text").rlike("@|[0-9]")).select("doc_id", *[text.match_spans(F.col("text"), p).alias(f"h{i}") for i, (_, p) in enumerate(scan)])
+
+    def hits_of(i: int) -> Column:
+        hits = F.col(f"h{i}")
+        for j in kinds[scan[i][0]]:
+            if j != i and not contained:
+                hits = outside(hits, F.col(f"h{j}"))
+        return F.transform(hits, lambda m: F.struct(F.lit(scan[i][0]).alias("type"), m["text"].alias("text"), m["start"].alias("start"), m["end"].alias("end"), F.lit(i).cast("bigint").alias("ord")))
 
-    hits = F.concat(*[hits_of(i, k, p) for i, (k, p) in enumerate(scan)])
-    rows = docs.where(F.col("text").rlike("@|[0-9]")).select("doc_id", F.explode(hits).alias("m"))
-    spans = rows.select("doc_id", "m.type", "m.text", "m.start", "m.end", F.lit("regex").alias("source"), F.lit(0.95).alias("confidence"), "m.ord")
-    return spans if contained else drop_contained(spans)
+    rows = found.select("doc_id", F.explode(F.concat(*[hits_of(i) for i in range(len(scan))])).alias("m"))
+    return rows.select("doc_id", "m.type", "m.text", "m.start", "m.end", F.lit("regex").alias("source"), F.lit(0.95).alias("confidence"), "m.ord")
 
 
 def with_span_ids(spans: DataFrame) -> DataFrame:
@@ -55,11 +65,15 @@ _ITEM = "array<struct<type:string,text:string,char_start:string,char_end:string>
 
 
 def parse_answer(answer) -> Column:
-    """A model's answer as an array of (type, text, char_start, char_end): fenced, wrapped in an object, or in prose."""
+    """A model's answer as an array of (type, text, char_start, char_end): fenced, in prose, or wrapped in an object, under
+    a usual key or else the first one that holds a list."""
     bare = text.strip(F.regexp_replace(answer, r"(?s)^\s*```(?:json)?\s*|\s*```\s*$", ""))
     keys = [F.get_json_object(bare, f"$.{k}") for k in ("results", "spans", "data", "pii", "items")]
+    lists = [F.when(k.startswith("["), k) for k in keys]
+    values = F.map_values(F.from_json(bare, "map<string,string>"))
+    other = F.get(F.filter(values, lambda v: F.ltrim(v).startswith("[")), F.lit(0))
     first = F.regexp_extract(bare, r"(?s)\[.*?\]", 0)
-    source = F.when(bare.startswith("["), bare).when(bare.startswith("{"), F.coalesce(*keys)).otherwise(first)
+    source = F.when(bare.startswith("["), bare).when(bare.startswith("{"), F.coalesce(*lists, other)).otherwise(first)
     items = F.from_json(source, _ITEM)
     kept = F.filter(items, lambda x: x["text"].isNotNull() & (text.strip(x["text"]) != ""))
     tidy = F.transform(kept, lambda x: F.struct(text.normalize_type(x["type"]).alias("type"), x["text"].alias("text"), F.coalesce(x["char_start"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("char_start"), F.coalesce(x["char_end"].try_cast("bigint"), F.lit(0).cast("bigint")).alias("char_end")))

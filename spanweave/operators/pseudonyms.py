@@ -36,10 +36,10 @@ def statements(named: DataFrame) -> DataFrame:
 
 
 def payloads(spans: DataFrame) -> DataFrame:
-    """Per document: a header and a line for each span in order, and their number."""
+    """Per document: a header and a line for each span in order, their number, and the tags of its node."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("start", "ord", F.concat_ws(": ", "type", "text").alias("line")))), lambda x: F.concat(F.lit("- "), x["line"]))
     rows = spans.groupBy("doc_id").agg(F.array_join(lines, "\n").alias("body"), F.count(F.lit(1)).alias("n_spans"))
-    return rows.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("body")).alias("payload"), "n_spans")
+    return rows.select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("body")).alias("payload"), "n_spans", F.array(F.col("doc_id").cast("string")).alias("node_set"))
 
 
 def edges(named: DataFrame) -> DataFrame:

@@ -53,3 +53,15 @@ def ingest_metrics(pages: DataFrame, chunks: DataFrame, images: DataFrame) -> Da
     own = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), (F.min_by("width", "page_no") > 0).alias("has_geometry"))
     counted = lambda rows, name: rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias(name))
     return own.join(counted(chunks, "chunks"), "doc_id", "left").join(counted(images, "images"), "doc_id", "left").fillna(0, ["chunks", "images"]).select("doc_id", "pages", "chunks", "images", "has_geometry")
+
+
+def one_entity(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """(group_id, members, entities, same): whether the mentions (group_id, doc_id, text) that gold says are one are one.
+
+    found: doc_id, text, canonical_id. A mention that was not found counts as an entity of its own.
+    """
+    own = found.select("doc_id", "text", "canonical_id").distinct()
+    rows = groups.select("group_id", "doc_id", "text").distinct().join(own, ["doc_id", "text"], "left")
+    name = F.coalesce("canonical_id", F.concat_ws("#", F.lit("?"), "doc_id", "text"))
+    counted = rows.groupBy("group_id").agg(F.count_distinct("doc_id", "text").alias("members"), F.count_distinct(name).alias("entities"))
+    return counted.withColumn("same", F.col("entities") == 1)

@@ -20,16 +20,12 @@ def redact(docs: DataFrame, spans: DataFrame, surfaces: DataFrame) -> DataFrame:
     """doc_id, original, redacted, replacements for every document. Spans must not overlap; a document's spans are one array."""
     marks = replacements(spans, surfaces).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "pseudonym"))).alias("marks"))
     joined = docs.select("doc_id", F.col("text").alias("original")).join(marks, "doc_id", "left")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc, m):
-        gap = F.substring(F.col("original"), (acc["at"] + 1).cast("int"), (m["start"] - acc["at"]).cast("int"))
-        return F.struct(F.concat(acc["out"], gap, m["pseudonym"]).alias("out"), m["end"].alias("at"))
-
-    def rest(acc):
-        return F.concat(acc["out"], F.substring(F.col("original"), (acc["at"] + 1).cast("int"), F.length("original")))
-
-    rewritten = F.when(F.col("marks").isNull(), F.col("original")).otherwise(F.aggregate("marks", zero, step, rest))
+    # a piece for each span: what lies between it and the one before, and its pseudonym; then what is left
+    before = lambda i: F.coalesce(F.get("marks", i - 1)["end"], F.lit(0).cast("bigint"))
+    cut = lambda a, b: F.substring(F.col("original"), (a + 1).cast("int"), (b - a).cast("int"))
+    pieces = F.transform("marks", lambda m, i: F.concat(cut(before(i), m["start"]), m["pseudonym"]))
+    tail = cut(F.element_at("marks", -1)["end"], F.length("original"))
+    rewritten = F.when(F.col("marks").isNull(), F.col("original")).otherwise(F.concat(F.array_join(pieces, ""), tail))
     return joined.select("doc_id", "original", rewritten.alias("redacted"), F.coalesce(F.size("marks"), F.lit(0)).cast("bigint").alias("replacements"))
 
 
@@ -51,6 +47,20 @@ def span_rectangles(spans: DataFrame, words: DataFrame) -> DataFrame:
     return touched.groupBy("doc_id", "type", "start", "end", "page_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
+def rectangles_to_print(spans: DataFrame, words: DataFrame, surfaces: DataFrame, overlay: bool = True) -> DataFrame:
+    """doc_id, page_no, x0, y0, x1, y1, label: what a writer blacks out, and the pseudonym to print there (null without overlay)."""
+    named = replacements(spans, surfaces).select("doc_id", "type", "start", "end", "pseudonym")
+    label = F.col("pseudonym") if overlay else F.lit(None).cast("string")
+    return span_rectangles(spans, words).join(named, ["doc_id", "type", "start", "end"]).select("doc_id", "page_no", "x0", "y0", "x1", "y1", label.alias("label"))
+
+
+def unmapped(spans: DataFrame, surfaces: DataFrame) -> DataFrame:
+    """(surface): surfaces of spans that the map lacks, as they stand and trimmed."""
+    rows = spans.select(F.col("text").alias("surface")).distinct().withColumn("_trim", text.strip(F.col("surface")))
+    known = surfaces.select("surface")
+    return rows.join(known, "surface", "left_anti").join(known.withColumnRenamed("surface", "_trim"), "_trim", "left_anti").select("surface")
+
+
 def page_searches(spans: DataFrame, words: DataFrame, pages: DataFrame) -> DataFrame:
     """Spans without any word box: the pages of their document whose text holds theirs, whatever the case."""
     boxed = span_rectangles(spans, words).select("doc_id", "type", "start", "end").distinct()

@@ -1,10 +1,12 @@
-"""Resolving overlapping spans. A document's spans are one array: ten to a hundred structs, folded without Python.
+"""Resolving overlapping spans: a document's spans are swept in order, once.
 
 Span rows have doc_id, type, text, start, end, source, confidence; ``ord`` breaks ties in the order of detection.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -21,23 +23,43 @@ def _rank(order: dict[str, int]) -> Column:
 
 
 def _fold(spans: DataFrame, keys: list[Column], replace: bool = False) -> DataFrame:
-    """Greedy sweep by ``keys``: keep a span that starts at or after the last kept end (or, with ``replace``, let it replace an overlapped one that ends earlier)."""
-    fields = [c for c in spans.columns if c != "doc_id"]
-    item = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(f"`{f}`") for f in fields])
-    grouped = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("spans"))
-    kind = grouped.schema["spans"].dataType.simpleString()
-    empty = F.expr(f"cast(array() as {kind})")
-
-    def step(kept, s):
-        last = F.element_at(kept, -1)
-        free = (F.size(kept) == 0) | (s["start"] >= last["end"])
-        if not replace:
-            return F.when(free, F.concat(kept, F.array(s))).otherwise(kept)
-        better = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(s))
-        return F.when(free, F.concat(kept, F.array(s))).when(s["end"] > last["end"], better).otherwise(kept)
-
-    kept = grouped.select("doc_id", F.explode(F.aggregate("spans", empty, step)).alias("s"))
-    return kept.select("doc_id", *[F.col("s")[f].alias(f) for f in fields])
+    """Greedy sweep by ``keys``: keep a span that starts at or after the last kept end (or, with ``replace``, let it replace an overlapped one that ends earlier).
+
+    Whether a span stays hangs on those kept before it, so rows are sorted within their document's partition and pass
+    by in Arrow batches; only two numbers and a row are held, however many spans a document has.
+    """
+    fields = spans.columns
+    place = {c: fields.index(c) for c in ("doc_id", "start", "end")}
+
+    def run(batches):
+        doc, end, held = object(), 0, None  # held: the last kept row, which may still be replaced
+        for b in batches:
+            keep, last = np.zeros(b.num_rows, dtype=bool), -1
+            docs, starts, ends = (b.column(place[c]).to_pylist() for c in ("doc_id", "start", "end"))
+            for i, (d, s, e) in enumerate(zip(docs, starts, ends)):
+                if d != doc or s >= end:
+                    keep[i] = True
+                elif replace and e > end:
+                    keep[i] = True
+                    if last >= 0:
+                        keep[last] = False
+                    else:
+                        held = None
+                else:
+                    continue
+                doc, end, last = d, e, i
+            if last >= 0:
+                if held is not None:
+                    yield held
+                held, keep[last] = b.slice(last, 1), False
+            yield b.filter(pa.array(keep))
+        if held is not None:
+            yield held
+
+    names = [f"_k{i}" for i in range(len(keys))]
+    ties = [F.col(f"`{f}`") for f in fields if f != "doc_id"]  # what the keys leave open is settled by the rest of a row
+    dealt = spans.withColumns(dict(zip(names, keys))).repartition("doc_id").sortWithinPartitions("doc_id", *names, *ties)
+    return dealt.select(*[F.col(f"`{f}`") for f in fields]).mapInArrow(run, spans.schema)
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -56,13 +78,20 @@ def memory_overlap_dedup(spans: DataFrame) -> DataFrame:
 
 
 def drop_contained(spans: DataFrame) -> DataFrame:
-    """Drop a span that lies in a longer one of the same type in its document; equal ranges both stay."""
-    inner, outer = spans.alias("i"), spans.select("doc_id", "type", "start", "end").alias("o")
-    inside = (
-        (F.col("i.doc_id") == F.col("o.doc_id")) & (F.col("i.type") == F.col("o.type")) & (F.col("o.start") <= F.col("i.start")) & (F.col("o.end") >= F.col("i.end"))
-        & (F.col("o.end") - F.col("o.start") > F.col("i.end") - F.col("i.start"))
-    )
-    return inner.join(outer, inside, "left_anti")
+    """Drop a span that lies in a longer one of the same type in its document; equal ranges both stay.
+
+    In the order (start, -end), a longer span around another comes before it: one running maximum of ends per document
+    and type tells, over all rows before the range itself.
+    """
+    order = F.col("start").cast("bigint") * F.lit(1 << 32) - F.col("end")  # offsets are below 2^31
+    before = Window.partitionBy("doc_id", "type").orderBy(order).rangeBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("_reach", F.max("end").over(before)).where("_reach IS NULL OR _reach < end").drop("_reach")
+
+
+def outside(inner: Column, outer: Column) -> Column:
+    """The spans of one array that lie in no longer one of another."""
+    around = lambda m: F.exists(outer, lambda o: (o["start"] <= m["start"]) & (o["end"] >= m["end"]) & (o["end"] - o["start"] > m["end"] - m["start"]))
+    return F.filter(inner, lambda m: ~around(m))
 
 
 def dedup_by_id(spans: DataFrame, seq: str = "seq") -> DataFrame:

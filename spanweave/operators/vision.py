@@ -1,11 +1,18 @@
-"""Image regions: predicates over contours and words that a vision library finds, and pixelation in numpy."""
+"""Image regions: predicates over contours and words that a vision library finds, detectors as plug-ins, and blurring and
+pixelation in numpy over image files."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+REGIONS = "image_id string, x0 double, y0 double, x1 double, y1 double, label string, confidence double, source string"
+
 
 def shape_regions(contours: DataFrame) -> DataFrame:
     """(image_id, x, y, w, h, area) to labelled boxes: identity cards and signatures by size and aspect."""
@@ -46,24 +53,132 @@ def signature_strips(regions: DataFrame, images: DataFrame) -> DataFrame:
     return regions.join(wide.select("image_id"), "image_id", "left_anti").unionByName(whole)
 
 
-def pixelate(image: np.ndarray, box: tuple[int, int, int, int], cells: int = 10) -> np.ndarray:
-    """A copy of an image whose box is averaged over tenths of its sides; boxes of 10 pixels or less are filled with their mean."""
-    out = image.copy()
-    x0, y0, x1, y1 = box
-    part = out[y0:y1, x0:x1].astype(float)
-    if not part.size:
-        return out
-    if part.shape[0] <= 10 or part.shape[1] <= 10:
-        out[y0:y1, x0:x1] = part.mean(axis=(0, 1))
-        return out
-    rows, cols = np.arange(part.shape[0]) // cells, np.arange(part.shape[1]) // cells
-    for r in np.unique(rows):
-        for c in np.unique(cols):
-            part[np.ix_(rows == r, cols == c)] = part[np.ix_(rows == r, cols == c)].mean(axis=(0, 1))
-    out[y0:y1, x0:x1] = part
+def blur(part: np.ndarray, size: int = 51) -> np.ndarray:
+    """Gaussian blur of height x width x channels, mirrored at the edges; the deviation follows from the window's size."""
+    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
+    weights = np.exp(-0.5 * ((np.arange(size) - size // 2) / sigma) ** 2)
+    weights /= weights.sum()
+    out = part.astype(np.float64)
+    for axis in (0, 1):
+        n = out.shape[axis]
+        reach = np.abs(np.arange(-(size // 2), n + size // 2))
+        if n > 1:
+            reach = reach % (2 * n - 2)
+            reach = np.minimum(reach, 2 * n - 2 - reach)
+        else:
+            reach = np.zeros_like(reach)
+        wide = np.take(out, reach, axis=axis)
+        out = sum(w * np.take(wide, np.arange(k, k + n), axis=axis) for k, w in enumerate(weights))
+    return np.rint(out)
+
+
+def shrink(part: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Linear samples at the centres of a coarser grid."""
+    for axis, size in ((0, height), (1, width)):
+        n = part.shape[axis]
+        at = np.clip((np.arange(size) + 0.5) * n / size - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        share = (at - low).reshape([-1 if k == axis else 1 for k in range(part.ndim)])
+        part = np.take(part, low, axis=axis) * (1 - share) + np.take(part, np.minimum(low + 1, n - 1), axis=axis) * share
+    return np.rint(part)
+
+
+def pixelate(image: np.ndarray, box: tuple[float, float, float, float], cells: int = 10) -> np.ndarray:
+    """A copy of an image whose box, cut to the image, is blurred; one larger than ``cells`` pixels each way is also brought
+    down to a tenth of its sides and drawn up again in squares."""
+    out = image if image.ndim == 3 else image[:, :, None]
+    out = out.copy()
+    x0, y0, x1, y1 = (int(v) for v in box)
+    x0, y0, x1, y1 = max(0, x0), max(0, y0), min(out.shape[1], x1), min(out.shape[0], y1)
+    if x1 > x0 and y1 > y0:
+        part = blur(out[y0:y1, x0:x1])
+        h, w = part.shape[:2]
+        if h > cells and w > cells:
+            small = shrink(part, h // cells, w // cells)
+            part = small[(np.arange(h) * (h // cells) // h)][:, np.arange(w) * (w // cells) // w]
+        out[y0:y1, x0:x1] = part
+    return out.reshape(image.shape)
+
+
+def read_netpbm(data: bytes) -> np.ndarray:
+    """An 8-bit binary PGM or PPM image as height x width x channels."""
+    head = re.match(rb"(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", data)
+    if head is None or int(head[4]) > 255:
+        raise ValueError("not an 8-bit binary PGM or PPM image")
+    depth, width, height = (3 if head[1] == b"P6" else 1), int(head[2]), int(head[3])
+    return np.frombuffer(data, dtype=np.uint8, count=depth * width * height, offset=head.end()).reshape(height, width, depth)
+
+
+def write_netpbm(image: np.ndarray) -> bytes:
+    return b"P%d\n%d %d\n255\n" % (6 if image.shape[2] == 3 else 5, image.shape[1], image.shape[0]) + np.ascontiguousarray(image, dtype=np.uint8).tobytes()
+
+
+def redact_images(images: DataFrame, regions: DataFrame, decode: Callable[[bytes], np.ndarray] = read_netpbm, encode: Callable[[np.ndarray], bytes] = write_netpbm) -> DataFrame:
+    """(image_id, content, n_regions, error): images (image_id, content) with their regions (image_id, box) made unreadable.
+
+    decode and encode wrap an image library; netpbm needs none. An image without regions is written as it is read; one
+    that cannot be decoded has no content, so that it is never passed on unredacted.
+    """
+    boxes = regions.groupBy("image_id").agg(F.array_sort(F.collect_list(F.array("x0", "y0", "x1", "y1"))).alias("boxes"))
+    joined = images.select(F.col("image_id").cast("string").alias("image_id"), "content").join(boxes, "image_id", "left")
+
+    def run(batches):
+        for b in batches:
+            contents, counts, errors = [], [], []
+            for data, own in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                try:
+                    image = decode(data)
+                    for box in own or ():
+                        image = pixelate(image, box)
+                    contents.append(encode(image))
+                    errors.append(None)
+                except (ValueError, TypeError) as e:
+                    contents.append(None)
+                    errors.append(str(e))
+                counts.append(len(own or ()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(counts, pa.int64()), pa.array(errors, pa.string())], names=["image_id", "content", "n_regions", "error"])
+
+    return joined.mapInArrow(run, "image_id string, content binary, n_regions long, error string")
+
+
+def detect_regions(images: DataFrame, detectors: dict[str, Callable[[np.ndarray], list[tuple]]], decode: Callable[[bytes], np.ndarray] = read_netpbm) -> DataFrame:
+    """The union of what detectors find in images (image_id, content), with the detector's name as source.
+
+    A detector (faces, text, shapes: whatever library it wraps) maps pixels to (x0, y0, x1, y1, label, confidence). An
+    image that cannot be decoded has no regions.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for image_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    image = decode(data)
+                except (ValueError, TypeError):
+                    continue
+                out += [(image_id, *map(float, box), label, float(score), name) for name, find in detectors.items() for *box, label, score in find(image)]
+            kinds = [pa.string(), *[pa.float64()] * 4, pa.string(), pa.float64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=[x.split()[0] for x in REGIONS.split(", ")])
+
+    return images.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInArrow(run, REGIONS)
+
+
+def union_regions(*found: DataFrame) -> DataFrame:
+    """Regions of several detectors, one after the other; none is dropped."""
+    columns = ["image_id", "x0", "y0", "x1", "y1", "label", "confidence"]
+    out = found[0].select(*columns)
+    for more in found[1:]:
+        out = out.unionByName(more.select(*columns))
     return out
 
 
+def page_regions(regions: DataFrame, images: DataFrame) -> DataFrame:
+    """Regions with the document and page of their image, and how many the page has."""
+    rows = regions.join(images.select("image_id", "doc_id", "page_no"), "image_id")
+    counts = rows.groupBy("doc_id", "page_no").agg(F.count(F.lit(1)).alias("n_on_page"))
+    return rows.join(counts, ["doc_id", "page_no"])
+
+
 def similar_vectors(vectors: DataFrame, query: list[float], k: int = 10) -> DataFrame:
     """The k rows (vec_id, similarity) of highest cosine with a query; ties by id."""
     q = F.array(*[F.lit(float(x)) for x in query])

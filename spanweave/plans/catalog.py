@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +10,23 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, text
 from ..operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans, vision
-from ..sources.shared import settle
+from ..sources import files
+from ..sources.shared import settle, shared_dir
 from . import corpus, pipeline
 
 _COLUMNS = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
-_FEW = [("EMAIL", patterns.EMAIL), ("PHONE", patterns.PHONE), ("CREDIT_CARD", patterns.CREDIT_CARD)]
+#: The eight patterns written out once more for the oracle, in scan order, so that a slip in the library's own shows.
+_SQL_SCAN = [
+    ("EMAIL", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"),
+    ("PHONE", r"(?:\+44[\s\x0b]?7\d{3}|\(?07\d{3}\)?)[\s\x0b]?\d{3}[\s\x0b]?\d{3}"),
+    ("NI_NUMBER", r"(?i)\b[a-ceghj-pr-tw-z]{2}\d{6}[a-d]\b"),
+    ("CREDIT_CARD", r"\b(?:4\d{3}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}|5[1-5]\d{2}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}|3[47]\d{2}[-\s\x0b]?\d{6}[-\s\x0b]?\d{5}|6(?:011|5\d{2})[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4})\b"),
+    ("IBAN", r"(?i)\b[a-z]{2}\d{2}[a-z0-9]{4}\d{7}[a-z0-9]{0,16}\b"),
+    ("DOB", r"\b(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})\b"),
+    ("ADDRESS", r"(?i)\b[a-z]{1,2}\d[a-z\d]?[\s\x0b]?\d[a-z]{2}\b"),
+    ("ADDRESS", r"(?i)\d+[\s\x0b]+[a-z]{2,}(?:[\s\x0b]+[a-z]{2,})?,[\s\x0b]*(?:[a-z]{2,}[\s\x0b]*)+,?[\s\x0b]*[a-z]{1,2}\d[a-z\d]?[\s\x0b]?\d[a-z]{2}\b"),
+]
+_SQL_PATTERN = {"detect_email": 0, "detect_phone": 1, "detect_ni": 2, "detect_card": 3, "detect_iban": 4, "detect_dob": 5, "detect_postcode": 6, "detect_street": 7}
 _LETTERS = f"letters AS ({corpus.LETTERS})"
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -126,7 +137,7 @@ def _letter_run(spark, sf_dir) -> tuple[DataFrame, pipeline.Run]:
 
 
 def _memory(letters: DataFrame) -> DataFrame:
-    """Persons and addresses of the even letters, as a memory."""
+    """Persons and organisations of the even letters, as a memory."""
     even = _letter_spans(letters).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')")
     named = pseudonyms.assign(resolve.entities(even))
     rows = named.select(F.col("canonical_id").alias("key"), "canonical_id", "type", "canonical_text", "aliases", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "pseudonym")
@@ -134,13 +145,13 @@ def _memory(letters: DataFrame) -> DataFrame:
 
 
 _MEMORY = "model_even AS (SELECT * FROM model WHERE doc_id % 2 = 0 AND type IN ('PERSON', 'ORG'))"
-_WITH = f"WITH RECURSIVE {_LETTERS}, {_found('letters', patterns.SCAN)}, {_MODEL}, {_ALL}"
+_WITH = f"WITH RECURSIVE {_LETTERS}, {_found('letters', _SQL_SCAN)}, {_MODEL}, {_ALL}"
 _RUN = f"{_WITH}, {_greedy('every', _REGION)}, {_entities('kept')}"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return pipeline.run(docs, detect.detect_patterns(docs, _FEW)).redacted.select("doc_id", "redacted", "replacements")
+    return pipeline.run(docs, detect.detect_patterns(docs)).redacted.select("doc_id", "redacted", "replacements")
 
 
 # --- sources and pages -----------------------------------------------------------------------------------------------
@@ -182,14 +193,14 @@ def page_text_from_words(spark, sf_dir):
     return chunking.page_texts(_words(corpus.letters(spark, sf_dir)).drop("char_start", "char_end", "sep"))
 
 
-@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_found('pages', patterns.SCAN)} SELECT f.doc_id, type, s AS char_start, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM found f JOIN placed p ON f.doc_id = p.doc_id AND p.cs < f.e AND f.s < p.ce GROUP BY f.doc_id, type, s, e")
+@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_found('pages', _SQL_SCAN)} SELECT f.doc_id, type, s AS char_start, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM found f JOIN placed p ON f.doc_id = p.doc_id AND p.cs < f.e AND f.s < p.ce GROUP BY f.doc_id, type, s, e")
 def span_page_rect(spark, sf_dir):
     words = _words(corpus.letters(spark, sf_dir))
     pages = chunking.page_texts(words.drop("char_start", "char_end", "sep"))
     return redact.span_rectangles(detect.detect_patterns(pages), words).select("doc_id", "type", F.col("start").alias("char_start"), "x0", "y0", "x1", "y1")
 
 
-@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_found('pages', patterns.SCAN)} SELECT f.doc_id, type, s AS char_start, cs AS word_start, word FROM found f JOIN placed p ON f.doc_id = p.doc_id AND p.cs < f.e AND f.s < p.ce")
+@query(f"WITH {_LETTERS}, {_WORDS}, {_PLACED}, pages AS (SELECT doc_id, string_agg(sep || word, '' ORDER BY cs) AS text FROM placed GROUP BY doc_id), {_found('pages', _SQL_SCAN)} SELECT f.doc_id, type, s AS char_start, cs AS word_start, word FROM found f JOIN placed p ON f.doc_id = p.doc_id AND p.cs < f.e AND f.s < p.ce")
 def span_word_overlap(spark, sf_dir):
     words = _words(corpus.letters(spark, sf_dir))
     pages = chunking.page_texts(words.drop("char_start", "char_end", "sep"))
@@ -206,7 +217,7 @@ def _one(name: str, kind: str, pattern: str, letters: bool):
         return _out(detect.scan_pattern(docs, kind, pattern))
 
     f.__name__ = name
-    query(f"{head}raw AS ({_scan_sql(source, kind, pattern)}) {_SHOW.format('raw')}")(f)
+    query(f"{head}raw AS ({_scan_sql(source, *_SQL_SCAN[_SQL_PATTERN[name]])}) {_SHOW.format('raw')}")(f)
 
 
 for _name, _kind, _pattern, _own in (
@@ -216,12 +227,36 @@ for _name, _kind, _pattern, _own in (
     _one(_name, _kind, _pattern, _own)
 
 
-@query(f"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} {_SHOW.format('found')}")
+@query(f"WITH {_LETTERS}, {_found('letters', _SQL_SCAN)} {_SHOW.format('found')}")
 def detect_regex_all(spark, sf_dir):
     return _out(detect.detect_patterns(corpus.letters(spark, sf_dir)))
 
 
-@query(f"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} SELECT type, (SELECT count(*) FROM raw r WHERE r.type = f.type) AS before, count(*) AS after FROM found f GROUP BY type")
+@query(f"WITH {_found('documents', _SQL_SCAN)} {_SHOW.format('found')}")
+def detect_documents(spark, sf_dir):
+    return _out(detect.detect_patterns(table(spark, sf_dir, "documents")))
+
+
+#: Letters whose spaces are line ends, tabs, or two of both.
+_BROKEN = "broken AS (SELECT doc_id, replace(text, ' ', CASE doc_id % 3 WHEN 0 THEN chr(10) WHEN 1 THEN chr(9) ELSE ' ' END) AS text FROM letters)"
+
+
+@query(f"WITH {_LETTERS}, {_BROKEN}, {_found('broken', _SQL_SCAN)} {_SHOW.format('found')}")
+def detect_across_lines(spark, sf_dir):
+    gap = F.when(F.col("doc_id") % 3 == 0, "\n").when(F.col("doc_id") % 3 == 1, "\t").otherwise(" ")
+    letters = corpus.letters(spark, sf_dir)
+    return _out(detect.detect_patterns(letters.select("doc_id", F.replace("text", F.lit(" "), gap).alias("text"))))
+
+
+@query(f"WITH {_LETTERS}, {_found('letters', _SQL_SCAN)} SELECT doc_id, type, text AS surface, s AS char_start, e AS char_end FROM found UNION ALL SELECT doc_id, type, text, s, e FROM found WHERE type = 'EMAIL'")
+def drop_contained_rows(spark, sf_dir):
+    """Over rows: every span beside its own first part, which goes, and e-mail addresses twice, which stay."""
+    raw = detect.detect_patterns(corpus.letters(spark, sf_dir), contained=True)
+    inner = raw.where("end - start > 4").withColumn("end", F.col("end") - 1)
+    return _out(spans.drop_contained(raw.unionByName(inner).unionByName(raw.where("type = 'EMAIL'"))))
+
+
+@query(f"WITH {_LETTERS}, {_found('letters', _SQL_SCAN)} SELECT type, (SELECT count(*) FROM raw r WHERE r.type = f.type) AS before, count(*) AS after FROM found f GROUP BY type")
 def drop_contained(spark, sf_dir):
     raw = detect.detect_patterns(corpus.letters(spark, sf_dir), contained=True)
     after = spans.drop_contained(raw).groupBy("type").agg(F.count(F.lit(1)).alias("after"))
@@ -291,7 +326,16 @@ def mapping_with_memory(spark, sf_dir):
     return memory.mapping(_letter_spans(letters), _memory(letters))[1].select("surface", "pseudonym", "canonical_id")
 
 
-@query()
+_SORTED = "array_to_string(list_sort(string_split(aliases, '|')), '|')"
+_DOCS = "docs{x} AS (SELECT type, k, count(DISTINCT doc_id) AS n_docs FROM keyed{x} GROUP BY type, k)"
+# no new entity has the canonical text of a known one, and the memory's numbers have no gaps: new ones go on after them
+_UPSERT = f"""{_WITH}, {_MEMORY}, {_entities('model_even', '_m')}, fresh AS (SELECT * FROM every WHERE text NOT IN (SELECT text FROM model_even)), {_entities('fresh', '_n', 'named_m')}, {_DOCS.format(x='_m')}, {_DOCS.format(x='_n')},
+added AS (SELECT *, (SELECT count(*) FROM named_m m WHERE m.type = n.type) + row_number() OVER (PARTITION BY type ORDER BY canonical_id) - 1 AS free FROM named_n n)
+SELECT canonical_id AS key, type, canonical_text, {_SORTED} AS aliases, CAST(n_docs AS INT) AS n_docs, pseudonym FROM named_m JOIN docs_m USING (type, k)
+UNION ALL SELECT type || '-' || CASE WHEN free < 10000 THEN lpad(CAST(free AS STRING), 4, '0') ELSE CAST(free AS STRING) END, type, canonical_text, {_SORTED}, CAST(n_docs AS INT), pseudonym FROM added JOIN docs_n USING (type, k)"""
+
+
+@query(_UPSERT)
 def memory_upsert(spark, sf_dir):
     letters = corpus.letters(spark, sf_dir)
     known = _memory(letters)
@@ -300,13 +344,13 @@ def memory_upsert(spark, sf_dir):
 
 
 # --- resolution and pseudonyms ---------------------------------------------------------------------------------------
-@query(rf"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN')")
+@query(rf"WITH {_LETTERS}, {_found('letters', _SQL_SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN')")
 def normalize_structured(spark, sf_dir):
     rows = detect.detect_patterns(corpus.letters(spark, sf_dir)).where("type IN ('EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN')")
     return rows.select("type", F.col("text").alias("surface"), text.norm_structured(F.col("type"), F.col("text")).alias("norm")).distinct()
 
 
-@query(rf"WITH {_LETTERS}, {_found('letters', patterns.SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('ADDRESS', 'DOB')")
+@query(rf"WITH {_LETTERS}, {_found('letters', _SQL_SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('ADDRESS', 'DOB')")
 def normalize_basic(spark, sf_dir):
     rows = detect.detect_patterns(corpus.letters(spark, sf_dir)).where("type IN ('ADDRESS', 'DOB')")
     return rows.select("type", F.col("text").alias("surface"), text.norm_basic(F.col("text")).alias("norm")).distinct()
@@ -380,9 +424,9 @@ def entity_statements(spark, sf_dir):
     return pseudonyms.statements(_letter_run(spark, sf_dir)[1].entities).select("canonical_id", "pseudonym", "statement")
 
 
-@query(f"{_WITH}, {_greedy('every', _REGION)} SELECT doc_id, 'Document ' || CAST(doc_id AS STRING) || chr(10) || string_agg('- ' || type || ': ' || text, chr(10) ORDER BY s, ord) AS payload, count(*) AS n_spans FROM kept GROUP BY doc_id")
+@query(f"{_WITH}, {_greedy('every', _REGION)} SELECT doc_id, 'Document ' || CAST(doc_id AS STRING) || chr(10) || string_agg('- ' || type || ': ' || text, chr(10) ORDER BY s, ord) AS payload, count(*) AS n_spans, CAST(doc_id AS STRING) AS node FROM kept GROUP BY doc_id")
 def graph_payloads(spark, sf_dir):
-    return pseudonyms.payloads(spans.dedup_by_region(_letter_spans(corpus.letters(spark, sf_dir))))
+    return pseudonyms.payloads(spans.dedup_by_region(_letter_spans(corpus.letters(spark, sf_dir)))).select("doc_id", "payload", "n_spans", F.col("node_set")[0].alias("node"))
 
 
 @query(f"{_WITH}, {_greedy('every', _REGION)} SELECT doc_id, count(*) FILTER (source = 'regex') AS regex, count(*) FILTER (source = 'memory') AS memory, count(*) FILTER (source = 'llm') AS llm FROM kept GROUP BY doc_id")
@@ -398,7 +442,7 @@ def entity_scope(spark, sf_dir):
 
 
 # --- rewriting -------------------------------------------------------------------------------------------------------
-@query(f"WITH RECURSIVE {_found('documents', _FEW)}, {_greedy('found', _REGION)}, {_entities('kept')}, {_redacted('documents', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
+@query(f"WITH RECURSIVE {_found('documents', _SQL_SCAN)}, {_greedy('found', _REGION)}, {_entities('kept')}, {_redacted('documents', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
 def redact_text(spark, sf_dir):
     return flagship(spark, sf_dir)
 
@@ -501,19 +545,66 @@ def embedding_recall_topk(spark, sf_dir):
     return vision.similar_vectors(table(spark, sf_dir, "embeddings"), _QUERY_VECTOR, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"WITH RECURSIVE {_LETTERS}, {_found('letters', _SQL_SCAN)}, {_greedy('found', _REGION)}, {_entities('kept')}, {_redacted('letters', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
 def streaming_memory(spark, sf_dir):
-    """Letters arrive as files; the rewritten texts of all batches."""
+    """Letters arrive as files; the rewritten texts of all batches are those of one run over all letters."""
     from ..streaming import memory_stream
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    root = os.path.join(base, "spanweave", f"stream-{uuid.uuid4().hex}")
+    root = os.path.join(shared_dir(spark), "spanweave", f"stream-{uuid.uuid4().hex}")
     corpus.letters(spark, sf_dir).select("doc_id", "text").write.parquet(f"{root}/in")
     q = memory_stream.start(spark, memory_stream.documents(spark, f"{root}/in"), root)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/redacted").select("doc_id", "redacted", "replacements")
 
 
+# --- files, sinks and images over made rows ----------------------------------------------------------------------------
+@query(f"WITH {_LETTERS} SELECT 1 AS page_no, doc_id, length(text) AS n_chars, left(text, 60) AS preview FROM letters")
+def page_previews(spark, sf_dir):
+    return files.preview(_pages(spark, sf_dir), 60).withColumn("n_chars", F.col("n_chars").cast("bigint"))
+
+
+@query(f"{_RUN}, {_WORDS}, {_PLACED}, boxed AS (SELECT k.doc_id, page_no, k.type, k.s, k.e, k.text, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM kept k JOIN placed p ON k.doc_id = p.doc_id AND p.cs < k.e AND k.s < p.ce GROUP BY ALL) SELECT doc_id, page_no, x0, y0, x1, y1, pseudonym AS label FROM boxed JOIN smap ON text = surface")
+def rectangles_to_print(spark, sf_dir):
+    """Words stand where their letter has them, as a page of words would be laid out."""
+    letters, result = _letter_run(spark, sf_dir)
+    return redact.rectangles_to_print(result.spans, _words(letters), result.surfaces)
+
+
+@query(f"{_RUN} SELECT DISTINCT text AS surface FROM kept WHERE text NOT IN (SELECT surface FROM smap WHERE canonical_id LIKE 'E%')")
+def unmapped_surfaces(spark, sf_dir):
+    _, result = _letter_run(spark, sf_dir)
+    return redact.unmapped(result.spans, result.surfaces.where("canonical_id LIKE 'E%'"))
+
+
+@query(f"{_RUN}, mentions AS (SELECT DISTINCT CAST(doc_id % 8 AS STRING) AS group_id, doc_id, person AS text FROM letters), own AS (SELECT DISTINCT doc_id, text, canonical_id FROM kept JOIN smap ON text = surface) SELECT group_id, count(*) AS members, count(DISTINCT coalesce(canonical_id, '?#' || CAST(doc_id AS STRING) || '#' || text)) AS entities FROM mentions LEFT JOIN own USING (doc_id, text) GROUP BY group_id")
+def gold_groups(spark, sf_dir):
+    letters, result = _letter_run(spark, sf_dir)
+    groups = letters.select((F.col("doc_id") % 8).cast("string").alias("group_id"), "doc_id", F.col("person").alias("text"))
+    found = result.spans.join(result.surfaces.select(F.col("surface").alias("text"), "canonical_id"), "text")
+    return quality.one_entity(groups, found).drop("same")
+
+
+@query("SELECT p_partkey AS image_id, source, count(*) AS n FROM (SELECT p_partkey, 'faces' AS source FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'text' FROM part UNION ALL SELECT p_partkey, 'text' FROM part WHERE p_partkey % 3 = 0) x GROUP BY ALL")
+def detector_union(spark, sf_dir):
+    """Made images whose grey value is their number; two stand-in detectors look at it."""
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("image_id"), F.concat(F.encode(F.lit("P5\n4 4\n255\n"), "utf-8"), F.unhex(F.repeat(F.lpad(F.hex(F.col("p_partkey") % 6), 2, "0"), 16))).alias("content"))
+    faces = lambda image: [(0, 0, 2, 2, "FACE", 0.75)] if image[0, 0, 0] % 2 == 0 else []
+    words = lambda image: [(0, 0, 4, 1, "TEXT_PII", 0.5)] * (2 if image[0, 0, 0] % 3 == 0 else 1)
+    found = vision.detect_regions(made, {"faces": faces, "text": words})
+    return found.groupBy(F.col("image_id").cast("bigint").alias("image_id"), "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS image_id, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_regions, CASE WHEN p_partkey % 2 = 0 THEN 7 ELSE 0 END AS changed FROM part")
+def redacted_images(spark, sf_dir):
+    """Made images, two pixels high, one row of 0 and one of 14: the blurred box of even ones is 7 throughout."""
+    head = F.encode(F.lit("P5\n8 2\n255\n"), "utf-8")
+    made = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("image_id"), F.concat(head, F.unhex(F.lit("00" * 8 + "0E" * 8))).alias("content"))
+    boxes = made.where("CAST(image_id AS BIGINT) % 2 = 0").selectExpr("image_id", "0D AS x0", "0D AS y0", "8D AS x1", "2D AS y1")
+    out = vision.redact_images(made, boxes)
+    first = F.conv(F.hex(F.substring("content", 12, 1)), 16, 10).cast("int")
+    return out.select(F.col("image_id").cast("bigint").alias("image_id"), "n_regions", first.alias("changed"))
+
+
 def queries():
     return dict(_QUERIES)
 

@@ -40,5 +40,4 @@ FROM (
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/customer.parquet").createOrReplaceTempView("customer")
-    return spark.sql(LETTERS)
+    return spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))

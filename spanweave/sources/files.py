@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 from pyspark.sql.utils import AnalysisException
 
 PAGES = "doc_id string, page_no int, width double, height double, text string"
@@ -37,8 +39,18 @@ def docx_paragraphs(data: bytes) -> str:
 
 
 def docx_images(data: bytes) -> list[tuple[str, bytes]]:
+    """(name, content) of the images that the document itself refers to, in the order of its relationships."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return [(n, z.read(n)) for n in sorted(z.namelist()) if n.startswith("word/media/")]
+        names = set(z.namelist())
+        if "word/_rels/document.xml.rels" not in names:
+            return []
+        found = []
+        for rel in ElementTree.fromstring(z.read("word/_rels/document.xml.rels")):
+            target = rel.get("Target", "")
+            name = target.lstrip("/") if target.startswith("/") else posixpath.normpath(f"word/{target}")
+            if "image" in rel.get("Type", "") and rel.get("TargetMode") != "External" and name in names:
+                found.append((name, z.read(name)))
+        return found
 
 
 def read_docx(spark: SparkSession, path: str) -> DataFrame:
@@ -62,9 +74,46 @@ def read_docx_images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(_stem(F.col("path")).alias("doc_id"), "content").mapInPandas(run, "image_id string, doc_id string, page_no int, content binary")
 
 
-def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Pages of files by suffix; any other suffix is refused."""
-    readers = {".txt": read_text, ".docx": read_docx}
+WORDS = "doc_id string, page_no int, block_no int, line_no int, word_no int, word string, x0 double, y0 double, x1 double, y1 double"
+IMAGES = "image_id string, doc_id string, page_no int, content binary, x0 double, y0 double, x1 double, y1 double"
+
+
+def extract_words(spark: SparkSession, path: str, extractor: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Words of paginated files. extractor: a file's bytes to pages, each with ``words`` (block_no, line_no, word_no, word,
+    x0, y0, x1, y1) and ``images`` (xref, content, box or None); it runs on the executors, with whatever library it wraps."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(d, n, *w) for d, c in zip(f["doc_id"], f["content"]) for n, page in enumerate(extractor(bytes(c)), 1) for w in page.get("words", ())]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in WORDS.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select(_stem(F.col("path")).alias("doc_id"), "content").mapInPandas(run, WORDS)
+
+
+def extract_images(spark: SparkSession, path: str, extractor: Callable[[bytes], list[dict]]) -> DataFrame:
+    """Images of paginated files (see ``extract_words``): image_id is <doc>_p<page>_x<xref>, the box that of the first placement."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [
+                (f"{d}_p{n}_x{xref}", d, n, content, *(box or (None,) * 4))
+                for d, c in zip(f["doc_id"], f["content"]) for n, page in enumerate(extractor(bytes(c)), 1) for xref, content, box in page.get("images", ())
+            ]
+            yield pd.DataFrame(rows, columns=[x.split()[0] for x in IMAGES.split(", ")])
+
+    return spark.read.format("binaryFile").load(path).select(_stem(F.col("path")).alias("doc_id"), "content").mapInPandas(run, IMAGES)
+
+
+def read_documents(spark: SparkSession, paths: list[str], extractor: Callable[[bytes], list[dict]] | None = None) -> DataFrame:
+    """Pages of files by suffix; any other suffix is refused. PDF needs an ``extractor`` (see ``extract_words``)."""
+    from ..operators import chunking
+
+    def paged(spark: SparkSession, path: str) -> DataFrame:
+        words = extract_words(spark, path, extractor)
+        sizes = words.groupBy("doc_id", "page_no").agg(F.max("x1").alias("width"), F.max("y1").alias("height"))
+        return chunking.page_texts(words).join(sizes, ["doc_id", "page_no"]).select("doc_id", "page_no", "width", "height", "text")
+
+    readers = {".txt": read_text, ".docx": read_docx, **({".pdf": paged} if extractor else {})}
     out = None
     for path in paths:
         suffix = path[path.rfind(".") :].lower() if "." in path else ""
@@ -75,13 +124,33 @@ def read_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], PAGES)
 
 
+def preview(pages: DataFrame, chars: int = 200) -> DataFrame:
+    """doc_id, page_no, n_chars and the first characters of each page."""
+    return pages.select("doc_id", "page_no", F.length("text").alias("n_chars"), F.substring("text", 1, chars).alias("preview"))
+
+
+def first_boxes(words: DataFrame, count: int = 5) -> DataFrame:
+    """The first words of each page with their boxes."""
+    w = Window.partitionBy("doc_id", "page_no").orderBy("block_no", "line_no", "word_no")
+    return words.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= count).select("doc_id", "page_no", "word", "x0", "y0", "x1", "y1")
+
+
+def entities_from_json(rows: DataFrame, column: str = "entity") -> DataFrame:
+    """Entities (see MEMORY) of JSON texts as ``sinks.entity_json`` makes them; a malformed one is dropped."""
+    parsed = rows.select(F.from_json(column, _ENTITY).alias("e")).where("e.canonical_id IS NOT NULL")
+    return parsed.select(F.col("e.canonical_id").alias("key"), "e.*")
+
+
 def read_memory_json(spark: SparkSession, path: str) -> DataFrame:
-    """A memory snapshot in JSON; a missing or malformed file is an empty memory."""
+    """A memory snapshot in JSON, as one object or as a line for each entity; a missing or malformed file is an empty memory."""
+    kind = f"struct<entities:map<string,{_ENTITY}>>"
     try:
-        raw = spark.read.text(path, wholetext=True)
+        lines = spark.read.text(path)
+        by_line = bool(lines.where("trim(value) <> ''").limit(1).where(F.from_json("value", kind)["entities"].isNotNull()).head(1))
+        raw = lines if by_line else spark.read.text(path, wholetext=True)
     except AnalysisException:
         return spark.createDataFrame([], MEMORY)
-    parsed = raw.select(F.from_json("value", f"struct<entities:map<string,{_ENTITY}>>").alias("m")).where("m.entities IS NOT NULL")
+    parsed = raw.select(F.from_json("value", kind).alias("m")).where("m.entities IS NOT NULL")
     return parsed.select(F.explode("m.entities").alias("key", "e")).select("key", F.col("key").alias("canonical_id"), "e.type", "e.canonical_text", "e.aliases", "e.doc_ids", "e.pseudonym")
 
 
@@ -94,4 +163,7 @@ def read_memory(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_personas(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PERSONAS).json(path, multiLine=True)
+    """Personas from JSON: an array, on one line or many, or a line for each persona."""
+    first = spark.read.text(path).where("trim(value) <> ''").head()
+    head = first[0].strip() if first else ""
+    return spark.read.schema(PERSONAS).json(path, multiLine=head.startswith("[") and not head.endswith("]"))

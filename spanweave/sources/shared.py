@@ -5,16 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir. Only a local session, which has one machine, may leave it unset."""
+    conf = spark.sparkContext.getConf()
+    found = conf.get("spark.checkpoint.dir")
+    if not found and not conf.get("spark.master", "").startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or f"{tempfile.gettempdir()}/spanweave-shared"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` under spark.checkpoint.dir (a local folder where that is unset) and read it back.
+    """Write ``df`` under the shared folder and read it back.
 
-    What follows starts from a table: short plans, no work done twice, nothing lost with an executor.
+    What follows starts from a table: short plans, no work done twice, nothing lost with an executor. ``sweep`` removes
+    these tables.
     """
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{tempfile.gettempdir()}/spanweave-shared"
-    path = f"{root}/spanweave/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sweep(spark: SparkSession) -> bool:
+    """Remove every settled table of the shared folder; call it when no result that reads one is still wanted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanweave")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

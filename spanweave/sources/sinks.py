@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import uuid
+import zipfile
 from collections.abc import Callable
+from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +19,65 @@ def write_texts(redacted: DataFrame, path: str) -> None:
     redacted.select("doc_id", "redacted", "replacements").write.mode("overwrite").parquet(path)
 
 
-def write_pseudonyms(scoped: DataFrame, named: DataFrame, path: str) -> None:
-    """One JSON line per document: its entities with pseudonyms."""
+def _put(root: str, name: str, data: bytes) -> None:
+    """Write a file by way of another name, so that a task that runs again leaves a whole file."""
+    store, base = fs.FileSystem.from_uri(root) if "://" in root or root.startswith("file:") else (fs.LocalFileSystem(), root)
+    store.create_dir(base, recursive=True)
+    draft = f"{base}/.{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(draft) as out:
+        out.write(data)
+    store.move(draft, f"{base}/{name}")
+
+
+def write_text_files(redacted: DataFrame, root: str, suffix: str = "_redacted.txt", column: str = "redacted") -> None:
+    """One file per document, <doc_id>_redacted.txt, in a folder that all executors reach."""
+
+    def run(rows):
+        for r in rows:
+            _put(root, f"{r[0]}{suffix}", (r[1] or "").encode("utf-8", "surrogatepass"))
+
+    redacted.select(F.col("doc_id").cast("string"), column).foreachPartition(run)
+
+
+def write_pseudonyms(scoped: DataFrame, named: DataFrame, path: str, files: DataFrame | None = None) -> None:
+    """One JSON line per document: doc_id, original_filename, entities with pseudonyms, redacted_path.
+
+    files: (doc_id, original_filename, redacted_path); null for documents that it lacks.
+    """
     entity = F.struct("canonical_id", "type", "canonical_text", "aliases", "pseudonym")
     rows = scoped.join(named, "canonical_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(entity)).alias("entities"))
-    rows.write.mode("overwrite").json(path)
+    if files is None:
+        rows = rows.withColumns({"original_filename": F.lit(None).cast("string"), "redacted_path": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(files.select("doc_id", "original_filename", "redacted_path"), "doc_id", "left")
+    rows.select("doc_id", "original_filename", "entities", "redacted_path").write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def rewrite_files(files: DataFrame, plan: DataFrame, writer: Callable[[bytes, list[dict]], bytes]) -> DataFrame:
+    """(doc_id, content, error): every file (doc_id, content) as ``writer`` rewrites it by its rows of the plan.
+
+    plan: rectangles with what to print over them (``redact.rectangles_to_print``) or images to put back
+    (``vision.composites``), in the order of their page. The writer wraps a library for the format and runs on the
+    executors; a file that it fails on keeps its error and has no content. A file without a plan passes through it too.
+    """
+    fields = [c for c in plan.columns if c != "doc_id"]
+    marks = plan.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*sorted(fields, key=lambda c: c != "page_no")))).alias("marks"))
+    joined = files.select("doc_id", "content").join(marks, "doc_id", "left")
+
+    def run(batches):
+        for b in batches:
+            contents, errors = [], []
+            for data, rows in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                try:
+                    contents.append(writer(data, rows or []))
+                    errors.append(None)
+                except (RuntimeError, ValueError) as e:
+                    contents.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "content", "error"])
+
+    kind = joined.schema["doc_id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"doc_id {kind}, content binary, error string")
 
 
 def write_memory(memory: DataFrame, root: str, version: int) -> str:
@@ -33,13 +93,55 @@ def send(rows: DataFrame, writer: Callable) -> None:
 
 
 def write_personas(personas: DataFrame, path: str) -> None:
-    """Personas as JSON lines."""
+    """Personas as JSON lines, which ``files.read_personas`` reads."""
     personas.write.mode("overwrite").json(path)
 
 
+def docx_bytes(text: str) -> bytes:
+    """A text as a DOCX file, a paragraph for each line."""
+    space = "http://schemas.openxmlformats.org"
+    lines = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(t)}</w:t></w:r></w:p>' for t in text.split("\n"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", f'<?xml version="1.0"?><Types xmlns="{space}/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>')
+        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{space}/package/2006/relationships"><Relationship Id="rId1" Type="{space}/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>')
+        z.writestr("word/document.xml", f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{space}/wordprocessingml/2006/main"><w:body>{lines}</w:body></w:document>')
+    return out.getvalue()
+
+
+def write_documents(made: DataFrame, root: str) -> DataFrame:
+    """Made documents (doc_id, doc_type, persona_ids, text, spans) as <doc_id>.txt, .docx and .labels.json; returns the manifest."""
+
+    def run(rows):
+        for r in rows:
+            folder = f"{root}/{r.doc_id}"
+            _put(folder, f"{r.doc_id}.txt", r.text.encode())
+            _put(folder, f"{r.doc_id}.docx", docx_bytes(r.text))
+            _put(folder, f"{r.doc_id}.labels.json", r.labels.encode())
+
+    labels = F.to_json(F.struct("doc_id", "doc_type", "persona_ids", "spans", F.expr("cast(array() as array<string>)").alias("images")))
+    made.select("doc_id", "text", labels.alias("labels")).foreachPartition(run)
+    return manifest(made)
+
+
+def manifest(made: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """doc_id, doc_type, n_spans, n_images, n_regions. images: (doc_id, image_id, regions: array)."""
+    rows = made.select("doc_id", "doc_type", F.size("spans").cast("bigint").alias("n_spans"))
+    if images is None:
+        return rows.withColumns({"n_images": F.lit(0).cast("bigint"), "n_regions": F.lit(0).cast("bigint")})
+    counts = images.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_images"), F.sum(F.greatest(F.size("regions"), F.lit(0))).alias("n_regions"))
+    return rows.join(counts, "doc_id", "left").fillna(0, ["n_images", "n_regions"])
+
+
+def entity_json(memory: DataFrame) -> DataFrame:
+    """(key, entity): each entity as a JSON text; its spans are not part of it."""
+    return memory.select("key", F.to_json(F.struct("canonical_id", "type", "canonical_text", "aliases", "doc_ids", "pseudonym")).alias("entity"))
+
+
 def write_memory_json(memory: DataFrame, path: str) -> None:
-    """One JSON line per entity with the format's version, for tools that don't read Parquet."""
-    memory.select(F.lit("1.0").alias("version"), "*").write.mode("overwrite").json(path)
+    """A snapshot with its version on a line for each entity, which ``files.read_memory_json`` reads."""
+    entity = F.struct(*[c for c in memory.columns if c != "key"])
+    memory.select(F.create_map("key", entity).alias("entities"), F.lit("1.0").alias("version")).write.mode("overwrite").json(path)
 
 
 def export_spans(spans: DataFrame) -> DataFrame:

@@ -5,25 +5,39 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..plans import pipeline
 from ..sources import files
+from ..sources.shared import settle
 
 
-def start(spark: SparkSession, source: DataFrame, root: str) -> StreamingQuery:
+def start(spark: SparkSession, source: DataFrame, root: str, keep: int = 3) -> StreamingQuery:
     """Rewrite arriving documents (doc_id, text) under ``root``: redacted/batch=N, memory/version=N.
 
-    A batch that is run again after a failure overwrites its own output and reads the same snapshot, so the result is
-    the same. Repeats of a doc_id within a batch are dropped.
+    Of rows that share a doc_id in a batch the one of the smallest text counts, whatever the order they come in; an id
+    that an earlier batch has rewritten is passed over. So a batch that is run again after a failure reads the same
+    snapshot, leaves the same result and overwrites its own output. Of memory's versions the last ``keep`` stay.
     """
+    hadoop = spark._jvm.org.apache.hadoop.fs
+
+    def drop(path: str) -> None:
+        where = hadoop.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
     def batch(docs: DataFrame, number: int) -> None:
-        own = docs.dropDuplicates(["doc_id"])
+        own = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
+        if number:
+            before = spark.read.schema(f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, batch int").parquet(f"{root}/redacted").where(F.col("batch") < number)
+            own = own.join(before.select("doc_id"), "doc_id", "left_anti")
+        own = settle(own, "arrived")
         known = files.read_memory(spark, f"{root}/memory/version={number - 1:06d}")
         result = pipeline.run_with_memory(own, known)
         result.redacted.write.mode("overwrite").parquet(f"{root}/redacted/batch={number:06d}")
         pipeline.remember(known, result).write.mode("overwrite").parquet(f"{root}/memory/version={number:06d}")
+        if number >= keep:
+            drop(f"{root}/memory/version={number - keep:06d}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", os.path.join(root, "checkpoint")).trigger(availableNow=True).start()
 
@@ -31,3 +45,9 @@ def start(spark: SparkSession, source: DataFrame, root: str) -> StreamingQuery:
 def documents(spark: SparkSession, path: str) -> DataFrame:
     """A stream of Parquet files with doc_id and text."""
     return spark.readStream.schema("doc_id long, text string").parquet(path)
+
+
+def uploads(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("txt", "docx", "pdf"), most: int = 50 << 20) -> DataFrame:
+    """A stream of files that are dropped into a folder (path, length, content), of the given suffixes and at most 50 MB."""
+    rows = spark.readStream.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(path)
+    return rows.where(F.col("length") <= most).select("path", "length", "content")

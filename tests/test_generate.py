@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from spanweave.operators import detect, quality, vision
@@ -15,7 +17,34 @@ def test_letters_have_true_offsets(spark, tmp_path):
     rows = {r.type: r for r in quality.precision_recall(found, gold).collect()}
     assert all(rows[k].hits == rows[k].gold == 30 for k in ("EMAIL", "NI_NUMBER", "IBAN", "DOB"))
     sinks.write_personas(people, str(tmp_path / "people"))
-    assert spark.read.schema(files.PERSONAS).json(str(tmp_path / "people")).where("name_variants[2] LIKE '%, %'").count() == 12
+    back = files.read_personas(spark, str(tmp_path / "people"))
+    assert back.where("name_variants[3] LIKE '%, %' AND name_variants[2] LIKE 'Mr %'").count() == 12
+    for indent in (None, 2):
+        (tmp_path / f"list{indent}.json").write_text(json.dumps([r.asDict(recursive=True) for r in back.collect()], indent=indent))
+        assert sorted(files.read_personas(spark, str(tmp_path / f"list{indent}.json")).collect()) == sorted(back.collect())
+
+
+def test_documents_of_all_types(spark, tmp_path):
+    people = generate.personas(spark, 9)
+    made = generate.documents(people, 14)
+    rows = made.collect()
+    assert {r.doc_type for r in rows} == set(generate.TEMPLATES) - {"LETTER"}
+    assert all(r.text[s.start : s.end] == s.text for r in rows for s in r.spans)
+    manifest = {r.doc_id: r for r in sinks.write_documents(made, str(tmp_path / "docs")).collect()}
+    assert all(manifest[r.doc_id].n_spans == len(r.spans) and manifest[r.doc_id].n_regions == 0 for r in rows)
+    one = rows[3]
+    folder = tmp_path / "docs" / one.doc_id
+    assert (folder / f"{one.doc_id}.txt").read_text() == one.text
+    labels = json.loads((folder / f"{one.doc_id}.labels.json").read_text())
+    assert labels["doc_type"] == one.doc_type and [s["text"] for s in labels["spans"]] == [s.text for s in one.spans]
+    assert files.read_docx(spark, str(folder / f"{one.doc_id}.docx")).first().text == one.text
+    images = spark.createDataFrame([(one.doc_id, "i", ["r", "s"]), (one.doc_id, "j", [])], "doc_id string, image_id string, regions array<string>")
+    found = {r.doc_id: (r.n_images, r.n_regions) for r in sinks.manifest(made, images).collect()}
+    assert found[one.doc_id] == (2, 2) and found[rows[0].doc_id] == (0, 0)
+    chosen = generate.get_persona(people, people.limit(2), made, 0.5).collect()
+    assert len(chosen) == 14 and chosen == generate.get_persona(people, people.limit(2), made, 0.5).collect()
+    ids = people.select("driver_number", "ni_number", "other_id", generate.without_honorific(F.lit("Mrs Ann Lee")).alias("bare")).collect()
+    assert all(len(r.driver_number) == 16 and len(r.ni_number) == 9 and len(r.other_id) == 9 and r.bare == "Ann Lee" for r in ids)
 
 
 def test_wrap(spark):

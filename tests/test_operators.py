@@ -111,6 +111,8 @@ def test_model_answers(spark):
         ('{"results":[{"type":"foo","text":"b"}]}', [("OTHER", "b", 0)]),
         ('Sure: [{"type":"email","text":"c@d.e"}] done', [("EMAIL", "c@d.e", 0)]),
         ('[{"type":"email","text":"  "}]', []),
+        ('{"note":"two","found":[{"type":"org","text":"Acme"}],"more":[{"type":"org","text":"no"}]}', [("ORG", "Acme", 0)]),
+        ('{"results":"none","pii":[{"type":"dob","text":"x"}]}', [("DOB", "x", 0)]),
         ("nonsense", []),
     ]
     rows = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "i int, a string").select("i", detect.parse_answer(F.col("a")).alias("x")).orderBy("i").collect()
@@ -175,3 +177,90 @@ def test_trimmed_surfaces_are_rewritten(spark):
     surfaces = spark.createDataFrame([("Bob Ray", "Agent A", "PERSON-0000", "PERSON")], "surface string, pseudonym string, canonical_id string, type string")
     assert redact.redact(docs, found, surfaces).first().redacted == "by Agent A."
     assert spark.createDataFrame([(" x ",)], "t string").select(text.strip(F.col("t"))).first()[0] == "x"
+
+
+def test_fold_crosses_batches(spark):
+    """A sweep over a document that is longer than an Arrow batch, against the same sweep in one piece."""
+    r = random.Random(11)
+    items = [("A", a := r.randint(0, 90_000), a + r.randint(1, 40), "regex") for _ in range(12_000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got, moved = ranges(spans.dedup_by_region(spans_df(spark, items))), ranges(spans.memory_overlap_dedup(spans_df(spark, items)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, end = [], 0
+    for _, a, b, s in sorted(items, key=lambda x: (x[1], x[1] - x[2])):
+        if not want or a >= end:
+            want.append((a, b, s))
+            end = b
+    assert got == sorted(want)
+    want = []
+    for _, a, b, s in [x for _, x in sorted(enumerate(items), key=lambda x: (x[1][1], x[0]))]:
+        if not want or a >= want[-1][1]:
+            want.append((a, b, s))
+        elif b > want[-1][1]:
+            want[-1] = (a, b, s)
+    assert moved == sorted(want)
+
+
+def test_drop_contained_against_all_pairs(spark):
+    r = random.Random(5)
+    items = [(r.choice("AB"), a := r.randint(0, 80), a + r.randint(1, 20), "regex") for _ in range(300)]
+    want = [(a, b, s) for t, a, b, s in items if not any(u == t and c <= a and d >= b and d - c > b - a for u, c, d, _ in items)]
+    assert ranges(spans.drop_contained(spans_df(spark, items))) == sorted(want)
+
+
+#: Surfaces of eight documents, and where they stand: (document, [(type, start, surface)] in the order of patterns).
+GOLDEN = [
+    (1, [("EMAIL", 353, "priya.patel@meridian-health.co.uk"), ("PHONE", 402, "07700 900261"), ("NI_NUMBER", 309, "WK112233C"), ("DOB", 270, "1987-09-15"), ("ADDRESS", 217, "5 Elmwood Court, Birmingham, B15 3DH")]),
+    (2, [("EMAIL", 278, "john.smith@meridian-health.co.uk"), ("PHONE", 326, "07700 900142"), ("DOB", 188, "1984-03-12"), ("ADDRESS", 135, "14 Carlisle Road, Manchester, M20 4PL")]),
+    (3, [("EMAIL", 613, "daniel.walsh@northgate-finance.com"), ("PHONE", 656, "07700 900775"), ("CREDIT_CARD", 245, "6011527601895556"), ("IBAN", 203, "GB07OLJH23194875749118"), ("DOB", 186, "1978-06-04"), ("ADDRESS", 143, "27 Kingsway, Leeds, LS1 2HQ")]),
+    (4, [("EMAIL", 658, "priya.patel@meridian-health.co.uk"), ("PHONE", 695, "07700 900261"), ("NI_NUMBER", 242, "WK112233C"), ("DOB", 147, "1987-09-15"), ("ADDRESS", 172, "5 Elmwood Court, Birmingham, B15 3DH")]),
+    (5, [("EMAIL", 707, "stefan.novak@northgate-finance.com"), ("PHONE", 622, "07924402685"), ("PHONE", 745, "07700 900503"), ("NI_NUMBER", 154, "PR445566A"), ("CREDIT_CARD", 619, "4330792440268592"), ("IBAN", 663, "GB22MPCF76842684656321"), ("ADDRESS", 99, "92 Harbour View, Liverpool, L3 4BG")]),
+    (6, [("EMAIL", 818, "a.okafor@brightside-legal.co.uk"), ("EMAIL", 918, "a.okafor@brightside-legal.co.uk"), ("PHONE", 863, "07700 900318"), ("NI_NUMBER", 797, "AB654321A"), ("DOB", 761, "1990-11-27"), ("ADDRESS", 129, "8 Foundry Lane, Bristol, BS1 6RT")]),
+    (7, [("EMAIL", 643, "john.smith@meridian-health.co.uk"), ("PHONE", 684, "07700 900142"), ("IBAN", 559, "GB17KEMU01815908301661"), ("ADDRESS", 9356, "NE1 1XX"), ("ADDRESS", 169, "14 Carlisle Road, Manchester, M20 4PL")]),
+    (8, [("EMAIL", 710, "priya.patel@meridian-health.co.uk"), ("PHONE", 747, "07700 900261"), ("NI_NUMBER", 159, "WK112233C"), ("IBAN", 666, "GB73TPSZ71147104974650"), ("ADDRESS", 102, "5 Elmwood Court, Birmingham, B15 3DH")]),
+]
+
+
+def test_golden_offsets(spark):
+    """All eight patterns over texts that hold the golden surfaces at their places, and nothing else that they find."""
+    texts = []
+    for doc, rows in GOLDEN:
+        body = list("; " * 5000)
+        for _, at, surface in rows:
+            body[at : at + len(surface)] = surface
+        texts.append((doc, "".join(body)))
+    found = detect.detect_patterns(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id", "ord", "start").collect()
+    got = [(r.doc_id, r.type, r.start, r.text) for r in found]
+    assert got == [(doc, *row) for doc, rows in GOLDEN for row in rows]
+
+
+def test_line_ends_inside_surfaces(spark):
+    cases = ["07700\n900142", "+44\t7700 900\n123", "4111\t1111 1111\n1111", "M20\n4PL", "14  Carlisle  Road,\nManchester,  M20\x0b4PL"]
+    df = spark.createDataFrame(list(enumerate(f"see {c} now" for c in cases)), "doc_id long, text string")
+    got = {r.doc_id: (r.type, r.text, r.start) for r in detect.detect_patterns(df).collect()}
+    assert got == {i: (k, c, 4) for i, (k, c) in enumerate(zip(["PHONE", "PHONE", "CREDIT_CARD", "ADDRESS", "ADDRESS"], cases))}
+
+
+def test_ids_and_answers(spark):
+    rows = spans.dedup_by_id(detect.with_span_ids(spans_df(spark, [("A", 0, 4, "regex"), ("A", 0, 4, "regex"), ("A", 1, 4, "regex")])).withColumn("seq", F.col("ord")))
+    assert rows.count() == 2 and all(r.span_id.startswith("sp-") for r in rows.collect())
+    bodies = ['{"choices":[{"message":{"content":"a"}}]}', '{"response":"b"}', '{"message":{"content":"c"}}', '{"content":"d"}', "plain\nmore"]
+    df = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string")
+    assert [r.x for r in df.select("i", detect.answer_content(F.col("b")).alias("x")).orderBy("i").collect()] == ["a", "b", "c", "d", "plain"]
+
+
+def test_page_searches_and_likeness(spark):
+    words = spark.createDataFrame([("d", 1, "known", 0, 5, 0.0, 0.0, 1.0, 1.0)], "doc_id string, page_no int, word string, char_start long, char_end long, x0 double, y0 double, x1 double, y1 double")
+    pages = spark.createDataFrame([("d", 1, "Known"), ("d", 2, "the LOST one"), ("e", 1, "lost")], "doc_id string, page_no int, text string")
+    found = spark.createDataFrame([("d", "PERSON", "known", 0, 5), ("d", "PERSON", "Lost", 40, 44)], "doc_id string, type string, text string, start long, end long")
+    assert [(r.text, r.page_no) for r in redact.page_searches(found, words, pages).collect()] == [("Lost", 2)]
+    pairs = spark.createDataFrame([("d", "abcd", "abxd"), ("e", None, "")], "doc_id string, a string, b string")
+    assert {r.doc_id: (r.len_a, r.len_b, r.delta, r.ratio) for r in quality.likeness(pairs).collect()} == {"d": (4, 4, 0, 0.75), "e": (0, 0, 0, 1.0)}
+
+
+def test_entity_spans(spark, three):
+    docs, found, result = three
+    rows = resolve.entity_spans(found, result.entities)
+    assert rows.count() == found.count() and rows.where("text = 'J. Smith' AND canonical_id = 'PERSON-0000'").count() == 1
