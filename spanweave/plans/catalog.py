@@ -395,8 +395,8 @@ def canonical_text(spark, sf_dir):
 
 @query(f"{_RUN} SELECT n.canonical_id, k2.doc_id, n.pseudonym FROM (SELECT DISTINCT doc_id, type, k FROM keyed) k2 JOIN named n USING (type, k)")
 def entity_doc_edges(spark, sf_dir):
-    named = _letter_run(spark, sf_dir)[1].entities
-    return pseudonyms.edges(named).join(named.select("canonical_id", "pseudonym"), "canonical_id")
+    result = _letter_run(spark, sf_dir)[1]
+    return result.edges.join(result.entities.select("canonical_id", "pseudonym"), "canonical_id")
 
 
 @query(f"{_RUN} SELECT surface, pseudonym, canonical_id FROM smap")
@@ -411,7 +411,7 @@ def agent_labels(spark, sf_dir):
 
 @query(f"{_RUN} SELECT k2.doc_id, n.canonical_id FROM (SELECT DISTINCT doc_id, type, k FROM keyed) k2 JOIN named n USING (type, k)")
 def entity_docs(spark, sf_dir):
-    return pseudonyms.edges(_letter_run(spark, sf_dir)[1].entities).select("doc_id", "canonical_id")
+    return _letter_run(spark, sf_dir)[1].edges.select("doc_id", "canonical_id")
 
 
 @query(f"{_RUN} SELECT (SELECT count(*) FROM named) AS entities, (SELECT count(DISTINCT pseudonym) FROM named) AS pseudonyms, count(*) AS surfaces, count(*) FILTER (n > 1) AS shared FROM (SELECT text, count(DISTINCT type || k) AS n FROM surf GROUP BY text) x")

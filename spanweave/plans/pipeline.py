@@ -22,6 +22,11 @@ class Run:
     surfaces: DataFrame
     redacted: DataFrame
 
+    @property
+    def edges(self) -> DataFrame:
+        """(canonical_id, doc_id) rows from the spans themselves: no entity's documents gather in one array."""
+        return resolve.entity_spans(self.spans, self.entities).select("canonical_id", "doc_id").distinct()
+
 
 def run(docs: DataFrame, spans: DataFrame | None = None) -> Run:
     """Resolve spans (of the patterns, if none are given), name entities and rewrite every document."""
