@@ -12,7 +12,8 @@ From ranks to bytes, exactly:
 * the windows between, at the borders of repeated passages, are compared whole, together with those already known to be
   repeated whose first inner anchor has the same rank; of these the leading copy of a repeated prefix speaks for all.
 Documents that occur twice as a whole need no comparison at their borders. Whole prefixes and documents are compared by
-128-bit hashes, windows by 96 bits; ranks of shorter prefixes only prune.
+128-bit hashes, windows by 96 bits (of n windows, two that differ are taken for one with a chance of n^2 / 2^97: some
+2 in 10,000 for the 6 * 10^12 windows at borders of 100 TB); ranks of shorter prefixes only prune.
 """
 
 from __future__ import annotations
@@ -194,6 +195,17 @@ def _whole(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(_array(data, "<u4").reshape(2, -1).T).view("<u8").ravel()
 
 
+def _intervals(values: np.ndarray) -> bytes:
+    """Ascending numbers as their unbroken runs."""
+    heads = np.flatnonzero(np.append(True, np.diff(values) != 1)) if len(values) else np.empty(0, dtype=np.int64)
+    return _frames(pack(values[heads].astype("<i8").tobytes()), pack(np.diff(np.append(heads, len(values))).astype("<i8").tobytes()))
+
+
+def _members(data: bytes) -> np.ndarray:
+    heads, sizes = (_array(x, "<i8") for x in _unframe(data, 2))
+    return np.repeat(heads - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
 def _sorted_groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of 128-bit keys, and the group of each in that order."""
     order = np.lexsort((keys[1], keys[0]))
@@ -347,14 +359,17 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
         return sure, p, np.stack([names, np.zeros_like(names)]), asks
 
     def ask(block_id, levels):
-        _, _, keys, asks = asking(*ranks(levels, 3))
-        return _batch(list(_key_rows(block_id, keys, parts, asks)), pa.Table)
+        """A block's questions, and (part -4) what the later rounds start from, so that windows are looked for once."""
+        sure, p, keys, asks = asking(*ranks(levels, 3))
+        kept = _frames(_intervals(sure), pack(np.diff(p, prepend=0).astype("<u4").tobytes()), pack(keys[0].tobytes()))
+        return _batch([*_key_rows(block_id, keys, parts, asks), (block_id, -4, kept)], pa.Table)
 
     def border(levels):
-        block, *found = ranks(levels, 3)
-        sure, p, keys, _ = asking(block, *found)
-        p = p[_read_names(keys, levels.get(4, {}), parts) > 0]
-        return block, sure, p, block.hashes(p.tolist(), (p + length).tolist(), shift=32)
+        block = Block(levels[0][-1], length)
+        sure, p, names = _unframe(levels[3][-4], 3)
+        p, names = np.cumsum(_array(p, "<u4"), dtype=np.int64), _array(names, "<u8")
+        p = p[_read_names(np.stack([names, np.zeros_like(names)]), levels.get(4, {}), parts) > 0]
+        return block, _members(sure), p, block.hashes(p.tolist(), (p + length).tolist(), shift=32)
 
     def whole_windows(block_id, levels):
         keys = border(levels)[-1]
@@ -381,8 +396,12 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
     ranked = _rank_buckets(state.mapInArrow(first_keys, _STATE), parts)
     split = written(state.unionByName(ranked).groupBy("block").applyInArrow(survivors, _STATE), "repeat-survivors")
     rows = split.where("part in (-1, -3)").selectExpr("0 AS level", "*")
-    for level, step in ((2, second), (3, third), (4, ask), (5, whole_windows)):
-        keys = rows.groupBy("block").applyInArrow(round_of(step), _STATE)
-        answers = written(_rank_buckets(keys, parts, asked=level == 4), f"repeat-ranks{level}")
-        rows = rows.unionByName(answers.selectExpr(f"{level} AS level", "*"))
+    of_block = lambda rows, step: rows.groupBy("block").applyInArrow(round_of(step), _STATE)
+    at_level = lambda rows, level: rows.selectExpr(f"{level} AS level", "*")
+    for level, step in ((2, second), (3, third)):
+        rows = rows.unionByName(at_level(written(_rank_buckets(of_block(rows, step), parts), f"repeat-ranks{level}"), level))
+    asked = written(of_block(rows, ask), "repeat-border")
+    answers = written(_rank_buckets(asked.where("part >= 0"), parts, asked=True), "repeat-ranks4")
+    rows = at_level(split.where("part = -1"), 0).unionByName(at_level(asked.where("part = -4"), 3)).unionByName(at_level(answers, 4))
+    rows = rows.unionByName(at_level(written(_rank_buckets(of_block(rows, whole_windows), parts), "repeat-ranks5"), 5))
     return rows.groupBy("block").applyInArrow(round_of(finish), _RESULT).unionByName(split.where("part = -2").mapInArrow(finished, _RESULT))
