@@ -214,7 +214,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, rounds: i
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), CONTENT, META)
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64(CONTENT)]
-    own = rows.join(known, "doc_id").orderBy(*order).limit(most_labelled).collect()
+    own = written(rows.join(known, "doc_id").orderBy(*order).limit(most_labelled), "labelled").collect()  # as a table first, so that the driver gets no more than these rows
     own.sort(key=lambda r: zlib.crc32(str(r.doc_id).encode()))
     width = len(content_features("")), len(metadata_features(None, None, None))
     views = tuple(np.array([r[k + 1] for r in own], dtype=float).reshape(-1, width[k]) for k in (0, 1))
