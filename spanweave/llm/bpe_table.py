@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, pack, shuffle_parts, small, unpack
+from .common import buckets, id_text, pack, small, unpack
 
 #: The pattern of the byte-level pre-tokenizer, and the characters on which every Unicode version agrees with it.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -207,8 +207,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, block_chars: int = 8_000_0
     Ids are those of the library without added special tokens, a special token's string in a text being that token.
     Null or empty text has no ids. Repeated rows and null ids are kept. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    parts = buckets(docs)
     # dealt by block once: the words' branch reads this exchange, and the join takes place where it left the documents
     state = split_blocks(id_text(docs, id_col, text_col), tokenizer, parts, block_chars).repartition(parts, "block")
 

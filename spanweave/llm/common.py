@@ -36,8 +36,17 @@ def small(batches, rows: int = 1000):
             yield b.slice(at, rows)
 
 
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+#: Bytes of input, as Spark's scans state them, for a bucket that one task holds.
+BUCKET = 24 << 20
+
+
+def buckets(docs: DataFrame) -> int:
+    """Buckets to deal out what a table holds: the session's shuffle partitions, or more where the tables that it is read
+    from are so large that a bucket would outgrow a task."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    size = sum(x for x in sizes if x < 1 << 60)  # beyond that Spark doesn't know it
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // BUCKET), 1 << 20))
 
 
 def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import id_text, pack, shuffle_parts, small, unpack, written
+from .common import buckets, id_text, pack, small, unpack, written
 
 #: Bytes of a hashed window, windows among which one is an anchor, and the first prefix.
 GRAM, WINDOW, FIRST = 8, 64, 100
@@ -277,8 +277,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, block_bytes: int = 4_000_
     """
     if length < 400:
         raise ValueError("inner anchors are only guaranteed for strings of 400 bytes or more")
-    spark = docs.sparkSession
-    parts = shuffle_parts(spark)
+    parts = buckets(docs)
 
     def blocks(batches):
         task, seq, ids, null, texts, size = TaskContext.get().partitionId(), 0, [], [], [], 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import pack, shuffle_parts, small, unpack, written
+from .common import buckets, pack, small, unpack, written
 from .graph import connected_components
 
 _BITS = 1024
@@ -273,7 +273,7 @@ def _light(keys: DataFrame) -> DataFrame:
 def similar_links(docs: DataFrame, words: int = 5, radius: int = 4) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): links (a, b) between rows of the signatures join all that a chain of pairs with a Jaccard
     similarity of 0.8 or more joins, and no others. Every link is such a pair."""
-    sign, blocks = signatures(docs, words, shuffle_parts(docs.sparkSession))
+    sign, blocks = signatures(docs, words, buckets(docs))
     prefix = prefixes(blocks)
     distinct = written(sign.groupBy("fp").agg(F.min("row").alias("rep")), "distinct")
     same = sign.join(distinct, "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
