@@ -87,15 +87,16 @@ class Logistic:
     def columns(self, x: np.ndarray) -> np.ndarray:
         return np.column_stack([np.clip((x - self.mean) / self.scale, -8, 8), np.ones(len(x))])
 
-    def sums(self, x: np.ndarray, y) -> tuple[np.ndarray, np.ndarray]:
-        """Gradient and curvature of the loss over rows, at these weights."""
+    def sums(self, x: np.ndarray, y, bound: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Gradient and curvature of the loss over rows, at these weights; or the curvature's upper bound."""
         z = self.columns(x)
         p = 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
-        return z.T @ (p - y), (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+        return z.T @ (p - y), (z * (np.full(len(p), 0.25) if bound else p * (1 - p) + 1e-9)[:, None]).T @ z
 
     def step(self, x: np.ndarray, y: np.ndarray, more: list[tuple[float, np.ndarray, np.ndarray]] | None = None) -> Logistic:
-        """One Newton step over rows, and over others of which (weight, gradient, curvature) are given."""
-        gradient, curve = self.sums(x, y)
+        """One Newton step over rows; with others, of which (weight, gradient, bound of the curvature) are given, a step
+        by the bound: it never raises the loss, however sure and wrong this view was of the others' labels."""
+        gradient, curve = self.sums(x, y, bound=more is not None)
         penalty = np.append(np.full(len(self.weights) - 1, self.ridge), 1e-6)
         for weight, g, h in more or ():
             gradient, curve = gradient + weight * g, curve + weight * h
@@ -133,12 +134,12 @@ def _chance(odds: np.ndarray) -> np.ndarray:
 
 
 def pseudo_sums(models, free: tuple[np.ndarray, np.ndarray], sure: float) -> np.ndarray:
-    """For each learner and class: how many rows the other view is sure of, and their gradient and curvature; flat."""
+    """For each learner and class: how many rows the other view is sure of, their gradient and bound of curvature; flat."""
     out = []
     for learner in (0, 1):
         chance = _chance(models[1 - learner].odds(free[1 - learner]))
         for label, rows in ((0, chance <= 1 - sure), (1, chance >= sure)):
-            g, h = models[learner].sums(free[learner][rows], float(label))
+            g, h = models[learner].sums(free[learner][rows], float(label), bound=True)
             out += [[float(rows.sum())], g, h.ravel()]
     return np.concatenate(out)
 

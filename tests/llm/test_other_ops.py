@@ -205,6 +205,24 @@ def test_quality_without_two_classes(spark):
     assert corpus_pipeline.quality(spark, docs.where("false"), SMALL).count() == 0
 
 
+def test_sure_and_wrong_rounds_stay_bounded():
+    """A view that is sure of the opposite of what it is told moves by bounded steps, and loses nothing it had learned."""
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.normal(-4, 1, (200, 3)), r.normal(4, 1, (200, 3))])
+    y = np.repeat([0.0, 1.0], 200)
+    free = r.normal(9, 0.1, (5000, 3))  # the first view is sure that these are good; it is told that they are bad
+
+    def sums(models):
+        g, h = models[0].sums(free, 0.0, bound=True)
+        none = np.zeros(1 + 4 + 16)
+        told = np.concatenate([[5000.0], g, h.ravel()])
+        return np.concatenate([told, none, none, none])
+
+    model = cotraining.co_train((x, x), y, sums, 5, 0.5)
+    assert np.isfinite(model.views[0].weights).all() and abs(model.views[0].weights).max() < 20
+    assert ((model.score(x, x) >= 0.5) == (y == 1)).mean() > 0.95
+
+
 def test_co_training_rounds(spark):
     """The rounds in Spark, over all unlabelled rows, against the same sums taken row by row in one place."""
     docs, labels = spark.read.parquet(f"{MID}/documents.parquet"), spark.read.parquet(f"{MID}/labels.parquet")
@@ -221,7 +239,7 @@ def test_co_training_rounds(spark):
     def slope(m, x, target):
         z = np.append(np.clip((x - m.mean) / m.scale, -8, 8), 1)
         p = 1 / (1 + math.exp(-max(-30, min(30, float(z @ m.weights)))))
-        return (p - target) * z, (p * (1 - p) + 1e-9) * np.outer(z, z)
+        return (p - target) * z, 0.25 * np.outer(z, z)
 
     models = [cotraining.Logistic.fit(x, ys) for x in xs]
     for k in range(1, 6):
