@@ -92,6 +92,21 @@ def send(rows: DataFrame, writer: Callable) -> None:
     rows.foreachPartition(writer)
 
 
+def remember(rows: DataFrame, connect: Callable, text: str = "payload", reset: bool = False) -> None:
+    """Give a graph store one call of ``remember(text, tags)`` for each row (``text`` and node_set); with ``reset`` its
+    ``forget()`` comes first, once. connect makes a client wherever it is called, on the driver and on executors."""
+    if reset:
+        connect().forget()
+
+    def run(part):
+        client = None
+        for r in part:
+            client = client or connect()
+            client.remember(r[0], list(r[1]))
+
+    rows.select(text, "node_set").foreachPartition(run)
+
+
 def write_personas(personas: DataFrame, path: str) -> None:
     """Personas as JSON lines, which ``files.read_personas`` reads."""
     personas.write.mode("overwrite").json(path)

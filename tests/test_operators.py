@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from spanweave.functions import text
 from spanweave.operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans
 from spanweave.plans import pipeline
+from spanweave.sources import sinks
+from spanweave.streaming import memory_stream
 
 SCHEMA = "doc_id string, type string, text string, start long, end long, source string, confidence double, ord long"
 TEXTS = {
@@ -264,3 +266,44 @@ def test_entity_spans(spark, three):
     docs, found, result = three
     rows = resolve.entity_spans(found, result.entities)
     assert rows.count() == found.count() and rows.where("text = 'J. Smith' AND canonical_id = 'PERSON-0000'").count() == 1
+
+
+class Store:
+    """A graph store in a folder."""
+
+    def __init__(self, root):
+        self.root = root
+
+    def forget(self):
+        for f in self.root.iterdir():
+            f.unlink()
+
+    def remember(self, text, tags):
+        (self.root / "-".join(tags)).write_text(text)
+
+
+def test_graph_store(spark, three, tmp_path):
+    (tmp_path / "old").write_text("x")
+    docs, found, result = three
+    sinks.remember(pseudonyms.payloads(found), lambda: Store(tmp_path), reset=True)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["D1", "D2", "D3"] and (tmp_path / "D1").read_text().startswith("Document D1\n- PERSON: John Smith\n")
+    sinks.remember(pseudonyms.statements(result.entities), lambda: Store(tmp_path), "statement")
+    assert (tmp_path / "PERSON-0001-Agent B").exists() and len(list(tmp_path.iterdir())) == 12
+
+
+def test_stream_passes_over_known_ids(spark, tmp_path):
+    """Two batches: an id that comes twice in one counts once, one that an earlier batch has had is passed over."""
+    source = tmp_path / "in"
+    for k, rows in enumerate([[(1, "see b@x.org"), (1, "see a@x.org")], [(1, "see c@x.org"), (2, "see a@x.org, 07700 900142")]]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema("doc_id long, text string").parquet(str(source))
+        memory_stream.start(spark, stream, str(tmp_path / "out")).awaitTermination()
+        assert (tmp_path / "out" / "memory" / f"version={k:06d}").exists()
+    got = {(r.doc_id, r.redacted) for r in spark.read.parquet(str(tmp_path / "out" / "redacted")).collect()}
+    assert got == {(1, "see [EMAIL-1]"), (2, "see [EMAIL-1], [PHONE-1]")}
+    (tmp_path / "drop").mkdir()
+    (tmp_path / "drop" / "a.txt").write_text("x")
+    (tmp_path / "drop" / "b.exe").write_text("x")
+    q = memory_stream.uploads(spark, str(tmp_path / "drop")).writeStream.format("memory").queryName("uploads").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.path.rsplit("/", 1)[1] for r in spark.table("uploads").collect()] == ["a.txt"]
