@@ -49,5 +49,6 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
 
 def uploads(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("txt", "docx", "pdf"), most: int = 50 << 20) -> DataFrame:
     """A stream of files that are dropped into a folder (path, length, content), of the given suffixes and at most 50 MB."""
-    rows = spark.readStream.format("binaryFile").option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(path)
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    rows = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(path)
     return rows.where(F.col("length") <= most).select("path", "length", "content")

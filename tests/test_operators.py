@@ -268,26 +268,26 @@ def test_entity_spans(spark, three):
     assert rows.count() == found.count() and rows.where("text = 'J. Smith' AND canonical_id = 'PERSON-0000'").count() == 1
 
 
-class Store:
-    """A graph store in a folder."""
+def store_in(root):
+    """A maker of clients of a graph store in a folder; the class travels with it."""
 
-    def __init__(self, root):
-        self.root = root
+    class Store:
+        def forget(self):
+            for f in root.iterdir():
+                f.unlink()
 
-    def forget(self):
-        for f in self.root.iterdir():
-            f.unlink()
+        def remember(self, text, tags):
+            (root / "-".join(tags)).write_text(text)
 
-    def remember(self, text, tags):
-        (self.root / "-".join(tags)).write_text(text)
+    return Store
 
 
 def test_graph_store(spark, three, tmp_path):
     (tmp_path / "old").write_text("x")
     docs, found, result = three
-    sinks.remember(pseudonyms.payloads(found), lambda: Store(tmp_path), reset=True)
+    sinks.remember(pseudonyms.payloads(found), store_in(tmp_path), reset=True)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["D1", "D2", "D3"] and (tmp_path / "D1").read_text().startswith("Document D1\n- PERSON: John Smith\n")
-    sinks.remember(pseudonyms.statements(result.entities), lambda: Store(tmp_path), "statement")
+    sinks.remember(pseudonyms.statements(result.entities), store_in(tmp_path), "statement")
     assert (tmp_path / "PERSON-0001-Agent B").exists() and len(list(tmp_path.iterdir())) == 12
 
 
