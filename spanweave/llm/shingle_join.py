@@ -163,9 +163,9 @@ def _text_hashes():
     return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")
 
 
-def _pairs(h, row, size_place, group):
-    """Pairs of rows of different groups that share a shingle (h is sorted) and may still be similar by sizes and
-    places; in pieces."""
+def _pairs(h, row, size_place, group, bits):
+    """Pairs of rows of different groups that share a shingle (h is sorted) and may still be similar by sizes, places
+    and parity bits; in pieces."""
     n, place = size_place >> 32, size_place & 0xFFFFFFFF
     at, gap, out, held = np.arange(len(h)), 0, [], 0
     while True:
@@ -177,6 +177,9 @@ def _pairs(h, row, size_place, group):
         a, b = at, at + gap
         fit = (group[a] != group[b]) & _similar(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b])
         a, b = a[fit], b[fit]
+        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+        fit = _similar((n[a] + n[b] - apart) // 2, n[a], n[b])
+        a, b = a[fit], b[fit]
         out.append(np.stack([np.minimum(row[a], row[b]), np.maximum(row[a], row[b])]))
         held += len(a)
         if held >= 1 << 18:
@@ -206,7 +209,9 @@ def _by_shingle(pairs_of, columns: int):
         for b in batches:
             if not b.num_rows:
                 continue
-            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
+            new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(min(columns, 4))]
+            if columns > 4:
+                new.append(np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint64).reshape(b.num_rows, -1))
             held = [np.concatenate(x) for x in zip(held, new)] if held else new
             last = np.flatnonzero(held[0] != held[0][-1])
             if last.size and len(held[0]) >= 100_000:
@@ -247,15 +252,16 @@ def _sides(pairs: DataFrame, side: DataFrame, names: list[str]) -> DataFrame:
     return out.select("a", "b", *[f"{c}_{k}" for c in names for k in "ab"])
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, sign: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b: rows of ``sign``) whose similarity is 0.8 or more; first by parity bits, then by all shingles."""
+def _verify(pairs: DataFrame, docs: DataFrame, sign: DataFrame, words: int, screened: bool = False) -> DataFrame:
+    """The pairs (a, b: rows of ``sign``) whose similarity is 0.8 or more; first by parity bits, unless they have been
+    held against them, then by all shingles."""
 
     def sets(batches):
         for b in small(batches):
             packed = [shingles(t, words).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary())], names=["h1", "h2", "hashes"])
 
-    left = written(_sides(pairs, sign, ["n", "bits"]).mapInArrow(_possible, "a long, b long"), "candidates")
+    left = written(pairs if screened else _sides(pairs, sign, ["n", "bits"]).mapInArrow(_possible, "a long, b long"), "candidates")
     rows = left.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     named = written(sign.join(rows, "row", "left_semi").select("row", "h1", "h2"), "named")
     wanted = _light(named.select("h1", "h2").distinct())
@@ -281,9 +287,9 @@ def similar_links(docs: DataFrame, words: int = 5, radius: int = 4) -> tuple[Dat
     chains = prefix.repartition("h").sortWithinPartitions("h", "row").mapInArrow(_by_shingle(lambda *x: [_chains(*x)], 3), "a long, b long")
     close = written(_verify(near.unionByName(same).unionByName(chains).distinct(), docs, sign, words), "close-links")
     group = written(connected_components(close), "first-groups").withColumnRenamed("node", "row")
-    rows = prefix.join(group, "row", "left").select("h", "row", "size_place", F.coalesce("component", "row").alias("group"))
-    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_by_shingle(_pairs, 4), "a long, b long")
-    rest = _verify(pairs.distinct(), docs, sign, words)
+    rows = prefix.join(sign.select("row", "bits"), "row").join(group, "row", "left").select("h", "row", "size_place", F.coalesce("component", "row").alias("group"), "bits")
+    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_by_shingle(_pairs, 5), "a long, b long")
+    rest = _verify(pairs.distinct(), docs, sign, words, screened=True)
     return sign, close.unionByName(written(rest, "other-links"))
 
 
