@@ -8,8 +8,11 @@
 3. Links of fingerprints by the generalised pigeonhole (``simhash``), and chains through the rows of each shared shingle,
    are verified by the Jaccard similarity of the texts' distinct shingles. They make first groups, so that the pairs
    within a large group of copies are never all looked at.
-4. Pairs of different groups that share a shingle of both prefixes are held against parity bits, whose differing bits
-   never outnumber the shingles that only one of the two has, and then verified. So no similar pair is missed.
+4. Rows of different groups that share a shingle of both prefixes are held against parity bits, whose differing bits
+   never outnumber the shingles that only one of the two has. Every group's likeliest pair at a shingle is verified, and
+   the links found join groups, in a few rounds; a row that meets no other group at a shingle leaves that shingle.
+5. All pairs that still lie in different groups are verified. So no similar pair is missed, and a row that a large group
+   of near copies could take in by any of its rows meets them all only where the rounds found no link.
 """
 
 from __future__ import annotations
@@ -27,11 +30,14 @@ from .graph import connected_components
 _BITS = 1024
 #: Shingles of a block, and rows of one at most.
 _BLOCK, _ROWS = 1 << 20, 1 << 16
+#: Rounds at most in which groups are joined by their likeliest pairs before all pairs left are verified.
+_ROUNDS = 3
 #: Keys that may be broadcast: some 10 MB.
 _FEW = 200_000
 _SIGN = "row long, doc_id long, h1 long, h2 long, n int, fp long, bits binary"
 _STATE = "block long, part int, payload binary"
 _PREFIX = "h long, row long, size_place long"
+_MEETING = f"{_PREFIX}, other long"
 
 
 def shingles(text: str | None, words: int = 5) -> np.ndarray:
@@ -163,11 +169,11 @@ def _text_hashes():
     return F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), F.col("text")).alias("h2")
 
 
-def _pairs(h, row, size_place, group, bits):
-    """Pairs of rows of different groups that share a shingle (h is sorted) and may still be similar by sizes, places
-    and parity bits; in pieces."""
+def _meeting(h, size_place, group, bits):
+    """Places (a, b) of rows of different groups that share a shingle (h is sorted) and may still be similar by sizes,
+    places and parity bits, with the most shingles they can share; no place comes twice in one ``a`` or one ``b``."""
     n, place = size_place >> 32, size_place & 0xFFFFFFFF
-    at, gap, out, held = np.arange(len(h)), 0, [], 0
+    at, gap = np.arange(len(h)), 0
     while True:
         gap += 1
         at = at[at + gap < len(h)]
@@ -177,9 +183,15 @@ def _pairs(h, row, size_place, group, bits):
         a, b = at, at + gap
         fit = (group[a] != group[b]) & _similar(np.minimum(n[a] - place[a], n[b] - place[b]), n[a], n[b])
         a, b = a[fit], b[fit]
-        apart = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-        fit = _similar((n[a] + n[b] - apart) // 2, n[a], n[b])
-        a, b = a[fit], b[fit]
+        common = (n[a] + n[b] - np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)) // 2
+        fit = _similar(common, n[a], n[b])
+        yield a[fit], b[fit], common[fit]
+
+
+def _pairs(h, row, size_place, group, bits):
+    """The pairs of rows that ``_meeting`` finds, in pieces."""
+    out, held = [], 0
+    for a, b, _ in _meeting(h, size_place, group, bits):
         out.append(np.stack([np.minimum(row[a], row[b]), np.maximum(row[a], row[b])]))
         held += len(a)
         if held >= 1 << 18:
@@ -189,6 +201,21 @@ def _pairs(h, row, size_place, group, bits):
         yield np.unique(np.concatenate(out, axis=1), axis=1)
 
 
+def _likeliest(h, row, size_place, group, bits):
+    """The rows that ``_meeting`` finds, once a shingle; beside one of each group the row that it may share most with, and
+    -1 beside the others. No more rows than were given."""
+    n, share, other = size_place >> 32, np.zeros(len(h)), np.full(len(h), -1)
+    for a, b, common in _meeting(h, size_place, group, bits):
+        own = common / (n[a] + n[b])
+        for x, y in ((a, b), (b, a)):
+            more = own > share[x]
+            share[x[more]], other[x[more]] = own[more], y[more]
+    at = np.flatnonzero(other >= 0)
+    at = at[np.lexsort((-share[at], group[at], h[at]))]
+    leads = np.append(True, (h[at[1:]] != h[at[:-1]]) | (group[at[1:]] != group[at[:-1]]))[: len(at)]
+    yield h[at], row[at], size_place[at], np.where(leads, row[other[at]], -1)
+
+
 def _chains(h, row, size_place):
     """For every shingle (h is sorted, row within it) its rows in a chain, and all beside the first of them: links enough
     to group copies of one text, and no more than twice the rows."""
@@ -201,8 +228,9 @@ def _chains(h, row, size_place):
     return np.unique(np.stack([np.minimum(row[a], row[b])[fit], np.maximum(row[a], row[b])[fit]]), axis=1)
 
 
-def _by_shingle(pairs_of, columns: int):
-    """A function over batches sorted by their first column, h, that hands on whole shingles: no shingle is cut in two."""
+def _by_shingle(pairs_of, columns: int, names: tuple[str, ...] = ("a", "b")):
+    """A function over batches sorted by their first column, h, that hands on whole shingles: no shingle is cut in two.
+    names: the columns that ``pairs_of`` gives."""
 
     def run(batches):
         held = None
@@ -217,11 +245,11 @@ def _by_shingle(pairs_of, columns: int):
             if last.size and len(held[0]) >= 100_000:
                 done = last[-1] + 1
                 for p in pairs_of(*(x[:done] for x in held)):
-                    yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=names)
                 held = [x[done:] for x in held]
         if held:
             for p in pairs_of(*held):
-                yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in p], names=names)
 
     return run
 
@@ -276,6 +304,16 @@ def _light(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= _FEW else keys
 
 
+def _groups(links: DataFrame) -> DataFrame:
+    return written(connected_components(links), "groups").withColumnRenamed("node", "row")
+
+
+def _grouped(prefix: DataFrame, sign: DataFrame, group: DataFrame) -> DataFrame:
+    """Rows of ``prefix`` with their group, if they have one, and their parity bits, by shingle."""
+    rows = prefix.join(sign.select("row", "bits"), "row").join(group, "row", "left")
+    return rows.select("h", "row", "size_place", F.coalesce("component", "row").alias("group"), "bits").repartition("h").sortWithinPartitions("h")
+
+
 def similar_links(docs: DataFrame, words: int = 5, radius: int = 4) -> tuple[DataFrame, DataFrame]:
     """(signatures, links): links (a, b) between rows of the signatures join all that a chain of pairs with a Jaccard
     similarity of 0.8 or more joins, and no others. Every link is such a pair."""
@@ -286,9 +324,17 @@ def similar_links(docs: DataFrame, words: int = 5, radius: int = 4) -> tuple[Dat
     near = simhash.link_fingerprints(distinct, radius)
     chains = prefix.repartition("h").sortWithinPartitions("h", "row").mapInArrow(_by_shingle(lambda *x: [_chains(*x)], 3), "a long, b long")
     close = written(_verify(near.unionByName(same).unionByName(chains).distinct(), docs, sign, words), "close-links")
-    group = written(connected_components(close), "first-groups").withColumnRenamed("node", "row")
-    rows = prefix.join(sign.select("row", "bits"), "row").join(group, "row", "left").select("h", "row", "size_place", F.coalesce("component", "row").alias("group"), "bits")
-    pairs = rows.repartition("h").sortWithinPartitions("h").mapInArrow(_by_shingle(_pairs, 5), "a long, b long")
+    meeting, group = prefix, _groups(close)
+    names = tuple(f.split()[0] for f in _MEETING.split(", "))
+    for _ in range(_ROUNDS):
+        meeting = written(_grouped(meeting, sign, group).mapInArrow(_by_shingle(_likeliest, 5, names), _MEETING), "meeting")
+        pairs = meeting.where("other >= 0").select(F.least("row", "other").alias("a"), F.greatest("row", "other").alias("b"))
+        found = written(_verify(pairs.distinct(), docs, sign, words, screened=True), "bridges")
+        if found.isEmpty():
+            break
+        close = close.unionByName(found)
+        group = _groups(close)
+    pairs = _grouped(meeting, sign, group).mapInArrow(_by_shingle(_pairs, 5), "a long, b long")
     rest = _verify(pairs.distinct(), docs, sign, words, screened=True)
     return sign, close.unionByName(written(rest, "other-links"))
 

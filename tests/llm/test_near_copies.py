@@ -2,11 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 from plain import near_kept
 
 import corpus_pipeline
-from spanweave.llm import graph
+from spanweave.llm import graph, shingle_join
 
 MID = "/root/testdata/sf0.01"
 
@@ -41,6 +42,40 @@ def test_near_copies_on_both_sides_of_the_threshold(spark):
     assert corpus_pipeline.near(spark, df.where("false"), MID).count() == 0
 
 
+def test_pairs_of_a_large_group_stay_few(spark, monkeypatch):
+    """Copies with two changed words are similar to those with one, but not to each other: rows with one link each to a
+    large group must not be held against all of it."""
+    r = random.Random(5)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for k in range(400):
+        other = list(base)
+        for at in r.sample(range(5, 145), 2 if k < 300 else 1):
+            other[at] = f"new{r.randrange(10**9)}"
+        rows.append((k, " ".join(other)))
+    pairs, verify = [], shingle_join._verify
+
+    def counted(found, *args, **kwargs):
+        if kwargs.get("screened"):
+            pairs.append(found.count())
+        return verify(found, *args, **kwargs)
+
+    monkeypatch.setattr(shingle_join, "_verify", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = sorted((str(x.doc_id), x.text) for x in corpus_pipeline.near(spark, df, MID).collect())
+    assert got == near_kept(rows)
+    assert 0 < sum(pairs) < 10 * len(rows)
+
+
+def test_likeliest_pairs_are_no_more_than_rows():
+    """At one shingle every row is met, the likeliest of each group is named once, and rows that meet nobody go."""
+    own = [np.arange(k, k + 100) for k in (0, 1, 3, 6, 0, 5000)]
+    bits = np.stack([np.frombuffer(shingle_join.parity(x), np.uint64) for x in own])
+    h, row, group = np.full(6, 7), np.arange(10, 16), np.array([10, 11, 12, 13, 10, 15])
+    ((h, at, _, other),) = shingle_join._likeliest(h, row, np.full(6, 100 << 32), group, bits)
+    assert dict(zip(at.tolist(), other.tolist())) == {10: 11, 14: -1, 11: 10, 12: 11, 13: 12}
+
+
 def test_near_copies_of_hard_rows(spark):
     """Repeated rows, ids of several texts, null ids among copies, a very long text and columns of clashing names."""
     long = " ".join(f"x{k}" for k in range(30_000))
