@@ -68,7 +68,7 @@ def audit(docs: DataFrame, least_documents: int = 30, top: int = 50, smooth: int
     used = found.select("lang", "source", F.lit("term").alias("part"), F.col("item").cast("string").alias("item"), "value")
     sums = None
     for first in range(0, most, _SOURCES):
-        some = kept.mapInArrow(lambda batches, first=first: _pairs(batches, shared.value, first, smooth, unit), "lang string, source string, item string, value long")
+        some = kept.mapInArrow(lambda batches, first=first, last=first + _SOURCES: _pairs(batches, shared.value, first, last, smooth, unit), "lang string, source string, item string, value long")
         sums = some if sums is None else sums.unionByName(some)
     other = groups.withColumnRenamed("source", "item")
     bare = groups.join(vocabulary, "lang", "left_anti").join(other, "lang").where("source <> item").select("lang", "source", "item", F.lit(0).cast("long").alias("value"))
@@ -244,8 +244,8 @@ def _more(batches, by_lang: dict, smooth: int, unit: int):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(term), pa.string()), sources.take(pa.array(source)), terms.take(pa.array(term)), pa.array(p[term, source] - q[term])], names=["lang", "source", "item", "value"])
 
 
-def _pairs(batches, by_lang: dict, first: int, smooth: int, unit: int):
-    """Partial sums of this task's terms for the pairs of ``_SOURCES`` sources from ``first`` on with all others."""
+def _pairs(batches, by_lang: dict, first: int, last: int, smooth: int, unit: int):
+    """Partial sums of this task's terms for the pairs of sources ``first`` to ``last`` of a language with all others."""
     held: tuple[str, np.ndarray] | None = None
 
     def out():
@@ -256,7 +256,7 @@ def _pairs(batches, by_lang: dict, first: int, smooth: int, unit: int):
 
     for lang, _, counts in _counts(batches, by_lang):
         sources, n, v = by_lang[lang]
-        some = len(sources[first : first + _SOURCES])
+        some = len(sources[first:last])
         if not some:
             continue
         if held is None or held[0] != lang:

@@ -109,7 +109,7 @@ def accumulate(lists: list, queries: np.ndarray, scores: np.ndarray) -> None:
 
 def _tile(left: pa.Table, right: pa.Table, k: int, scale: int) -> pa.Table:
     names = ["query_row", "query_id", "row", "vec_id", "score"]
-    if not left.num_rows or not right.num_rows:
+    if any("v" not in t.column_names or not t.num_rows for t in (left, right)):  # a side without rows may come without columns
         return pa.table([pa.array([], pa.int64())] * 5, names=names)
     left = left.sort_by([("vec_id", "ascending"), ("row", "ascending")])  # nulls last, so positions break ties
     width = max(max(t.column("v").combine_chunks().value_lengths().to_numpy().max() for t in (left, right)), 1)

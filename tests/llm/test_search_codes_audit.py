@@ -172,8 +172,7 @@ def test_audit_on_hard_rows(spark, monkeypatch):
     df = spark.createDataFrame([(*x, "t", 1, 2, 3, 4) for x in rows], names).repartition(5)
     for least, top in ((30, 50), (3, 4), (1, 50)):
         assert sorted(map(tuple, source_divergence.audit(df, least, top).collect())) == sorted(plain_audit(rows, least, top))
-    monkeypatch.setattr(source_divergence, "_SOURCES", 2)
-    monkeypatch.setattr(source_divergence, "_CHUNK", 500)  # runs on workers too, as the lambda's module is read there; the driver's passes over sources are what this changes
+    monkeypatch.setattr(source_divergence, "_SOURCES", 2)  # several passes over pairs
     assert sorted(map(tuple, source_divergence.audit(df, 2, 9).collect())) == sorted(plain_audit(rows, 2, 9))
     assert source_divergence.audit(df.where("false")).count() == 0
 
