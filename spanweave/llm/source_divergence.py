@@ -122,9 +122,11 @@ def _long_text(lang: str, source: str, text: bytes, document: int) -> pa.RecordB
 
 
 def _combined(held: list[tuple[str, str, bytes, int]]) -> pa.RecordBatch:
-    """One row for each (lang, source, term) of some documents."""
-    groups = {k: i for i, k in enumerate(dict.fromkeys((lang, source) for lang, source, _, _ in held))}
+    """One row for each (lang, source, term) of some documents, in the order in which Spark sorts them: what is dealt out
+    is then made of sorted stretches, which Spark's sort merges."""
+    groups = {k: i for i, k in enumerate(sorted({(lang, source) for lang, source, _, _ in held}))}
     group = np.array([groups[lang, source] for lang, source, _, _ in held])
+    lang = np.unique([k[0] for k in groups], return_inverse=True)[1]
     data = np.frombuffer(b" ".join(text for _, _, text, _ in held), dtype=np.uint8)
     letter = data != 32
     edges = np.flatnonzero(np.diff(letter, prepend=False, append=False))
@@ -132,17 +134,20 @@ def _combined(held: list[tuple[str, str, bytes, int]]) -> pa.RecordBatch:
     own = np.searchsorted(np.cumsum([len(text) + 1 for _, _, text, _ in held]), begins, side="right")
     offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
     coded = pa.BinaryArray.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[letter])]).dictionary_encode()
-    terms = pa.concat_arrays([coded.dictionary, pa.array([b""], pa.binary())])
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(1, len(order) + 1)  # the empty term, which every document has, is 0
+    terms = pa.concat_arrays([pa.array([b""], pa.binary()), coded.dictionary.take(pa.array(order))])
     size = len(terms)
-    seen = np.concatenate([own * size + coded.indices.to_numpy(), np.arange(len(held)) * size + size - 1])
+    seen = np.concatenate([own * size + rank[coded.indices.to_numpy()], np.arange(len(held)) * size])
     seen, count = np.unique(seen, return_counts=True)  # (document, term)
-    order = np.argsort(group[seen // size] * size + seen % size, kind="stable")
-    seen, count = seen[order], count[order]
-    of = group[seen // size] * size + seen % size  # (group, term)
-    at = np.flatnonzero(np.diff(of, prepend=-1))
+    row = (lang[group[seen // size]] * size + seen % size) * len(groups) + group[seen // size]  # (lang, term, source)
+    order = np.argsort(row, kind="stable")
+    row, seen, count = row[order], seen[order], count[order]
+    at = np.flatnonzero(np.diff(row, prepend=-1))
     first = np.array([document for *_, document in held])[seen[at] // size]
-    lang, source = (pa.array([k[i] for k in groups], pa.string()).take(pa.array(of[at] // size)) for i in (0, 1))
-    return _rows(lang, source, terms.take(pa.array(of[at] % size)), first, np.diff(np.append(at, len(of))), np.add.reduceat(count, at))
+    langs, sources = (pa.array([k[i] for k in groups], pa.string()).take(pa.array(row[at] % len(groups))) for i in (0, 1))
+    return _rows(langs, sources, terms.take(pa.array(seen[at] % size)), first, np.diff(np.append(at, len(row))), np.add.reduceat(count, at))
 
 
 def _starts(table: pa.Table, columns: list[str]) -> np.ndarray:
