@@ -20,6 +20,12 @@ def strip(c) -> Column:
 _RUN = 256
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once: an expression that is used in several places, or in a lambda, would be
+    computed again in each."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _offsets(pieces: Column, gaps: Column) -> Column:
     """Spans of pieces that stand between gaps, in code points."""
     long = lambda x: F.length(x).cast("bigint")
@@ -32,12 +38,16 @@ def _offsets(pieces: Column, gaps: Column) -> Column:
 
     def run(acc, part):
         own = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("spans")), step)
-        return F.aggregate(F.array(own), acc, lambda a, x: F.struct(x["at"].alias("at"), F.concat(a["runs"], F.array(x["spans"])).alias("runs")))
+        return bound(own, lambda x: F.struct(x["at"].alias("at"), F.concat(acc["runs"], F.array(x["spans"])).alias("runs")))
+
+    def fold(pairs):
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _RUN).cast("int")), lambda k: F.slice(pairs, k * _RUN + 1, F.lit(_RUN)))
+        start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("runs"))
+        return F.when(F.size(pairs) == 0, none).otherwise(F.aggregate(runs, start, run, lambda acc: F.flatten(acc["runs"])))
 
-    pairs = F.zip_with(pieces, F.slice(gaps, F.lit(1), F.size(pieces)), lambda p, g: F.struct(p.alias("piece"), g.alias("gap")))
-    runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / _RUN).cast("int")), lambda k: F.slice(pairs, k * _RUN + 1, F.lit(_RUN)))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("runs"))
-    return F.when(F.size(pairs) == 0, none).otherwise(F.aggregate(runs, start, run, lambda acc: F.flatten(acc["runs"])))
+    # a last gap stands behind the last piece; zip_with gives it no piece
+    pairs = F.zip_with(pieces, gaps, lambda p, g: F.struct(p.alias("piece"), g.alias("gap")))
+    return bound(pairs, lambda x: fold(F.filter(x, lambda pair: pair["piece"].isNotNull())))
 
 
 def match_spans(text, pattern: str) -> Column:
@@ -49,9 +59,9 @@ def match_spans(text, pattern: str) -> Column:
 def literal_spans(text, literal) -> Column:
     """All non-overlapping occurrences of a literal, left to right; an empty literal occurs nowhere."""
     t, lit = F.coalesce(text, F.lit("")), F.coalesce(literal, F.lit(""))
-    gaps = F.split(t, F.concat(F.lit(r"\Q"), F.replace(lit, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    n = F.when((lit != "") & F.contains(t, lit), F.size(gaps) - 1).otherwise(0)
-    return _offsets(F.array_repeat(lit, n), gaps)
+    quoted = F.concat(F.lit(r"\Q"), F.replace(lit, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    found = F.when((lit != "") & F.contains(t, lit), F.split(t, quoted, -1)).otherwise(F.array(F.lit("")))
+    return bound(found, lambda gaps: _offsets(F.array_repeat(lit, F.size(gaps) - 1), gaps))
 
 
 def norm_structured(kind, surface) -> Column:
@@ -127,9 +137,8 @@ def pseudonym_index(kind, name) -> Column:
 def paragraphs(text, separator: str = r"\n[^\S\n]*\n") -> Column:
     """(start, end, text) of paragraphs with words, from their first word to their last."""
     t = F.coalesce(text, F.lit(""))
-    pieces = F.split(t, separator, -1)
     between = F.regexp_extract_all(t, F.lit(separator), F.lit(0))
-    spans = _offsets(pieces, F.concat(F.array(F.lit("")), between))
+    spans = _offsets(F.split(t, separator, -1), F.concat(F.array(F.lit("")), between))
     edged = F.transform(spans, lambda s: F.struct((s["start"] + F.length(s["text"]) - F.length(F.regexp_replace(s["text"], r"^\s+", ""))).alias("start"), strip(s["text"]).alias("text")))
     bounded = F.transform(edged, lambda s: F.struct(s["start"].cast("bigint").alias("start"), (s["start"] + F.length(s["text"])).cast("bigint").alias("end"), s["text"].alias("text")))
     return F.filter(bounded, lambda s: s["text"] != "")
@@ -137,8 +146,7 @@ def paragraphs(text, separator: str = r"\n[^\S\n]*\n") -> Column:
 
 def sentences(paragraph) -> Column:
     """(start, end, text) of sentences within a paragraph: up to . ! or ? before white space or the end."""
-    pieces = F.split(paragraph, r"(?<=[.!?])(?=\s|$)", -1)
-    spans = _offsets(pieces, F.array_repeat(F.lit(""), F.size(pieces)))
+    spans = bound(F.split(paragraph, r"(?<=[.!?])(?=\s|$)", -1), lambda pieces: _offsets(pieces, F.transform(pieces, lambda _: F.lit(""))))
     cut = F.transform(spans, lambda s: F.struct((s["end"] - F.length(F.regexp_replace(s["text"], r"^\s+", ""))).cast("bigint").alias("start"), s["end"].alias("end"), F.regexp_replace(s["text"], r"^\s+", "").alias("text")))
     return F.filter(cut, lambda s: s["text"] != "")
 

@@ -16,11 +16,14 @@ def _span_id(prefix: str, *columns) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("#", *columns), 256), 1, 8))
 
 
+def _gate(kind: str) -> Column:
+    """A cheap test that a text without a match of this kind often fails."""
+    return F.contains(F.col("text"), F.lit("@")) if kind == "EMAIL" else F.col("text").rlike("[0-9]")
+
+
 def scan_pattern(docs: DataFrame, kind: str, pattern: str, order: int = 0) -> DataFrame:
     """Spans of one pattern. Its matches are computed once per document and only where a cheap test lets it."""
-    need = "@" if kind == "EMAIL" else None
-    gate = F.contains(F.col("text"), F.lit(need)) if need else F.col("text").rlike("[0-9]")
-    found = docs.where(gate).select("doc_id", F.explode(text.match_spans(F.col("text"), pattern)).alias("m"))
+    found = docs.where(_gate(kind)).select("doc_id", F.explode(text.match_spans(F.col("text"), pattern)).alias("m"))
     return found.select("doc_id", F.lit(kind).alias("type"), "m.text", "m.start", "m.end", F.lit("regex").alias("source"), F.lit(0.95).alias("confidence"), F.lit(order).cast("bigint").alias("ord"))
 
 
@@ -34,7 +37,9 @@ def detect_patterns(docs: DataFrame, scan=None, contained: bool = False) -> Data
     kinds: dict[str, list[int]] = {}
     for i, (kind, _) in enumerate(scan):
         kinds.setdefault(kind, []).append(i)
-    found = docs.where(F.col("text").rlike("@|[0-9]")).select("doc_id", *[text.match_spans(F.col("text"), p).alias(f"h{i}") for i, (_, p) in enumerate(scan)])
+    none = F.expr(f"cast(array() as {text.SPAN})")
+    spans = [F.when(_gate(kind), text.match_spans(F.col("text"), p)).otherwise(none) for kind, p in scan]
+    found = docs.where(F.col("text").rlike("@|[0-9]")).select("doc_id", *[h.alias(f"h{i}") for i, h in enumerate(spans)])
 
     def hits_of(i: int) -> Column:
         hits = F.col(f"h{i}")

@@ -138,7 +138,7 @@ def _letter_run(spark, sf_dir) -> tuple[DataFrame, pipeline.Run]:
 
 def _memory(letters: DataFrame) -> DataFrame:
     """Persons and organisations of the even letters, as a memory."""
-    even = _letter_spans(letters).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')")
+    even = _model_spans(letters).select(*_COLUMNS).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')")
     named = pseudonyms.assign(resolve.entities(even))
     rows = named.select(F.col("canonical_id").alias("key"), "canonical_id", "type", "canonical_text", "aliases", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "pseudonym")
     return settle(rows, "memory")
@@ -323,7 +323,7 @@ def next_counters(spark, sf_dir):
 @query(f"{_WITH}, {_MEMORY}, {_entities('model_even', '_m')}, fresh AS (SELECT * FROM every WHERE text NOT IN (SELECT text FROM model_even)), {_entities('fresh', '_n', 'named_m')} SELECT surface, pseudonym, canonical_id FROM smap_m UNION ALL SELECT surface, pseudonym, canonical_id FROM smap_n")
 def mapping_with_memory(spark, sf_dir):
     letters = corpus.letters(spark, sf_dir)
-    return memory.mapping(_letter_spans(letters), _memory(letters))[1].select("surface", "pseudonym", "canonical_id")
+    return memory.mapping(settle(_letter_spans(letters), "spans"), _memory(letters))[1].select("surface", "pseudonym", "canonical_id")
 
 
 _SORTED = "array_to_string(list_sort(string_split(aliases, '|')), '|')"
@@ -339,7 +339,7 @@ UNION ALL SELECT type || '-' || CASE WHEN free < 10000 THEN lpad(CAST(free AS ST
 def memory_upsert(spark, sf_dir):
     letters = corpus.letters(spark, sf_dir)
     known = _memory(letters)
-    named, _ = memory.mapping(_letter_spans(letters), known)
+    named, _ = memory.mapping(settle(_letter_spans(letters), "spans"), known)
     return memory.upsert(known, named).select("key", "type", "canonical_text", F.array_join("aliases", "|").alias("aliases"), F.size("doc_ids").alias("n_docs"), "pseudonym")
 
 

@@ -40,4 +40,8 @@ FROM (
 
 
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    """The letters, dealt out to all cores where the customers' files are fewer."""
+    customers, cores = spark.read.parquet(f"{sf_dir}/customer.parquet"), spark.sparkContext.defaultParallelism
+    if customers.rdd.getNumPartitions() < cores:
+        customers = customers.repartition(cores)
+    return spark.sql(LETTERS.replace("FROM customer", "FROM {customer}"), customer=customers)
