@@ -547,13 +547,17 @@ def embedding_recall_topk(spark, sf_dir):
 
 @query(f"WITH RECURSIVE {_LETTERS}, {_found('letters', _SQL_SCAN)}, {_greedy('found', _REGION)}, {_entities('kept')}, {_redacted('letters', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
 def streaming_memory(spark, sf_dir):
-    """Letters arrive as files; the rewritten texts of all batches are those of one run over all letters."""
+    """Letters arrive as six files, in their order, each a batch of its own; the rewritten texts of all batches are those of
+    one run over all letters."""
     from ..streaming import memory_stream
 
     root = os.path.join(shared_dir(spark), "spanweave", f"stream-{uuid.uuid4().hex}")
-    corpus.letters(spark, sf_dir).select("doc_id", "text").write.parquet(f"{root}/in")
-    q = memory_stream.start(spark, memory_stream.documents(spark, f"{root}/in"), root)
-    q.awaitTermination()
+    letters = corpus.letters(spark, sf_dir).select("doc_id", "text")
+    bounds = letters.agg(F.min("doc_id"), F.max("doc_id") + 1).first()
+    for k in range(6):
+        low, high = ((bounds[1] - bounds[0]) * (k + i) // 6 + bounds[0] for i in (0, 1))
+        letters.where((F.col("doc_id") >= low) & (F.col("doc_id") < high)).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    memory_stream.drain(memory_stream.start(spark, memory_stream.documents(spark, f"{root}/in", 1), root))
     return spark.read.parquet(f"{root}/redacted").select("doc_id", "redacted", "replacements")
 
 

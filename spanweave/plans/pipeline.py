@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import chunking, detect, memory, pseudonyms, redact, resolve
 from ..operators.spans import dedup_by_region
 from ..sources.shared import settle
@@ -28,6 +29,14 @@ class Run:
         return resolve.entity_spans(self.spans, self.entities).select("canonical_id", "doc_id").distinct()
 
 
+    @property
+    def mentions(self) -> DataFrame:
+        """(canonical_id, doc_id) rows by the surface map, so that known entities are among them."""
+        mapped = self.surfaces.select(F.col("surface").alias("_s"), "canonical_id")
+        rows = self.spans.select("doc_id", F.explode(F.array_distinct(F.array("text", text.strip(F.col("text"))))).alias("_s"))
+        return rows.join(mapped, "_s").select("canonical_id", "doc_id").distinct()
+
+
 def run(docs: DataFrame, spans: DataFrame | None = None) -> Run:
     """Resolve spans (of the patterns, if none are given), name entities and rewrite every document."""
     found = settle(dedup_by_region(spans if spans is not None else detect.detect_patterns(docs)), "kept-spans")
@@ -36,8 +45,11 @@ def run(docs: DataFrame, spans: DataFrame | None = None) -> Run:
     return Run(found, named, surfaces, redact.redact(docs, found, surfaces))
 
 
-def run_with_memory(docs: DataFrame, known: DataFrame, detector: Callable | None = None, pages: DataFrame | None = None) -> Run:
-    """Patterns and memory first; a model sees only gated chunks of documents that hold an unknown span."""
+def run_with_memory(docs: DataFrame, known: DataFrame, detector: Callable | None = None, pages: DataFrame | None = None, counters: DataFrame | None = None) -> Run:
+    """Patterns and memory first; a model sees only gated chunks of documents that hold an unknown span.
+
+    counters: see ``memory.mapping``, where ``known`` is only what the documents can name.
+    """
     columns = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
     spans = detect.detect_patterns(docs).select(*columns).unionByName(memory.scan(docs, known).select(*columns))
     if detector is not None and pages is not None:
@@ -45,7 +57,7 @@ def run_with_memory(docs: DataFrame, known: DataFrame, detector: Callable | None
         chunks = chunking.gate(chunking.chunk(pages)).join(wanted, "doc_id", "left_semi")
         spans = spans.unionByName(detect.spans_from_answers(detect.detect_model(chunks, detector)).select(*columns))
     found = settle(dedup_by_region(spans), "kept-spans")
-    named, surfaces = memory.mapping(found, known)
+    named, surfaces = memory.mapping(found, known, counters)
     return Run(found, named, surfaces, redact.redact(docs, found, surfaces))
 
 

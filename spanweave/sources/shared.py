@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 
@@ -25,11 +27,33 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
+    if (own := _OWN.get()) is not None:
+        own.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Tables that were settled since the innermost ``settled_within`` began.
+_OWN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("own", default=None)
+
+
+@contextlib.contextmanager
+def settled_within(spark: SparkSession):
+    """Remove at the end what is settled inside: for work that leaves nothing lazy, such as a stream's batch."""
+    token = _OWN.set([])
+    try:
+        yield
+    finally:
+        for p in _OWN.get():
+            _remove(spark, p)
+        _OWN.reset(token)
+
+
+def _remove(spark: SparkSession, where: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def sweep(spark: SparkSession) -> bool:
     """Remove every settled table of the shared folder; call it when no result that reads one is still wanted."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/spanweave")
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return _remove(spark, f"{shared_dir(spark)}/spanweave")
