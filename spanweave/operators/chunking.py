@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions import text
+from . import intervals
 
 
 def full_texts(pages: DataFrame) -> DataFrame:
@@ -110,7 +111,4 @@ def page_texts(words: DataFrame) -> DataFrame:
 
 def chunk_boxes(chunks: DataFrame, words: DataFrame) -> DataFrame:
     """Chunks with the union of the boxes of the words inside them; nulls where there are none."""
-    w = words.select("doc_id", F.col("page_no").alias("wp"), "char_start", "char_end", "x0", "y0", "x1", "y1")
-    c = chunks.select("chunk_id", "doc_id", "page_no", F.col("char_start").alias("a"), F.col("char_end").alias("b"))
-    inside = (w["doc_id"] == c["doc_id"]) & (F.col("wp") == F.col("page_no")) & (F.col("char_start") >= F.col("a")) & (F.col("char_end") <= F.col("b"))
-    return c.join(w, inside, "left").groupBy("chunk_id").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return intervals.enclosed_boxes(chunks, words)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import intervals
 
 
 def replacements(spans: DataFrame, surfaces: DataFrame) -> DataFrame:
@@ -38,13 +39,12 @@ def leaks(redacted: DataFrame, spans: DataFrame) -> DataFrame:
 def span_words(spans: DataFrame, words: DataFrame) -> DataFrame:
     """Spans beside each word they touch (ws, we: its offsets), an interval join within the document."""
     w = words.select("doc_id", "page_no", "word", F.col("char_start").alias("ws"), F.col("char_end").alias("we"), "x0", "y0", "x1", "y1")
-    return spans.select("doc_id", "type", "start", "end").join(w, "doc_id").where("ws < end AND start < we")
+    return intervals.overlaps(spans.select("doc_id", "type", "start", "end"), w, ["doc_id"], right_ends=("ws", "we"))
 
 
 def span_rectangles(spans: DataFrame, words: DataFrame) -> DataFrame:
     """One rectangle per (document, span, page): the union of the boxes of the words it touches."""
-    touched = span_words(spans, words)
-    return touched.groupBy("doc_id", "type", "start", "end", "page_no").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return intervals.touched_boxes(spans, words)
 
 
 def rectangles_to_print(spans: DataFrame, words: DataFrame, surfaces: DataFrame, overlay: bool = True) -> DataFrame:
