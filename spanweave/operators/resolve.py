@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,23 +23,64 @@ def order_key() -> Column:
     return F.struct("doc_id", "ord", "start")
 
 
+class GivenNames:
+    """Clusters of the given names of one last name and initial, in order of mention.
+
+    A name joins the earliest cluster whose name begins with it or which it begins with, and the longer of both stands for
+    the cluster. Names that stand for clusters are never prefixes of each other, so at most one begins a given name: what
+    is held is that name's cluster, and for each beginning of these names the earliest cluster that has it.
+    """
+
+    def __init__(self):
+        self.whole: dict[str, int] = {}
+        self.least: dict[str, int] = {}
+        self.size = 0
+
+    def _stand(self, name: str, at: int) -> None:
+        self.whole[name] = at
+        for k in range(len(name), 0, -1):
+            if self.least.setdefault(name[:k], at) < at:
+                break  # so have all shorter ones
+            self.least[name[:k]] = at
+
+    def place(self, name: str) -> int:
+        """The cluster of the next name."""
+        if (at := self.least.get(name)) is not None:
+            return at
+        for k in range(len(name) - 1, 0, -1):
+            if (at := self.whole.get(name[:k])) is not None:
+                del self.whole[name[:k]]
+                self._stand(name, at)
+                return at
+        self.size += 1
+        self._stand(name, self.size - 1)
+        return self.size - 1
+
+
 def _fold_first_names(names: DataFrame) -> DataFrame:
-    """(key, first, pos) to (key, first, cluster): the earliest compatible cluster of a last name takes a given name and
-    keeps the longer of both. A last name's distinct given names are one array."""
-    grouped = names.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", "first"))).alias("names"))
-    empty = F.expr("cast(array() as array<string>)")
-    pairs = F.expr("cast(array() as array<struct<first:string,cluster:int>>)")
+    """(key, first, pos) to (key, first, cluster): see ``GivenNames``; a missing given name fits all, and so joins the first
+    cluster of its last name.
+
+    Names of unlike initials never meet, so they are dealt by last name and initial, sorted by mention and folded as they
+    pass by; what a missing given name joins is that of the first mention, whatever its initial.
+    """
 
-    def step(acc, n):
-        fits = F.transform(acc["sigs"], lambda s: (s == "") | (n["first"] == "") | s.startswith(n["first"]) | n["first"].startswith(s))
-        at = F.array_position(fits, F.lit(True)).cast("int")
-        longer = F.transform(acc["sigs"], lambda s, i: F.when((i + 1 == at) & (F.length(n["first"]) > F.length(s)), n["first"]).otherwise(s))
-        sigs = F.when(at > 0, longer).otherwise(F.concat(acc["sigs"], F.array(n["first"])))
-        own = F.when(at > 0, at - 1).otherwise(F.size(acc["sigs"]))
-        return F.struct(sigs.alias("sigs"), F.concat(acc["pairs"], F.array(F.struct(n["first"].alias("first"), own.alias("cluster")))).alias("pairs"))
+    def run(batches):
+        now, folded = None, None
+        for b in batches:
+            labels = []
+            for key, initial, first in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if (key, initial) != now:
+                    now, folded = (key, initial), GivenNames()
+                labels.append(f"{initial}{folded.place(first)}")
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(labels, pa.string())], names=["key", "first", "cluster"])
 
-    folded = grouped.select("key", F.explode(F.aggregate("names", F.struct(empty.alias("sigs"), pairs.alias("pairs")), step, lambda acc: acc["pairs"])).alias("p"))
-    return folded.select("key", "p.first", "p.cluster")
+    given = names.where("first <> ''").withColumn("initial", F.col("first").substr(1, 1))
+    dealt = given.repartition("key", "initial").sortWithinPartitions("key", "initial", "pos", "first").select("key", "initial", "first")
+    folded = dealt.mapInArrow(run, "key string, first string, cluster string")
+    earliest = names.groupBy("key").agg(F.min(F.when(F.col("first") == "", True)).alias("missing"), F.min_by("first", F.when(F.col("first") != "", F.struct("pos", "first"))).alias("one"))
+    joined = F.coalesce(F.concat(F.col("one").substr(1, 1), F.lit("0")), F.lit(""))
+    return folded.unionByName(earliest.where("missing").select("key", F.lit("").alias("first"), joined.alias("cluster")))
 
 
 def cluster(spans: DataFrame) -> DataFrame:
@@ -47,7 +89,7 @@ def cluster(spans: DataFrame) -> DataFrame:
     persons = keyed.where("type = 'PERSON'").withColumn("first", text.person_first(F.col("text")))
     names = persons.groupBy("key", "first").agg(F.min("pos").alias("pos"))
     folded = persons.join(_fold_first_names(names), ["key", "first"]).drop("first")
-    return keyed.where("type <> 'PERSON'").withColumn("cluster", F.lit(0)).unionByName(folded)
+    return keyed.where("type <> 'PERSON'").withColumn("cluster", F.lit("")).unionByName(folded)
 
 
 def entities(spans: DataFrame, numbered_after: DataFrame | None = None) -> DataFrame:
