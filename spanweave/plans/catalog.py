@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
-from ..operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans, vision
+from ..operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans, vector_index, vision
 from ..sources import files
 from ..sources.shared import settle, shared_dir
 from . import corpus, pipeline
@@ -545,6 +545,16 @@ def embedding_recall_topk(spark, sf_dir):
     return vision.similar_vectors(table(spark, sf_dir, "embeddings"), _QUERY_VECTOR, 10).select("vec_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.v, b.v), 9) AS sim FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) AS INTEGER) AS rank, vec_id, round(sim, 6) AS similarity FROM s QUALIFY rank <= 10""")
+def embedding_index_search(spark, sf_dir):
+    """Queries are the rows whose id is divisible by 100, against all rows, through the index."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found = vector_index.search(vector_index.build(vectors), vectors.where("vec_id % 100 = 0"), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.round("similarity", 6).alias("similarity"))
+
+
 @query(f"WITH RECURSIVE {_LETTERS}, {_found('letters', _SQL_SCAN)}, {_greedy('found', _REGION)}, {_entities('kept')}, {_redacted('letters', 'kept')} SELECT doc_id, redacted, replacements FROM redacted")
 def streaming_memory(spark, sf_dir):
     """Letters arrive as six files, in their order, each a batch of its own; the rewritten texts of all batches are those of
