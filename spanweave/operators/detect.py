@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import patterns, text
+from ..sources.shared import fresh_path, settle
 from .spans import outside
 
 
@@ -99,21 +101,49 @@ def spans_from_answers(chunks: DataFrame) -> DataFrame:
     return placed.select("doc_id", F.col("a.type").alias("type"), F.col("a.text").alias("text"), start.alias("start"), (start + F.length("a.text")).alias("end"), F.lit("llm").alias("source"), F.lit(0.85).alias("confidence"), F.col("i").cast("bigint").alias("ord"), "chunk_id")
 
 
-def detect_model(chunks: DataFrame, detector: Callable[[list[str]], list[str]]) -> DataFrame:
-    """Ask ``detector`` (texts to answers, in batches on the executors); a chunk that fails keeps its error and no answer."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            answers, errors = [], []
-            for chunk in frame["text"]:
-                try:
-                    answers.append(detector([chunk])[0])
-                    errors.append(None)
-                except RuntimeError as e:
-                    answers.append(None)
-                    errors.append(str(e))
-            yield frame.assign(answer=answers, error=errors)
-
-    base = chunks.select("chunk_id", "doc_id", "text", "char_start")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema)
-    return base.mapInPandas(run, f"{kinds}, answer string, error string")
+_ANSWERS = "digest string, answer string, error string"
+
+
+def detect_model(chunks: DataFrame, detector: Callable[[list[str]], list[str]], store: str | None = None, together: int = 16) -> DataFrame:
+    """Chunks (chunk_id, doc_id, text, char_start) with ``answer`` and ``error``; every distinct text is asked for once.
+
+    ``detector`` maps texts to answers and is called on the executors, with ``together`` texts at most. Where it raises a
+    RuntimeError its texts are asked for one by one, and one that fails keeps its error and no answer. Answers and errors
+    are appended to the table ``store`` (by default one of this run's), and what it holds is not asked for again.
+    """
+    spark = chunks.sparkSession
+    store = store or fresh_path(spark, "answers")
+    base = chunks.select("chunk_id", "doc_id", "text", "char_start").withColumn("digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    base = settle(base, "chunks")
+    texts = base.groupBy("digest").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+
+    def asked(some: list[str]) -> list[tuple[str | None, str | None]]:
+        try:
+            answers = detector(some)
+            if len(answers) != len(some):
+                raise RuntimeError(f"{len(answers)} answers to {len(some)} texts")
+            return [(a, None) for a in answers]
+        except RuntimeError as e:
+            return [(None, str(e))] if len(some) == 1 else [x for t in some for x in asked([t])]
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, together):
+                part = b.slice(at, together)
+                found = asked(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.string()) for x in zip(*found))], names=["digest", "answer", "error"])
+
+    known = answers_of(spark, store)
+    fresh = texts if known is None else texts.join(known.select("digest"), "digest", "left_anti")
+    # calls are slow: each core takes its share, whatever the tables' files
+    dealt = fresh.repartition(spark.sparkContext.defaultParallelism, "digest")
+    dealt.select("digest", "text").mapInArrow(run, _ANSWERS).write.mode("append").parquet(store)
+    return base.join(answers_of(spark, store), "digest").drop("digest")
+
+
+def answers_of(spark: SparkSession, store: str) -> DataFrame | None:
+    """A table of answers; None where there is none yet."""
+    try:
+        return spark.read.schema(_ANSWERS).parquet(store)
+    except AnalysisException:
+        return None

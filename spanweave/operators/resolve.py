@@ -92,16 +92,16 @@ def cluster(spans: DataFrame) -> DataFrame:
     return keyed.where("type <> 'PERSON'").withColumn("cluster", F.lit("")).unionByName(folded)
 
 
-def entities(spans: DataFrame, numbered_after: DataFrame | None = None) -> DataFrame:
-    """type, key, cluster, number, canonical_id, canonical_text, aliases, doc_ids, n_spans.
+def resolved(spans: DataFrame, numbered_after: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entities, edges): type, key, cluster, number, canonical_id, canonical_text, aliases, n_spans of each entity, and
+    (canonical_id, doc_id) of each document that names it.
 
-    Numbers count clusters of a type by first mention. Surfaces are combined before entities are: an entity's arrays
-    hold its distinct surfaces and documents. numbered_after: (type, base) to start numbers at.
+    Numbers count clusters of a type by first mention. Surfaces are combined before entities are: an entity's one array
+    holds its distinct surfaces; its documents are rows. numbered_after: (type, base) to start numbers at.
     """
     clustered = cluster(settle(spans, "spans"))  # read for surfaces, documents and given names
     by = ["type", "key", "cluster"]
     surfaces = clustered.groupBy(*by, "text").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    docs = clustered.groupBy(*by, "doc_id").agg(F.min("pos").alias("pos")).groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "doc_id"))), lambda x: x["doc_id"]).alias("doc_ids"))
     comma = F.when(F.col("type") == "PERSON", F.contains("text", F.lit(","))).otherwise(F.lit(False))
     found = surfaces.groupBy(*by).agg(
         F.min("pos").alias("pos"),
@@ -109,10 +109,21 @@ def entities(spans: DataFrame, numbered_after: DataFrame | None = None) -> DataF
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]).alias("aliases"),
         F.sum("n").alias("n_spans"),
     )
-    out = numbered(found.join(docs, by), "type", ["pos"], "number")
+    out = numbered(found, "type", ["pos"], "number")
     if numbered_after is not None:
         out = out.join(F.broadcast(numbered_after), "type", "left").withColumn("number", F.col("number") + F.coalesce("base", F.lit(0))).drop("base")
-    return out.withColumn("canonical_id", F.format_string("%s-%04d", "type", "number")).drop("pos")
+    named = out.withColumn("canonical_id", F.format_string("%s-%04d", "type", "number")).drop("pos")
+    return named, clustered.select(*by, "doc_id").distinct().join(named.select(*by, "canonical_id"), by).select("canonical_id", "doc_id")
+
+
+def entities(spans: DataFrame, numbered_after: DataFrame | None = None) -> DataFrame:
+    """The entities of ``resolved``."""
+    return resolved(spans, numbered_after)[0]
+
+
+def with_documents(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """Entities with ``doc_ids``, the documents of each in order, as one array: for exports, whose format has it so."""
+    return named.join(edges.groupBy("canonical_id").agg(F.array_sort(F.collect_set("doc_id")).alias("doc_ids")), "canonical_id", "left")
 
 
 def entity_spans(spans: DataFrame, found: DataFrame) -> DataFrame:

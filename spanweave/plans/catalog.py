@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns, text
 from ..operators import chunking, detect, memory, pseudonyms, quality, redact, resolve, spans, vector_index, vision
 from ..sources import files
-from ..sources.shared import settle, shared_dir
+from ..sources.shared import fresh_path, settle, shared_dir
 from . import corpus, pipeline
 
 _COLUMNS = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
@@ -139,7 +140,8 @@ def _letter_run(spark, sf_dir) -> tuple[DataFrame, pipeline.Run]:
 def _memory(letters: DataFrame) -> DataFrame:
     """Persons and organisations of the even letters, as a memory."""
     even = _model_spans(letters).select(*_COLUMNS).where("doc_id % 2 = 0 AND type IN ('PERSON', 'ORG')")
-    named = pseudonyms.assign(resolve.entities(even))
+    fresh, edges = resolve.resolved(even)
+    named = resolve.with_documents(pseudonyms.assign(fresh), edges)
     rows = named.select(F.col("canonical_id").alias("key"), "canonical_id", "type", "canonical_text", "aliases", F.col("doc_ids").cast("array<string>").alias("doc_ids"), "pseudonym")
     return settle(rows, "memory")
 
@@ -339,8 +341,8 @@ UNION ALL SELECT type || '-' || CASE WHEN free < 10000 THEN lpad(CAST(free AS ST
 def memory_upsert(spark, sf_dir):
     letters = corpus.letters(spark, sf_dir)
     known = _memory(letters)
-    named, _ = memory.mapping(settle(_letter_spans(letters), "spans"), known)
-    return memory.upsert(known, named).select("key", "type", "canonical_text", F.array_join("aliases", "|").alias("aliases"), F.size("doc_ids").alias("n_docs"), "pseudonym")
+    named, _, edges = memory.mapped(settle(_letter_spans(letters), "spans"), known)
+    return memory.upsert(known, resolve.with_documents(named, edges)).select("key", "type", "canonical_text", F.array_join("aliases", "|").alias("aliases"), F.size("doc_ids").alias("n_docs"), "pseudonym")
 
 
 # --- resolution and pseudonyms ---------------------------------------------------------------------------------------
@@ -421,7 +423,7 @@ def cross_doc_consistency(spark, sf_dir):
 
 @query(f"{_RUN}, docs AS (SELECT type, k, string_agg(CAST(doc_id AS STRING), ', ' ORDER BY p) AS d FROM (SELECT type, k, doc_id, min(pos) AS p FROM keyed GROUP BY ALL) z GROUP BY type, k) SELECT canonical_id, pseudonym, canonical_text || ' is a ' || type || ' known as ' || pseudonym || ' (aliases: ' || replace(aliases, '|', ', ') || '; documents: ' || d || ').' AS statement FROM named JOIN docs USING (type, k)")
 def entity_statements(spark, sf_dir):
-    return pseudonyms.statements(_letter_run(spark, sf_dir)[1].entities).select("canonical_id", "pseudonym", "statement")
+    return pseudonyms.statements(_letter_run(spark, sf_dir)[1].exported).select("canonical_id", "pseudonym", "statement")
 
 
 @query(f"{_WITH}, {_greedy('every', _REGION)} SELECT doc_id, 'Document ' || CAST(doc_id AS STRING) || chr(10) || string_agg('- ' || type || ': ' || text, chr(10) ORDER BY s, ord) AS payload, count(*) AS n_spans, CAST(doc_id AS STRING) AS node FROM kept GROUP BY doc_id")
@@ -529,6 +531,26 @@ def llm_offset_repair(spark, sf_dir):
     return _out(detect.spans_from_answers(_answers(corpus.letters(spark, sf_dir))))
 
 
+_UNSEEN = "unseen AS (SELECT DISTINCT doc_id FROM every WHERE text NOT IN (SELECT text FROM every WHERE doc_id % 4 = 0))"
+
+
+@query(f"""{_WITH}, {_UNSEEN}, {_CHUNKS},
+shown AS (SELECT doc_id, a, substr(l.text, CAST(a + 1 AS INT), CAST(b - a AS INT)) AS text FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS rn FROM chunks WHERE b - a > 30) x JOIN letters l USING (doc_id) WHERE rn <= 3 AND doc_id IN (SELECT doc_id FROM unseen))
+SELECT doc_id, 'ORG' AS type, left(text, 5) AS surface, a AS char_start, a + 5 AS char_end, (SELECT count(DISTINCT text) FROM shown) AS calls FROM shown""")
+def model_answers(spark, sf_dir):
+    """A model beside a memory of every fourth letter: letters without an unknown span are not shown to it, and each distinct
+    chunk of the others is one call. The stand-in calls the first five characters an organisation."""
+    letters = corpus.letters(spark, sf_dir)
+    found = settle(_letter_spans(letters), "spans")
+    quarter = found.where("doc_id % 4 = 0")
+    known = pseudonyms.assign(resolve.entities(quarter)).withColumn("key", F.col("canonical_id"))
+    model = lambda texts: [json.dumps([{"type": "ORG", "text": t[:5]}]) for t in texts]
+    store = fresh_path(spark, "answers")
+    spans_ = pipeline.model_spans(_pages(spark, sf_dir), found, known, model, store)
+    calls = detect.answers_of(spark, store).agg(F.count(F.lit(1)).alias("calls"))
+    return _out(spans_).join(F.broadcast(calls))  # one row
+
+
 # --- images, vectors, streams ----------------------------------------------------------------------------------------
 @query("SELECT image_id, x AS x0, y AS y0, x + w AS x1, y + h AS y1, CASE WHEN w / greatest(h, 1) BETWEEN 1.5 AND 1.8 THEN 'ID' ELSE 'SIGNATURE' END AS label FROM (SELECT p_partkey AS image_id, CAST(p_partkey % 50 AS DOUBLE) AS x, CAST(p_partkey % 40 AS DOUBLE) AS y, CAST(p_size * 4 AS DOUBLE) AS w, CAST(20 + p_partkey % 60 AS DOUBLE) AS h FROM part) c WHERE w * h >= 500 AND w >= 20 AND h >= 20 AND (w / greatest(h, 1) BETWEEN 1.5 AND 1.8 OR w / greatest(h, 1) BETWEEN 2.5 AND 3.5)")
 def region_filter(spark, sf_dir):

@@ -16,18 +16,19 @@ from ..sources.shared import settle
 
 @dataclass
 class Run:
-    """Results of a run: spans are settled, the rest is lazy."""
+    """Results of a run: spans and entities are settled, the rest is lazy. edges: (canonical_id, doc_id) rows of the entities
+    that the run named; no entity's documents gather in one array."""
 
     spans: DataFrame
     entities: DataFrame
     surfaces: DataFrame
     redacted: DataFrame
+    edges: DataFrame
 
     @property
-    def edges(self) -> DataFrame:
-        """(canonical_id, doc_id) rows from the spans themselves: no entity's documents gather in one array."""
-        return resolve.entity_spans(self.spans, self.entities).select("canonical_id", "doc_id").distinct()
-
+    def exported(self) -> DataFrame:
+        """Entities with their documents as an array, for sinks whose format has it so."""
+        return resolve.with_documents(self.entities, self.edges)
 
     @property
     def mentions(self) -> DataFrame:
@@ -40,27 +41,34 @@ class Run:
 def run(docs: DataFrame, spans: DataFrame | None = None) -> Run:
     """Resolve spans (of the patterns, if none are given), name entities and rewrite every document."""
     found = settle(dedup_by_region(spans if spans is not None else detect.detect_patterns(docs)), "kept-spans")
-    named = settle(pseudonyms.assign(resolve.entities(found)), "entities")
+    fresh, edges = resolve.resolved(found)
+    named = settle(pseudonyms.assign(fresh), "entities")
     surfaces = pseudonyms.surface_map(named)
-    return Run(found, named, surfaces, redact.redact(docs, found, surfaces))
+    return Run(found, named, surfaces, redact.redact(docs, found, surfaces), edges)
+
+
+def model_spans(pages: DataFrame, spans: DataFrame, known: DataFrame, detector: Callable, answers: str | None = None) -> DataFrame:
+    """What a model finds in the gated chunks of documents that hold an unknown span; the other documents are not shown to it."""
+    wanted = memory.unknown(spans, known).select("doc_id").distinct()
+    chunks = chunking.gate(chunking.chunk(pages)).join(wanted, "doc_id", "left_semi")
+    return detect.spans_from_answers(detect.detect_model(chunks, detector, answers))
 
 
-def run_with_memory(docs: DataFrame, known: DataFrame, detector: Callable | None = None, pages: DataFrame | None = None, counters: DataFrame | None = None) -> Run:
+def run_with_memory(docs: DataFrame, known: DataFrame, detector: Callable | None = None, pages: DataFrame | None = None, counters: DataFrame | None = None, answers: str | None = None) -> Run:
     """Patterns and memory first; a model sees only gated chunks of documents that hold an unknown span.
 
-    counters: see ``memory.mapping``, where ``known`` is only what the documents can name.
+    counters: see ``memory.mapped``, where ``known`` is only what the documents can name. answers: see ``detect.detect_model``.
     """
     columns = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
     spans = detect.detect_patterns(docs).select(*columns).unionByName(memory.scan(docs, known).select(*columns))
     if detector is not None and pages is not None:
-        wanted = memory.unknown(spans, known).select("doc_id").distinct()
-        chunks = chunking.gate(chunking.chunk(pages)).join(wanted, "doc_id", "left_semi")
-        spans = spans.unionByName(detect.spans_from_answers(detect.detect_model(chunks, detector)).select(*columns))
+        spans = settle(spans, "first-spans")
+        spans = spans.unionByName(model_spans(pages, spans, known, detector, answers).select(*columns))
     found = settle(dedup_by_region(spans), "kept-spans")
-    named, surfaces = memory.mapping(found, known, counters)
-    return Run(found, named, surfaces, redact.redact(docs, found, surfaces))
+    named, surfaces, edges = memory.mapped(found, known, counters)
+    return Run(found, named, surfaces, redact.redact(docs, found, surfaces), edges)
 
 
 def remember(known: DataFrame, result: Run) -> DataFrame:
-    """The memory after a run."""
-    return memory.upsert(known, result.entities.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")))
+    """The memory after a run, in the form of an exported one; ``memory.upsert_rows`` keeps edges as rows."""
+    return memory.upsert(known, result.exported.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")))

@@ -25,12 +25,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     What follows starts from a table: short plans, no work done twice, nothing lost with an executor. ``sweep`` removes
     these tables.
     """
-    spark = df.sparkSession
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new table's place under the shared folder."""
     path = f"{shared_dir(spark)}/spanweave/{name}-{uuid.uuid4().hex}"
     if (own := _OWN.get()) is not None:
         own.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 #: Tables that were settled since the innermost ``settled_within`` began.

@@ -1,6 +1,7 @@
 """Folds, resolution, memory and rewriting on small fixtures with known answers."""
 
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -45,7 +46,9 @@ def test_three_documents(three):
     named = {r.canonical_id: r for r in result.entities.collect()}
     assert len(named) == 9
     smith = named["PERSON-0000"]
-    assert smith.canonical_text == "John Smith" and smith.aliases == ["John Smith", "J. Smith", "Smith, John"] and smith.doc_ids == ["D1", "D2", "D3"] and smith.pseudonym == "Agent A"
+    told = {r.canonical_id: r.doc_ids for r in result.exported.collect()}
+    assert told.keys() == named.keys() and "doc_ids" not in result.entities.columns
+    assert smith.canonical_text == "John Smith" and smith.aliases == ["John Smith", "J. Smith", "Smith, John"] and told["PERSON-0000"] == ["D1", "D2", "D3"] and smith.pseudonym == "Agent A"
     assert named["ORG-0000"].aliases == ["Acme Corporation", "Acme Corp", "Acme"] and named["ORG-0000"].pseudonym == "Organization 1"
     assert named["PERSON-0001"].pseudonym == "Agent B" and named["CREDIT_CARD-0000"].pseudonym == "[CARD-1]"
     texts = {r.doc_id: r for r in result.redacted.collect()}
@@ -132,6 +135,53 @@ def test_failing_detector_keeps_its_error(spark):
     assert row.answer is None and row.error == "no answer"
 
 
+def counting(folder, fails=()):
+    """A model that notes each text it is asked about, one file a call, and fails on batches with one of ``fails``."""
+
+    def model(texts):
+        (folder / uuid.uuid4().hex).write_text("\n".join(texts))
+        if set(texts) & set(fails):
+            raise RuntimeError("no answer to " + " ".join(texts))
+        return [f"[{t}]" for t in texts]
+
+    return model
+
+
+def test_a_model_is_asked_once_for_each_text(spark, tmp_path):
+    """Repeated texts are one call, a rerun asks for what is new, failures keep their error and don't spoil their batch."""
+    calls = lambda: sorted(t for f in (tmp_path / "calls").iterdir() for t in f.read_text().split("\n"))
+    (tmp_path / "calls").mkdir()
+    kind, store = "chunk_id string, doc_id string, text string, char_start long", str(tmp_path / "answers")
+    rows = [(f"c{i}", f"d{i}", f"t{i % 7}", i) for i in range(60)] + [("n", None, None, 0)]
+    first = detect.detect_model(spark.createDataFrame(rows, kind).repartition(5), counting(tmp_path / "calls"), store)
+    assert first.count() == 61 and first.columns == ["chunk_id", "doc_id", "text", "char_start", "answer", "error"]
+    assert {(r.text, r.answer) for r in first.collect()} == {(f"t{i}", f"[t{i}]") for i in range(7)} | {(None, "[]")}
+    assert calls() == sorted(["", *(f"t{i}" for i in range(7))])
+    more = [*rows, *[(f"m{i}", "d", f"u{i % 3}", 0) for i in range(9)]]
+    again = detect.detect_model(spark.createDataFrame(more, kind).coalesce(1), counting(tmp_path / "calls", ["u1"]), store, together=50)
+    assert again.count() == 70 and again.where("error IS NOT NULL").select("text", "answer", "error").distinct().collect() == [("u1", None, "no answer to u1")]
+    assert {r.answer for r in again.where("text = 'u0'").collect()} == {"[u0]"}
+    asked = calls()
+    third = detect.detect_model(spark.createDataFrame(more, kind), counting(tmp_path / "calls"), store)
+    assert third.count() == 70 and calls() == asked
+    assert detect.detect_model(spark.createDataFrame([], kind), counting(tmp_path / "calls")).count() == 0
+
+
+def test_memory_rows(spark, three):
+    """Entities and edges as rows: keys follow the merged entities, repeated runs add nothing."""
+    docs, found, result = three
+    kind = "key string, canonical_id string, type string, canonical_text string, aliases array<string>, pseudonym string"
+    old = spark.createDataFrame([("EMAIL-0000", "EMAIL-0000", "EMAIL", "x@y.org", ["x@y.org"], "[EMAIL-1]"), ("PERSON-0003", "PERSON-0003", "PERSON", "Jane Doe", ["Jane"], "Agent Q")], kind)
+    held = spark.createDataFrame([("PERSON-0003", "D0"), ("PERSON-0003", "D2")], "key string, doc_id string")
+    after, edges = memory.upsert_rows(old, held, result.entities, result.edges)
+    keys = {r.canonical_text: (r.key, r.pseudonym, r.aliases) for r in after.collect()}
+    assert len(keys) == 10 and keys["Jane Doe"] == ("PERSON-0003", "Agent Q", ["Jane", "Jane Doe"]) and keys["j.smith@acme.com"][0] == "EMAIL-0001" and keys["John Smith"][0] == "PERSON-0000"
+    told = sorted((r.key, r.doc_id) for r in edges.collect())
+    assert [d for k, d in told if k == "PERSON-0003"] == ["D0", "D2", "D3"] and [d for k, d in told if k == "EMAIL-0001"] == ["D1", "D2"] and len(told) == len(set(told))
+    again = memory.upsert_rows(after, edges, result.entities, result.edges)
+    assert sorted(map(str, again[0].collect())) == sorted(map(str, after.collect())) and sorted((r.key, r.doc_id) for r in again[1].collect()) == told
+
+
 def test_memory_round(spark, three):
     docs, found, result = three
     first = pipeline.remember(spark.createDataFrame([], "key string, canonical_id string, type string, canonical_text string, aliases array<string>, doc_ids array<string>, pseudonym string"), result)
@@ -143,7 +193,7 @@ def test_memory_round(spark, three):
     assert {r.redacted for r in same.collect()} == {r.redacted for r in result.redacted.collect()}
     scanned = memory.scan(docs, first)
     assert scanned.where("text = 'Jane Doe'").count() == 2
-    grown = memory.upsert(first.where("key <> 'EMAIL-0000'"), result.entities.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")))
+    grown = memory.upsert(first.where("key <> 'EMAIL-0000'"), result.exported.withColumn("doc_ids", F.col("doc_ids").cast("array<string>")))
     assert grown.count() == 9 and grown.where("type = 'EMAIL' AND key = 'EMAIL-0000'").count() == 1
 
 
@@ -167,8 +217,8 @@ def test_chunks_slice_the_document(spark):
 
 def test_statements_and_edges(three):
     result = three[2]
-    assert pseudonyms.edges(result.entities).where("canonical_id = 'PERSON-0000'").count() == 3
-    line = pseudonyms.statements(result.entities).where("canonical_id = 'PERSON-0001'").first().statement
+    assert pseudonyms.edges(result.exported).where("canonical_id = 'PERSON-0000'").count() == 3
+    line = pseudonyms.statements(result.exported).where("canonical_id = 'PERSON-0001'").first().statement
     assert line == "Jane Doe is a PERSON known as Agent B (aliases: Jane Doe; documents: D2, D3)."
     assert {r.type: r.next for r in pseudonyms.next_counters(result.entities).collect()}["PERSON"] == 2
 
@@ -287,7 +337,7 @@ def test_graph_store(spark, three, tmp_path):
     docs, found, result = three
     sinks.remember(pseudonyms.payloads(found), store_in(tmp_path), reset=True)
     assert sorted(p.name for p in tmp_path.iterdir()) == ["D1", "D2", "D3"] and (tmp_path / "D1").read_text().startswith("Document D1\n- PERSON: John Smith\n")
-    sinks.remember(pseudonyms.statements(result.entities), store_in(tmp_path), "statement")
+    sinks.remember(pseudonyms.statements(result.exported), store_in(tmp_path), "statement")
     assert (tmp_path / "PERSON-0001-Agent B").exists() and len(list(tmp_path.iterdir())) == 12
 
 
