@@ -26,7 +26,7 @@ _ENCODERS: dict = {}
 
 
 class WordEncoder:
-    """Ids of a lower-casing word-end BPE, word by word with a bounded memory of words seen.
+    """Ids of a lower-casing word-end BPE, word by word with a memory of words seen, bounded in bytes (and one text's words).
 
     Characters below U+0250 are known to keep word borders under the tokenizer's normaliser; a text with any other
     character, or with the string of a special token, goes to the library whole.
@@ -36,7 +36,10 @@ class WordEncoder:
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
     OTHER = regex.compile(r"[^\x00-įı-ɏ]")
 
-    def __init__(self, path: str, most_words: int = 1_200_000):
+    #: Bytes that a remembered word takes beside its characters and ids.
+    ENTRY = 200
+
+    def __init__(self, path: str, most_bytes: int = 48 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -44,7 +47,7 @@ class WordEncoder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.most, self.words = most_words, {}
+        self.most, self.held, self.words = most_bytes, 0, {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -55,16 +58,20 @@ class WordEncoder:
             return b"".join(map(known.__getitem__, found))
         except KeyError:
             pass
+        if self.held > self.most:
+            self.forget()
         fresh = list({w for w in found if w not in known})
-        if len(known) + len(fresh) > self.most:
-            known.clear()
-            fresh = list(set(found))
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
             for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = array("I", e.ids).tobytes()
+                known[w] = ids = array("I", e.ids).tobytes()
+                self.held += len(w) + len(ids) + self.ENTRY
         return b"".join(map(known.__getitem__, found))
 
+    def forget(self) -> None:
+        self.words.clear()
+        self.held = 0
+
 
 def encoder(path: str) -> WordEncoder:
     if path not in _ENCODERS:
@@ -141,5 +148,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
             yield packer.take()
         packer.finish()
         yield packer.take()
+        enc.forget()  # the worker lives on for other tasks
 
     return id_text(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
