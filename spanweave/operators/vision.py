@@ -11,7 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REGIONS = "image_id string, x0 double, y0 double, x1 double, y1 double, label string, confidence double, source string"
+from ..sources.shared import settle
+from . import contours as outlines
+
+REGIONS = "image_id string, x0 double, y0 double, x1 double, y1 double, label string, confidence double, source string, error string"
 
 
 def shape_regions(contours: DataFrame) -> DataFrame:
@@ -23,6 +26,36 @@ def shape_regions(contours: DataFrame) -> DataFrame:
     return rows.select("image_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + F.col("w")).alias("x1"), (F.col("y") + F.col("h")).alias("y1"), "label", score.alias("confidence"))
 
 
+def contours(image: np.ndarray) -> list[tuple[int, int, int, int, float]]:
+    """(x, y, w, h, area) of an image's outer contours; a small image has none."""
+    if min(image.shape[:2]) < outlines.LEAST_SIDE:
+        return []
+    pixels = blur(outlines.grey(image)[:, :, None], 5)[:, :, 0]
+    return outlines.outer(outlines.edges(np.rint(pixels)))
+
+
+def image_contours(images: DataFrame, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
+    """(image_id, width, height, x, y, w, h, area, error): the outer contours of images (image_id, content), for
+    ``shape_regions``. An image without any has one row without a contour; one that cannot be decoded has its error."""
+    read = decode or read_netpbm
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for image_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    image = read(data)
+                except (ValueError, TypeError) as e:
+                    rows.append((image_id, *[None] * 7, str(e)))
+                    continue
+                size = image.shape[1], image.shape[0]
+                rows += [(image_id, *size, *map(float, c), None) for c in contours(image)] or [(image_id, *size, *[None] * 6)]
+            kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 5, pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=["image_id", "width", "height", "x", "y", "w", "h", "area", "error"])
+
+    return images.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInArrow(run, "image_id string, width int, height int, x double, y double, w double, h double, area double, error string")
+
+
 def word_regions(words: DataFrame) -> DataFrame:
     """Recognised words (image_id, text, conf, x, y, w, h) that are neither blank nor below confidence 30."""
     rows = words.where("trim(text) <> '' AND conf >= 30")
@@ -144,8 +177,8 @@ def redact_images(images: DataFrame, regions: DataFrame, decode: Callable[[bytes
 def detect_regions(images: DataFrame, detectors: dict[str, Callable[[np.ndarray], list[tuple]]], decode: Callable[[bytes], np.ndarray] = read_netpbm) -> DataFrame:
     """The union of what detectors find in images (image_id, content), with the detector's name as source.
 
-    A detector (faces, text, shapes: whatever library it wraps) maps pixels to (x0, y0, x1, y1, label, confidence). An
-    image that cannot be decoded has no regions.
+    A detector (faces, text: whatever library it wraps) maps pixels to (x0, y0, x1, y1, label, confidence). An image that
+    cannot be decoded has one row with its error and no box, which ``redact_images`` never passes on.
     """
 
     def run(batches):
@@ -154,15 +187,26 @@ def detect_regions(images: DataFrame, detectors: dict[str, Callable[[np.ndarray]
             for image_id, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     image = decode(data)
-                except (ValueError, TypeError):
+                except (ValueError, TypeError) as e:
+                    out.append((image_id, *[None] * 7, str(e)))
                     continue
-                out += [(image_id, *map(float, box), label, float(score), name) for name, find in detectors.items() for *box, label, score in find(image)]
-            kinds = [pa.string(), *[pa.float64()] * 4, pa.string(), pa.float64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, kinds)], names=[x.split()[0] for x in REGIONS.split(", ")])
+                out += [(image_id, *map(float, box), label, float(score), name, None) for name, find in detectors.items() for *box, label, score in find(image)]
+            kinds = [pa.string(), *[pa.float64()] * 4, pa.string(), pa.float64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 9, kinds)], names=[x.split()[0] for x in REGIONS.split(", ")])
 
     return images.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInArrow(run, REGIONS)
 
 
+def redact_found(images: DataFrame, detectors: dict[str, Callable[[np.ndarray], list[tuple]]], decode: Callable[[bytes], np.ndarray] = read_netpbm, encode: Callable[[np.ndarray], bytes] = write_netpbm) -> tuple[DataFrame, DataFrame]:
+    """(regions, redacted): one run over images (image_id, content): shapes by their contours and whatever the detectors
+    find, one strip where an image is a signature by its aspect, all cut to the image and made unreadable there."""
+    seen = settle(image_contours(images, decode), "contours")
+    sizes = seen.select("image_id", "width", "height").distinct()
+    found = union_regions(shape_regions(seen), detect_regions(images, detectors, decode).where("error IS NULL"))
+    regions = settle(clamp(signature_strips(found, sizes), sizes), "regions")
+    return regions, redact_images(images, regions, decode, encode)
+
+
 def union_regions(*found: DataFrame) -> DataFrame:
     """Regions of several detectors, one after the other; none is dropped."""
     columns = ["image_id", "x0", "y0", "x1", "y1", "label", "confidence"]

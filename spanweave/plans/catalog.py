@@ -18,14 +18,14 @@ from . import corpus, pipeline
 _COLUMNS = ["doc_id", "type", "text", "start", "end", "source", "confidence", "ord"]
 #: The eight patterns written out once more for the oracle, in scan order, so that a slip in the library's own shows.
 _SQL_SCAN = [
-    ("EMAIL", r"(?i)[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}"),
+    ("EMAIL", r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
     ("PHONE", r"(?:\+44[\s\x0b]?7\d{3}|\(?07\d{3}\)?)[\s\x0b]?\d{3}[\s\x0b]?\d{3}"),
-    ("NI_NUMBER", r"(?i)\b[a-ceghj-pr-tw-z]{2}\d{6}[a-d]\b"),
+    ("NI_NUMBER", r"(?i)\b[A-CEGHJ-PR-TW-Z]{2}\d{6}[A-D]\b"),
     ("CREDIT_CARD", r"\b(?:4\d{3}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}|5[1-5]\d{2}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}|3[47]\d{2}[-\s\x0b]?\d{6}[-\s\x0b]?\d{5}|6(?:011|5\d{2})[-\s\x0b]?\d{4}[-\s\x0b]?\d{4}[-\s\x0b]?\d{4})\b"),
-    ("IBAN", r"(?i)\b[a-z]{2}\d{2}[a-z0-9]{4}\d{7}[a-z0-9]{0,16}\b"),
+    ("IBAN", r"(?i)\b[A-Z]{2}\d{2}[A-Z0-9]{4}\d{7}[A-Z0-9]{0,16}\b"),
     ("DOB", r"\b(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}-\d{2}-\d{4})\b"),
-    ("ADDRESS", r"(?i)\b[a-z]{1,2}\d[a-z\d]?[\s\x0b]?\d[a-z]{2}\b"),
-    ("ADDRESS", r"(?i)\d+[\s\x0b]+[a-z]{2,}(?:[\s\x0b]+[a-z]{2,})?,[\s\x0b]*(?:[a-z]{2,}[\s\x0b]*)+,?[\s\x0b]*[a-z]{1,2}\d[a-z\d]?[\s\x0b]?\d[a-z]{2}\b"),
+    ("ADDRESS", r"(?i)\b[A-Z]{1,2}\d[A-Z\d]?[\s\x0b]?\d[A-Z]{2}\b"),
+    ("ADDRESS", r"(?i)\d+[\s\x0b]+[A-Z]{2,}(?:[\s\x0b]+[A-Z]{2,})?,[\s\x0b]*(?:[A-Z]{2,}[\s\x0b]*)+,?[\s\x0b]*[A-Z]{1,2}\d[A-Z\d]?[\s\x0b]?\d[A-Z]{2}\b"),
 ]
 _SQL_PATTERN = {"detect_email": 0, "detect_phone": 1, "detect_ni": 2, "detect_card": 3, "detect_iban": 4, "detect_dob": 5, "detect_postcode": 6, "detect_street": 7}
 _LETTERS = f"letters AS ({corpus.LETTERS})"
@@ -641,6 +641,22 @@ def redacted_images(spark, sf_dir):
     return out.select(F.col("image_id").cast("bigint").alias("image_id"), "n_regions", first.alias("changed"))
 
 
+@query("""SELECT image_id, 9.0::DOUBLE AS x0, 9.0::DOUBLE AS y0, 10.0 + w AS x1, 10.0 + h AS y1, CASE WHEN (w + 1) / (h + 1) BETWEEN 1.5 AND 1.8 THEN 'ID' ELSE 'SIGNATURE' END AS label
+FROM (SELECT p_partkey AS image_id, CAST(p_size * 2 + 30 AS DOUBLE) AS w, CAST(p_partkey % 40 + 30 AS DOUBLE) AS h FROM part) x WHERE (w + 1) / (h + 1) BETWEEN 1.5 AND 1.8 OR (w + 1) / (h + 1) BETWEEN 2.5 AND 3.5""")
+def contour_regions(spark, sf_dir):
+    """Images drawn from rows: a card of the row's size ten pixels from the edges, for even rows with a panel on it, whose
+    contour lies inside the card's. An edge between two pixels counts for the one before, so a contour is a pixel larger."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), (F.col("p_size") * 2 + 30).alias("w"), (F.col("p_partkey") % 40 + 30).cast("int").alias("h"))
+    fill = lambda value, n: F.repeat(F.lit(value), n)
+    wide, card = fill("00", F.col("w") + 20), F.concat(fill("00", F.lit(10)), fill("C8", F.col("w")), fill("00", F.lit(10)))
+    panel = F.concat(fill("00", F.lit(10)), fill("C8", F.lit(10)), fill("32", F.col("w") - 20), fill("C8", F.lit(10)), fill("00", F.lit(10)))
+    inner = F.when(F.col("image_id") % 2 == 0, panel).otherwise(card)
+    rows = F.concat(F.repeat(wide, F.lit(10)), F.repeat(card, F.lit(10)), F.repeat(inner, F.col("h") - 20), F.repeat(card, F.lit(10)), F.repeat(wide, F.lit(10)))
+    head = F.format_string("P5\n%d %d\n255\n", F.col("w") + 20, F.col("h") + 20)
+    images = p.select(F.col("image_id").cast("string").alias("image_id"), F.concat(F.encode(head, "utf-8"), F.unhex(rows)).alias("content"))
+    return vision.shape_regions(vision.image_contours(images)).drop("confidence").withColumn("image_id", F.col("image_id").cast("long"))
+
+
 def queries():
     return dict(_QUERIES)
 

@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from ..operators.ordering import numbered
+from .shared import settle
 
 FIRST = ["Ada", "Ben", "Cleo", "Dan", "Eva", "Finn", "Gia", "Hal", "Iris", "Jon"]
 LAST = ["Archer", "Bloom", "Carter", "Dale", "Ellis", "Frost", "Grant", "Hale", "Innes", "Judd", "Kerr"]
@@ -158,14 +160,14 @@ def documents(people: DataFrame, count: int, seed: int = 42, least_words: int =
 def get_persona(people: DataFrame, cast: DataFrame, docs: DataFrame, recurring: float = 0.5, seed: int = 42) -> DataFrame:
     """(doc_id, persona_id): for a share ``recurring`` of documents one of the ``cast``, dealt in turn so that it spreads,
     for the others one of ``people``. Choices follow from hashed ids."""
-    place = lambda rows, name: rows.select("persona_id").distinct().withColumn(name, F.row_number().over(Window.orderBy("persona_id")) - 1)  # noqa: E731  personas are few
-    known, fresh = place(cast, "slot"), place(people, "slot")
+    place = lambda rows: settle(numbered(rows.select(F.lit(0).alias("_all"), "persona_id").distinct(), "_all", ["persona_id"], "slot").drop("_all"), "slots")
+    known, fresh = place(cast), place(people)
     sizes = known.count(), fresh.count()
     hashed = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)).alias("h"))
     often = (F.col("h") < int(recurring * (1 << 20))) if sizes[0] else F.lit(False)
     chosen = hashed.withColumn("own", often).withColumn("slot", F.when(often, F.pmod("h", F.lit(max(sizes[0], 1)))).otherwise(F.pmod("h", F.lit(max(sizes[1], 1)))))
     both = known.withColumn("own", F.lit(True)).unionByName(fresh.withColumn("own", F.lit(False)))
-    return chosen.join(F.broadcast(both), ["own", "slot"]).select("doc_id", "persona_id")  # as many rows as there are personas
+    return chosen.join(both, ["own", "slot"]).select("doc_id", "persona_id")
 
 
 def gold_spans(made: DataFrame) -> DataFrame:

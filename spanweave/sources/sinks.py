@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
+import re
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -29,12 +31,29 @@ def _put(root: str, name: str, data: bytes) -> None:
     store.move(draft, f"{base}/{name}")
 
 
+def safe_name(name: str) -> str:
+    """A file name for an id: characters that a path or a shell gives a meaning are written as %XX, so that unlike ids keep
+    unlike names; a long one is cut and told apart by a digest."""
+    plain = re.sub(r'[\x00-\x1f\x7f/\\%:*?"<>|]|^\.', lambda m: f"%{ord(m[0]):02X}", name)
+    data = plain.encode("utf-8", "surrogatepass")
+    if len(data) <= 180:
+        return plain
+    return data[:120].decode("utf-8", "ignore") + "%" + hashlib.sha256(name.encode("utf-8", "surrogatepass")).hexdigest()[:32]
+
+
+def _reachable(spark: SparkSession, root: str) -> None:
+    """A folder without a scheme lies on each executor's own disk, which is one place in a local session only."""
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", root) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{root} has no scheme: each executor would write to its own disk")
+
+
 def write_text_files(redacted: DataFrame, root: str, suffix: str = "_redacted.txt", column: str = "redacted") -> None:
-    """One file per document, <doc_id>_redacted.txt, in a folder that all executors reach."""
+    """One file per document, <doc_id>_redacted.txt (see ``safe_name``), in a folder that all executors reach."""
+    _reachable(redacted.sparkSession, root)
 
     def run(rows):
         for r in rows:
-            _put(root, f"{r[0]}{suffix}", (r[1] or "").encode("utf-8", "surrogatepass"))
+            _put(root, f"{safe_name(r[0] or '')}{suffix}", (r[1] or "").encode("utf-8", "surrogatepass"))
 
     redacted.select(F.col("doc_id").cast("string"), column).foreachPartition(run)
 

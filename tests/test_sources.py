@@ -70,7 +70,9 @@ def test_redacted_images(spark):
     assert (b == np.array(checks)).all() and (a[:, 12:] == b[:, 12:]).all() and abs(a[:, :12].astype(int) - 127).max() <= 2
     assert rows["bad"].content is None and rows["bad"].error and rows["a"].n_regions == 1
     found = vision.detect_regions(images, {"one": lambda x: [(0, 0, 1, 1, "FACE", 0.75)], "none": lambda x: [], "two": lambda x: [(0, 0, 2, 2, "ID", 0.6)] * 2})
-    assert sorted((r.image_id, r.source) for r in found.collect()) == [("a", "one"), ("a", "two"), ("a", "two"), ("b", "one"), ("b", "two"), ("b", "two")]
+    assert [(r.image_id, bool(r.error)) for r in found.where("source IS NULL").collect()] == [("bad", True)]
+    assert sorted((r.image_id, r.source) for r in found.where("source IS NOT NULL").collect()) == [("a", "one"), ("a", "two"), ("a", "two"), ("b", "one"), ("b", "two"), ("b", "two")]
+    found = found.where("error IS NULL")
     assert vision.union_regions(found, found).count() == 12
     paged = vision.page_regions(found, spark.createDataFrame([("a", "d", 1), ("b", "d", 1)], "image_id string, doc_id string, page_no int"))
     assert {r.n_on_page for r in paged.collect()} == {6}
@@ -130,3 +132,12 @@ def test_memory_round_trip(spark, tmp_path):
     assert got == {"d1": (1, "in.txt", "out.txt"), "d2": (2, None, None)}
     sinks.write_texts(spark.createDataFrame([("d", "r", 1)], "doc_id string, redacted string, replacements int"), str(tmp_path / "t"))
     assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
+def test_names_of_files(spark, tmp_path):
+    """Ids with paths, dots, long ids and ids that differ in one such character have files of their own inside the folder."""
+    ids = ["a/b", "a%2Fb", "a_b", "../up", "..", ".", "x" * 300, "x" * 299 + "y", "é:ß", "", "a\\b"]
+    sinks.write_text_files(spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id string, redacted string"), str(tmp_path / "out"))
+    names = [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")]
+    assert len(names) == len(ids) == len({sinks.safe_name(i) for i in ids}) and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
+    assert (tmp_path / "out" / "a%2Fb_redacted.txt").read_text() == "text 0"
