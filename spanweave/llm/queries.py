@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bpe_table, cotraining, delta_lloyd, epsilon_grid, exact_dedup, harmonic, pii_semicrf, prefix_doubling, secret_forest, simhash, site_style_tree, source_divergence, topk_postings
 
@@ -51,7 +52,8 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 def op10_prefix_doubling(spark, sf_dir):
-    return prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    found = prefix_doubling.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return found.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op11_topk_postings(spark, sf_dir):
