@@ -345,6 +345,31 @@ def memory_upsert(spark, sf_dir):
     return memory.upsert(known, resolve.with_documents(named, edges)).select("key", "type", "canonical_text", F.array_join("aliases", "|").alias("aliases"), F.size("doc_ids").alias("n_docs"), "pseudonym")
 
 
+_KIND = "CASE WHEN p_partkey % 2 = 0 THEN 'ORG' ELSE 'PERSON' END"
+_NUMBERED = "CASE WHEN {n} < 10000 THEN lpad(CAST({n} AS STRING), 4, '0') ELSE CAST({n} AS STRING) END"
+#: A memory whose numbers have gaps and whose canonical texts come twice, and new entities of which most are known by theirs.
+_GAPS_OLD = f"""SELECT type || '-' || {_NUMBERED.format(n='n')} AS key, type, n, text AS canonical_text FROM (
+  SELECT {_KIND} AS type, p_partkey AS n, 'part ' || CAST(p_partkey AS STRING) AS text FROM part WHERE p_partkey % 3 <> 0
+  UNION ALL SELECT {_KIND}, p_partkey + 30000, 'part ' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 7 = 0) x"""
+_GAPS_NEW = f"SELECT {_KIND} AS type, {_KIND} || '-' || lpad(CAST(p_partkey AS STRING), 6, '0') AS canonical_id, 'part ' || CAST(p_partkey AS STRING) AS canonical_text, 'alias ' || CAST(p_partkey AS STRING) AS alias FROM part WHERE p_partkey % 5 = 0"
+
+
+@query(f"""WITH old AS ({_GAPS_OLD}), new AS ({_GAPS_NEW}), firsts AS (SELECT type, canonical_text, min(key) AS key FROM old GROUP BY ALL),
+kept AS (SELECT o.key, o.type, o.canonical_text, CASE WHEN n.alias IS NULL THEN 'old ' || o.key ELSE n.alias || '|old ' || o.key END AS aliases, 'P' || o.key AS pseudonym
+  FROM old o LEFT JOIN firsts f ON f.key = o.key LEFT JOIN new n ON n.type = f.type AND n.canonical_text = f.canonical_text),
+free AS (SELECT type, k, row_number() OVER (PARTITION BY type ORDER BY k) AS place FROM (SELECT DISTINCT type FROM new) t, (SELECT unnest(range(0, 60000)) AS k) r WHERE NOT EXISTS (SELECT 1 FROM old o WHERE o.type = t.type AND o.n = r.k)),
+fresh AS (SELECT n.*, row_number() OVER (PARTITION BY n.type ORDER BY n.canonical_id) AS place FROM new n LEFT JOIN firsts f USING (type, canonical_text) WHERE f.key IS NULL)
+SELECT key, type, canonical_text, aliases, pseudonym FROM kept
+UNION ALL SELECT type || '-' || {_NUMBERED.format(n='k')}, type, canonical_text, alias, 'N' || canonical_id FROM fresh JOIN free USING (type, place)""")
+def memory_upsert_gaps(spark, sf_dir):
+    """Merges by known canonical texts, under the first of two keys, and the smallest free numbers of a memory with gaps."""
+    part = table(spark, sf_dir, "part")
+    old = spark.sql(_GAPS_OLD.replace("FROM part", "FROM {part}"), part=part)
+    known = old.select("key", F.col("key").alias("canonical_id"), "type", "canonical_text", F.array(F.concat(F.lit("old "), "key")).alias("aliases"), F.concat(F.lit("P"), "key").alias("pseudonym"))
+    named = spark.sql(_GAPS_NEW.replace("FROM part", "FROM {part}"), part=part).withColumns({"aliases": F.array("alias"), "pseudonym": F.concat(F.lit("N"), "canonical_id")})
+    return memory.upsert(settle(known, "memory"), named).select("key", "type", "canonical_text", F.array_join("aliases", "|").alias("aliases"), "pseudonym")
+
+
 # --- resolution and pseudonyms ---------------------------------------------------------------------------------------
 @query(rf"WITH {_LETTERS}, {_found('letters', _SQL_SCAN)} SELECT DISTINCT type, text AS surface, {_KEY} AS norm FROM found WHERE type IN ('EMAIL', 'PHONE', 'NI_NUMBER', 'CREDIT_CARD', 'IBAN')")
 def normalize_structured(spark, sf_dir):

@@ -341,6 +341,33 @@ def test_graph_store(spark, three, tmp_path):
     assert (tmp_path / "PERSON-0001-Agent B").exists() and len(list(tmp_path.iterdir())) == 12
 
 
+def test_a_batch_touches_what_it_names(spark, tmp_path):
+    """Six batches of ten new addresses beside known ones: state and files written for each stay the same while the memory
+    grows, and every text is rewritten as one run over all texts does."""
+    text_of = lambda i: f"from new{i:03d}@mail.org to old{i % 3}@site.org, see 'new{max(i - 25, 0):03d}@mail.orgx'"
+    rows = [(i, text_of(i)) for i in range(60)]
+    for k in range(6):
+        spark.createDataFrame(rows[10 * k : 10 * k + 10], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = tmp_path / "out"
+    query = memory_stream.start(spark, memory_stream.documents(spark, str(tmp_path / "in"), 1), str(out))
+    query.processAllAvailable()
+    progress = {p["batchId"]: p for p in query.recentProgress}
+    query.stop()
+    batches = sorted(int(p.name[6:]) for p in (out / "redacted").iterdir())
+    assert len(batches) == 6
+    updated = [progress[n]["stateOperators"][0]["numRowsUpdated"] for n in batches[1:]]
+    assert max(updated) <= 1.5 * min(updated) and progress[batches[-1]]["stateOperators"][0]["numRowsTotal"] > 3 * max(updated)
+    size = lambda n, name: sum(f.stat().st_size for f in (out / name / f"batch={n:06d}").glob("*.parquet"))
+    for name in ("entities", "edges", "redacted"):
+        first, last = size(batches[1], name), size(batches[-1], name)
+        assert abs(last - first) < 0.3 * first
+    whole = pipeline.run(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {r.doc_id: r.redacted for r in spark.read.parquet(str(out / "redacted")).collect()}
+    assert got == {r.doc_id: r.redacted for r in whole.redacted.collect()}
+    snapshot = {r.canonical_text: r for r in memory_stream.snapshot(spark, str(out)).collect()}
+    assert snapshot.keys() == {r.canonical_text for r in whole.entities.collect()} and len(snapshot["old0@site.org"].doc_ids) == 20
+
+
 def test_stream_passes_over_known_ids(spark, tmp_path):
     """Two batches: an id that comes twice in one counts once, one that an earlier batch has had is passed over."""
     source = tmp_path / "in"
