@@ -26,7 +26,8 @@ _ENCODERS: dict = {}
 
 
 class WordEncoder:
-    """Ids of a lower-casing word-end BPE, word by word with a memory of words seen, bounded in bytes (and one text's words).
+    """Ids of a lower-casing word-end BPE, word by word with a memory of words seen, bounded in bytes (and one text's words): a
+    worker lives on for other tasks, and so does this.
 
     Characters below U+0250 are known to keep word borders under the tokenizer's normaliser; a text with any other
     character, or with the string of a special token, goes to the library whole.
@@ -37,9 +38,9 @@ class WordEncoder:
     OTHER = regex.compile(r"[^\x00-įı-ɏ]")
 
     #: Bytes that a remembered word takes beside its characters and ids.
-    ENTRY = 200
+    ENTRY = 150
 
-    def __init__(self, path: str, most_bytes: int = 48 << 20):
+    def __init__(self, path: str, most_bytes: int = 32 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,7 +48,8 @@ class WordEncoder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.most, self.held, self.words = most_bytes, 0, {}
+        # words that were met of late, and those met before; when the first outgrow their bytes they become the second
+        self.most, self.held, self.words, self.older = most_bytes, 0, {}, {}
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -59,18 +61,23 @@ class WordEncoder:
         except KeyError:
             pass
         if self.held > self.most:
-            self.forget()
-        fresh = list({w for w in found if w not in known})
+            self.older, self.words, self.held = known, {}, 0
+            known = self.words
+        fresh = []
+        for w in {w for w in found if w not in known}:
+            if (ids := self.older.get(w)) is None:
+                fresh.append(w)
+            else:
+                self._keep(w, ids)
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
             for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = ids = array("I", e.ids).tobytes()
-                self.held += len(w) + len(ids) + self.ENTRY
+                self._keep(w, array("I", e.ids).tobytes())
         return b"".join(map(known.__getitem__, found))
 
-    def forget(self) -> None:
-        self.words.clear()
-        self.held = 0
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.words[word] = ids
+        self.held += len(word) + len(ids) + self.ENTRY
 
 
 def encoder(path: str) -> WordEncoder:
@@ -148,6 +155,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: i
             yield packer.take()
         packer.finish()
         yield packer.take()
-        enc.forget()  # the worker lives on for other tasks
 
     return id_text(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
