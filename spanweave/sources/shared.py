@@ -22,12 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` under the shared folder and read it back.
 
-    What follows starts from a table: short plans, no work done twice, nothing lost with an executor. ``sweep`` removes
-    these tables.
+    What follows starts from a table: short plans, no work done twice, nothing lost with an executor. A table that was
+    settled is returned as it is. ``sweep`` removes these tables.
     """
+    if getattr(df, "_settled", False):
+        return df
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._settled = True
+    return out
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
