@@ -143,15 +143,59 @@ def docx_bytes(text: str) -> bytes:
     return out.getvalue()
 
 
+#: An A4 page in points, its margin, and a fixed-pitch font: 6 points a character, 17 a line.
+_PAGE, _MARGIN, _SIZE, _PITCH, _LEADING = (595, 842), 71, 10, 6, 17
+
+
+def pdf_pages(text: str) -> list[list[str]]:
+    """Lines of a text as they stand on pages: broken at spaces to the width of the column; a longer word is cut."""
+    width, height = ((side - 2 * _MARGIN) // step for side, step in zip(_PAGE, (_PITCH, _LEADING)))
+    lines: list[str] = []
+    for line in text.expandtabs(4).split("\n"):
+        own = ""
+        for word in line.split(" "):
+            grown = f"{own} {word}" if own else word
+            if len(grown) > width and own:
+                lines.append(own)
+                grown = word
+            while len(grown) > width:
+                lines.append(grown[:width])
+                grown = grown[width:]
+            own = grown
+        lines.append(own)
+    return [lines[k : k + height] for k in range(0, len(lines), height)]
+
+
+def pdf_bytes(text: str) -> bytes:
+    """A text as a PDF file of plain lines; what the Windows code page lacks is a question mark."""
+    shown = lambda line: re.sub(rb"([\\()])", rb"\\\1", re.sub("[\x00-\x1f\x7f]", " ", line).encode("cp1252", "replace"))
+    pages = pdf_pages(text)
+    kids = " ".join(f"{4 + 2 * k} 0 R" for k in range(len(pages)))
+    parts = [b"<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{kids}] /Count {len(pages)} >>".encode(), b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    for k, lines in enumerate(pages):
+        drawn = b"\n".join(b"(%s) Tj T*" % shown(x) for x in lines)
+        content = b"BT /F1 %d Tf %d TL %d %d Td\n%s\nET" % (_SIZE, _LEADING, _MARGIN, _PAGE[1] - _MARGIN - _SIZE, drawn)
+        parts.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %d %d] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % (*_PAGE, 5 + 2 * k))
+        parts.append(b"<< /Length %d >>\nstream\n%s\nendstream" % (len(content), content))
+    out, places = bytearray(b"%PDF-1.4\n%\xe2\xe3\xcf\xd3\n"), []
+    for n, body in enumerate(parts, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    end = b"xref\n0 %d\n0000000000 65535 f \n%strailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(parts) + 1, table, len(parts) + 1, len(out))
+    return bytes(out + end)
+
+
 def write_documents(made: DataFrame, root: str) -> DataFrame:
-    """Made documents (doc_id, doc_type, persona_ids, text, spans) as <doc_id>.txt, .docx and .labels.json; returns the manifest."""
+    """Made documents (doc_id, doc_type, persona_ids, text, spans) as <doc_id>.txt, .docx, .pdf and .labels.json, whose offsets
+    are those of the text; returns the manifest."""
+    _reachable(made.sparkSession, root)
 
     def run(rows):
         for r in rows:
-            folder = f"{root}/{r.doc_id}"
-            _put(folder, f"{r.doc_id}.txt", r.text.encode())
-            _put(folder, f"{r.doc_id}.docx", docx_bytes(r.text))
-            _put(folder, f"{r.doc_id}.labels.json", r.labels.encode())
+            name = safe_name(str(r.doc_id))
+            for kind, data in (("txt", r.text.encode()), ("docx", docx_bytes(r.text)), ("pdf", pdf_bytes(r.text)), ("labels.json", r.labels.encode())):
+                _put(f"{root}/{name}", f"{name}.{kind}", data)
 
     labels = F.to_json(F.struct("doc_id", "doc_type", "persona_ids", "spans", F.expr("cast(array() as array<string>)").alias("images")))
     made.select("doc_id", "text", labels.alias("labels")).foreachPartition(run)

@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 import numpy as np
@@ -141,3 +142,20 @@ def test_names_of_files(spark, tmp_path):
     names = [p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")]
     assert len(names) == len(ids) == len({sinks.safe_name(i) for i in ids}) and sorted(p.name for p in tmp_path.iterdir()) == ["out"]
     assert (tmp_path / "out" / "a%2Fb_redacted.txt").read_text() == "text 0"
+
+
+def test_pdf_of_a_text():
+    """Every object stands where the table says; the lines drawn are the text's, broken to the column, page by page."""
+    text = "Dear Zoë (see \\ below),\n\n" + "word " * 400 + "\n" + "x" * 200 + "\n中文 end\ttab"
+    data = sinks.pdf_bytes(text)
+    table = data[int(re.search(rb"startxref\n(\d+)", data)[1]) :]
+    assert table.startswith(b"xref")
+    places = [int(m) for m in re.findall(rb"(\d{10}) 00000 n", table)]
+    assert all(data[p:].startswith(b"%d 0 obj" % n) for n, p in enumerate(places, 1))
+    assert all(len(m[2]) == int(m[1]) for m in re.finditer(rb"/Length (\d+) >>\nstream\n(.*?)\nendstream", data, re.S))
+    pages = sinks.pdf_pages(text)
+    drawn = [re.sub(rb"\\(.)", rb"\1", m).decode("cp1252") for m in re.findall(rb"\((.*)\) Tj", data)]
+    assert drawn == [x.replace("中文", "??") for page in pages for x in page] and len(pages) == 1 and max(map(len, drawn)) == 75
+    assert " ".join(" ".join(drawn).split()).replace("??", "中文").replace(" ", "") == "".join(text.split())
+    assert data.count(b"/Type /Page ") == len(pages) and len(sinks.pdf_pages("line\n" * 200)) == 5
+    assert sinks.pdf_pages("") == [[""]]
