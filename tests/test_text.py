@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanweave.functions import patterns, text
+from spanweave.operators import detect
 
 TEXTS = st.lists(st.text(alphabet="ab@.1 -é😀\n", max_size=30), min_size=1, max_size=20)
 
@@ -73,3 +74,23 @@ def test_patterns(spark):
     assert hits(patterns.PHONE, "card 4330792440268592") == ["07924402685"]
     assert hits(patterns.STREET, "5 Elmwood Court, Birmingham, B15 3DH and 1 Power Station Way, X, B1 1AA") == ["5 Elmwood Court, Birmingham, B15 3DH"]
     assert hits(patterns.IBAN, "GB07OLJH23194875749118") == ["GB07OLJH23194875749118"]
+
+
+def test_a_pattern_is_evaluated_once(spark):
+    """Matches are bound to a variable: the optimised plan has one extraction and one split for each pattern."""
+    docs = spark.createDataFrame([("d", "x")], "doc_id string, text string")
+    plan = detect.detect_patterns(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == plan.count("split(") == len(patterns.SCAN)
+    one = docs.select(text.literal_spans(F.col("text"), F.lit("a")).alias("a"), text.sentences(F.col("text")).alias("b"))
+    assert one._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_many_matches(spark):
+    """Runs of matches meet without a gap or an overlap, at and beside the runs' size."""
+    for n in (0, 1, 255, 256, 257, 513, 1000):
+        t = "a1" + "é22 x" * n
+        df = spark.createDataFrame([(t,)], "text string")
+        got = [(s.start, s.end, s.text) for s in df.select(text.match_spans(F.col("text"), "[0-9]+").alias("m")).first().m]
+        assert got == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", t)]
+        got = [(s.start, s.end) for s in df.select(text.literal_spans(F.col("text"), F.lit("22 x")).alias("m")).first().m]
+        assert got == [(m.start(), m.end()) for m in re.finditer("22 x", t)]
