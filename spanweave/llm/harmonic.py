@@ -40,7 +40,7 @@ class WordEncoder:
     #: Bytes that a remembered word takes beside its characters and ids.
     ENTRY = 150
 
-    def __init__(self, path: str, most_bytes: int = 32 << 20):
+    def __init__(self, path: str, most_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
