@@ -118,3 +118,11 @@ def test_a_whole_run(spark):
     assert bytes(out["square"].content) == vision.write_netpbm(images["square"]) and bytes(out["id"].content) != vision.write_netpbm(images["id"])
     found = {(x.image_id, x.error is None) for x in vision.detect_regions(df, {"none": lambda image: []}).collect()}
     assert found == {("broken", False), ("null", False)}
+
+
+def test_made_images_are_drawn_by_all_cores(spark):
+    """One small file of rows is one partition, whose images one core would draw and search."""
+    from spanweave.plans import catalog
+
+    drawn = catalog.queries()["contour_regions"](spark, "/root/testdata/sf0.001")
+    assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
