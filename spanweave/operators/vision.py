@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import settle
+from ..sources.shared import settle, spread
 from . import contours as outlines
 
 REGIONS = "image_id string, x0 double, y0 double, x1 double, y1 double, label string, confidence double, source string, error string"
@@ -171,7 +171,8 @@ def redact_images(images: DataFrame, regions: DataFrame, decode: Callable[[bytes
                 counts.append(len(own or ()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(counts, pa.int64()), pa.array(errors, pa.string())], names=["image_id", "content", "n_regions", "error"])
 
-    return joined.mapInArrow(run, "image_id string, content binary, n_regions long, error string")
+    # few bytes may be many images: they are not gathered in few tasks
+    return spread(joined, "image_id").mapInArrow(run, "image_id string, content binary, n_regions long, error string")
 
 
 def detect_regions(images: DataFrame, detectors: dict[str, Callable[[np.ndarray], list[tuple]]], decode: Callable[[bytes], np.ndarray] = read_netpbm) -> DataFrame:

@@ -126,3 +126,10 @@ def test_made_images_are_drawn_by_all_cores(spark):
 
     drawn = catalog.queries()["contour_regions"](spark, "/root/testdata/sf0.001")
     assert drawn.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_images_stay_dealt_out(spark):
+    """Images of few bytes are not gathered in one task before they are blurred."""
+    images = spark.range(50).selectExpr("CAST(id AS STRING) AS image_id", "CAST(NULL AS BINARY) AS content")
+    boxes = spark.range(50).selectExpr("CAST(id AS STRING) AS image_id", "0D AS x0", "0D AS y0", "1D AS x1", "1D AS y1")
+    assert vision.redact_images(images, boxes).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
