@@ -63,3 +63,39 @@ def test_enclosed_boxes(spark):
     inside = lambda c, w: None not in (c[1], c[3], c[4], w[3], w[4]) and (c[1], c[2]) == w[:2] and w[3] >= c[3] and w[4] <= c[4]
     want = [(c[0], *union([w for w in words if inside(c, w)])) for c in chunks]
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+
+
+def test_rows_that_stay_open_over_batches(spark):
+    """Arrow batches of seven rows: what is open goes on into the next ones, as in one batch."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for test in (test_overlaps, test_touched_boxes, test_enclosed_boxes):
+            test(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_a_batch_is_swept_at_once():
+    """200,000 words in batches as Spark hands them over cost a few numpy calls a batch, not a Python step a word."""
+    import sys
+
+    import numpy as np
+    import pyarrow as pa
+
+    n = 200_000
+    at = np.arange(n, dtype=np.int64) // 2
+    kinds = [pa.struct([("v", pa.int64())])] * 2
+    side = np.arange(n, dtype=np.int32) % 2
+    rows = pa.RecordBatch.from_arrays([pa.array(["d"] * n), pa.array(at), pa.array(at + 1), pa.array(side), *[pa.array([{"v": 1}] * n, k) for k in kinds]], names=["doc_id", "_start", "_end", "_side", "_l", "_r"])
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        pairs = sum(len(i) for s in intervals._steps((rows.slice(k, 10_000) for k in range(0, n, 10_000)), []) for i, _ in intervals._pairs(s))
+    finally:
+        sys.setprofile(None)
+    assert pairs == n // 2 and calls < n // 20
