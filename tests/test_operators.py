@@ -384,3 +384,29 @@ def test_stream_passes_over_known_ids(spark, tmp_path):
     q = memory_stream.uploads(spark, str(tmp_path / "drop")).writeStream.format("memory").queryName("uploads").trigger(availableNow=True).start()
     q.awaitTermination()
     assert [r.path.rsplit("/", 1)[1] for r in spark.table("uploads").collect()] == ["a.txt"]
+
+
+def test_the_fold_goes_on_over_batches(spark):
+    """Kept spans of documents that begin in one batch and end in another, against a plain walk."""
+    rng = random.Random(5)
+    rows = [(f"d{rng.randrange(3)}", "OTHER", "x", a := rng.randrange(900), a + rng.randrange(0, 9), "llm", 0.5, i) for i in range(900)]
+    want, last = [], {}
+    for r in sorted(rows, key=lambda r: (r[0], r[3], r[3] - r[4], r[7])):
+        if r[0] not in last or r[3] >= last[r[0]]:
+            want.append(r)
+            last[r[0]] = r[4]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = [tuple(r) for r in spans.dedup_by_region(spark.createDataFrame(rows, SCHEMA)).collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(got) == sorted(want)
+
+
+def test_surfaces_are_keyed_once(spark, monkeypatch):
+    """Keys and clusters are made for each distinct surface, however often it is mentioned."""
+    tables = {}
+    monkeypatch.setattr(resolve, "settle", lambda df, name, plain=resolve.settle: tables.setdefault(name, plain(df, name)))
+    rows = [(f"d{i}", "PERSON", ("John Smith", "J. Smith")[i % 2], 0, 9, "llm", 0.5, 0) for i in range(40)]
+    named, edges = resolve.resolved(spark.createDataFrame(rows, SCHEMA))
+    assert tables["surfaces"].count() == 2 and named.first().n_spans == 40 and edges.count() == 40

@@ -1,6 +1,7 @@
 """Column builders against plain Python."""
 
 import re
+import time
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -94,3 +95,26 @@ def test_many_matches(spark):
         assert got == [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", t)]
         got = [(s.start, s.end) for s in df.select(text.literal_spans(F.col("text"), F.lit("22 x")).alias("m")).first().m]
         assert got == [(m.start(), m.end()) for m in re.finditer("22 x", t)]
+
+
+def test_a_lone_match_is_told_by_its_gaps(spark):
+    """None, one and several matches, also beside the mark that stands for them; one match is never extracted."""
+    pattern = "[0-9]+"
+    for t in ("", "no", "7", "é7", "7é", "a\U0001f600b12c", "1 2", "\x01", "\x01 5", "\x015\x01", "3\x01é44 5"):
+        got = [(m.start, m.end, m.text) for m in one(spark, text.match_spans(F.col("t"), pattern), t=t)]
+        assert got == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, t)]
+        got = [(m.start, m.end) for m in one(spark, text.literal_spans(F.col("t"), F.lit("5")), t=t)]
+        assert got == [(m.start(), m.end()) for m in re.finditer("5", t)]
+    plan = spark.range(1).select(text.match_spans(F.col("id").cast("string"), pattern))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace(" in plan
+
+
+def test_addresses_are_found_in_one_reading(spark):
+    """Matches beside each other stay; a run without an @ is not tried again from each of its characters."""
+    plain = r"(?i)[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+    for t in ("a@b.com_x@y.org", "a@b.com.c@d.net", "éa@b.co", "@a@b.cd", "%a.b+c@d-e.fg h@i", "a@b.c1x@y.zz", "A@B.CDEé@x.yz"):
+        got = [(m.start, m.end) for m in one(spark, text.match_spans(F.col("t"), patterns.EMAIL), t=t)]
+        assert got == [(m.start(), m.end()) for m in re.finditer(plain, t)]
+    began = time.time()
+    assert one(spark, text.match_spans(F.col("t"), patterns.EMAIL), t="@" + "a" * 300_000) == []
+    assert time.time() - began < 20
