@@ -99,3 +99,14 @@ def test_a_batch_is_swept_at_once():
     finally:
         sys.setprofile(None)
     assert pairs == n // 2 and calls < n // 20
+
+
+def test_rows_are_handed_over_flat(spark):
+    """The sweep sorts and hands over plain columns, of words only what is united."""
+    spans = spark.createDataFrame([("d", "A", 0, 4)], "doc_id string, type string, start long, end long")
+    words = spark.createDataFrame([("d", 1, 0, 3, 0.0, 1.0, 2.0, 3.0, "abc")], "doc_id string, page_no int, char_start long, char_end long, x0 double, y0 double, x1 double, y1 double, word string")
+    plan = intervals.touched_boxes(spans, words)._jdf.queryExecution().optimizedPlan().toString()
+    assert "struct(" not in plan and "_r:page_no" in plan and "_r:char_start" not in plan
+    assert [tuple(r) for r in intervals.touched_boxes(spans, words).collect()] == [("d", "A", 0, 4, 1, 0.0, 1.0, 2.0, 3.0)]
+    paired = intervals.overlaps(spans, words.withColumnRenamed("char_start", "a").withColumnRenamed("char_end", "b"), ["doc_id"], right_ends=("a", "b"))
+    assert [tuple(r) for r in paired.collect()] == [("d", "A", 0, 4, 1, 0, 3, 0.0, 1.0, 2.0, 3.0, "abc")]
