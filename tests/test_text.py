@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanweave.functions import patterns, text
 from spanweave.operators import detect
+from spanweave.plans import corpus
 
 TEXTS = st.lists(st.text(alphabet="ab@.1 -é😀\n", max_size=30), min_size=1, max_size=20)
 
@@ -118,3 +119,30 @@ def test_addresses_are_found_in_one_reading(spark):
     began = time.time()
     assert one(spark, text.match_spans(F.col("t"), patterns.EMAIL), t="@" + "a" * 300_000) == []
     assert time.time() - began < 20
+
+
+def test_place_in_text_order(spark):
+    """Numbers written with four digits at least, as canonical ids are, put in the order of their texts without a sort."""
+    for base, size in ((0, 1), (0, 9999), (0, 10011), (0, 123457), (9990, 20), (95000, 7000), (10**18 - 3, 6)):
+        n = spark.range(size).select((F.col("id") + base).alias("n"))
+        rows = n.select(text.text_place(F.col("n"), F.lit(base), F.lit(size)).alias("place"), F.format_string("%04d", "n").alias("s"))
+        assert [r.place for r in rows.orderBy("s").collect()] == list(range(size)), (base, size)
+
+
+def test_texts_are_made_after_rows_are_dealt(spark):
+    """A filter of texts would be moved to where few tasks read the customers."""
+    letters = corpus.letters(spark, "/root/testdata/sf0.001")
+    for found in (detect.detect_patterns(letters), detect.scan_pattern(letters, "DOB", patterns.DOB)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan and "Filter" not in plan[plan.index("Repartition") :]
+
+
+def test_digits_begin_at_a_words_edge(spark):
+    texts = ["1999-12-03", "x1999-12-03", "é12/03/1999", "112/03/1999 12/03/1999", "(03-12-1999)", "03-12-19991"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.text, r.start) for r in detect.scan_pattern(df, "DOB", patterns.DOB).collect()}
+    assert got == {(0, "1999-12-03", 0), (3, "12/03/1999", 12), (4, "03-12-1999", 1)}
+    cards = spark.createDataFrame([(0, "4111 1111 1111 1111, 14111111111111111 5500-0000-0000-0004 x340000000000009")], "doc_id long, text string")
+    assert [(r.text, r.start) for r in detect.scan_pattern(cards, "CREDIT_CARD", patterns.CREDIT_CARD).collect()] == [("4111 1111 1111 1111", 0), ("5500-0000-0000-0004", 39)]
+    streets = spark.createDataFrame([(0, "112 Elm Road, Leeds, M1 0AB; 3a 7 Elm Road, Bath, M2 1AB")], "doc_id long, text string")
+    assert [(r.text, r.start) for r in detect.scan_pattern(streets, "ADDRESS", patterns.STREET).collect()] == [("112 Elm Road, Leeds, M1 0AB", 0), ("7 Elm Road, Bath, M2 1AB", 32)]
