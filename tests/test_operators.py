@@ -410,3 +410,38 @@ def test_surfaces_are_keyed_once(spark, monkeypatch):
     rows = [(f"d{i}", "PERSON", ("John Smith", "J. Smith")[i % 2], 0, 9, "llm", 0.5, 0) for i in range(40)]
     named, edges = resolve.resolved(spark.createDataFrame(rows, SCHEMA))
     assert tables["surfaces"].count() == 2 and named.first().n_spans == 40 and edges.count() == 40
+
+
+def test_places_are_those_of_the_ids_in_order(spark):
+    """Pseudonyms by an entity's place are those of sorting its ids, after a memory's numbers too."""
+    spans = spark.createDataFrame([(i, "OTHER" if i % 3 else "ORG", f"thing {i * 7919 % 1009}", i, i + 5, "regex", 0.9, 0) for i in range(300)], "doc_id long, type string, text string, start long, end long, source string, confidence double, ord long")
+    bases = spark.createDataFrame([("ORG", 9950)], "type string, base long")
+    for after in (None, bases):
+        found = resolve.entities(spans, after)
+        by_place, by_order = ({(r.canonical_id, r.pseudonym) for r in pseudonyms.assign(f).collect()} for f in (found, found.drop("place")))
+        assert by_place == by_order and len(by_place) > 200
+
+
+def test_places_need_no_further_sort(spark):
+    spans = spark.createDataFrame([(1, "ORG", "Acme", 0, 4, "regex", 0.9, 0)], "doc_id long, type string, text string, start long, end long, source string, confidence double, ord long")
+    found = resolve.entities(spans)
+    assert "place" in found.columns
+    named = pseudonyms.assign(found)._jdf.queryExecution().optimizedPlan().toString()
+    assert named.count("Window") == found._jdf.queryExecution().optimizedPlan().toString().count("Window")
+
+
+def test_only_edged_surfaces_are_looked_up_trimmed(spark):
+    spans = spark.createDataFrame([(1, "ORG", "Acme", 0, 4), (1, "ORG", " Acme ", 5, 11), (2, "ORG", " Bolt", 0, 5), (2, "ORG", "Cove", 6, 10)], "doc_id long, type string, text string, start long, end long")
+    surfaces = spark.createDataFrame([("Acme", "O1"), ("Bolt", "O2"), (" Bolt", "O3")], "surface string, pseudonym string")
+    out = redact.replacements(spans, surfaces)
+    assert {(r.doc_id, r.start, r.pseudonym) for r in out.collect()} == {(1, 0, "O1"), (1, 5, "O1"), (2, 0, "O3")}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Union") == 1
+
+
+def test_documents_of_an_entity_are_distinct(spark):
+    named = spark.createDataFrame([("ORG-0000",), ("ORG-0001",)], "canonical_id string")
+    edges = spark.createDataFrame([("ORG-0000", 3), ("ORG-0000", 1), ("ORG-0000", 3)], "canonical_id string, doc_id long")
+    assert {r.canonical_id: r.doc_ids for r in resolve.with_documents(named, edges).collect()} == {"ORG-0000": [1, 3], "ORG-0001": None}
+    from spanweave.plans import catalog, corpus
+
+    assert "doc_ids" not in catalog._memory(corpus.letters(spark, "/root/testdata/sf0.001")).columns
