@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +24,40 @@ _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _ENCODERS: dict = {}
 
 
+class _Words(dict):
+    """Ids by word. A word that is not there gets an empty place, to be filled, and is noted in ``new``."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> bytearray:
+        place = self[word] = bytearray()
+        self.new.append(word)
+        return place
+
+
 class WordEncoder:
-    """Ids of a lower-casing word-end BPE, word by word with a memory of words seen, bounded in bytes (and one text's words): a
-    worker lives on for other tasks, and so does this.
+    """Ids of a lower-casing word-end BPE, from a memory of what stands between white space and of the words in it, bounded in
+    bytes (and one text's words): a worker lives on for other tasks, and so does this.
+
+    No word reaches over white space, so a text is split by it, which is far quicker than by the pattern of words; only a
+    piece that was not met is searched for words. Words that are new go to the library in one text, whose ids are cut
+    after each that ends a word.
 
     Characters below U+0250 are known to keep word borders under the tokenizer's normaliser; a text with any other
-    character, or with the string of a special token, goes to the library whole.
+    character, with one of the four that only Python takes for white space, or with the string of a special token, goes to
+    the library whole.
     """
 
     #: Fixed value: the pattern that the tokenizer file splits by.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-    OTHER = regex.compile(r"[^\x00-įı-ɏ]")
+    OTHER = regex.compile(r"[^\x00-\x1b\x20-\u012f\u0131-\u024f]")
 
     #: Bytes that a remembered word takes beside its characters and ids.
     ENTRY = 150
+    #: Longer pieces and words, of which few come twice, are not remembered.
+    LONG = 64
 
     def __init__(self, path: str, most_bytes: int = 64 << 20):
         from tokenizers import Tokenizer
@@ -48,34 +67,66 @@ class WordEncoder:
         self.lib.no_padding()
         self.lib.no_truncation()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        vocabulary = self.lib.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         # words that were met of late, and those met before; when the first outgrow their bytes they become the second
-        self.most, self.held, self.words, self.older = most_bytes, 0, {}, {}
+        self.most, self.held, self.words, self.older = most_bytes, 0, _Words(), _Words()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.OTHER.search(text) or any(s in text for s in self.special):
             return np.array(self.lib.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        found, known = self.WORDS.findall(text.lower()), self.words
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            pass
         if self.held > self.most:
-            self.older, self.words, self.held = known, {}, 0
-            known = self.words
-        fresh = []
-        for w in {w for w in found if w not in known}:
-            if (ids := self.older.get(w)) is None:
-                fresh.append(w)
+            self.older, self.words, self.held = self.words, _Words(), 0
+        pieces = list(map(self.words.__getitem__, text.lower().split()))
+        if self.words.new:
+            self._fill()
+        return b"".join(pieces)
+
+    def _fill(self) -> None:
+        """Fill the places of what was met anew: from the older memory, else by its words."""
+        fresh, composed = [], []
+        for piece in self._not_recalled():
+            words = self.WORDS.findall(piece)
+            if words == [piece]:
+                fresh.append(piece)
             else:
-                self._keep(w, ids)
+                composed.append((piece, list(map(self.words.__getitem__, words))))
+        fresh += self._not_recalled()
         for at in range(0, len(fresh), 10_000):
             part = fresh[at : at + 10_000]
-            for w, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False)):
-                self._keep(w, array("I", e.ids).tobytes())
-        return b"".join(map(known.__getitem__, found))
+            for word, ids in zip(part, self._encoded(part)):
+                self._keep(word, ids)
+        for piece, places in composed:
+            self._keep(piece, b"".join(places))
+
+    def _not_recalled(self) -> list[str]:
+        """What was met anew and is not in the older memory; what is gets its ids."""
+        new, self.words.new = self.words.new, []
+        left = []
+        for word in new:
+            if (ids := self.older.get(word)) is None:
+                left.append(word)
+            else:
+                self._keep(word, ids)
+        return left
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        (found,) = self.lib.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(found.ids, dtype="<u4")
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+        if len(cuts) != len(words):  # a vocabulary in which some words end without a mark
+            return [np.array(e.ids, dtype="<u4").tobytes() for e in self.lib.encode_batch_fast(words, add_special_tokens=False)]
+        data, cuts = ids.tobytes(), cuts.tolist()
+        return [data[a:b] for a, b in zip([0, *cuts], cuts)]
 
     def _keep(self, word: str, ids: bytes) -> None:
+        """Fill a word's place, which this text's pieces hold, and remember the ids."""
+        self.words[word] += ids
+        if len(word) > self.LONG:
+            del self.words[word]
+            return
         self.words[word] = ids
         self.held += len(word) + len(ids) + self.ENTRY
 

@@ -139,6 +139,33 @@ def test_packing(spark, documents, hard, empty):
     assert harmonic.pack_documents(empty, path).count() == 0
 
 
+def test_new_words_go_to_the_library_together():
+    """One call for a text's new words; ids as the library's, whatever stands between words and however small the memory."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    seen = []
+
+    class Watched:
+        def __init__(self, lib):
+            self.lib = lib
+
+        def encode_batch_fast(self, texts, **kw):
+            seen.append(len(texts))
+            return self.lib.encode_batch_fast(texts, **kw)
+
+        def encode(self, text, **kw):
+            return self.lib.encode(text, **kw)
+
+    enc, small = harmonic.WordEncoder(path), harmonic.WordEncoder(path, most_bytes=500)
+    lib, enc.lib = enc.lib, Watched(enc.lib)
+    text = "Umbrage, quillon's (umbrage) zephyrine-42; don't Quillon! " + "x" * 70 + " a,b" * 40
+    want = lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert enc.encode(text) == want(text) and seen == [1]
+    assert enc.encode(text.upper()) == want(text.upper())
+    for i in range(0x250):
+        t = f"ab{chr(i)}cd {chr(i)}'s,{chr(i)} 7{chr(i)}{chr(i)}ab\u00a0ab'{chr(i)}"
+        assert enc.encode(t) == small.encode(t) == want(t), hex(i)
+
+
 def plain_repeats(docs, length=400):
     counts = defaultdict(int)
     raw = [(i, (t or "").encode()) for i, t in docs]
