@@ -1,5 +1,6 @@
 """Column builders against plain Python."""
 
+import random
 import re
 import time
 
@@ -146,3 +147,17 @@ def test_digits_begin_at_a_words_edge(spark):
     assert [(r.text, r.start) for r in detect.scan_pattern(cards, "CREDIT_CARD", patterns.CREDIT_CARD).collect()] == [("4111 1111 1111 1111", 0), ("5500-0000-0000-0004", 39)]
     streets = spark.createDataFrame([(0, "112 Elm Road, Leeds, M1 0AB; 3a 7 Elm Road, Bath, M2 1AB")], "doc_id long, text string")
     assert [(r.text, r.start) for r in detect.scan_pattern(streets, "ADDRESS", patterns.STREET).collect()] == [("112 Elm Road, Leeds, M1 0AB", 0), ("7 Elm Road, Bath, M2 1AB", 32)]
+
+
+def test_first_classes_do_not_change_matches(spark):
+    """E-mail addresses and phone numbers of made texts, as the plain forms of their patterns find them."""
+    rng = random.Random(5)
+    bits = ["ab", "Q", "12", "3", "07", "+44", "7", "(", ")", " ", "\n", "-", ".", "@", "_", "%", "co", "é", "😀", "07123", "456", "789", "a.b@c.de", "a@b.co", "+447123456789", "(07123) 456 789"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 25))) for _ in range(3000)] + ["a" * 200_000, "a@b.co1@c.de"]
+    s = r"[ \t\n\x0b\f\r]"
+    plain = {patterns.EMAIL: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", patterns.PHONE: rf"(?:\+44{s}?7[0-9]{{3}}|\(?07[0-9]{{3}}\)?){s}?[0-9]{{3}}{s}?[0-9]{{3}}"}
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for own, form in plain.items():
+        want = [re.findall(form, t) if len(t) < 1000 else [] for t in texts]
+        got = [[m.text for m in r[0]] for r in df.select(text.match_spans(F.col("text"), own)).collect()]
+        assert got == want and sum(map(len, got)) > 500
