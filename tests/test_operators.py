@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -368,6 +369,23 @@ def test_a_batch_touches_what_it_names(spark, tmp_path):
     assert snapshot.keys() == {r.canonical_text for r in whole.entities.collect()} and len(snapshot["old0@site.org"].doc_ids) == 20
 
 
+def test_texts_ask_for_heads_that_the_filter_has(spark, tmp_path):
+    """Heads of aliases of every length and script, held against a filter; without one a text asks for all of its heads."""
+    texts = spark.createDataFrame([("to anna@x.org, 北京市朝阳区 or é 😀😀",), ("",)], "text string")
+    asked = lambda: {r.key[1:] for r in texts.mapInArrow(lambda batches: memory_stream._heads(batches, str(tmp_path)), memory_stream._IN).collect()}
+    known = spark.createDataFrame([(["anna@x.org", "北京市朝阳", ""],), (["é", "😀😀", "none"],), (None,)], "aliases array<string>")
+    (tmp_path / "heads").mkdir()
+    held = memory_stream._with_heads(np.zeros(memory_stream._BITS // 8, dtype=np.uint8), known)
+    (tmp_path / "heads" / "batch=000007").write_bytes(held.tobytes())
+    spark.sparkContext.setLocalProperty("streaming.sql.batchId", "7")
+    try:
+        assert asked() == {"anna@", "北京市朝阳", "é", "😀😀"}
+        spark.sparkContext.setLocalProperty("streaming.sql.batchId", "8")
+        assert len(asked()) > 80 and {"anna@", "nna@x", "t", "to"} <= asked()
+    finally:
+        spark.sparkContext.setLocalProperty("streaming.sql.batchId", None)
+
+
 def test_stream_passes_over_known_ids(spark, tmp_path):
     """Two batches: an id that comes twice in one counts once, one that an earlier batch has had is passed over."""
     source = tmp_path / "in"
