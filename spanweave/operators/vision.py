@@ -31,7 +31,7 @@ def contours(image: np.ndarray) -> list[tuple[int, int, int, int, float]]:
     if min(image.shape[:2]) < outlines.LEAST_SIDE:
         return []
     pixels = blur(outlines.grey(image)[:, :, None], 5)[:, :, 0]
-    return outlines.outer(outlines.edges(np.rint(pixels)))
+    return outlines.outlines(pixels)
 
 
 def image_contours(images: DataFrame, decode: Callable[[bytes], np.ndarray] | None = None) -> DataFrame:
@@ -101,7 +101,7 @@ def blur(part: np.ndarray, size: int = 51) -> np.ndarray:
         else:
             reach = np.zeros_like(reach)
         wide = np.take(out, reach, axis=axis)
-        out = sum(w * np.take(wide, np.arange(k, k + n), axis=axis) for k, w in enumerate(weights))
+        out = sum(w * (wide[k : k + n] if axis == 0 else wide[:, k : k + n]) for k, w in enumerate(weights))
     return np.rint(out)
 
 

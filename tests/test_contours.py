@@ -96,6 +96,19 @@ def test_edges_against_plain():
         assert (contours.edges(pixels, 50, 150) == plain_edges(pixels, 50, 150)).all()
 
 
+def test_outlines_are_the_outer_parts_of_edges():
+    """Parts that are told apart once: weak ridges go, and what lies in a hole; noise, blocks and a card with a panel."""
+    r, found = np.random.default_rng(8), 0
+    blocks = np.kron(r.integers(0, 2, (5, 6)), np.ones((11, 9))) * 90
+    panel = card(70, 40, 90, 60)[:, :, 0].astype(np.float64)
+    panel[20:40, 25:60] = 50
+    for pixels in (np.rint(r.random((40, 51)) * 255), blocks, panel, np.rint(r.random((30, 30)) * 20) + blocks[:30, :30], np.zeros((20, 20))):
+        want = contours.outer(plain_edges(pixels, contours.LOW, contours.HIGH))
+        assert contours.outlines(pixels) == want
+        found += len(want)
+    assert found > 10
+
+
 def card(w, h, width, height, depth=1):
     image = np.zeros((height, width, depth), dtype=np.uint8)
     image[10 : 10 + h, 10 : 10 + w] = 200
